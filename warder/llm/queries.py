@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, sharding
+from warder.llm import exact_dedup, packing, pieces, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_sharding": sharding.op1_hilbert_sharding,
+        "op2_shortest_pack_first": packing.op2_shortest_pack_first,
+        "op3_piece_encoding": pieces.op3_piece_encoding,
         "op6_stream_dedup": exact_dedup.op6_stream_dedup,
+        "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_stream_dedup": exact_dedup.OP6_SQL}
+    return {
+        "op6_stream_dedup": exact_dedup.OP6_SQL,
+        "op10_warc_round_trip": warc.OP10_SQL,
+    }
