@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, packing, pieces, sharding, warc
+from warder.llm import exact_dedup, packing, pieces, quality, sharding, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hilbert_sharding": sharding.op1_hilbert_sharding,
         "op2_shortest_pack_first": packing.op2_shortest_pack_first,
         "op3_piece_encoding": pieces.op3_piece_encoding,
+        "op4_winnowing": winnowing.op4_winnowing,
         "op6_stream_dedup": exact_dedup.op6_stream_dedup,
+        "op9_pairwise_quality": quality.op9_pairwise_quality,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
 
