@@ -71,3 +71,24 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | pa.RecordB
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def join_counted(df: DataFrame, table: DataFrame, keys: list[str], count: str, spread: list[str], found: str) -> DataFrame:
+    """Left-join a staged table of unique keys; its row arrives as the struct column ``found``.
+
+    ``count`` says how many rows of df a key has. Keys with a thousandth of the counted rows
+    or more are at most a thousand, the bound of what is broadcast; their rows skip the
+    shuffle by key and are dealt out by ``spread``. Keys must not be null.
+    """
+    least = (table.agg(F.sum(count)).first()[0] or 0) // 1000 + 1
+    values = F.struct(*[c for c in table.columns if c not in keys])
+    hot = table.filter(F.col(count) >= least).select(*keys, values.alias("__hot"))
+    rest = table.filter(F.col(count) < least).select(*keys, F.lit(0).alias("__salt"), values.alias("__rest"))
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(4093)).cast("int"))
+    return (
+        df.join(F.broadcast(hot), keys, "left")
+        .withColumn("__salt", salt)
+        .join(rest, [*keys, "__salt"], "left")
+        .withColumn(found, F.coalesce("__hot", "__rest"))
+        .drop("__salt", "__hot", "__rest")
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, packing, pieces, quality, sharding, warc, winnowing
+from warder.llm import exact_dedup, packing, pieces, quality, sharding, suffix_dedup, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_piece_encoding": pieces.op3_piece_encoding,
         "op4_winnowing": winnowing.op4_winnowing,
         "op6_stream_dedup": exact_dedup.op6_stream_dedup,
+        "op7_suffix_repeats": suffix_dedup.op7_suffix_repeats,
         "op9_pairwise_quality": quality.op9_pairwise_quality,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
     }

@@ -17,13 +17,13 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of every run of k codes, by doubling: polynomial in MULTIPLIER mod 2**64."""
+def gram_hashes(codes: np.ndarray, k: int, multiplier: np.uint64 = MULTIPLIER) -> np.ndarray:
+    """64-bit hash of every run of k codes, by doubling: polynomial in the multiplier mod 2**64."""
     n = len(codes)
     if n < k:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        power, size, block = MULTIPLIER, 1, finish(codes.astype(np.uint64) + np.uint64(1))
+        power, size, block = multiplier, 1, finish(codes.astype(np.uint64) + np.uint64(1))
         done, total = 0, np.zeros(n - k + 1, np.uint64)
         while True:
             if k & size:  # append this block to what is hashed so far
