@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, packing, pieces, quality, sharding, suffix_dedup, warc, winnowing
+from warder.llm import exact_dedup, near_dedup, packing, pieces, quality, sharding, suffix_dedup, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_shortest_pack_first": packing.op2_shortest_pack_first,
         "op3_piece_encoding": pieces.op3_piece_encoding,
         "op4_winnowing": winnowing.op4_winnowing,
+        "op5_order_minhash": near_dedup.op5_order_minhash,
         "op6_stream_dedup": exact_dedup.op6_stream_dedup,
         "op7_suffix_repeats": suffix_dedup.op7_suffix_repeats,
         "op9_pairwise_quality": quality.op9_pairwise_quality,
