@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, near_dedup, packing, pieces, quality, sharding, suffix_dedup, warc, winnowing
+from warder.llm import exact_dedup, near_dedup, packing, pieces, quality, sharding, suffix_dedup, tool_calls, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_order_minhash": near_dedup.op5_order_minhash,
         "op6_stream_dedup": exact_dedup.op6_stream_dedup,
         "op7_suffix_repeats": suffix_dedup.op7_suffix_repeats,
+        "op8_tool_call_linking": tool_calls.op8_tool_call_linking,
         "op9_pairwise_quality": quality.op9_pairwise_quality,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
@@ -26,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_stream_dedup": exact_dedup.OP6_SQL,
+        "op8_tool_call_linking": tool_calls.OP8_SQL,
         "op10_warc_round_trip": warc.OP10_SQL,
     }
