@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,6 @@ BLANKS = r"[\x20\x09-\x0D]+"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # many small stores: without this each sets 4 MB of disk aside for its manifest
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Members of a group compared by one task with one copy of the kept text.
 SALT_ROWS = 256
@@ -61,14 +60,11 @@ def _any(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
-def entry_stream(spark: SparkSession, path: str, digest=sha256, files_per_trigger: int = 1000) -> str:
-    """Stream the documents in ``path`` into an entry table; returns its path."""
-    schema = spark.read.parquet(path).schema
-    out = scratch(spark, "entries")
+def stream_entries(spark: SparkSession, path: str, schema: T.StructType, out: str, digest=sha256, files_per_trigger: int = 1000) -> None:
+    """Stream the documents in ``path`` into an entry table."""
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(_any(path))
     run = entries(source, digest).writeStream.format("parquet").option("checkpointLocation", scratch(spark, "entries-log")).trigger(availableNow=True).start(out)
     run.awaitTermination()
-    return out
 
 
 def state_table(spark: SparkSession, schema: T.StructType, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -131,7 +127,7 @@ def decide(docs: DataFrame, found: DataFrame, state: DataFrame, digest=sha256) -
 
 
 def dedup_stream(spark: SparkSession, path: str, digest=sha256, files_per_trigger: int = 1000) -> DataFrame:
-    """Deduplicate the Parquet documents in ``path``.
+    """Deduplicate the Parquet documents in ``path``, read as a stream.
 
     Texts are equal when identical without ASCII blanks; null counts as empty. Of equal
     texts the row with most code points stays, then the smallest doc_id (null last), then
@@ -140,12 +136,42 @@ def dedup_stream(spark: SparkSession, path: str, digest=sha256, files_per_trigge
     columns are not read; an empty table gives no rows.
     """
     docs = spark.read.parquet(path)
-    rows = entries(docs, digest)
+    at = scratch(spark, "entries")
     if docs.isEmpty():
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "file", "row")
-    at = entry_stream(spark, path, digest, files_per_trigger)
-    state = staged(state_table(spark, rows.schema, at, files_per_trigger), "final_state")
-    return decide(docs, spark.read.schema(rows.schema).parquet(at), state, digest)
+        entries(docs, digest).write.parquet(at)
+    else:
+        stream_entries(spark, path, docs.schema, at, digest, files_per_trigger)
+    return dedup_entries(docs, at, digest, files_per_trigger)
+
+
+def dedup_table(docs: DataFrame, digest=sha256, files_per_trigger: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The same for documents that are a DataFrame: (documents with locators file and row, decisions).
+
+    Documents that no longer are a file scan are written to the scratch folder first.
+    """
+    spark = docs.sparkSession
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        docs = staged(docs, "documents")
+    at = scratch(spark, "entries")
+    entries(docs, digest).write.parquet(at)
+    located = docs.select("*", F.col("_metadata")["file_path"].alias("__file"), F.col("_metadata")["row_index"].alias("__row"))
+    return located, dedup_entries(docs, at, digest, files_per_trigger)
+
+
+def dedup_entries(docs: DataFrame, path: str, digest, files_per_trigger: int) -> DataFrame:
+    schema = entries(docs, digest).schema
+    found = docs.sparkSession.read.schema(schema).parquet(path)
+    state = staged(state_table(docs.sparkSession, schema, path, files_per_trigger), "final_state")
+    return decide(docs, found, state, digest)
+
+
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with their columns."""
+    located, decisions = dedup_table(docs)
+    dropped = decisions.filter("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    return located.join(dropped, ["__file", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

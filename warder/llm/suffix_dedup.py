@@ -42,10 +42,11 @@ def runs(data: np.ndarray, length: int, core: int) -> Iterator[tuple[np.ndarray,
         yield hashes[at[lo]], at[lo] + start, lo + start, hi + start
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Documents by identifier and hash of the text; rows alike in both have one result."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64(text).alias("kh"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
+    return docs.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64(text).alias("kh"))
 
 
 def find_anchors(rows: DataFrame, length: int, core: int) -> DataFrame:
@@ -145,7 +146,7 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-DONE = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
+DONE = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept string, kept_sha256 string"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -155,23 +156,24 @@ def cut(doc_id, body: bytes, spans: list[tuple[int, int]], with_text: bool) -> t
         parts.append(body[at:a])
         at = b
     kept = b"".join([*parts, body[at:]])
-    return doc_id, len(body), [{"start": a, "end": b} for a, b in spans], kept if with_text else None, hashlib.sha256(kept).hexdigest()
+    return doc_id, len(body), [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore") if with_text else None, hashlib.sha256(kept).hexdigest()
 
 
 def done_batch(rows: list[tuple]) -> list[pa.Array]:
-    kinds = [pa.int64(), pa.int64(), SPANS, pa.binary(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), SPANS, pa.string(), pa.string()]
     return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
 
 
 CONTEXT = "array<struct<whole:boolean,core:long,ctx:long,anchor:int,lo:int,hi:int,copies:long,hot:boolean>>"
 
 
-def suffix_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, most_contexts: int = MOST_CONTEXTS, with_text: bool = False) -> DataFrame:
+def suffix_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, most_contexts: int = MOST_CONTEXTS, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts elsewhere.
 
     Texts are UTF-8 bytes, null is empty; matches stay within documents, may overlap, and are
     judged on the input. Returns one row per document: doc_id, n_bytes, spans (maximal runs
-    removed), kept (the rest, on request) and kept_sha256. Texts shorter than ``length`` stay
+    removed), kept (the rest as text, on request; a character cut apart is dropped), kept_sha256
+    (of the rest's bytes) and rest (a struct of the columns ``carry``). Texts shorter than ``length`` stay
     whole, repeated rows count as copies of each other, an empty table gives no rows, other
     columns are not read.
 
@@ -185,7 +187,9 @@ def suffix_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, most
     4. A core with more than ``most_contexts`` contexts would fill a bucket: its windows are
        spread by a 128-bit hash and counted, which compares them across all buckets.
     """
-    rows = keyed(docs)
+    carry = carry or []
+    rows = keyed(docs, carry)
+    kind = rows.schema['rest'].dataType.simpleString()
     anchors = staged(find_anchors(rows, length, core), "anchors")
     cores = staged(anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cores")
     twice = staged(join_counted(anchors, cores, ["core"], "n", ["kid", "lo"], "c").filter("c is not null").drop("c"), "core_rows")
@@ -199,16 +203,16 @@ def suffix_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, most
     open_ = join_counted(contexts, many, ["core"], "n", ["ctx"], "c").filter("c is not null")
     open_ = open_.select("one.kid", "one.kh", F.struct(F.lit(False).alias("whole"), "core", "ctx", "one.anchor", "one.lo", "one.hi", "copies", (F.col("c.n") > most_contexts).alias("hot")).alias("x"))
     notes = whole.unionByName(open_).groupBy("kid", "kh").agg(F.collect_list("x").alias("notes"))
-    first = staged(first_pass(rows.join(notes, ["kid", "kh"], "left"), length, with_text), "first_pass")
+    first = staged(first_pass(rows.join(notes, ["kid", "kh"], "left"), length, with_text, kind), "first_pass")
 
     waiting = first.filter("text is not null")
     cold, hot = cold_windows(waiting, length, core), hot_windows(waiting, length)
     found = cold.unionByName(hot).groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
-    last = last_pass(waiting.join(found, ["kid", "kh"], "left"), length, with_text)
-    return first.filter("text is null").select("done.*").unionByName(last)
+    last = last_pass(waiting.join(found, ["kid", "kh"], "left"), length, with_text, kind)
+    return first.filter("text is null").select("done.*", "rest").unionByName(last)
 
 
-def first_pass(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
+def first_pass(joined: DataFrame, length: int, with_text: bool, rest: str) -> DataFrame:
     """Finish the documents that wait for no comparison; keep the text of the others."""
 
     def run(batches):
@@ -228,12 +232,13 @@ def first_pass(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
                 [
                     pa.StructArray.from_arrays(done, names=["doc_id", "n_bytes", "spans", "kept", "kept_sha256"]),
                     *[pa.array([r[i] for r in out], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.binary()), (5, ranges), (6, batch.column("notes").type))],
+                    batch.column("rest"),
                 ],
-                names=["done", "kid", "kh", "doc_id", "text", "starts", "waits"],
+                names=["done", "kid", "kh", "doc_id", "text", "starts", "waits", "rest"],
             )
 
     done = DONE.replace(" ", ":").replace(",:", ",")
-    return joined.mapInArrow(run, f"done struct<{done}>, kid long, kh long, doc_id long, text binary, starts array<struct<lo:int,hi:int>>, waits {CONTEXT}")
+    return joined.mapInArrow(run, f"done struct<{done}>, kid long, kh long, doc_id long, text binary, starts array<struct<lo:int,hi:int>>, waits {CONTEXT}, rest {rest}")
 
 
 def cold_windows(waiting: DataFrame, length: int, core: int) -> DataFrame:
@@ -292,14 +297,23 @@ def hot_windows(waiting: DataFrame, length: int) -> DataFrame:
     return hit.select("kid", "kh", "lo", F.col("lo").alias("hi"))
 
 
-def last_pass(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
+def last_pass(joined: DataFrame, length: int, with_text: bool, rest: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "more")), strict=True)
             out = [cut(doc_id, body, merged([(x["lo"], x["hi"]) for x in [*(starts or []), *(more or [])]], length), with_text) for doc_id, body, starts, more in rows]
-            yield pa.RecordBatch.from_arrays(done_batch(out), names=["doc_id", "n_bytes", "spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*done_batch(out), batch.column("rest")], names=["doc_id", "n_bytes", "spans", "kept", "kept_sha256", "rest"])
 
-    return joined.select("doc_id", "text", "starts", "more").mapInArrow(run, DONE)
+    return joined.select("doc_id", "text", "starts", "more", "rest").mapInArrow(run, f"{DONE}, rest {rest}")
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated passages cut out and n_chars, if there, as it is now."""
+    carry = [c for c in docs.columns if c != "text"]
+    found = suffix_repeats(docs, with_text=True, carry=carry)
+    kinds = dict(docs.dtypes)
+    now = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast(kinds.get("n_chars", "long")).alias("n_chars")}
+    return found.select(*[now.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns])
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
