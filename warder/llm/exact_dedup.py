@@ -15,6 +15,10 @@ BLANKS = r"[\x20\x09-\x0D]+"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    # many small stores: without this each sets 4 MB of disk aside for its manifest
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Members of a group compared by one task with one copy of the kept text.
 SALT_ROWS = 256
