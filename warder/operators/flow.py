@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warder.functions.predicates import candidates, expand_type, match_name
-
-
-def written_round(df: DataFrame, name: str) -> DataFrame:
-    """Write an iteration's state to the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="warder-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/warder/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from warder.functions.state import written
 
 
 def flow_edges(
@@ -91,18 +77,18 @@ def transitive_flows(edges: DataFrame, starts: DataFrame, direction: str = "out"
     step = edges.select("policy_id", F.col("src").alias("a"), F.col("src_side").alias("a_side"), F.col("dst").alias("b"), F.col("dst_side").alias("b_side"), F.col("length").alias("w"))
     if direction == "in":
         step = edges.select("policy_id", F.col("dst").alias("a"), F.col("dst_side").alias("a_side"), F.col("src").alias("b"), F.col("src_side").alias("b_side"), F.col("length").alias("w"))
-    step = written_round(step, "edges")
+    step = written(step, "edges")
     start = starts.select("policy_id", F.col("type").alias("start")).distinct()
     sides = F.explode(F.array(F.lit("subject"), F.lit("object")))
     state = start.select("policy_id", "start", F.col("start").alias("node"), sides.alias("side"), F.lit(0).alias("dist"), F.lit(0).alias("hops"), F.array("start").alias("path"), F.lit(True).alias("fresh"))
-    state = written_round(state, "flow")
+    state = written(state, "flow")
     key = ["policy_id", "start", "node", "side"]
     for _ in range(max_hops):
         moved = state.filter("fresh").join(step, (state.policy_id == step.policy_id) & (state.node == step.a) & (state.side == step.a_side))
         moved = moved.select(state.policy_id, "start", F.col("b").alias("node"), F.col("b_side").alias("side"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("b")).alias("path"), F.lit(True).alias("fresh"))
         both = state.withColumn("fresh", F.lit(False)).unionByName(moved)
         best = both.groupBy(*key).agg(F.min(F.struct("dist", "path", "hops", "fresh")).alias("m"))
-        state = written_round(best.select(*key, "m.dist", "m.hops", "m.path", "m.fresh"), "flow")
+        state = written(best.select(*key, "m.dist", "m.hops", "m.path", "m.fresh"), "flow")
         if state.filter("fresh").isEmpty():
             break
     found = state.filter("hops > 0 AND node <> start")
@@ -114,14 +100,14 @@ def transitive_flows(edges: DataFrame, starts: DataFrame, direction: str = "out"
 def flow_alternatives(edges: DataFrame, pairs: DataFrame, k: int = 3, max_hops: int = 4) -> DataFrame:
     """Up to k shortest loop-free flows for each pair (policy_id, start, end), by bounded path
     extension that keeps the k best per (start, end, node)."""
-    step = written_round(edges.select("policy_id", F.col("src").alias("a"), F.col("src_side").alias("a_side"), F.col("dst").alias("b"), F.col("dst_side").alias("b_side"), F.col("length").alias("w")), "edges")
+    step = written(edges.select("policy_id", F.col("src").alias("a"), F.col("src_side").alias("a_side"), F.col("dst").alias("b"), F.col("dst_side").alias("b_side"), F.col("length").alias("w")), "edges")
     front = pairs.select("policy_id", "start", "end", F.col("start").alias("node"), F.explode(F.array(F.lit("subject"), F.lit("object"))).alias("side"), F.lit(0).alias("length"), F.array("start").alias("path"))
     done = None
     for hop in range(max_hops):
         moved = front.join(step, (front.policy_id == step.policy_id) & (front.node == step.a) & (front.side == step.a_side)).filter(~F.array_contains("path", F.col("b")))
         moved = moved.select(front.policy_id, "start", "end", F.col("b").alias("node"), F.col("b_side").alias("side"), (F.col("length") + F.col("w")).alias("length"), F.concat("path", F.array("b")).alias("path"))
         order = Window.partitionBy("policy_id", "start", "end", "node", "side").orderBy("length", "path")
-        moved = written_round(moved.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n"), "paths")
+        moved = written(moved.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n"), "paths")
         hit = moved.filter("node = end").select("policy_id", "start", "end", "length", "path")
         done = hit if done is None else done.unionByName(hit)
         front = moved.filter("node <> end")
