@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.plans import audit_queries, check_queries, diff_queries, graph_queries, rule_queries
+from warder.plans import audit_queries, check_queries, diff_queries, graph_queries, rule_queries, stream_queries
 from warder.plans.fixtures import Relations, oracle
 
 GROUPS = [audit_queries.QUERIES, rule_queries.QUERIES, graph_queries.QUERIES, diff_queries.QUERIES, check_queries.QUERIES]
@@ -17,8 +17,9 @@ def registered() -> dict:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: f(Relations(spark, sf_dir))) for k, (f, _) in registered().items()}
+    found = {k: (lambda spark, sf_dir, f=f: f(Relations(spark, sf_dir))) for k, (f, _) in registered().items()}
+    return found | {k: f for k, (f, _) in stream_queries.STREAMS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: oracle(sql) for k, (_, sql) in registered().items() if sql}
+    return {k: oracle(sql) for k, (_, sql) in (registered() | stream_queries.STREAMS).items() if sql}
