@@ -41,35 +41,38 @@ def topological(calls: DataFrame) -> DataFrame:
 
     ``calls`` is a table with unique (conv, call_id). A call is ready at the latest place of
     itself and all that it depends on; level orders calls that are ready at one place. While
-    all dependencies lead backward the place itself is the order and no round is needed;
-    otherwise ready and level rise over the dependency edges until nothing changes. What
-    still rises after as many rounds as there are edges that lead forward is in or behind a
-    cycle; in a graph without cycles every round settles at least one of them or a chain behind it.
+    all dependencies lead backward the place itself is the order and no round is needed.
+    Otherwise, in conversations with a dependency that leads forward, calls that wait for no
+    other are taken away round by round; what is left is in or behind a cycle and keeps its
+    place. Then ready and level rise over the other edges until nothing changes.
     """
     edges = calls.select("conv", "call_id", "place", F.explode_outer("after").alias("on")).filter("on is not null")
     known = calls.select("conv", F.col("call_id").alias("on"), F.col("place").alias("on_place"))
     edges = staged(edges.join(known, ["conv", "on"], "left"), "edges")
     lost = edges.filter("on_place is null").select("conv", "call_id").distinct().withColumn("lost", F.lit(True))
-    live = edges.filter("on_place is not null")
-    forward = live.filter("on_place >= place").count()
+    turned = edges.filter("on_place >= place").select("conv").distinct()
     state = calls.select("conv", "call_id", F.col("place").cast("long").alias("ready"), F.lit(0).alias("level"))
-    risen = None
-    if forward:
-        state = staged(state, "order")
-        steps = calls.count()
-        for _ in range(min(steps, 10_000) + 1):
+    cyclic = None
+    if not turned.isEmpty():
+        live = staged(edges.filter("on_place is not null").join(turned, "conv", "left_semi").select("conv", "call_id", "on"), "live_edges")
+        cyclic, left = live.select("conv", "call_id").distinct(), -1
+        while (n := cyclic.count()) != left:
+            held = live.join(cyclic, ["conv", "call_id"], "left_semi").join(cyclic.withColumnRenamed("call_id", "on"), ["conv", "on"], "left_semi")
+            cyclic, left = staged(held.select("conv", "call_id").distinct(), "waiting"), n
+        live = staged(live.join(cyclic, ["conv", "call_id"], "left_anti"), "live_edges")
+        state, moving = staged(state, "order"), True
+        while moving:
             on = state.select("conv", F.col("call_id").alias("on"), F.col("ready").alias("r"), F.col("level").alias("l"))
             want = live.join(on, ["conv", "on"]).groupBy("conv", "call_id").agg(F.max(F.struct("r", (F.col("l") + 1).alias("l"))).alias("w"))
-            own = F.struct(F.col("ready").alias("r"), F.col("level").alias("l"))
-            moved = state.join(want, ["conv", "call_id"], "left").withColumn("up", F.coalesce(F.col("w") > own, F.lit(False)))
-            moved = staged(moved.select("conv", "call_id", F.when(F.col("up"), F.col("w.r")).otherwise(F.col("ready")).alias("ready"), F.when(F.col("up"), F.col("w.l")).otherwise(F.col("level")).alias("level"), "up"), "order")
-            state, risen = moved.drop("up"), moved.filter("up").select("conv", "call_id", F.lit(True).alias("cyclic"))
-            if moved.filter("up").isEmpty():
-                break
+            up = F.coalesce(F.col("w.r") > F.col("ready"), F.lit(False)) | F.coalesce((F.col("w.r") == F.col("ready")) & (F.col("w.l") > F.col("level")), F.lit(False))
+            moved = state.join(want, ["conv", "call_id"], "left").withColumn("up", up)
+            state = staged(moved.select("conv", "call_id", F.when(F.col("up"), F.col("w.r")).otherwise(F.col("ready")).alias("ready"), F.when(F.col("up"), F.col("w.l")).otherwise(F.col("level")).alias("level"), "up"), "order")
+            moving = not state.filter("up").isEmpty()
+            state = state.drop("up")
     out = calls.join(state, ["conv", "call_id"]).join(lost, ["conv", "call_id"], "left")
-    if risen is None:
+    if cyclic is None:
         return out.withColumn("cyclic", F.lit(False))
-    return out.join(risen, ["conv", "call_id"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+    return out.join(cyclic.withColumn("cyclic", F.lit(True)), ["conv", "call_id"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
 
 def ranked(calls: DataFrame) -> DataFrame:
