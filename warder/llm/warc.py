@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warder.llm.common import scratch, staged
+from warder.llm.common import join_counted, scratch, staged
 
 VERSION = b"WARC/1.1"
 CHUNK = 1 << 20
@@ -185,26 +185,20 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """Decide for each page whether its record is a response or revisits an equal payload.
 
     Of equal payloads of at least ``least`` bytes the one with the smallest page_id is the
-    response. Only the groups of two or more are joined back, counted before the join;
-    groups that hold a thousandth of all pages or more are at most a thousand and are
-    broadcast, so that no task gets a large group.
+    response. Only the groups of two or more are joined back; they are counted before, so
+    that pages of a large group skip the shuffle by payload.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("size"))
     groups = base.filter(F.col("size") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     groups = staged(groups.filter("copies > 1"), "payload_groups")
-    pages_seen = groups.agg(F.sum("copies")).first()[0] or 0
-    hot = pages_seen // 1000 + 1
-    big = groups.filter(F.col("copies") >= hot).select("payload_digest", F.col("first_id").alias("big_first"))
-    rest = groups.filter(F.col("copies") < hot).select("payload_digest", "first_id")
-    first = F.coalesce("big_first", "first_id")
+    first = F.col("g.first_id")
     revisit = first.isNotNull() & (first != F.col("page_id"))
     return (
-        base.join(F.broadcast(big), "payload_digest", "left")
-        .join(rest, "payload_digest", "left")
+        join_counted(base, groups, ["payload_digest"], "copies", ["page_id", "url"], "g")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(revisit, first))
-        .drop("size", "big_first", "first_id")
+        .drop("size", "g")
     )
 
 
