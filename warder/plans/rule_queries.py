@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warder.functions import mls
+from warder.functions import mls, net
 from warder.operators import components as c
 from warder.operators import rules as ru
 from warder.operators.rules import RuleSearch
@@ -66,7 +66,16 @@ def mls_pairs(r: Relations) -> DataFrame:
     return out.select("low_rank", "high_rank", mls.level_compare(F.col("a"), F.col("b")).alias("relation"))
 
 
+def subnets(r: Relations) -> DataFrame:
+    """Messages by the subnet of an address made of their host and port."""
+    rows = r.audit.filter("port is not null").select("msg_id", (F.lit(10 << 24) + F.substring("host", 2, 1).cast("long") * 65536 + F.col("port")).alias("ip"))
+    table = r.portcon.select((F.lit(10 << 24) + F.col("low")).cast("long").alias("addr"), F.when(F.col("low") % 20 == 0, 0xFF00FFF0).otherwise(0xFF00FF00).cast("long").alias("mask"), "type")
+    first = table.withColumn("net", F.col("addr").bitwiseAND(F.col("mask"))).groupBy("net", "mask").agg(F.min("type").alias("type")).select(F.col("net").alias("addr"), "mask", "type")
+    return net.subnet_lookup(rows, "ip", first).select("msg_id", "mask", "type")
+
+
 QUERIES = {
+    "subnet_lookup": (subnets, "SELECT msg_id, mask, type FROM (SELECT a.msg_id, s.mask, s.type, row_number() OVER (PARTITION BY a.msg_id ORDER BY s.mask DESC) AS n FROM (SELECT msg_id, 167772160 + CAST(substr(host, 2, 1) AS BIGINT) * 65536 + port AS ip FROM audit WHERE port IS NOT NULL) AS a JOIN (SELECT (167772160 + low) & mask AS net, mask, min(type) AS type FROM (SELECT low, type, CASE WHEN low % 20 = 0 THEN 4278255600 ELSE 4278255360 END AS mask FROM portcon) GROUP BY 1, 2) AS s ON (a.ip & s.mask) = s.net) WHERE n = 1"),
     "types_by_name": (lambda r: c.find_types(r.policy_types(), "^s[12]", True).select("policy_id", "type"), "SELECT policy_id, type FROM types, (VALUES ('F'), ('O'), ('P')) AS v(policy_id) WHERE NOT is_attr AND regexp_matches(type, '^s[12]')"),
     "types_indirect": (lambda r: ru.candidates(r.policy_types(), r.policy_type_attr(), "Brand_1", regex=True, indirect=True).filter("policy_id = 'F'").select("type"), "SELECT type FROM types WHERE is_attr AND contains(type, 'Brand_1') UNION SELECT type FROM type_attr WHERE contains(attr, 'Brand_1')"),
     "types_of_attr": (lambda r: c.listing(r.policy_type_attr().filter("policy_id = 'O'"), "attr", "type").select("attr", F.array_join("type", ",").alias("types")), "SELECT attr, string_agg(type, ',' ORDER BY type) AS types FROM type_attr GROUP BY attr"),
