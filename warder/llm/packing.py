@@ -19,8 +19,10 @@ from warder.llm.pieces import slices
 
 SEQUENCE = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
+MARK = "7"
+CLOSING = (",", ".")
 
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
 
@@ -37,20 +39,57 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.mark = self.ids([MARK])[0]
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[int]:
+        """Ids of the texts one after another."""
+        return self.library.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """uint32 ids of each word. Letters and a comma or full stop after them are tokens of
+        their own and ASCII letters are lowered, so such words share the ids of their stem."""
+        parts = {}
+        for w in words:
+            end = w[-1:] if w[-1:] in CLOSING and w[:-1].isalpha() else ""
+            stem = w[: len(w) - len(end)]
+            parts[w] = (stem.lower() if stem.isascii() else stem, end)
+        asked = {x for both in parts.values() for x in both}
+        ids = {x: self.words.get(x) or self.old.get(x) for x in asked}
+        lacking = [x for x, known in ids.items() if not known]
+        ids |= self.library_ids(lacking)
+        # a lowered stem is no word of the text as yet, but it is likely to come
+        self.words |= {x: ids[x] for x in lacking if len(x) <= CACHE_WORD_CHARS}
+        return {w: ids[stem] + ids[end] for w, (stem, end) in parts.items()}
+
+    def library_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Many words go through the library at once, with a digit, which always is a token of
+        its own, between them; words that hold it go alone."""
+        plain = [w for w in words if MARK not in w]
+        out = {w: array("I", self.ids([w])).tobytes() for w in words if MARK in w}
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(self.ids([x for w in part for x in (w, MARK)]), dtype=np.uint32)
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                out[w] = data[4 * start : 4 * end]
+                start = end + 1
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each whole text."""
+        """uint32 ids of each whole text. Known words have two generations: a full one becomes
+        the old one, from which words that come again are taken over."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        long: dict[str, bytes] = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHE_WORD_CHARS else long)[w] = array("I", e.ids).tobytes()
+            self.old, self.words = self.words, {}
+        known, old = self.words, self.old
+        new = {w for words in split for w in words if w not in known}
+        known.update({w: old[w] for w in new if w in old})
+        found = self.learn([w for w in new if w not in old])
+        long = {w: ids for w, ids in found.items() if len(w) > CACHE_WORD_CHARS}
+        known.update(found if not long else {w: ids for w, ids in found.items() if w not in long})
         get = (known | long).__getitem__ if long else known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), dtype=np.uint32) for words in split]
 
