@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -20,6 +21,26 @@ CACHE_WORD_CHARS = 64
 PAIRS = 1_000_000
 
 
+class WordCache(dict):
+    """Ids of words as int32 bytes, in two generations: a full one becomes the old one, from
+    which words that come again are taken over."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("i", self.encode(word)).tobytes()
+        if len(word) <= CACHE_WORD_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes a text exactly as the library does with a BPE model and byte fallback.
 
@@ -39,13 +60,15 @@ class PieceEncoder:
         self.rank = {i: -1 if len(self.text[i]) == 1 else order[scores[i]] for i in pieces}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.eos = sp.eos_id()
-        self.matches = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            self.matches.add_word(piece, i)
-        self.matches.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.singles = {p: (i, 1) for p, i in self.ids.items() if len(p) == 1}
+        self.matches = ahocorasick.Automaton()
+        for piece, i in self.ids.items():  # single characters need no search
+            if len(piece) > 1 and self.split(i):
+                self.matches.add_word(piece, (len(piece) - 1, (i, len(piece))))
+        self.matches.make_automaton()
+        self.words = WordCache(self.encode_word)
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
     def split(self, i: int) -> tuple[int, int] | None:
@@ -63,9 +86,6 @@ class PieceEncoder:
             self.halves[i] = last if len(parts) == 1 else None
         return self.halves[i]
 
-    def reachable(self, i: int) -> bool:
-        return len(self.text[i]) == 1 or self.split(i) is not None
-
     def stays(self, left: int, right: int) -> bool:
         """True if merging the joined text of two pieces gives these two again.
 
@@ -101,30 +121,33 @@ class PieceEncoder:
         """Encode a text of known characters. Longest match first; a position from which no
         match fits is marked in a bit field and never tried again."""
         n = len(text)
-        found: list[list[int]] = [[] for _ in range(n)]
-        for end, i in self.matches.iter(text):  # by rising length for each start
-            if self.reachable(i):
-                found[end + 1 - len(self.text[i])].append(i)
+        singles, stays = self.singles, self.stays
+        found = [[singles[c]] for c in text]
+        for end, (back, piece) in self.matches.iter(text):  # by rising length for each start
+            found[end - back].append(piece)
         failed = bytearray((n >> 3) + 1)
         out: list[int] = []
-        tried: list[int] = []  # next candidate at the start of each chosen piece
-        pos, at = 0, len(found[0]) - 1 if n else -1
+        tried: list[tuple[int, int]] = []  # place and candidate of each chosen piece
+        pos, at, last = 0, len(found[0]) - 1 if n else -1, -1
         while pos < n:
-            here, last = found[pos], out[-1] if out else None
+            here = found[pos]
             while at >= 0:
-                end = pos + len(self.text[here[at]])
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.stays(last, here[at])):
+                piece, size = here[at]
+                end = pos + size
+                if not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or stays(last, piece)):
                     break
                 at -= 1
             if at >= 0:
-                out.append(here[at])
-                tried.append(at)
-                pos = end
+                out.append(piece)
+                tried.append((pos, at))
+                pos, last = end, piece
                 at = len(found[pos]) - 1 if pos < n else -1
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                pos -= len(self.text[out.pop()])
-                at = tried.pop() - 1
+                out.pop()
+                last = out[-1] if out else -1
+                pos, at = tried.pop()
+                at -= 1
         return out
 
     def encode_word(self, word: str) -> list[int]:
@@ -138,16 +161,6 @@ class PieceEncoder:
                 start = k + 1
         return out + self.backtrack(word[start:])
 
-    def word_ids(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = np.array(self.encode_word(word), dtype=np.int32).tobytes()
-            if len(word) <= CACHE_WORD_CHARS:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, without end id. No piece holds a space after another
         character, so runs that begin with spaces are encoded on their own."""
@@ -168,7 +181,7 @@ class PieceEncoder:
                 words.append(SPACE * run)
         else:
             words = [SPACE + part for part in parts[1:]]
-        return np.frombuffer(b"".join(map(self.word_ids, words)), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype=np.int32)
 
 
 @lru_cache(maxsize=2)
