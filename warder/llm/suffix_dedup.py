@@ -22,8 +22,10 @@ from warder.llm.rolling import gram_hashes, window_minima
 
 LENGTH = 400
 CORE = 64
-#: Cores with more distinct contexts than this are compared window by window across tasks.
-MOST_CONTEXTS = 1000
+#: Contexts of a core that one task compares pair by pair, and at all: with more, windows are
+#: compared by hash; with still more, the windows of the core are spread over many tasks.
+PAIRWISE = 200
+MOST_CONTEXTS = 20_000
 #: Window starts of one document handled at a time.
 SEGMENT = 1 << 22
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -119,6 +121,8 @@ def repeated_windows(contexts: list[tuple[bytes, int, int, int]], length: int) -
         high = min(common_prefix(*left), *most)
         return [[(a - high, a - low)] if low <= high else [] for _, a, _, _ in contexts]
     n = len(contexts)
+    if n > PAIRWISE:
+        return repeated_by_hash(contexts, length)
     floor, top = np.array(least, np.int32), np.array(most, np.int32)
     low = np.maximum(np.maximum(length - shared(right), floor[:, None]), floor[None, :])
     high = np.minimum(np.minimum(shared(left), top[:, None]), top[None, :])
@@ -135,6 +139,29 @@ def repeated_windows(contexts: list[tuple[bytes, int, int, int]], length: int) -
     return out
 
 
+def window_hashes(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of every window of a context."""
+    codes = np.frombuffer(data, np.uint8)
+    return gram_hashes(codes, length), gram_hashes(codes, length, SECOND)
+
+
+def repeated_by_hash(contexts: list[tuple[bytes, int, int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """The same for many contexts, in time and memory linear in their number."""
+    hashes = [window_hashes(c, length) for c, _, _, _ in contexts]
+    one, two = (np.concatenate(h) for h in zip(*hashes, strict=True))
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    again = np.zeros(len(order), np.int8)
+    again[order] = np.append(same, False) | np.insert(same, 0, False)
+    out, at = [], 0
+    for (h, _), (_, _, lo, _) in zip(hashes, contexts, strict=True):
+        edge = np.flatnonzero(np.diff(again[at : at + len(h)], prepend=0, append=0))
+        out.append([(lo + int(a), lo + int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)])
+        at += len(h)
+    return out
+
+
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal byte runs [from, to) covered by windows that start in the given ranges."""
     out: list[list[int]] = []
@@ -284,8 +311,7 @@ def hot_windows(waiting: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             found = []
             for kid, kh, copies, lo, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = np.frombuffer(data, np.uint8)
-                one, two = gram_hashes(codes, length), gram_hashes(codes, length, SECOND)
+                one, two = window_hashes(data, length)
                 n = len(one)
                 found.append([np.full(n, kid, np.int64), np.full(n, kh, np.int64), np.full(n, copies, np.int64), np.arange(lo, lo + n, dtype=np.int32), one.view(np.int64), two.view(np.int64)])
             if found:
