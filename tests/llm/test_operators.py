@@ -398,3 +398,20 @@ def test_warc_faults():
     for broken in (member(record)[:-3], member(b"nothing"), member(record + b"x")):
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(io.BytesIO(broken)))
+
+
+@pytest.mark.parametrize("length", [5, 8, 12, 30, 66, 400])
+def test_near_dedup_recall(spark, length):
+    """Pairs that only scattered edits set apart are found up to the least similarity."""
+    texts = []
+    for s in range(40):
+        for rate in (0.05, 0.10, 0.15, 0.20):
+            rng, words = random.Random(f"{length} {s} {rate}"), [f"v{random.Random(f'{length} {s} {rate} {i}').randrange(5000)}" for i in range(length)]
+            texts.append(" ".join(words))
+            for n, i in enumerate(rng.sample(range(length), int(rate * length + 1e-9))):
+                words[i] = f"edit{s}_{rate}_{n}"
+            texts.append(" ".join(words))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table(spark, texts, repeat=False)).collect()}
+    found = [got[i] == got[i + 1] == i for i in range(0, len(texts), 2)]
+    assert sum(found) >= 0.98 * len(found)
+    assert len(set(got.values())) >= len(texts) // 2
