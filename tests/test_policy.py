@@ -187,3 +187,14 @@ def test_explain(spark, t):
     msg = spark.createDataFrame([(1, "t1", "t3", "file", "denied"), (2, "t3", "e1", "file", "denied")], "msg_id long, stype string, ttype string, tclass string, decision string")
     assert {(r["msg_id"], r["rule_id"]) for r in explain.explain_messages(msg, t["rules"], t["type_attr"].filter("policy_id = 'A'")).collect()} == {(1, 1)}
     assert [r["msg_id"] for r in explain.unexplained_denials(msg, t["rules"], t["type_attr"]).collect()] == [2]
+
+
+def test_flows_reach_far_ends(spark, monkeypatch):
+    chain = [("A", f"n{i}", "subject" if i % 2 else "object", f"n{i + 1}", "object" if i % 2 else "subject", 1, [i]) for i in range(6)]
+    edges = spark.createDataFrame(chain, "policy_id string, src string, src_side string, dst string, dst_side string, length int, rule_ids array<long>")
+    start = spark.createDataFrame([("A", "n0")], "policy_id string, type string")
+    assert {r["end"]: r["length"] for r in flow.transitive_flows(edges, start).collect()} == {f"n{i}": i for i in range(1, 7)}
+    assert flow.transitive_flows(edges, start, max_hops=3).count() == 3
+    monkeypatch.setattr(flow, "MOST_ROUNDS", 4)
+    with pytest.raises(RuntimeError):
+        flow.transitive_flows(edges, start)

@@ -65,13 +65,18 @@ def direct_flows(edges: DataFrame, starts: DataFrame, direction: str = "either",
     return merged.filter(match_name(F.col("end"), end_pattern, True)) if end_pattern else merged
 
 
-def transitive_flows(edges: DataFrame, starts: DataFrame, direction: str = "out", max_hops: int = 50, end_pattern: str | None = None) -> DataFrame:
+#: Rounds after which a search that still improves is given up with an error.
+MOST_ROUNDS = 1000
+
+
+def transitive_flows(edges: DataFrame, starts: DataFrame, direction: str = "out", max_hops: int | None = None, end_pattern: str | None = None) -> DataFrame:
     """Shortest flows from (or into) each start: (policy_id, start, end, end_side, length, hops, path).
 
     Bulk relaxation: all policies and starts advance together, keyed by (policy_id, start,
     node); each round joins only the nodes that improved with the edges and keeps minima. The
     state of a round is written to the checkpoint folder; the loop ends when nothing
-    improved or after ``max_hops`` rounds. Among equal lengths the path with the smaller text
+    improved, and raises after MOST_ROUNDS rounds without that. ``max_hops`` asks for flows of
+    at most so many steps instead. Among equal lengths the path with the smaller text
     wins. Paths alternate between subjects and objects; types may return on the other side.
     """
     step = edges.select("policy_id", F.col("src").alias("a"), F.col("src_side").alias("a_side"), F.col("dst").alias("b"), F.col("dst_side").alias("b_side"), F.col("length").alias("w"))
@@ -83,7 +88,7 @@ def transitive_flows(edges: DataFrame, starts: DataFrame, direction: str = "out"
     state = start.select("policy_id", "start", F.col("start").alias("node"), sides.alias("side"), F.lit(0).alias("dist"), F.lit(0).alias("hops"), F.array("start").alias("path"), F.lit(True).alias("fresh"))
     state = written(state, "flow")
     key = ["policy_id", "start", "node", "side"]
-    for _ in range(max_hops):
+    for _ in range(MOST_ROUNDS if max_hops is None else max_hops):
         moved = state.filter("fresh").join(step, (state.policy_id == step.policy_id) & (state.node == step.a) & (state.side == step.a_side))
         moved = moved.select(state.policy_id, "start", F.col("b").alias("node"), F.col("b_side").alias("side"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("b")).alias("path"), F.lit(True).alias("fresh"))
         both = state.withColumn("fresh", F.lit(False)).unionByName(moved)
@@ -91,6 +96,9 @@ def transitive_flows(edges: DataFrame, starts: DataFrame, direction: str = "out"
         state = written(best.select(*key, "m.dist", "m.hops", "m.path", "m.fresh"), "flow")
         if state.filter("fresh").isEmpty():
             break
+    else:
+        if max_hops is None:
+            raise RuntimeError(f"flows did not settle in {MOST_ROUNDS} rounds")
     found = state.filter("hops > 0 AND node <> start")
     found = found.groupBy("policy_id", "start", F.col("node").alias("end")).agg(F.min(F.struct("dist", "path", "hops", "side")).alias("m"))
     found = found.select("policy_id", "start", "end", F.col("m.side").alias("end_side"), F.col("m.dist").alias("length"), "m.hops", "m.path")
