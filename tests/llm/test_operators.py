@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -268,39 +269,73 @@ def repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_suffix_dedup(spark, none, most):
-    texts = [t for t in TEXTS if t is None or len(t) < 20_000] + [edited(BASE, s, 6) for s in range(50, 56)] + [prose(s, 30) + " " + PASSAGE + " " + prose(s + 100, 30) for s in range(60, 66)]
-    docs = table(spark, texts)
-    for length, core in ((400, 64), (120, 32)):
-        found = suffix_dedup.suffix_repeats(docs, length, core, most).collect()
-        got = collections.Counter((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in found)
-        assert got == repeats(pairs(docs), length)
-    assert suffix_dedup.suffix_repeats(none).count() == 0
+def passages(rows, length):
+    """Bytes of the runs of words in windows that another document has too."""
+    seen = collections.defaultdict(set)
+    for i, t in rows:
+        w = t.encode().split()
+        for k in range(len(w) - length + 1):
+            seen[tuple(w[k : k + length])].add((i, t))
+    out = collections.Counter()
+    for i, t in rows:
+        body = t.encode()
+        words, gone = list(re.finditer(rb"\S+", body)), np.zeros(len(body), bool)
+        again = np.zeros(len(words), bool)
+        for k in range(len(words) - length + 1):
+            if len(seen[tuple(m.group() for m in words[k : k + length])]) > 1:
+                again[k : k + length] = True
+        for k in np.flatnonzero(again).tolist():
+            gone[words[k].start() : words[k + 1].start() if k + 1 < len(words) and again[k + 1] else words[k].end()] = True
+        out[(i, len(body), int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(body, gone, strict=True) if not g)).hexdigest())] += 1
+    return out
 
 
-def test_suffix_dedup_many_contexts(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PAIRWISE", 10**9)
+@pytest.mark.parametrize("most", [2000, 2])
+def test_suffix_dedup(spark, none, most):
+    texts = TEXTS + [edited(BASE, s, 6) for s in range(50, 56)] + [prose(s, 30) + " " + PASSAGE + " " + prose(s + 100, 30) for s in range(60, 66)]
+    texts += [prose(70, 30) + " " + " ".join([prose(71, 60)] * 3), prose(72, 5) + " " + prose(71, 60) + " x"]
+    docs = table(spark, texts)
+    rule = suffix_dedup.Rule
+    for strings, words in ((suffix_dedup.STRINGS, suffix_dedup.PASSAGES), (rule("bytes", 120, 32, False), rule("words", 12, 3, True))):
+        found = suffix_dedup.suffix_repeats(docs, [strings, words], most).collect()
+        size = lambda f: sum(s["end"] - s["start"] for s in f["spans"])
+        assert len(found) == docs.count()
+        got = collections.Counter((r["doc_id"], r["n_bytes"], size(r["found"][0]), len(r["found"][0]["spans"]), r["found"][0]["kept_sha256"]) for r in found)
+        assert got == repeats(pairs(docs), strings.length)
+        got = collections.Counter((r["doc_id"], r["n_bytes"], size(r["found"][1]), r["found"][1]["kept_sha256"]) for r in found)
+        assert got == passages(pairs(docs), words.length)
+    assert suffix_dedup.suffix_repeats(none, [rule("bytes", 400, 64, False)]).count() == 0
+
+
+def test_suffix_windows():
+    """Windows around one anchor, against a comparison of every two of them."""
     rng = random.Random(2)
     base = bytes(rng.choice(b"ab") for _ in range(60))
-    for _ in range(200):
-        found = []
-        for _ in range(rng.randint(2, 9)):
+    rule = suffix_dedup.Rule("bytes", 20, 4, False)
+    for _ in range(300):
+        found, windows = [], collections.defaultdict(set)
+        for k in range(rng.randint(2, 9)):
             a = rng.randint(3, 12) + 100
             lo = a - rng.randint(1, 12)
             hi = a - rng.randint(0, a - lo)
             data = bytearray(base[14 - (a - lo) :][: hi - lo + 20])
             data[rng.randrange(len(data))] ^= rng.randint(0, 1)
-            found.append((bytes(data), a, lo, hi))
-        spread = lambda r: [{p for x, y in q for p in range(x, y + 1)} for q in r]
-        assert spread(suffix_dedup.repeated_windows(found, 20)) == spread(suffix_dedup.repeated_by_hash(found, 20))
+            found.append((bytes(data), a, lo, hi, k % 4))
+            for p in range(lo, hi + 1):
+                windows[a - p, bytes(data[p - lo : p - lo + 20])].add(k % 4)
+        want = [{p for p in range(lo, hi + 1) if len(windows[a - p, data[p - lo : p - lo + 20]]) > 1} for data, a, lo, hi, _ in found]
+        got = suffix_dedup.repeated_windows(found, rule, 0, 16)
+        assert [{p for x, y in q for p in range(x, y + 1)} for q in got] == want
 
 
 def test_suffix_stage_cuts_text(spark):
-    texts = ["ü" * 300 + "x", "ü" * 300 + "y", "clean"]
+    """Passages of over 50 words of other documents go; repeats within a document stay."""
+    passage, short = prose(80, 51), prose(81, 49)
+    texts = [f"ü a {passage} b", f"{passage} ß", f"c {short} d", f"e {short}", f"{prose(82, 60)} {prose(82, 60)}"]
     left = suffix_dedup.drop_repeats(table(spark, texts, repeat=False))
     assert left.columns == SCHEMA.replace(",", "").split()[::2]
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()} == {0: ("x", 1), 1: ("y", 1), 2: ("clean", 5)}
+    want = ["ü a  b", " ß", *texts[2:]]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()} == {i: (t, len(t)) for i, t in enumerate(want)}
 
 
 CALLS = "conv string, call_id string, place int, name string, arguments string, after array<string>, extra int"

@@ -1,15 +1,17 @@
-"""Repeated passages: a distributed, sparse suffix sort.
+"""Repeated passages: a distributed, sparse suffix sort over bytes or words.
 
-A passage of ``length`` bytes is found by its anchor, the core of CORE bytes in it with the
-least hash. Equal passages have equal anchors at equal places, so only the suffixes at
-anchors, about one in 170 bytes, are sorted, each with the run of window starts that its
-anchor stands for. The windows of a run differ in how many bytes lie before the anchor.
+A window of ``length`` units is found by its anchor, the core of ``core`` units in it with the
+least hash. Equal windows have equal anchors at equal places, so only the suffixes at anchors
+are sorted, each with the run of window starts that its anchor stands for. The windows of a
+run differ in how many units lie before the anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +22,60 @@ from pyspark.sql import functions as F
 from warder.llm.common import documents, join_counted, staged
 from warder.llm.rolling import gram_hashes, window_minima
 
-LENGTH = 400
-CORE = 64
-#: Contexts of a core that one task compares pair by pair, and at all: with more, windows are
-#: compared by hash; with still more, the windows of the core are spread over many tasks.
-PAIRWISE = 200
-MOST_CONTEXTS = 20_000
+
+@dataclass(frozen=True)
+class Rule:
+    """What repeats: windows of ``length`` bytes or words that start elsewhere too, in another
+    document if ``across``. Words are the runs between ASCII blanks."""
+
+    unit: str
+    length: int
+    core: int
+    across: bool
+
+    @property
+    def width(self) -> int:
+        """Bytes of a unit in a context."""
+        return 1 if self.unit == "bytes" else 8
+
+
+STRINGS = Rule("bytes", 400, 64, across=False)
+#: Every passage of over 50 words has a window of 50.
+PASSAGES = Rule("words", 50, 8, across=True)
+#: Contexts with one key that a task compares; with more, their keys are made longer.
+MOST_CONTEXTS = 2_000
+#: Cells (contexts by window offsets) that are compared at a time.
+CELLS = 1 << 20
 #: Window starts of one document handled at a time.
 SEGMENT = 1 << 22
-SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+CACHE_WORDS = 300_000
+
+ANCHORS = "rule int, kid long, kh long, core long, ctx long, anchor int, lo int, hi int"
+
+
+class WordCodes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        return code
+
+    def of(self, body: bytes) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        words = body.split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-ANCHORS = "kid long, kh long, core long, ctx long, anchor int, lo int, hi int"
 
+def codes_of(body: bytes, rule: Rule, words: WordCodes) -> np.ndarray:
+    return np.frombuffer(body, np.uint8) if rule.unit == "bytes" else words.of(body)
 
-def runs(data: np.ndarray, length: int, core: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+
+def runs(codes: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(core hash, anchor, first and last window start) arrays of a text, segment by segment."""
-    for start in range(0, len(data) - length + 1, SEGMENT):
-        part = data[start : start + SEGMENT + length - 1]
-        hashes = gram_hashes(part, core)
+    length, core = rule.length, rule.core
+    for start in range(0, len(codes) - length + 1, SEGMENT):
+        hashes = gram_hashes(codes[start : start + SEGMENT + length - 1], core)
         at = window_minima(hashes, length - core + 1)
         lo = np.flatnonzero(np.diff(at, prepend=-1))
         hi = np.append(lo[1:], len(at)) - 1
@@ -51,16 +89,24 @@ def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     return docs.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64(text).alias("kh"))
 
 
-def find_anchors(rows: DataFrame, length: int, core: int) -> DataFrame:
+def find_anchors(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The anchors of all rules with their runs and a hash of the context, the units that the
+    windows of the run cover."""
+
     def run(batches):
+        words = WordCodes()
         for batch in batches:
             found: list[list[np.ndarray]] = []
-            for kid, kh, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                buffer = body.as_buffer()
-                view = memoryview(buffer)
-                for cores, anchor, lo, hi in runs(np.frombuffer(buffer, np.uint8), length, core):
-                    ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-                    found.append([np.full(len(lo), kid, np.int64), np.full(len(lo), kh, np.int64), cores.view(np.int64), ctx.view(np.int64), anchor.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)])
+            for kid, kh, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                for r, rule in enumerate(rules):
+                    codes = codes_of(body, rule, words)
+                    if len(codes) < rule.length:
+                        continue
+                    view, w = memoryview(codes).cast("B"), rule.width
+                    for cores, anchor, lo, hi in runs(codes, rule):
+                        n, ends = len(lo), (hi + rule.length) * w
+                        ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((lo * w).tolist(), ends.tolist(), strict=True)), np.uint64, n)
+                        found.append([np.full(n, r, np.int32), np.full(n, kid, np.int64), np.full(n, kh, np.int64), cores.view(np.int64), ctx.view(np.int64), anchor.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=[f.split(" ")[0] for f in ANCHORS.split(", ")])
 
@@ -96,74 +142,60 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def shared(texts: list[bytes]) -> np.ndarray:
-    """Common prefix of every two texts of a bounded group, from neighbours in sorted order."""
-    n = len(texts)
+def neighbours(texts: list[bytes], width: int) -> tuple[list[int], np.ndarray]:
+    """The sorted order of texts, and how many first units neighbours in it share."""
     order = multikey_order(texts)
-    near = [common_prefix(texts[a], texts[b]) for a, b in zip(order, order[1:], strict=False)]
-    out = np.zeros((n, n), np.int32)
-    for k in range(n - 1):
-        row = np.minimum.accumulate(np.array(near[k:], np.int32))
-        out[order[k], order[k + 1 :]] = row
-        out[order[k + 1 :], order[k]] = row
-    return out
+    return order, np.array([common_prefix(texts[a], texts[b]) // width for a, b in zip(order, order[1:], strict=False)], np.int64)
 
 
-def repeated_windows(contexts: list[tuple[bytes, int, int, int]], length: int) -> list[list[tuple[int, int]]]:
-    """For contexts (bytes, anchor, lo, hi) of one core, the ranges of window starts whose
-    window also occurs in another context. Positions are those of the document; the bytes
-    begin at lo."""
-    left = [c[: a - lo][::-1] for c, a, lo, _ in contexts]
-    right = [c[a - lo :] for c, a, lo, _ in contexts]
-    least, most = [a - hi for _, a, _, hi in contexts], [a - lo for _, a, lo, _ in contexts]
-    if len(contexts) == 2:
-        low = max(length - common_prefix(*right), *least)
-        high = min(common_prefix(*left), *most)
-        return [[(a - high, a - low)] if low <= high else [] for _, a, _, _ in contexts]
-    n = len(contexts)
-    if n > PAIRWISE:
-        return repeated_by_hash(contexts, length)
-    floor, top = np.array(least, np.int32), np.array(most, np.int32)
-    low = np.maximum(np.maximum(length - shared(right), floor[:, None]), floor[None, :])
-    high = np.minimum(np.minimum(shared(left), top[:, None]), top[None, :])
-    fine = low <= high
-    np.fill_diagonal(fine, False)
-    i, j = np.nonzero(fine)
-    width = length + 2
-    steps = np.bincount(i * width + low[i, j], minlength=n * width) - np.bincount(i * width + high[i, j] + 1, minlength=n * width)
-    covered = np.cumsum(steps.reshape(n, width), axis=1) > 0
-    out = []
-    for row, (_, a, _, _) in zip(covered, contexts, strict=True):
-        edge = np.flatnonzero(np.diff(row.astype(np.int8), prepend=0, append=0))
-        out.append([(a - int(e) + 1, a - int(s)) for s, e in zip(edge[::2], edge[1::2], strict=True)])
+def classes(order: list[int], shared: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """For each depth, the classes of texts that are equal in so many first units: one ends
+    where neighbours share fewer."""
+    out = np.zeros((len(depths), len(order)), np.int64)
+    out[:, order[1:]] = np.cumsum(shared[None, :] < depths[:, None], axis=1)
     return out
 
 
-def window_hashes(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hash of every window of a context."""
-    codes = np.frombuffer(data, np.uint8)
-    return gram_hashes(codes, length), gram_hashes(codes, length, SECOND)
-
-
-def repeated_by_hash(contexts: list[tuple[bytes, int, int, int]], length: int) -> list[list[tuple[int, int]]]:
-    """The same for many contexts, in time and memory linear in their number."""
-    hashes = [window_hashes(c, length) for c, _, _, _ in contexts]
-    one, two = (np.concatenate(h) for h in zip(*hashes, strict=True))
-    order = np.lexsort((two, one))
-    one, two = one[order], two[order]
-    same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-    again = np.zeros(len(order), np.int8)
-    again[order] = np.append(same, False) | np.insert(same, 0, False)
-    out, at = [], 0
-    for (h, _), (_, _, lo, _) in zip(hashes, contexts, strict=True):
-        edge = np.flatnonzero(np.diff(again[at : at + len(h)], prepend=0, append=0))
-        out.append([(lo + int(a), lo + int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)])
-        at += len(h)
+def repeated_windows(contexts: list[tuple[bytes, int, int, int, int]], rule: Rule, least: int, most: int) -> list[list[tuple[int, int]]]:
+    """For contexts (bytes from lo on, anchor, lo, hi, document) that share a core, the ranges of
+    window starts whose window also occurs in a context of another document; of the windows
+    with ``least`` to ``most`` units before the anchor. Windows are equal when the suffixes at
+    the anchors and the reversed units before them are, each as far as the window goes."""
+    n, w = len(contexts), rule.width
+    low = np.array([a - hi for _, a, _, hi, _ in contexts])
+    high = np.array([a - lo for _, a, lo, _, _ in contexts])
+    name: dict[int, int] = {}
+    doc = np.array([name.setdefault(c[4], len(name)) for c in contexts])
+    left = neighbours([c[: (a - lo) * w][::-1] for c, a, lo, _, _ in contexts], w)
+    right = neighbours([c[(a - lo) * w :] for c, a, lo, _, _ in contexts], w)
+    offsets = np.arange(max(least, int(low.min())), min(most, int(high.max())) + 1)
+    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    step = max(1, CELLS // n)
+    for part in (offsets[i : i + step] for i in range(0, len(offsets), step)):
+        inside = (low[None, :] <= part[:, None]) & (part[:, None] <= high[None, :])
+        key = classes(*right, rule.length - part) * n + classes(*left, part)
+        key = np.where(inside, key, n * n + np.arange(n)[None, :]) * n + doc[None, :]
+        order = np.argsort(key, axis=1)
+        key = np.take_along_axis(key, order, axis=1)
+        place = np.broadcast_to(np.arange(n), key.shape)
+        starts = np.ones(key.shape, bool)
+        starts[:, 1:] = key[:, 1:] // n != key[:, :-1] // n
+        ends = np.ones(key.shape, bool)
+        ends[:, :-1] = starts[:, 1:]
+        first = np.maximum.accumulate(np.where(starts, place, 0), axis=1)
+        last = np.minimum.accumulate(np.where(ends, place, n - 1)[:, ::-1], axis=1)[:, ::-1]
+        again = np.take_along_axis(key, first, axis=1) != np.take_along_axis(key, last, axis=1)
+        found = np.zeros(key.shape, np.int8)
+        np.put_along_axis(found, order, again.astype(np.int8), axis=1)
+        for i in np.flatnonzero(found.any(axis=0)).tolist():
+            edge = np.flatnonzero(np.diff(found[:, i], prepend=0, append=0))
+            anchor = contexts[i][1]
+            out[i] += [(anchor - int(part[e - 1]), anchor - int(part[s])) for s, e in zip(edge[::2], edge[1::2], strict=True)]
     return out
 
 
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Maximal byte runs [from, to) covered by windows that start in the given ranges."""
+    """Maximal runs [from, to) of units covered by windows that start in the given ranges."""
     out: list[list[int]] = []
     for lo, hi in sorted(starts):
         if out and lo <= out[-1][1]:
@@ -173,176 +205,231 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-DONE = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept string, kept_sha256 string"
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
-def cut(doc_id, body: bytes, spans: list[tuple[int, int]], with_text: bool) -> tuple:
-    at, parts = 0, []
-    for a, b in spans:
-        parts.append(body[at:a])
-        at = b
-    kept = b"".join([*parts, body[at:]])
-    return doc_id, len(body), [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore") if with_text else None, hashlib.sha256(kept).hexdigest()
-
-
-def done_batch(rows: list[tuple]) -> list[pa.Array]:
-    kinds = [pa.int64(), pa.int64(), SPANS, pa.string(), pa.string()]
-    return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-
-
-CONTEXT = "array<struct<whole:boolean,core:long,ctx:long,anchor:int,lo:int,hi:int,copies:long,hot:boolean>>"
+FOUND = "array<struct<spans:array<struct<start:bigint,end:bigint>>,kept:string,kept_sha256:string>>"
+FOUND_ARROW = pa.list_(pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string()), ("kept_sha256", pa.string())]))
+STARTS = pa.list_(pa.struct([("rule", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def suffix_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, most_contexts: int = MOST_CONTEXTS, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """Remove each byte covered by a string of ``length`` bytes that also starts elsewhere.
+def cut(body: bytes, starts: list[tuple[int, int, int]], rules: list[Rule], with_text: bool) -> list[dict]:
+    """What each rule finds in a text: the byte runs of its windows, and the text without them."""
+    out = []
+    for r, rule in enumerate(rules):
+        spans = merged([(lo, hi) for x, lo, hi in starts if x == r], rule.length)
+        if spans and rule.unit == "words":
+            words = [m.span() for m in re.finditer(rb"\S+", body)]
+            spans = [(words[a][0], words[b - 1][1]) for a, b in spans]
+        at, parts = 0, []
+        for a, b in spans:
+            parts.append(body[at:a])
+            at = b
+        kept = b"".join([*parts, body[at:]])
+        out.append({"spans": [{"start": a, "end": b} for a, b in spans], "kept": kept.decode("utf-8", "ignore") if with_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest()})
+    return out
 
-    Texts are UTF-8 bytes, null is empty; matches stay within documents, may overlap, and are
-    judged on the input. Returns one row per document: doc_id, n_bytes, spans (maximal runs
-    removed), kept (the rest as text, on request; a character cut apart is dropped), kept_sha256
-    (of the rest's bytes) and rest (a struct of the columns ``carry``). Texts shorter than ``length`` stay
-    whole, repeated rows count as copies of each other, an empty table gives no rows, other
-    columns are not read.
 
-    1. Anchors with their runs, and a hash of the context: all bytes that the run's windows cover.
-    2. A context that comes twice makes its whole run repeated. Where a core has several
-       different contexts, one row of each goes on.
-    3. Those contexts are cut from the texts and range-partitioned by the leading bytes of the
-       suffix at the anchor, by sampled splitters; each bucket sorts its suffixes (and the
-       reversed bytes before the anchor) by multikey quicksort and compares neighbours. A range
-       never splits equal cores.
-    4. A core with more than ``most_contexts`` contexts would fill a bucket: its windows are
-       spread by a 128-bit hash and counted, which compares them across all buckets.
+def differ(a: str, b: str):
+    """Whether grouped rows are of several documents."""
+    return (F.min(a) != F.max(a)) | (F.min(b) != F.max(b))
+
+
+def suffix_repeats(docs: DataFrame, rules: list[Rule], most_contexts: int = MOST_CONTEXTS, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Find the windows of each rule that also start elsewhere, and cut them.
+
+    Texts are UTF-8 bytes, null is empty; windows stay within documents, may overlap, and are
+    judged on the input. Returns one row per document: doc_id, n_bytes, found (for each rule:
+    spans, the maximal byte runs covered; kept, the rest as text, on request, where a character
+    cut apart is dropped; kept_sha256 of the rest's bytes), kid and kh (the document's key) and
+    rest (a struct of the columns ``carry``). Texts shorter than a window stay whole. Repeated
+    rows count as copies of each other; rows alike in doc_id and text are one document to rules
+    that look across documents. An empty table gives no rows, other columns are not read.
+
+    1. Anchors with their runs, and a hash of the context. Core and context hash together, 128
+       bits, say which contexts are equal.
+    2. A context that comes twice (for rules across documents: in two of them) makes its whole
+       run repeated. Where a core has several different contexts, all the others and one row of
+       each such context go on.
+    3. Those contexts are cut from the texts and range-partitioned by the leading units of the
+       suffix at the anchor, by sampled splitters, so that equal ones meet in one range. Each
+       range sorts the suffixes (and the reversed units before the anchors) by multikey
+       quicksort and compares neighbours, byte for byte.
+    4. Where more than ``most_contexts`` contexts have the same leading units, their windows are
+       parted in two by the units before the anchor, and both parts are partitioned by all the
+       units that each window of the part has: these are longer, and so on until few are equal
+       or all of the window is in the key.
     """
     carry = carry or []
     rows = keyed(docs, carry)
-    kind = rows.schema['rest'].dataType.simpleString()
-    anchors = staged(find_anchors(rows, length, core), "anchors")
-    cores = staged(anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cores")
-    twice = staged(join_counted(anchors, cores, ["core"], "n", ["kid", "lo"], "c").filter("c is not null").drop("c"), "core_rows")
+    across = F.element_at(F.array(*[F.lit(r.across) for r in rules]), F.col("rule") + 1)
+    anchors = staged(find_anchors(rows, rules), "anchors")
+    cores = anchors.groupBy("rule", "core").agg(F.count(F.lit(1)).alias("n"), differ("kid", "kh").alias("docs"))
+    cores = staged(cores.filter((F.col("n") > 1) & (~across | F.col("docs"))).drop("docs"), "cores")
+    twice = staged(join_counted(anchors, cores, ["rule", "core"], "n", ["kid", "lo"], "c").filter("c is not null").drop("c"), "core_rows")
     one = F.min(F.struct("kid", "kh", "anchor", "lo", "hi")).alias("one")
-    contexts = staged(twice.groupBy("core", "ctx").agg(F.count(F.lit(1)).alias("copies"), one), "contexts")
-    many = staged(contexts.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "many")
-    copied = staged(contexts.filter("copies > 1").select("core", "ctx", "copies"), "copied")
-
-    whole = join_counted(twice, copied, ["core", "ctx"], "copies", ["kid", "lo"], "c").filter("c is not null")
-    whole = whole.select("kid", "kh", F.struct(F.lit(True).alias("whole"), "core", "ctx", "anchor", "lo", "hi", F.col("c.copies").alias("copies"), F.lit(False).alias("hot")).alias("x"))
-    open_ = join_counted(contexts, many, ["core"], "n", ["ctx"], "c").filter("c is not null")
-    open_ = open_.select("one.kid", "one.kh", F.struct(F.lit(False).alias("whole"), "core", "ctx", "one.anchor", "one.lo", "one.hi", "copies", (F.col("c.n") > most_contexts).alias("hot")).alias("x"))
-    notes = whole.unionByName(open_).groupBy("kid", "kh").agg(F.collect_list("x").alias("notes"))
-    first = staged(first_pass(rows.join(notes, ["kid", "kh"], "left"), length, with_text, kind), "first_pass")
+    contexts = twice.groupBy("rule", "core", "ctx").agg(F.count(F.lit(1)).alias("copies"), differ("kid", "kh").alias("docs"), one)
+    contexts = staged(contexts.withColumn("settled", (F.col("copies") > 1) & (~across | F.col("docs"))).drop("docs"), "contexts")
+    many = staged(contexts.groupBy("rule", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "many")
+    copied = staged(contexts.filter("copies > 1").select("rule", "core", "ctx", "copies", "settled"), "copied")
+
+    note = lambda whole, settled, at="": F.struct("rule", whole.alias("whole"), settled.alias("settled"), f"{at}anchor", f"{at}lo", f"{at}hi").alias("x")
+    again = join_counted(twice, copied, ["rule", "core", "ctx"], "copies", ["kid", "lo"], "c").filter("c is not null")
+    again = again.select("kid", "kh", note(F.col("c.settled"), F.lit(False)))
+    single = join_counted(contexts.filter("copies = 1 or settled"), many, ["rule", "core"], "n", ["ctx"], "c").filter("c is not null")
+    single = single.select("one.kid", "one.kh", note(F.lit(False), F.col("settled"), "one."))
+    notes = again.unionByName(single).groupBy("kid", "kh").agg(F.collect_list("x").alias("notes"))
+    first = staged(first_pass(rows.join(notes, ["kid", "kh"], "left"), rules, with_text, rows.schema["rest"].dataType.simpleString()), "first_pass")
 
     waiting = first.filter("text is not null")
-    cold, hot = cold_windows(waiting, length, core), hot_windows(waiting, length)
-    found = cold.unionByName(hot).groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
-    last = last_pass(waiting.join(found, ["kid", "kh"], "left"), length, with_text, kind)
-    return first.filter("text is null").select("done.*", "rest").unionByName(last)
+    found = compared(cut_contexts(waiting, rules), rules, most_contexts)
+    found = found.groupBy("kid", "kh").agg(F.collect_list(F.struct("rule", "lo", "hi")).alias("more"))
+    last = last_pass(waiting.join(found, ["kid", "kh"], "left"), rules, with_text)
+    return first.filter("text is null").select(*last.columns).unionByName(last)
 
 
-def first_pass(joined: DataFrame, length: int, with_text: bool, rest: str) -> DataFrame:
-    """Finish the documents that wait for no comparison; keep the text of the others."""
+NOTE = "struct<rule:int,whole:boolean,settled:boolean,anchor:int,lo:int,hi:int>"
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, kid, kh, body, notes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kid", "kh")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("notes").to_pylist(), strict=True):
-                notes = notes or []
-                starts = [(x["lo"], x["hi"]) for x in notes if x["whole"]]
-                waits = [x for x in notes if not x["whole"]]
-                if waits:
-                    out.append((None, kid, kh, doc_id, body, [{"lo": a, "hi": b} for a, b in starts], waits))
-                else:
-                    out.append((cut(doc_id, body, merged(starts, length), with_text), kid, kh, None, None, None, None))
-            done = done_batch([r[0] or (None,) * 5 for r in out])
-            ranges = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.StructArray.from_arrays(done, names=["doc_id", "n_bytes", "spans", "kept", "kept_sha256"]),
-                    *[pa.array([r[i] for r in out], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.binary()), (5, ranges), (6, batch.column("notes").type))],
-                    batch.column("rest"),
-                ],
-                names=["done", "kid", "kh", "doc_id", "text", "starts", "waits", "rest"],
-            )
-
-    done = DONE.replace(" ", ":").replace(",:", ",")
-    return joined.mapInArrow(run, f"done struct<{done}>, kid long, kh long, doc_id long, text binary, starts array<struct<lo:int,hi:int>>, waits {CONTEXT}, rest {rest}")
-
-
-def cold_windows(waiting: DataFrame, length: int, core: int) -> DataFrame:
-    """(kid, kh, lo, hi): repeated window starts of contexts that come once."""
-    texts = waiting.select("kid", "kh", "text", F.explode("waits").alias("x")).filter("not x.hot")
-    piece = texts.select("kid", "kh", "x.copies", "x.anchor", "x.lo", "x.hi", F.expr(f"substring(text, x.lo + 1, x.hi - x.lo + {length})").alias("bytes"), F.expr(f"substring(text, x.anchor + 1, {core})").alias("lead"))
-    dealt = piece.repartitionByRange("lead").sortWithinPartitions("lead")
+
+def first_pass(joined: DataFrame, rules: list[Rule], with_text: bool, rest: str) -> DataFrame:
+    """Finish the documents that wait for no comparison; keep the text of the others."""
 
     def run(batches):
-        lead, group = None, []
         for batch in batches:
-            out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("lead", "kid", "kh", "copies", "bytes", "anchor", "lo", "hi")]
-            for key, *row in zip(*columns, strict=True):
-                if key != lead:
-                    out += compared(group, length)
-                    lead, group = key, []
-                group.append(row)
-            yield starts_batch(out)
-        yield starts_batch(compared(group, length))
-
-    return dealt.mapInArrow(run, "kid long, kh long, lo int, hi int")
+            found, texts, starts, waits, sizes = [], [], [], [], []
+            for body, notes in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("notes").to_pylist(), strict=True):
+                whole = [(x["rule"], x["lo"], x["hi"]) for x in notes or () if x["whole"]]
+                open_ = [x for x in notes or () if not x["whole"]]
+                sizes.append(len(body))
+                found.append(None if open_ else cut(body, whole, rules, with_text))
+                texts.append(body if open_ else None)
+                starts.append([{"rule": r, "lo": a, "hi": b} for r, a, b in whole] if open_ else None)
+                waits.append(open_ or None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(found, FOUND_ARROW), pa.array(texts, pa.binary()), pa.array(starts, STARTS), pa.array(waits, batch.column("notes").type)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "kid", "kh", "rest")), *columns], names=["doc_id", "kid", "kh", "rest", "n_bytes", "found", "text", "starts", "waits"])
 
+    return joined.mapInArrow(run, f"doc_id long, kid long, kh long, rest {rest}, n_bytes long, found {FOUND}, text binary, starts array<struct<rule:int,lo:int,hi:int>>, waits array<{NOTE}>")
 
-def compared(group: list[list], length: int) -> list[tuple]:
-    if len(group) < 2:
-        return []
-    ranges = repeated_windows([(data, anchor, lo, hi) for _, _, _, data, anchor, lo, hi in group], length)
-    return [(kid, kh, a, b) for (kid, kh, copies, *_), found in zip(group, ranges, strict=True) if copies == 1 for a, b in found]
 
+PIECES = "rule int, kid long, kh long, settled boolean, anchor int, lo int, hi int, units binary"
 
-def starts_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["kid", "kh", "lo", "hi"])
 
+def cut_contexts(waiting: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The contexts that wait for comparison, each with its units."""
 
-def hot_windows(waiting: DataFrame, length: int) -> DataFrame:
-    """The same for hot cores: every window as a 128-bit hash, counted with partial sums."""
-    texts = waiting.select("kid", "kh", "text", F.explode("waits").alias("x")).filter("x.hot")
-    piece = texts.select("kid", "kh", "x.copies", "x.lo", F.expr(f"substring(text, x.lo + 1, x.hi - x.lo + {length})").alias("bytes"))
+    def run(batches):
+        words = WordCodes()
+        for batch in batches:
+            out = []
+            for kid, kh, body, waits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                views = {r: memoryview(codes_of(body, rules[r], words)).cast("B") for r in {x["rule"] for x in waits}}
+                for x in waits:
+                    rule = rules[x["rule"]]
+                    out.append((x["rule"], kid, kh, x["settled"], x["anchor"], x["lo"], x["hi"], bytes(views[x["rule"]][x["lo"] * rule.width : (x["hi"] + rule.length) * rule.width])))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=[f.split(" ")[0] for f in PIECES.split(", ")])
+
+    return waiting.select("kid", "kh", "text", "waits").mapInArrow(run, PIECES)
+
+
+def compared(pieces: DataFrame, rules: list[Rule], most: int) -> DataFrame:
+    """(rule, kid, kh, lo, hi): ranges of window starts that are repeated, of contexts that are
+    not settled. ``least`` to ``most`` units lie before the anchor in the windows of a row."""
+
+    def of(value):
+        return F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("rule") + 1)
+
+    # the units that all windows of a row have
+    key = F.expr("substring(units, (anchor - lo - least) * width + 1, (least + length - most) * width)").alias("key")
+    keys = ["rule", "least", "key"]
+    sized = pieces.withColumns({"width": of(lambda r: r.width), "length": of(lambda r: r.length), "least": F.lit(0), "most": of(lambda r: r.length - r.core)})
+    todo, out = sized.select("*", key), []
+    while True:
+        todo = staged(todo, "contexts_to_compare")
+        sizes = staged(todo.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (differ("kid", "kh") | F.max("settled")).alias("docs")).filter(F.col("n") > most), "hot_keys")
+        if sizes.isEmpty():
+            return union([*out, sorted_windows(todo, rules)])
+        todo = staged(join_counted(todo, sizes, keys, "n", ["kid", "lo"], "c"), "dealt_contexts")
+        out.append(sorted_windows(todo.filter("c is null").drop("c"), rules))
+        # a key of one window's units: all of these windows are equal
+        across = of(lambda r: r.across)
+        equal = todo.filter("c is not null and least = most and not settled").filter(~across | F.col("c.docs"))
+        start = (F.col("anchor") - F.col("least")).alias("lo")
+        out.append(equal.select("rule", "kid", "kh", start, start.alias("hi")))
+        middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("least").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("most").alias("b")))
+        split = todo.filter("c is not null and least < most").drop("c", "key").select("*", F.explode(halves).alias("half"))
+        split = split.filter("half.a <= anchor - lo and half.b >= anchor - hi")
+        split = split.withColumns({"least": F.col("half.a"), "most": F.col("half.b")}).drop("half")
+        todo = split.select("*", key)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def sorted_windows(pieces: DataFrame, rules: list[Rule]) -> DataFrame:
+    dealt = pieces.repartitionByRange("rule", "key").sortWithinPartitions("rule", "key", "least")
+
+    def flush(key, group, out):
+        if len(group) < 2:
+            return
+        rule, _, least, most = key
+        # a settled context stands for several documents, so it is like no other's
+        contexts = [(units, anchor, lo, hi, ("settled", i) if settled else (kid, kh) if rules[rule].across else i) for i, (kid, kh, settled, anchor, lo, hi, units) in enumerate(group)]
+        for (kid, kh, settled, *_), found in zip(group, repeated_windows(contexts, rules[rule], least, most), strict=True):
+            if not settled:
+                out += [(rule, kid, kh, a, b) for a, b in found]
+
+    def batch_of(out):
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["rule", "kid", "kh", "lo", "hi"])
 
     def run(batches):
+        key, group = None, []
         for batch in batches:
-            found = []
-            for kid, kh, copies, lo, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = window_hashes(data, length)
-                n = len(one)
-                found.append([np.full(n, kid, np.int64), np.full(n, kh, np.int64), np.full(n, copies, np.int64), np.arange(lo, lo + n, dtype=np.int32), one.view(np.int64), two.view(np.int64)])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["kid", "kh", "copies", "lo", "w1", "w2"])
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("kid", "kh", "settled", "anchor", "lo", "hi", "units", "rule", "key", "least", "most")]
+            for *row, rule, lead, least, most in zip(*columns, strict=True):
+                if (rule, lead, least, most) != key:
+                    flush(key, group, out)
+                    key, group = (rule, lead, least, most), []
+                group.append(row)
+            yield batch_of(out)
+        flush(key, group, out := [])
+        yield batch_of(out)
 
-    windows = staged(piece.mapInArrow(run, "kid long, kh long, copies long, lo int, w1 long, w2 long"), "windows")
-    counts = staged(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).filter("copies > 1"), "window_counts")
-    hit = join_counted(windows.filter("copies = 1"), counts, ["w1", "w2"], "n", ["kid", "lo"], "c").filter("c is not null")
-    return hit.select("kid", "kh", "lo", F.col("lo").alias("hi"))
+    return dealt.mapInArrow(run, "rule int, kid long, kh long, lo int, hi int")
 
 
-def last_pass(joined: DataFrame, length: int, with_text: bool, rest: str) -> DataFrame:
+def last_pass(joined: DataFrame, rules: list[Rule], with_text: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "more")), strict=True)
-            out = [cut(doc_id, body, merged([(x["lo"], x["hi"]) for x in [*(starts or []), *(more or [])]], length), with_text) for doc_id, body, starts, more in rows]
-            yield pa.RecordBatch.from_arrays([*done_batch(out), batch.column("rest")], names=["doc_id", "n_bytes", "spans", "kept", "kept_sha256", "rest"])
+            found = []
+            for body, starts, more in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "more")), strict=True):
+                found.append(cut(body, [(x["rule"], x["lo"], x["hi"]) for x in [*(starts or []), *(more or [])]], rules, with_text))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "kid", "kh", "n_bytes")), pa.array(found, FOUND_ARROW), batch.column("rest")], names=["doc_id", "kid", "kh", "n_bytes", "found", "rest"])
 
-    return joined.select("doc_id", "text", "starts", "more", "rest").mapInArrow(run, f"{DONE}, rest {rest}")
+    columns = joined.select("doc_id", "kid", "kh", "n_bytes", "text", "starts", "more", "rest")
+    rest = joined.schema["rest"].dataType.simpleString()
+    return columns.mapInArrow(run, f"doc_id long, kid long, kh long, n_bytes long, found {FOUND}, rest {rest}")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated passages cut out and n_chars, if there, as it is now."""
+def drop_repeats(docs: DataFrame, rule: Rule = PASSAGES) -> DataFrame:
+    """The documents with the passages cut out that other documents have too (by default those
+    of over 50 words), and n_chars, if there, as it is now. Null texts come back empty."""
     carry = [c for c in docs.columns if c != "text"]
-    found = suffix_repeats(docs, with_text=True, carry=carry)
+    found = suffix_repeats(docs, [rule], with_text=True, carry=carry)
     kinds = dict(docs.dtypes)
-    now = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast(kinds.get("n_chars", "long")).alias("n_chars")}
+    kept = F.col("found")[0]["kept"]
+    now = {"text": kept.alias("text"), "n_chars": F.length(kept).cast(kinds.get("n_chars", "long")).alias("n_chars")}
     return found.select(*[now.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns])
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_repeats(documents(spark, sf_dir))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    """The digest columns of the 400-byte rule; shares_passage and passage_bytes say whether,
+    and for how many bytes, the text has passages of over 50 words of other documents."""
+    found = suffix_repeats(documents(spark, sf_dir), [STRINGS, PASSAGES])
+    covered = lambda i: F.aggregate(F.col("found")[i]["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    strings = [covered(0).alias("n_removed"), F.size(F.col("found")[0]["spans"]).cast("long").alias("n_spans"), F.col("found")[0]["kept_sha256"].alias("kept_sha256")]
+    return found.select("doc_id", "n_bytes", *strings, (covered(1) > 0).alias("shares_passage"), covered(1).alias("passage_bytes"))
