@@ -1,7 +1,9 @@
 """Each operator on a small table of hard cases, against brute force."""
 
+import base64
 import collections
 import hashlib
+import heapq
 import random
 import re
 import zlib
@@ -121,11 +123,19 @@ def test_shortest_pack_first(seed):
         for k, v in pattern.items():
             placed[k] += v * count
     assert placed == collections.Counter(h)
+    packs: list[int] = []  # item by item
+    for length in sorted(collections.Counter(h).elements(), reverse=True):
+        fill = heapq.heappop(packs) if packs and packs[0] + length <= 64 else 0
+        heapq.heappush(packs, fill + length)
+    fills = sorted(sum(k * v for k, v in pattern.items()) for pattern, count in got for _ in range(count))
+    assert fills == sorted(packs)
 
 
 def test_word_tokens():
     coder = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["a7b 7 77", "Σας ΟΔΟΣ", "x́y", "<|endoftext|> a", "it's\tok\r\n'd", "", "İ", "w" * 200]
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    texts = ["DİYARBAKIRLİ.", "a7b 7 77", "Σας ΟΔΟΣ", "x́y", "<|endoftext|> a", "it's\tok\r\n'd", "", "İ", "w" * 200]
+    texts += [" ".join(c + mark for c in letters[i : i + 500]) for mark in (",", ".", "b***") for i in range(0, len(letters), 500)]
     for t, ids in zip(texts, coder.encode(texts), strict=True):
         assert ids.tolist() == coder.library.encode(t, add_special_tokens=False).ids
 
@@ -430,11 +440,31 @@ def test_warc_faults():
 
     assert [x[3] for x in warc.read_archive(io.BytesIO(member(record) * 2))] == [True, True]
     assert [x[3] for x in warc.read_archive(io.BytesIO(member(record.replace(b"payload\r\n\r\n", b"PAYLOAD\r\n\r\n"))))] == [False]
-    for broken in (member(record)[:-3], member(b"nothing"), member(record + b"x")):
+    other = lambda kind, more=b"", block=b"software: x": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:x>\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(b"software: x").digest())
+    archive = [other(b"warcinfo"), other(b"metadata", b"WARC-Block-Digest: sha1:" + sha1 + b"\r\n"), other(b"metadata", b"WARC-Block-Digest: sha1:AAAA\r\n")]
+    archive += [other(b"request", b"Content-Type: application/http; msgtype=request\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"").digest()) + b"\r\n", b"GET / HTTP/1.1\r\n\r\n")]
+    got = list(warc.read_archive(io.BytesIO(b"".join(map(member, archive)))))
+    assert [(p, h["warc-type"], b, f) for p, h, b, f in got] == [(0, "warcinfo", b"software: x", None), (1, "metadata", b"software: x", True), (2, "metadata", b"software: x", False), (3, "request", b"", True)]
+    for broken in (member(record)[:-3], member(b"nothing"), member(record + b"x"), member(record.replace(b"Content-Length", b"Content-Size")), member(record.replace(b"WARC-Type", b"WARC-Kind"))):
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(io.BytesIO(broken)))
 
 
+def test_warc_foreign_archive(spark, tmp_path):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "a.warc.gz").write_bytes(z.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 0\r\n\r\n\r\n\r\n") + z.flush())
+    rows = warc.read_warc(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "archive string")).collect()
+    assert [(r["record_type"], r["page_id"], r["payload_digest"], r["verified"], bytes(r["payload"])) for r in rows] == [("warcinfo", None, None, None, b"")]
+
+
+def test_warc_null_ids(spark):
+    body = "x" * 200
+    pages = spark.createDataFrame([(1, "a", body), (None, "b", body), (2, "c", body), (None, "d", body + "!"), (None, "e", body + "!")], "page_id long, url string, html string")
+    got = {r["url"]: (r["record_type"], r["refers_to"]) for r in warc.plan_records(pages).collect()}
+    assert got == {"a": ("response", None), "b": ("revisit", 1), "c": ("revisit", 1), "d": ("response", None), "e": ("response", None)}
+
+
 @pytest.mark.parametrize("length", [5, 8, 12, 30, 66, 400])
 def test_near_dedup_recall(spark, length):
     """Pairs that only scattered edits set apart are found up to the least similarity."""

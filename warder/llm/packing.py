@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ END_ID = 1
 CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
 MARK = "7"
-CLOSING = (",", ".")
+#: Latin letters that are letters after the tokenizer's normaliser too (the dotted capital I
+#: becomes a letter and a mark), then ASCII marks; or any other word.
+FORM = re.compile(r"^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)|(.*))$", re.M)
 
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
 
@@ -40,28 +44,30 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.mark = self.ids([MARK])[0]
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {"": b""}
 
     def ids(self, texts: list[str]) -> list[int]:
         """Ids of the texts one after another."""
         return self.library.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """uint32 ids of each word. Letters and a comma or full stop after them are tokens of
-        their own and ASCII letters are lowered, so such words share the ids of their stem."""
-        parts = {}
-        for w in words:
-            end = w[-1:] if w[-1:] in CLOSING and w[:-1].isalpha() else ""
-            stem = w[: len(w) - len(end)]
-            parts[w] = (stem.lower() if stem.isascii() else stem, end)
-        asked = {x for both in parts.values() for x in both}
-        ids = {x: self.words.get(x) or self.old.get(x) for x in asked}
-        lacking = [x for x, known in ids.items() if not known]
-        ids |= self.library_ids(lacking)
-        # a lowered stem is no word of the text as yet, but it is likely to come
-        self.words |= {x: ids[x] for x in lacking if len(x) <= CACHE_WORD_CHARS}
-        return {w: ids[stem] + ids[end] for w, (stem, end) in parts.items()}
+    def ids_of(self, words: list[str]) -> dict[str, bytes]:
+        """uint32 ids of each of these distinct words. Latin letters and the ASCII marks after
+        them are tokens of their own and letters are lowered, so such words share the ids of
+        their stem. Known stems have two generations: a full one becomes the old one, from which
+        stems that come again are taken over."""
+        if len(self.stems) > CACHE_WORDS:
+            self.old, self.stems = self.stems, {}
+        parts = [(letters.lower() or other, marks) for letters, marks, other in FORM.findall("\n".join(words))]
+        asked = set(chain.from_iterable(parts))
+        lacking = asked.difference(self.stems)
+        again = {x: self.old[x] for x in lacking if x in self.old}
+        fresh = self.library_ids([x for x in lacking if x not in again])
+        long = {x: ids for x, ids in fresh.items() if len(x) > CACHE_WORD_CHARS}
+        self.stems |= again
+        self.stems |= {x: ids for x, ids in fresh.items() if x not in long} if long else fresh
+        get = (self.stems | long).__getitem__ if long else self.stems.__getitem__
+        return {w: get(stem) + get(marks) if marks else get(stem) for w, (stem, marks) in zip(words, parts, strict=True)}
 
     def library_ids(self, words: list[str]) -> dict[str, bytes]:
         """Many words go through the library at once, with a digit, which always is a token of
@@ -79,18 +85,9 @@ class WordTokens:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each whole text. Known words have two generations: a full one becomes
-        the old one, from which words that come again are taken over."""
+        """uint32 ids of each whole text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.old, self.words = self.words, {}
-        known, old = self.words, self.old
-        new = {w for words in split for w in words if w not in known}
-        known.update({w: old[w] for w in new if w in old})
-        found = self.learn([w for w in new if w not in old])
-        long = {w: ids for w, ids in found.items() if len(w) > CACHE_WORD_CHARS}
-        known.update(found if not long else {w: ids for w, ids in found.items() if w not in long})
-        get = (known | long).__getitem__ if long else known.__getitem__
+        get = self.ids_of(list(set().union(*split))).__getitem__ if split else None
         return [np.frombuffer(b"".join(map(get, words)), dtype=np.uint32) for words in split]
 
 
