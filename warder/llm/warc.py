@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -92,6 +93,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         if not colon:
             raise WarcError(f"bad header line {line[:80]!r}")
         head[name.decode().strip().lower()] = value.decode("utf-8").strip()
+    if not {"warc-type", "warc-record-id"} <= head.keys() or not head.get("content-length", "").isdigit():
+        raise WarcError("head lacks a type, an identifier or a length")
     size = int(head["content-length"])
     block = data[at + 4 : at + 4 + size]
     if len(block) != size or data[at + 4 + size :] != b"\r\n\r\n":
@@ -99,15 +102,31 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return head, block
 
 
-def read_archive(stream) -> Iterator[tuple[int, dict[str, str], bytes, bool]]:
-    """(position, headers, payload, digests verified) for each record in order."""
+def digest_fits(stated: str, data: bytes) -> bool | None:
+    """Whether data has a stated digest, algorithm:value in hex or base32; None if the algorithm
+    is not known."""
+    name, _, value = stated.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    found = hashlib.new(name, data).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def read_archive(stream) -> Iterator[tuple[int, dict[str, str], bytes, bool | None]]:
+    """(position, headers, payload, whether its digests fit) for each record of any type in
+    order; None for a record without a digest that can be checked.
+
+    The payload is what follows the HTTP head, or the whole block of records that hold no HTTP
+    message. The payload digest of a revisit is that of another record and not checked.
+    """
     for position, data in enumerate(members(stream)):
         head, block = parse_record(data)
-        fine = "sha256:" + hashlib.sha256(block).hexdigest() == head.get("warc-block-digest")
-        payload = block.partition(b"\r\n\r\n")[2]
-        if head["warc-type"] == "response":
-            fine = fine and "sha256:" + hashlib.sha256(payload).hexdigest() == head.get("warc-payload-digest")
-        yield position, head, payload, fine
+        http = head.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        stated = [("warc-block-digest", block)] + [("warc-payload-digest", payload)] * (head["warc-type"] != "revisit")
+        fits = [x for x in (digest_fits(head[k], of) for k, of in stated if k in head) if x is not None]
+        yield position, head, payload, all(fits) if fits else None
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
@@ -150,8 +169,9 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 def read_warc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Read the archives named in the column ``archive``; one row per record, in RECORDS.
 
-    A record that fails a digest returns with verified false; one that breaks the format
-    raises WarcError.
+    A record that fails a digest returns with verified false, one without a known digest with
+    null; one that breaks the format raises WarcError. Records of other writers have no page
+    numbers, and other digests than SHA-256 keep the name of their algorithm.
     """
     n = max(1, archives.count())
 
@@ -163,7 +183,7 @@ def read_warc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 with store.open_input_stream(path, compression=None) as stream:
                     for position, head, payload, fine in read_archive(stream):
                         number = lambda k, h=head: int(h[k]) if h.get(k) else None
-                        digest = head["warc-payload-digest"].removeprefix("sha256:")
+                        digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
                         rows.append((archive, position, head["warc-record-id"], number("x-page-id"), head.get("warc-target-uri"), head["warc-type"], number("x-refers-to-page"), digest, number("x-payload-length"), payload if with_payload else None, fine))
                         held += len(payload) if with_payload else 100
                         if held >= 8 << 20:
@@ -193,7 +213,7 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     groups = base.filter(F.col("size") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     groups = staged(groups.filter("copies > 1"), "payload_groups")
     first = F.col("g.first_id")
-    revisit = first.isNotNull() & (first != F.col("page_id"))
+    revisit = first.isNotNull() & ~first.eqNullSafe(F.col("page_id"))
     return (
         join_counted(base, groups, ["payload_digest"], "copies", ["page_id", "url"], "g")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
@@ -205,8 +225,8 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
 def warc_round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Write one record per page, then read the archives back sequentially.
 
-    A null html is an empty payload, a null url an empty URI, a null page_id stays null and
-    is never referred to unless all equal pages have none. Repeated rows each get a record;
+    A null html is an empty payload, a null url an empty URI. A null page_id stays null and is
+    never referred to: such a row revisits an equal page that has one, else it is a response. Repeated rows each get a record;
     with equal page_ids all rows with the smallest are responses. Empty tables give no
     archive and no rows; other columns are not read.
     """
@@ -224,7 +244,7 @@ OP10_SQL = """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM g
 """
