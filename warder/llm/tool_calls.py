@@ -113,7 +113,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     named = F.col("conv").isNotNull() & F.col("call_id").isNotNull()
     ordered = ranked(topological(staged(unique_calls(calls.filter(named)), "calls")))
     tools = schemas.groupBy(F.col("tool").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("type", "required")))).alias("params"))
-    both = ordered.withColumn("is_call", F.lit(True)).join(unique_results(results.filter(named)), ["conv", "call_id"], "full").join(F.broadcast(tools), "name", "left")
+    both = ordered.withColumn("is_call", F.lit(True)).join(unique_results(results.filter(named)).hint("shuffle_hash"), ["conv", "call_id"], "full").join(F.broadcast(tools), "name", "left")
     is_call, has_result = F.col("is_call").isNotNull(), F.col("results").isNotNull()
     text = F.when(F.trim(F.coalesce("arguments", F.lit(""))) == "", "{}").otherwise(F.col("arguments"))
     both = both.withColumn("args", F.when(is_call, F.try_parse_json(text))).withColumn("given", F.expr("try_cast(args AS MAP<STRING, VARIANT>)"))
@@ -174,12 +174,13 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-TOOLS = [("search", "query", "string", True), ("search", "words", "integer", False), ("refine", "query", "string", True), ("refine", "words", "integer", True)]
+TOOLS = """SELECT * FROM VALUES ('search', 'query', 'string', true), ('search', 'words', 'integer', false),
+('refine', 'query', 'string', true), ('refine', 'words', 'integer', true) AS t (tool, param, type, required)"""
 
 
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    linked = link_calls(calls, results, spark.createDataFrame(TOOLS, "tool string, param string, type string, required boolean"))
+    linked = link_calls(calls, results, spark.sql(TOOLS))
     return linked.select(F.col("conv").cast("long").alias("conv_id"), "call_id", F.col("order").cast("long").alias("call_order"), "status", "valid", F.array_join("errors", ",").alias("errors"), "canonical")
 
 
