@@ -182,7 +182,9 @@ SLOTS = ["length", "first_rank", "ranks", "copies", "first_sequence", "first_off
 
 
 def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
-    """Place pieces (doc_id, start, length, ...) into sequences; adds sequence_id and offset.
+    """Place pieces (doc_id, start, length, row, ...) into sequences; adds sequence_id and offset.
+
+    ``row`` tells all pieces apart.
 
     ``pieces`` is read three times: pass a table. The driver sees only the histogram of
     lengths (at most ``capacity`` rows) and the patterns over it (each placement of a length
@@ -196,7 +198,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     # a length has its slots in one row, looked up by binary search over at most as many
     # entries as there are patterns
     slot = spark.createDataFrame(table).groupBy("length").agg(F.array_sort(F.collect_list(F.struct(*SLOTS[1:]))).alias("slots"))
-    ranked = rank_in_groups(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "piece_rank")
+    ranked = rank_in_groups(pieces, ["length"], ["doc_id", "start", "row"], "piece_rank")
     found = F.expr(
         """slots[aggregate(sequence(1, 32), named_struct('a', 0, 'b', size(slots) - 1), (s, i) -> if(s.a >= s.b, s,
         if(slots[(s.a + s.b + 1) div 2].first_rank <= piece_rank, named_struct('a', cast((s.a + s.b + 1) div 2 as int), 'b', s.b),
@@ -220,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE) ->
     (one id), repeated rows and equal doc_ids are packed as often as they come, an empty
     table gives no rows, other columns are not read.
     """
-    pieces = staged(token_pieces(docs, tokenizer, capacity), "pieces")
+    pieces = staged(token_pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, capacity).select(
         "doc_id",
         "start",

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warder.llm.common import documents, rank_in_groups, staged
+from warder.llm.common import documents, join_counted, rank_in_groups, staged
 
 BITS = 5
 
 
-def by_hash(col: Column, bits: int = BITS) -> Column:
-    """Quantise a categorical value (null is a value of its own)."""
-    return F.pmod(F.xxhash64(F.coalesce(col.cast("string"), F.lit("\0"))), F.lit(1 << bits)).cast("int")
+def by_share(df: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """(column, cell, rows) for all values of a column: cells hold runs of neighbouring values
+    and about equal shares of the rows, so that minimum and maximum of a file prune.
+
+    Values are counted, dealt out by ranges, and summed up within and over the ranges, so no
+    task sees all of them.
+    """
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    ranges = staged(counts.repartitionByRange(column).withColumn("range", F.spark_partition_id()), "values")
+    over = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranges.groupBy("range").agg(F.sum("rows").alias("rows"))
+    starts = sums.select("range", over(Window.orderBy("range")).alias("start"))
+    total = sums.agg(F.sum("rows")).first()[0] or 1
+    before = F.col("start") + over(Window.partitionBy("range").orderBy(column))
+    return staged(ranges.join(F.broadcast(starts), "range").select(column, F.floor(before * (1 << bits) / total).cast("int").alias("cell"), "rows"), "cells_of_values")
 
 
-def by_log(col: Column, bits: int = BITS) -> Column:
-    """Quantise a size by two steps per doubling; null and negative values count as 0."""
-    size = F.greatest(F.coalesce(col.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return F.least(F.floor(2 * F.log2(size + 1)), F.lit((1 << bits) - 1)).cast("int")
+def by_cuts(col: Column, cuts: list[int]) -> Column:
+    """Quantise a size by cut points."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < col)) if cuts else F.lit(0)
 
 
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -62,7 +74,7 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return index.cast("long")
 
 
-def hilbert_order(df: DataFrame, key: str, axes: list[str], bits: int = BITS) -> tuple[DataFrame, int]:
+def hilbert_order(df: DataFrame, key: list[str], axes: list[str], bits: int = BITS) -> tuple[DataFrame, int]:
     """Rank all rows along the curve; returns (df with ``hilbert`` and ``place``, row count).
 
     ``axes`` names integer columns in [0, 2**bits). The curve is evaluated once per occupied
@@ -75,32 +87,41 @@ def hilbert_order(df: DataFrame, key: str, axes: list[str], bits: int = BITS) ->
     cells = staged(cells.withColumn("cell_start", F.coalesce(F.sum("cell_rows").over(before), F.lit(0))), "cells")
     total = cells.agg(F.sum("cell_rows")).first()[0] or 0
     placed = df.join(F.broadcast(cells.drop("cell_rows")), axes)
-    ranked = rank_in_groups(placed, ["hilbert"], [key, "text_crc32", "size"], "in_cell")
+    ranked = rank_in_groups(placed, ["hilbert"], key, "in_cell")
     return ranked.withColumn("place", F.col("cell_start") + F.col("in_cell")).drop("cell_start", "in_cell"), total
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, bits: int = BITS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
     """Cut the Hilbert order of documents into ``shards`` runs with counts at most one apart.
 
-    The axes are source, language and size, so that a shard holds few sources, languages and
-    sizes and its file statistics prune in every dimension. Null texts have no bytes, null
-    metadata is a value of its own, equal or repeated rows each take a slot, an empty table
-    gives no rows; other columns are not read. Returns doc_id, size, text_crc32, hilbert,
-    law, shard, slot, grown_shard.
+    The axes are source, language and size, quantised by rank into about equal shares, so that
+    a shard holds few neighbouring sources, languages and sizes and its file statistics prune
+    in every dimension. Null texts have no bytes, null metadata is a value of its own, equal or
+    repeated rows each take a slot, an empty table gives no rows; other columns are not read
+    but for ``carry``. Returns doc_id, size, text_crc32, hilbert, law, shard, slot,
+    grown_shard and ``carry``.
     """
+    carry = carry or []
     text = F.coalesce(F.col("text"), F.lit(""))
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     narrow = staged(
         docs.select(
             "doc_id",
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            by_hash(F.col("source"), bits).alias("axis_source"),
-            by_hash(F.col("lang"), bits).alias("axis_lang"),
-            by_log(F.octet_length(text), bits).alias("axis_size"),
+            value("source").alias("source"),
+            value("lang").alias("lang"),
+            F.monotonically_increasing_id().alias("row"),
+            *carry,
         ),
         "shard_rows",
     )
-    placed, total = hilbert_order(narrow, "doc_id", ["axis_source", "axis_lang", "axis_size"], bits)
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    cuts = sorted(set(narrow.agg(F.percentile_approx("size", shares, 10_000)).first()[0] or []))
+    celled = narrow.withColumn("axis_size", by_cuts(F.col("size"), cuts))
+    for c in ("source", "lang"):
+        celled = join_counted(celled, by_share(narrow, c, bits), [c], "rows", ["row"], "found").withColumn(f"axis_{c}", F.col("found.cell")).drop("found", c)
+    placed, total = hilbert_order(staged(celled, "celled"), ["doc_id", "text_crc32", "row"], ["axis_source", "axis_lang", "axis_size"], bits)
     total = max(total, 1)
     shard = F.expr(f"(place * {shards}L) div {total}L")
     start = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
@@ -113,17 +134,26 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = BITS) -> Data
         F.col("shard").cast("int").alias("shard"),
         (F.col("place") - start).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *carry,
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents as one folder per shard, rows in curve order.
+def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
+    """Write the documents as one folder per shard, in files of runs of the curve.
 
-    ``placed`` is the result of ``shard_documents``; doc_id must identify a row here.
+    Rows are told apart by file and row: documents that are no plain file scan are staged
+    first. So rows without doc_id and repeated rows are written as often as they come.
     """
-    order = placed.select("doc_id", "shard", "slot")
-    joined = docs.drop("shard", "slot").join(order, "doc_id")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        docs = staged(docs, "documents")
+    at = [F.col("_metadata")["file_path"].alias("__file"), F.col("_metadata")["row_index"].alias("__row")]
+    order = shard_documents(docs.select("doc_id", "text", "source", "lang", *at), shards, carry=["__file", "__row"]).select("__file", "__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    joined = docs.select("*", *at).join(order, ["__file", "__row"])
+    cut = joined.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    cut.select(*rest, F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(path)
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
