@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warder.llm.common import documents, scratch, staged
+from warder.llm.common import documents, join_counted, scratch, staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
 STATE = {
@@ -61,7 +62,9 @@ def entries(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def _any(path: str) -> str:
     """A pattern for exactly this path: a stream takes a single file only by pattern."""
-    return f"{path[:-1]}[{path[-1]}]"
+    path = path.rstrip("/")
+    plain = re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+    return plain if plain != path else f"{path[:-1]}[{path[-1]}]"
 
 
 def stream_entries(spark: SparkSession, path: str, schema: T.StructType, out: str, digest=sha256, files_per_trigger: int = 1000) -> None:
@@ -104,7 +107,8 @@ def collided(docs: DataFrame, state: DataFrame, digest=sha256) -> DataFrame:
     at = F.col("_metadata")
     norm = normalised(F.col("text"))
     texts = docs.select(digest(norm).alias("digest"), norm.alias("norm"), at["file_path"].alias("file"), at["row_index"].alias("row"))
-    members = staged(texts.join(hits, "digest"), "hits")
+    found = join_counted(texts, hits, ["digest"], "group_size", ["file", "row"], "h").filter("h is not null")
+    members = staged(found.select("*", "h.*").drop("h"), "hits")
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     is_kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
     kept = members.filter(is_kept).select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
@@ -112,14 +116,20 @@ def collided(docs: DataFrame, state: DataFrame, digest=sha256) -> DataFrame:
     return rest.join(kept, ["digest", "salt"]).filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
 
 
+def with_state(found: DataFrame, state: DataFrame) -> DataFrame:
+    """Entries with group size and best row of their digest; rows of large groups skip the
+    shuffle by digest."""
+    return join_counted(found, state, ["digest"], "group_size", ["file", "row"], "s").select("*", "s.*").drop("s")
+
+
 def decide(docs: DataFrame, found: DataFrame, state: DataFrame, digest=sha256) -> DataFrame:
     """One row per document: the row its group keeps, group size, and whether it stays."""
     here = (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
     columns = ["doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), here.alias("kept"), "text_sha256", "file", "row"]
     bad = staged(collided(docs, state, digest), "collided")
     if bad.isEmpty():
-        return found.join(state, "digest").select(*columns)
-    good = found.join(bad, "digest", "left_anti").join(state, "digest").select(*columns)
+        return with_state(found, state).select(*columns)
+    good = with_state(found.join(bad, "digest", "left_anti"), state).select(*columns)
     # unequal texts under one digest: group these by their bytes
     at = F.col("_metadata")
     norm = normalised(F.col("text"))
