@@ -75,6 +75,20 @@ def test_sharding(spark, docs, none):
     assert sharding.shard_documents(none, 5).count() == 0
 
 
+def test_write_shards(spark, docs, tmp_path):
+    """Every row is written once, also without doc_id and repeated; runs of the curve prune."""
+    sharding.write_shards(docs, str(tmp_path / "out"), 5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    of = lambda d: collections.Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in d.collect())
+    assert of(back) == of(docs) and set(back.columns) == set(docs.columns)
+    many = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', cast(hash(id) & 1023 as int)) AS text", "concat('s', lpad(hash(id, 1) & 63, 2, '0')) AS source", "concat('l', hash(id, 2) & 3) AS lang")
+    many.write.parquet(str(tmp_path / "many"))
+    sharding.write_shards(spark.read.parquet(str(tmp_path / "many")), str(tmp_path / "cut"), 64)
+    ends = spark.read.parquet(str(tmp_path / "cut")).groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.min("lang").alias("c"), F.max("lang").alias("d"), F.min(F.length("text")).alias("e"), F.max(F.length("text")).alias("f")).collect()
+    read = [sum(r["a"] <= "s20" <= r["b"] for r in ends), sum(r["c"] <= "l1" <= r["d"] for r in ends), sum(r["e"] <= 300 <= r["f"] for r in ends)]
+    assert read[0] <= 32 and read[1] < 48 and read[2] <= 32, read  # of 64 each
+
+
 def test_hilbert_curve_is_continuous(spark):
     n = 8
     cells = spark.range(n**3).select((F.col("id") % n).cast("int").alias("x"), (F.floor(F.col("id") / n) % n).cast("int").alias("y"), F.floor(F.col("id") / n / n).cast("int").alias("z"))
@@ -176,10 +190,33 @@ def test_winnowing_edits(spark):
         assert got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
         assert got[i]["near_next"] == winnowing.likeness(winnowing.winnow(t)[0], winnowing.winnow(after)[0])
         assert bytes(got[i]["edited_fingerprint"]) == winnowing.packed(winnowing.winnow(e)[0])
+        assert got[i]["positions"] == winnowing.winnow(t)[1].tolist()
+    crowded = few.unionByName(few.withColumn("doc_id", F.lit(6).cast("long"))).unionByName(few.withColumn("doc_id", F.lit(None).cast("long")))
+    hashes = {i: winnowing.packed(winnowing.winnow(t)[0]) for i, t in pairs(few)}
+    got = collections.Counter((r["doc_id"], bytes(r["fingerprint"])) for r in winnowing.fingerprint_edits(crowded).collect())
+    assert got == collections.Counter((d, h) for i, h in hashes.items() for d in (i, 6, None))
     assert winnowing.fingerprint_edits(table(spark)).count() == len(TEXTS) + 3
     assert winnowing.fingerprint_edits(few.filter("doc_id = 6")).first()["near_next"] == 1.0
 
 
+def test_winnowing_rule():
+    """Against windows looked at one by one: the rightmost of the least hashes of each."""
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))
+        k, w = rng.randint(1, 6), rng.randint(1, 8)
+        size = min(k, max(1, len(text)))
+        grams = [text[i : i + size] for i in range(len(text) - size + 1)] if text else []
+        value = {g: int(winnowing.winnow(g, size, 1)[0][0]) for g in set(grams)}
+        hashes = [value[g] for g in grams]
+        chosen = set()
+        for i in range(max(1, len(hashes) - w + 1) if hashes else 0):
+            window = hashes[i : i + w]
+            chosen.add(i + max(j for j, h in enumerate(window) if h == min(window)))
+        got, at = winnowing.winnow(text, k, w)
+        assert at.tolist() == sorted(chosen) and got.tolist() == [hashes[i] for i in sorted(chosen)]
+
+
 def test_winnowing_guarantee():
     rng = random.Random(3)
     for _ in range(200):
@@ -232,6 +269,11 @@ def test_edit_distance():
         assert near_dedup.edit_distance(near_dedup.places(a), len(a), b, most) == (row[-1] if row[-1] <= most else None)
 
 
+def test_stream_path():
+    assert exact_dedup._any("/a/b.parquet/") == "/a/b.parque[t]"
+    assert exact_dedup._any("/a/x[1]*") == "/a/x\\[1\\]\\*"
+
+
 def kept_of(rows):
     """doc, keep and size of each row by the rule of the operator."""
     groups = collections.defaultdict(list)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,16 +13,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder ``spark.checkpoint.dir``.
+#: Folders of open ``temporary`` blocks, innermost last.
+_OPEN: list[str] = []
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder in the shared folder ``spark.checkpoint.dir``.
 
-    Where the session names none (tests in local mode) a temporary folder is set.
+    A session in local mode that names none (as in tests) gets a temporary folder; on a
+    cluster the setting must be there, as all executors have to see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="warder-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/warder/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/warder/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application."""
+    return f"{_OPEN[-1] if _OPEN else scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, at the end of a job: results that have
+    not been written by then can no longer be read."""
+    delete(spark, scratch_root(spark))
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within the block are deleted at its end; write results elsewhere."""
+    _OPEN.append(scratch(spark, "block"))
+    try:
+        yield
+    finally:
+        delete(spark, _OPEN.pop())
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
