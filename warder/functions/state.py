@@ -8,16 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder in the shared folder ``spark.checkpoint.dir``.
 
-    Where the session names none (tests in local mode) a temporary folder is set.
+    A session in local mode that names none (as in tests) gets a temporary folder; on a
+    cluster the setting must be there, as all executors have to see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="warder-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/warder/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/warder/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application, at the end of a job: results that have
+    not been written by then can no longer be read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

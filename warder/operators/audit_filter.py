@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warder.functions.ordering import numbered
 from warder.functions.predicates import glob, glob_regex
 
 #: Criteria by what they test: a value in a list, a glob, equality (fixed names).
@@ -128,14 +129,24 @@ def sort_key(name: str, columns: list[str], assume_year: int | None = None) -> C
     return F.col(SORT_KEYS[name])
 
 
-def sort_messages(messages: DataFrame, keys: list[tuple[str, bool]], tie: str = "msg_id", assume_year: int | None = None) -> DataFrame:
-    """Order by keys (name, ascending). What lacks a key goes last in either direction; ties and
-    messages without any key keep the order of ``tie``."""
+def sort_order(messages: DataFrame, keys: list[tuple[str, bool]], tie: str = "msg_id", assume_year: int | None = None) -> list[Column]:
+    """Sort expressions for keys (name, ascending). What lacks a key goes last in either
+    direction; ties and messages without any key keep the order of ``tie``."""
     order = []
     for name, ascending in keys:
         c = sort_key(name, messages.columns, assume_year)
         order.append(c.asc_nulls_last() if ascending else c.desc_nulls_last())
-    return messages.orderBy(*order, tie)
+    return [*order, F.col(tie).asc()]
+
+
+def sort_messages(messages: DataFrame, keys: list[tuple[str, bool]], tie: str = "msg_id", assume_year: int | None = None) -> DataFrame:
+    """Messages in the order of the keys."""
+    return messages.orderBy(*sort_order(messages, keys, tie, assume_year))
+
+
+def place_messages(messages: DataFrame, keys: list[tuple[str, bool]], tie: str = "msg_id", assume_year: int | None = None) -> DataFrame:
+    """Add the place of each message in the order of the keys, from 1."""
+    return numbered(messages, sort_order(messages, keys, tie, assume_year), "place")
 
 
 @dataclass

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warder.operators.audit_filter import AuditFilter, DateRange, View, apply_saved_filters, filter_rows, saved_filters
+from warder.operators.audit_filter import AuditFilter, DateRange, View, apply_saved_filters, filter_rows, place_messages, saved_filters
 from warder.operators.audit_report import counts, distinct_symbols, report, view_counts
 from warder.operators.explain import explain_messages
 from warder.plans.fixtures import Relations
@@ -18,9 +18,10 @@ TYPES = [f"p{i}" for i in range(0, 60)]
 FROM, TO = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
 
 
-def parsed(r: Relations) -> DataFrame:
-    """Messages rendered to text lines and parsed back."""
+def parsed(r: Relations, having: str = "") -> DataFrame:
+    """Messages rendered to text lines, those that have a word in the text, and parsed back."""
     lines = render_messages(r.audit_messages(), "value").select("value")
+    lines = lines.filter(F.col("value").contains(having)) if having else lines
     return parse_lines(lines).withColumns({"msg_id": F.col("serial"), "ts": F.col("ts").cast("timestamp_ntz")})
 
 
@@ -30,27 +31,25 @@ def select(df: DataFrame) -> DataFrame:
 
 def audit_flagship(r: Relations) -> DataFrame:
     f = AuditFilter({"msg": "denied", "tgt_type": TYPES}, "all", True)
-    rows = View([f]).apply(parsed(r))
+    rows = View([f]).apply(parsed(r, "denied"))
     return rows.groupBy("host", "stype", "ttype", "tclass").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host", "stype", "ttype", "tclass")
 
 
 def audit_sort(r: Relations) -> DataFrame:
-    """First 200 messages by decision (descending), target type and identifier, with their place."""
-    top = View(sorts=[("message_type", True), ("target_type", False), ("port", True)]).apply(r.audit).limit(200)
-    kind = F.when(F.col("msg_type") == "AVC", F.when(F.col("decision") == "denied", 0).otherwise(1)).when(F.col("msg_type") == "BOOL", 2).otherwise(3)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(kind, F.desc_nulls_last("ttype"), F.asc_nulls_last("port"), "msg_id"))
-    return top.select("msg_id", place.alias("place"))
+    """The place of every message by kind, target type (descending), port and identifier."""
+    return place_messages(r.audit, [("message_type", True), ("target_type", False), ("port", True)]).select("msg_id", "place")
 
 
 def audit_continuation(r: Relations) -> DataFrame:
-    """Every message split over two lines is put together again."""
-    whole = render_messages(r.audit_messages().filter("msg_type = 'BOOL'"), "text")
-    lines = whole.select(F.col("host").alias("file"), F.posexplode(F.array(F.expr("substring(text, 1, instr(text, '{'))"), F.expr("substring(text, instr(text, '{') + 1)"))).alias("k", "value"), "msg_id")
-    joined = join_continuations(lines.withColumn("line_no", F.col("msg_id") * 2 + F.col("k")))
-    out = parse_lines(joined)
-    return out.select(F.col("serial").alias("msg_id"), F.element_at("changes", 1)["bool"].alias("bool_name"), F.element_at("changes", 1)["value"].alias("state"))
+    """Every message of booleans or of a policy load, split over two lines, is put together again."""
+    whole = render_messages(r.audit_messages().filter("msg_type IN ('BOOL', 'LOAD')"), "text")
+    # the second line of a load has the head of the first
+    cut = F.when(F.col("msg_type") == "BOOL", F.array(F.expr("substring(text, 1, instr(text, '{'))"), F.expr("substring(text, instr(text, '{') + 1)")))
+    cut = cut.otherwise(F.array(F.regexp_extract("text", r"^(.*), \d+ classes", 1), F.concat(F.regexp_extract("text", r"^(.*security: )", 1), F.regexp_extract("text", r"(\d+ classes.*)$", 1))))
+    lines = whole.select(F.col("host").alias("file"), F.posexplode(cut).alias("k", "value"), "msg_id")
+    out = parse_lines(join_continuations(lines.withColumn("line_no", F.col("msg_id") * 2 + F.col("k")), fold_lines=1000))
+    change = F.element_at("changes", 1)
+    return out.select(F.col("serial").alias("msg_id"), "msg_type", change["bool"].alias("bool_name"), change["value"].alias("state"), F.col("load.users").alias("users"), F.col("load.rules").alias("rules"))
 
 
 def saved(r: Relations) -> DataFrame:
@@ -58,10 +57,13 @@ def saved(r: Relations) -> DataFrame:
     return apply_saved_filters(r.audit, saved_filters(filter_rows(r.spark, filters))).select("msg_id", "filter")
 
 
-def audit_report_sections(r: Relations) -> DataFrame:
-    rows = report(r.audit_messages()).filter("item_no = 0 OR section = 'boolean changes'")
-    return rows.select("section_no", "section", "item_no", F.when(F.col("item_no") == 0, F.col("text")).alias("heading"))
-
+TEXT_SQL = """strftime(ts, '%b') || printf(' %2d ', day(ts)) || strftime(ts, '%H:%M:%S') || ' ' || host || ' kernel: audit(' || (epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') || ':' || msg_id || '): ' ||
+ CASE msg_type WHEN 'AVC' THEN 'avc:  ' || decision || '  { read write } for  pid=' || (msg_id % 1000) || ' comm="prog ' || stype || '"' || coalesce(' port=' || port, '') || ' scontext=user_u:role_r:' || stype || ':s0-s1 tcontext=system_u:object_r:' || ttype || ':s0-s1 tclass=' || tclass
+ WHEN 'BOOL' THEN 'security: committed booleans: { allow_x:' || CASE WHEN msg_id % 2 = 0 THEN 1 ELSE 0 END || ' }' ELSE 'security: 5 users, 6 roles, 7 types, 8 bools, 3 classes, 4 rules' END"""
+REPORT_SQL = " UNION ALL ".join(
+    f"SELECT {no} AS section_no, '{name}' AS section, CAST(0 AS BIGINT) AS item_no, '{name}: ' || count(*) AS text FROM audit WHERE {test}" + ("" if no == 1 else f" UNION ALL SELECT {no}, '{name}', msg_id + 1, {TEXT_SQL} FROM audit WHERE {test}")
+    for no, (name, test) in enumerate((("statistics", "true"), ("enforcement toggles", "false"), ("policy loads", "msg_type = 'LOAD'"), ("boolean changes", "msg_type = 'BOOL'"), ("allow listing", "decision = 'granted'"), ("deny listing", "decision = 'denied'")), 1)
+)
 
 QUERIES = {
     "audit_flagship": (audit_flagship, f"SELECT host, stype, ttype, tclass, count(*) AS n FROM audit WHERE decision = 'denied' AND ttype IN ({', '.join(repr(t) for t in TYPES)}) GROUP BY ALL"),
@@ -72,15 +74,12 @@ QUERIES = {
     "audit_filter_date": (lambda r: select(View([AuditFilter({"date_time": DateRange("between", FROM, TO)})]).apply(r.audit.withColumn("has_year", F.lit(True)))), f"SELECT msg_id, stype, ttype, decision FROM audit WHERE date_trunc('second', ts) >= TIMESTAMP '{FROM}' AND date_trunc('second', ts) < TIMESTAMP '{TO}'"),
     "audit_view_hide": (lambda r: select(View([AuditFilter({"tgt_type": ["p1", "p2"]}, "all", True)], show=False, hidden=r.audit.filter("msg_id % 10 = 3").select("msg_id")).apply(r.audit)), "SELECT msg_id, stype, ttype, decision FROM audit WHERE NOT coalesce(ttype IN ('p1', 'p2'), false) AND msg_id % 10 <> 3"),
     "audit_saved_filters": (saved, "SELECT msg_id, 'few' AS filter FROM audit WHERE decision = 'denied' AND stype IN ('s1', 's2', 's3') UNION ALL SELECT msg_id, 'ports' FROM audit WHERE coalesce(port = 7, false) OR host IN ('h0', 'h1', 'h2')"),
-    "audit_sort": (audit_sort, "SELECT msg_id, row_number() OVER (ORDER BY k, ttype DESC NULLS LAST, port ASC NULLS LAST, msg_id) AS place FROM (SELECT *, CASE WHEN msg_type = 'AVC' THEN CASE WHEN decision = 'denied' THEN 0 ELSE 1 END WHEN msg_type = 'BOOL' THEN 2 ELSE 3 END AS k FROM audit) ORDER BY place LIMIT 200"),
+    "audit_sort": (audit_sort, "SELECT msg_id, row_number() OVER (ORDER BY k, ttype DESC NULLS LAST, port ASC NULLS LAST, msg_id) AS place FROM (SELECT *, CASE WHEN msg_type = 'AVC' THEN CASE WHEN decision = 'denied' THEN 0 ELSE 1 END WHEN msg_type = 'BOOL' THEN 2 ELSE 3 END AS k FROM audit)"),
     "audit_counts": (lambda r: view_counts(r.audit, ["host"]), "SELECT host, count(*) AS total, count(*) FILTER (decision = 'denied') AS denied, count(*) FILTER (decision = 'granted') AS granted, count(*) FILTER (msg_type = 'BOOL') AS bool_changes, count(*) FILTER (msg_type = 'LOAD') AS policy_loads FROM audit GROUP BY host"),
-    "audit_report": (
-        audit_report_sections,
-        "SELECT * FROM (SELECT 1 AS section_no, 'statistics' AS section, CAST(0 AS BIGINT) AS item_no, 'statistics: ' || count(*) AS heading FROM audit UNION ALL SELECT 2, 'enforcement toggles', 0, 'enforcement toggles: 0' UNION ALL SELECT 3, 'policy loads', 0, 'policy loads: ' || count(*) FROM audit WHERE msg_type = 'LOAD' UNION ALL SELECT 4, 'boolean changes', 0, 'boolean changes: ' || count(*) FROM audit WHERE msg_type = 'BOOL' UNION ALL SELECT 5, 'allow listing', 0, 'allow listing: ' || count(*) FROM audit WHERE decision = 'granted' UNION ALL SELECT 6, 'deny listing', 0, 'deny listing: ' || count(*) FROM audit WHERE decision = 'denied' UNION ALL SELECT 4, 'boolean changes', msg_id + 1, NULL FROM audit WHERE msg_type = 'BOOL')",
-    ),
+    "audit_report": (lambda r: report(r.audit_messages()), REPORT_SQL),
     "audit_distinct": (lambda r: distinct_symbols(r.audit, "type"), "SELECT stype AS symbol FROM audit WHERE stype IS NOT NULL UNION SELECT ttype FROM audit WHERE ttype IS NOT NULL"),
     "audit_windowed_counts": (lambda r: r.audit.groupBy(F.date_trunc("hour", "ts").alias("hour"), "tclass").agg(*counts()), "SELECT date_trunc('hour', ts) AS hour, tclass, count(*) AS total, count(*) FILTER (decision = 'denied') AS denied, count(*) FILTER (decision = 'granted') AS granted, count(*) FILTER (msg_type = 'BOOL') AS bool_changes, count(*) FILTER (msg_type = 'LOAD') AS policy_loads FROM audit GROUP BY 1, 2"),
-    "audit_continuation": (audit_continuation, "SELECT msg_id, 'allow_x' AS bool_name, msg_id % 2 = 0 AS state FROM audit WHERE msg_type = 'BOOL'"),
+    "audit_continuation": (audit_continuation, "SELECT msg_id, msg_type, CASE msg_type WHEN 'BOOL' THEN 'allow_x' END AS bool_name, CASE msg_type WHEN 'BOOL' THEN msg_id % 2 = 0 END AS state, CASE msg_type WHEN 'LOAD' THEN 5 END AS users, CASE msg_type WHEN 'LOAD' THEN 4 END AS rules FROM audit WHERE msg_type IN ('BOOL', 'LOAD')"),
     "audit_explain": (
         lambda r: explain_messages(r.audit.filter("msg_type = 'AVC'"), r.grouped_rules().filter("policy_id = 'O'"), r.policy_type_attr().filter("policy_id = 'O'")).select("msg_id", "kind", "rule_target", "perms"),
         "SELECT a.msg_id, r.kind, r.target AS rule_target, string_agg(r.perm, ',' ORDER BY r.perm) AS perms FROM audit AS a JOIN (SELECT v.kind, v.source, v.target, v.class, v.perm, coalesce(t.type, v.target) AS concrete FROM avrule_perm AS v LEFT JOIN type_attr AS t ON v.target = t.attr WHERE v.policy_id = 'O') AS r ON a.stype = r.source AND a.ttype = r.concrete AND a.tclass = r.class WHERE a.msg_type = 'AVC' GROUP BY a.msg_id, r.kind, r.target",

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from warder.functions.state import written
+
 #: Keys of an access message and the column and type that each goes to (fixed values).
 KEYS = {
     "pid": ("pid", "int"),
@@ -93,17 +95,21 @@ def pairs(tail: Column) -> Column:
 
 
 def header(value: Column) -> dict[str, Column]:
-    part = lambda pattern, i: F.nullif(F.regexp_extract(value, pattern, i), F.lit(""))
+    """Host, date and serial. Each pattern is matched once, and the match is split."""
+    syslog, stamp = F.split(F.regexp_extract(value, SYSLOG, 0), r"[\s:]+"), F.split(F.regexp_extract(value, STAMP, 0), r"[(.:)]")
+    part = lambda parts, i: F.get(parts, F.lit(i))
     months = F.array(*[F.lit(m) for m in MONTHS])
-    month = F.array_position(months, part(SYSLOG, 1))
-    dated = F.when(month > 0, F.try_make_timestamp(F.lit(NO_YEAR), month.cast("int"), part(SYSLOG, 2).cast("int"), part(SYSLOG, 3).cast("int"), part(SYSLOG, 4).cast("int"), part(SYSLOG, 5).cast("int")))
-    seconds, fraction = part(STAMP, 1).cast("bigint"), F.rpad(part(STAMP, 2), 6, "0").cast("bigint")
+    month = F.array_position(months, part(syslog, 0))
+    clock = [part(syslog, i).cast("int") for i in range(1, 5)]
+    dated = F.when(month > 0, F.try_make_timestamp(F.lit(NO_YEAR), month.cast("int"), *clock))
+    seconds, fraction = part(stamp, 1).cast("bigint"), F.rpad(part(stamp, 2), 6, "0").cast("bigint")
     stamped = F.timestamp_micros(seconds * 1_000_000 + fraction)
     return {
-        "host": part(SYSLOG, 6),
+        # a host may hold colons, so it is cut from the end of the head
+        "host": F.nullif(F.regexp_replace(F.regexp_extract(value, SYSLOG, 0), r"^\w+\s+\d+ [\d:]+ | $", ""), F.lit("")),
         "ts": F.coalesce(stamped, dated),
         "has_year": stamped.isNotNull(),
-        "serial": part(STAMP, 3).cast("bigint"),
+        "serial": part(stamp, 3).cast("bigint"),
     }
 
 
@@ -111,7 +117,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed messages of the lines that are any; columns of ``lines`` other than value stay.
 
     ``warnings`` names what is wrong with a recognised line; a line with warnings is malformed
-    but keeps what could be read. Built-in expressions only, one pass.
+    but keeps what could be read. Built-in expressions only, one pass: the columns are made
+    once behind a generator, so that filters on them are not worked out from the text again.
+    Filter on the text before, where a part of it is enough.
     """
     v = F.col("value")
     rows = lines.withColumn("msg_type", classify_line(v)).filter("msg_type is not null")
@@ -159,7 +167,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             "avc_data": F.when(avc, avc_data()),
         }
     )
-    return rows.drop("value", "pairs", "sctx", "tctx")
+    rows = rows.drop("value", "pairs", "sctx", "tctx")
+    return rows.select(F.explode(F.array(F.struct(*[F.col(c) for c in rows.columns]))).alias("m")).select("m.*")
 
 
 def avc_data() -> Column:
@@ -177,27 +186,41 @@ def malformed_lines(messages: DataFrame) -> DataFrame:
     return messages.filter(F.size("warnings") > 0).select("raw", "msg_type", "warnings")
 
 
-def join_continuations(lines: DataFrame, order: str = "line_no") -> DataFrame:
+#: Lines of a file that one task folds.
+FOLD_LINES = 10_000
+
+
+def join_continuations(lines: DataFrame, order: str = "line_no", fold_lines: int = FOLD_LINES) -> DataFrame:
     """Fold continued lines of a file into the message before them.
 
     An unmarked line after an unfinished BOOL, and a LOAD after a LOAD that lacks counts, go on.
     Messages are numbered by a running sum of their first lines. Other unmarked lines stay as
     they are. Returns file, the order of the first line, and value.
+
+    A file is cut into ranges of ``fold_lines`` lines, so a long one is folded by many tasks;
+    a range is told the last line before it and the last marked one, and its messages are
+    numbered on from those of the ranges before.
     """
-    kind = classify_line(F.col("value"))
-    by_file = Window.partitionBy("file").orderBy(order)
-    rows = lines.withColumn("kind", kind)
-    before = lambda c: F.lag(c).over(by_file)
+    rows = lines.withColumn("kind", classify_line(F.col("value"))).withColumn("part", F.floor(F.col(order) / fold_lines))
     open_bool = F.col("value").contains("committed booleans") & ~F.col("value").contains("}")
     rows = rows.withColumn("open", F.when(F.col("kind") == "BOOL", open_bool).when(F.col("kind").isNull(), ~F.col("value").contains("}")).otherwise(F.lit(False)))
-    # the marked line that an unmarked one may belong to, and whether all lines since are open
-    rows = rows.withColumn("mark", F.last("kind", ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1)))
-    goes_on = F.col("kind").isNull() & (F.col("mark") == "BOOL") & F.coalesce(before("open"), F.lit(False))
-    second_load = (F.col("kind") == "LOAD") & (before("kind") == "LOAD") & F.col("value").rlike(r"\d+ (classes|rules)") & before("value").rlike(r"\d+ users")
-    rows = rows.withColumn("first", F.when(F.coalesce(goes_on | second_load, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("message", F.sum("first").over(by_file.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "value")))
-    return rows.groupBy("file", "message").agg(F.min(order).alias(order), F.array_join(F.transform(parts, lambda p: p["value"]), " ").alias("value")).drop("message")
+    line = F.struct("kind", "open", F.col("value").rlike(r"\d+ users").alias("users"))
+    tails = rows.groupBy("file", "part").agg(F.max_by(line, order).alias("tail"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col(order))).alias("last_kind"))
+    parts = Window.partitionBy("file").orderBy("part")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    tails = tails.select("file", "part", F.lag("tail").over(parts).alias("tail"), F.last("last_kind", ignorenulls=True).over(earlier).alias("last_kind"))
+    inside = Window.partitionBy("file", "part").orderBy(order)
+    above = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(tails, ["file", "part"])
+    # the line before, and the marked line that an unmarked one may belong to
+    rows = rows.withColumns({"before": F.coalesce(F.lag(line).over(inside), F.col("tail")), "mark": F.coalesce(F.last("kind", ignorenulls=True).over(above), F.col("last_kind"))})
+    goes_on = F.col("kind").isNull() & (F.col("mark") == "BOOL") & F.coalesce(F.col("before.open"), F.lit(False))
+    second_load = (F.col("kind") == "LOAD") & (F.col("before.kind") == "LOAD") & F.col("value").rlike(r"\d+ (classes|rules)") & F.col("before.users")
+    rows = written(rows.select("file", "part", order, "value", F.when(F.coalesce(goes_on | second_load, F.lit(False)), 0).otherwise(1).alias("first")), "folded")
+    starts = rows.groupBy("file", "part").agg(F.sum("first").alias("n")).select("file", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    rows = rows.join(starts, ["file", "part"]).withColumn("message", F.col("start") + F.sum("first").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts_of = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "value")))
+    return rows.groupBy("file", "message").agg(F.min(order).alias(order), F.array_join(F.transform(parts_of, lambda p: p["value"]), " ").alias("value")).drop("message")
 
 
 def render_messages(messages: DataFrame, name: str = "text") -> DataFrame:
