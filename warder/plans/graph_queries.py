@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from warder.operators import flow, relabel, transitions
 from warder.plans.fixtures import Relations
 
-HOPS = 3
-
 EDGES = """edge AS (
   SELECT policy_id, src, src_side, dst, dst_side, max(length) AS length FROM (
     SELECT v.policy_id, CASE m.direction WHEN 'r' THEN coalesce(t.type, v.target) ELSE v.source END AS src, CASE m.direction WHEN 'r' THEN 'object' ELSE 'subject' END AS src_side,
@@ -23,6 +21,12 @@ def edges(r: Relations, **more) -> DataFrame:
     return flow.flow_edges(r.grouped_rules(), r.perm_map, r.policy_type_attr(), **more)
 
 
+def domains(r: Relations) -> DataFrame:
+    """All types that are the source or target of a transition."""
+    t = r.dom_edge.filter("edge = 'transition'")
+    return t.select("policy_id", F.explode(F.array("source", "target")).alias("type")).distinct()
+
+
 def some(r: Relations, *names: str) -> DataFrame:
     return r.spark.createDataFrame([(p, n) for p in "FOP" for n in names], "policy_id string, type string")
 
@@ -57,7 +61,7 @@ POOL = "pool AS (SELECT DISTINCT policy_id, source, coalesce(t.type, target) AS
 
 
 def access(r: Relations) -> DataFrame:
-    found = transitions.domain_transitions(domain_edges(r), some(r, *[f"s{i}" for i in range(50)]), which="both", needs_change=False)
+    found = transitions.domain_transitions(domain_edges(r), domains(r), which="both", needs_change=False)
     kept = transitions.filter_access(found.filter("valid"), r.grouped_rules(), r.policy_types(), r.policy_type_attr(), "p5", ["file", "dir"], ["write"])
     return triples(kept)
 
@@ -82,15 +86,22 @@ QUERIES = {
  SELECT policy_id, count(*) AS n, count(*) AS total FROM (SELECT DISTINCT policy_id, source, coalesce(t.type, target) AS target, perm FROM kept LEFT JOIN type_attr AS t ON target = t.attr) GROUP BY 1"""),
     "flow_direct": (lambda r: flow.direct_flows(edges(r), some(r, "s3")).select("policy_id", "start", "end", "direction", "length"), f", {EDGES} SELECT policy_id, 's3' AS start, o AS \"end\", bit_or(way) AS direction, min(length) AS length FROM (SELECT policy_id, dst AS o, 2 AS way, length FROM edge WHERE src = 's3' UNION ALL SELECT policy_id, src, 1, length FROM edge WHERE dst = 's3') GROUP BY ALL"),
     "flow_both": (lambda r: flow.direct_flows(edges(r), some(r, "s3"), "both").select("policy_id", "start", "end", "length"), f", {EDGES} SELECT policy_id, 's3' AS start, o AS \"end\", min(length) AS length FROM (SELECT policy_id, dst AS o, 2 AS way, length FROM edge WHERE src = 's3' UNION ALL SELECT policy_id, src, 1, length FROM edge WHERE dst = 's3') GROUP BY ALL HAVING bit_or(way) = 3"),
-    "flow_transitive": (lambda r: paths(flow.transitive_flows(edges(r), some(r, "s3", "p7"), "out", HOPS)), f", {EDGES}, walk AS (SELECT p AS policy_id, s AS start, s AS node, side, 0 AS dist, 0 AS hops FROM (VALUES ('F'), ('O'), ('P')) AS a(p), (VALUES ('s3'), ('p7')) AS b(s), (VALUES ('subject'), ('object')) AS c(side) UNION SELECT w.policy_id, w.start, e.dst, e.dst_side, w.dist + e.length, w.hops + 1 FROM walk AS w JOIN edge AS e ON e.policy_id = w.policy_id AND e.src = w.node AND e.src_side = w.side WHERE w.hops < {HOPS}) SELECT policy_id, start, node AS \"end\", min(dist) AS length FROM walk WHERE hops > 0 AND node <> start GROUP BY ALL"),
+    "flow_transitive": (
+        lambda r: paths(flow.transitive_flows(edges(r), some(r, "s3", "p7"), "out")),
+        f""", {EDGES}, walk(policy_id, start, node, side, dist) USING KEY (policy_id, start, node, side) AS (
+ SELECT p, s, s, side, 0 FROM (VALUES ('F'), ('O'), ('P')) AS a(p), (VALUES ('s3'), ('p7')) AS b(s), (VALUES ('subject'), ('object')) AS c(side)
+ UNION SELECT w.policy_id, w.start, e.dst, e.dst_side, min(w.dist + e.length) FROM walk AS w JOIN edge AS e ON e.policy_id = w.policy_id AND e.src = w.node AND e.src_side = w.side
+ LEFT JOIN recurring.walk AS r ON r.policy_id = w.policy_id AND r.start = w.start AND r.node = e.dst AND r.side = e.dst_side WHERE r.dist IS NULL OR w.dist + e.length < r.dist GROUP BY ALL)
+ SELECT policy_id, start, node AS "end", min(dist) AS length FROM walk WHERE node <> start GROUP BY ALL""",
+    ),
     "flow_alternatives": (lambda r: flow.flow_alternatives(edges(r), r.spark.createDataFrame([(p, "s3", "s4") for p in "FOP"], "policy_id string, start string, end string"), 3, 2).select("policy_id", "start", "end", "length", "rank"), f", {EDGES} SELECT policy_id, start, \"end\", length, rank FROM (SELECT a.policy_id, 's3' AS start, 's4' AS \"end\", a.length + b.length AS length, row_number() OVER (PARTITION BY a.policy_id ORDER BY a.length + b.length, a.dst) AS rank FROM edge AS a JOIN edge AS b ON a.policy_id = b.policy_id AND a.dst = b.src AND a.dst_side = b.src_side WHERE a.src = 's3' AND b.dst = 's4') WHERE rank <= 3"),
-    "domtrans_forward": (lambda r: triples(transitions.domain_transitions(domain_edges(r), some(r, *[f"s{i}" for i in range(25)]), True, "valid", False)), f", {WHOLE} SELECT policy_id, start, ep, \"end\" FROM whole WHERE runs AND start IN (SELECT 's' || i FROM range(25) AS t(i))"),
-    "domtrans_reverse": (lambda r: triples(transitions.domain_transitions(domain_edges(r), some(r, *[f"s{i}" for i in range(25)]), False, "valid", False)), f", {WHOLE} SELECT policy_id, start, ep, \"end\" FROM whole WHERE runs AND \"end\" IN (SELECT 's' || i FROM range(25) AS t(i))"),
+    "domtrans_forward": (lambda r: triples(transitions.domain_transitions(domain_edges(r), domains(r), True, "valid", False)), f", {WHOLE} SELECT policy_id, start, ep, \"end\" FROM whole WHERE runs"),
+    "domtrans_reverse": (lambda r: triples(transitions.domain_transitions(domain_edges(r), domains(r), False, "valid", False)), f", {WHOLE} SELECT policy_id, start, ep, \"end\" FROM whole WHERE runs"),
     "domtrans_invalid": (
-        lambda r: triples(transitions.domain_transitions(domain_edges(r), some(r, "s1", "s2", "s3"), True, "invalid", True)),
+        lambda r: triples(transitions.domain_transitions(domain_edges(r), domains(r), True, "invalid", True)),
         f""", {WHOLE}, rows_ AS (SELECT policy_id, start, ep, "end" FROM whole UNION SELECT t.policy_id, t.source, NULL, t.target FROM dom_edge AS t WHERE t.edge = 'transition' AND NOT EXISTS (SELECT 1 FROM dom_edge AS e WHERE e.policy_id = t.policy_id AND e.edge = 'entrypoint' AND e.source = t.target)
  UNION SELECT c.policy_id, c.source, c.target, c.default_type FROM terules AS c JOIN dom_edge AS t ON t.policy_id = c.policy_id AND t.edge = 'transition' AND t.source = c.source AND t.target = c.default_type)
- SELECT * FROM rows_ AS x WHERE start IN ('s1', 's2', 's3') AND NOT (EXISTS (SELECT 1 FROM whole AS w WHERE w.runs AND w.policy_id = x.policy_id AND w.start = x.start AND w.ep = x.ep AND w."end" = x."end") AND EXISTS (SELECT 1 FROM terules AS c WHERE c.policy_id = x.policy_id AND c.source = x.start AND c.target = x.ep AND c.default_type = x."end"))""",
+ SELECT * FROM rows_ AS x WHERE NOT (EXISTS (SELECT 1 FROM whole AS w WHERE w.runs AND w.policy_id = x.policy_id AND w.start = x.start AND w.ep = x.ep AND w."end" = x."end") AND EXISTS (SELECT 1 FROM terules AS c WHERE c.policy_id = x.policy_id AND c.source = x.start AND c.target = x.ep AND c.default_type = x."end"))""",
     ),
     "domtrans_access": (access, f", {WHOLE} SELECT policy_id, start, ep, \"end\" FROM whole AS w WHERE runs AND EXISTS (SELECT 1 FROM avrule_perm AS a WHERE a.policy_id = w.policy_id AND a.kind = 'allow' AND a.perm = 'write' AND a.source = w.\"end\" AND a.target IN (SELECT 'p5' UNION SELECT attr FROM type_attr WHERE type = 'p5'))"),
     "domtrans_verify": (
