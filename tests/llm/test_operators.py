@@ -377,6 +377,9 @@ def test_suffix_windows():
                 windows[a - p, bytes(data[p - lo : p - lo + 20])].add(k % 4)
         want = [{p for p in range(lo, hi + 1) if len(windows[a - p, data[p - lo : p - lo + 20]]) > 1} for data, a, lo, hi, _ in found]
         got = suffix_dedup.repeated_windows(found, rule, 0, 16)
+        two = suffix_dedup.repeated_in_two(*found[:2], rule, 0, 16)
+        spread = lambda r: [{p for x, y in q for p in range(x, y + 1)} for q in r]
+        assert spread(two) == spread(suffix_dedup.repeated_windows(found[:2], rule, 0, 16))
         assert [{p for x, y in q for p in range(x, y + 1)} for q in got] == want
 
 

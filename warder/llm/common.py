@@ -65,6 +65,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def distilled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() returns as a staged table; scratch tables made on the way are deleted."""
+    path = scratch(spark, name)
+    with temporary(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warder.llm.common import documents, join_counted, staged
+from warder.llm.common import distilled, documents, join_counted, staged
 from warder.llm.rolling import gram_hashes, window_minima
 
 
@@ -166,12 +166,19 @@ def repeated_windows(contexts: list[tuple[bytes, int, int, int, int]], rule: Rul
     high = np.array([a - lo for _, a, lo, _, _ in contexts])
     name: dict[int, int] = {}
     doc = np.array([name.setdefault(c[4], len(name)) for c in contexts])
+    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    if len(name) == 1:
+        return out
     left = neighbours([c[: (a - lo) * w][::-1] for c, a, lo, _, _ in contexts], w)
     right = neighbours([c[(a - lo) * w :] for c, a, lo, _, _ in contexts], w)
-    offsets = np.arange(max(least, int(low.min())), min(most, int(high.max())) + 1)
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    first, end = max(least, int(low.min())), min(most, int(high.max())) + 1
+    # between these offsets neither the classes nor the contexts that have a window change
+    turns = np.unique(np.concatenate([[first], low, high + 1, rule.length - right[1], left[1] + 1]))
+    turns = turns[(turns >= first) & (turns < end)]
+    until = np.append(turns[1:], end) - 1
     step = max(1, CELLS // n)
-    for part in (offsets[i : i + step] for i in range(0, len(offsets), step)):
+    for at in range(0, len(turns), step):
+        part, upto = turns[at : at + step], until[at : at + step]
         inside = (low[None, :] <= part[:, None]) & (part[:, None] <= high[None, :])
         key = classes(*right, rule.length - part) * n + classes(*left, part)
         key = np.where(inside, key, n * n + np.arange(n)[None, :]) * n + doc[None, :]
@@ -182,18 +189,33 @@ def repeated_windows(contexts: list[tuple[bytes, int, int, int, int]], rule: Rul
         starts[:, 1:] = key[:, 1:] // n != key[:, :-1] // n
         ends = np.ones(key.shape, bool)
         ends[:, :-1] = starts[:, 1:]
-        first = np.maximum.accumulate(np.where(starts, place, 0), axis=1)
-        last = np.minimum.accumulate(np.where(ends, place, n - 1)[:, ::-1], axis=1)[:, ::-1]
-        again = np.take_along_axis(key, first, axis=1) != np.take_along_axis(key, last, axis=1)
+        head = np.maximum.accumulate(np.where(starts, place, 0), axis=1)
+        tail = np.minimum.accumulate(np.where(ends, place, n - 1)[:, ::-1], axis=1)[:, ::-1]
+        again = np.take_along_axis(key, head, axis=1) != np.take_along_axis(key, tail, axis=1)
         found = np.zeros(key.shape, np.int8)
         np.put_along_axis(found, order, again.astype(np.int8), axis=1)
         for i in np.flatnonzero(found.any(axis=0)).tolist():
             edge = np.flatnonzero(np.diff(found[:, i], prepend=0, append=0))
             anchor = contexts[i][1]
-            out[i] += [(anchor - int(part[e - 1]), anchor - int(part[s])) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+            out[i] += [(anchor - int(upto[e - 1]), anchor - int(part[s])) for s, e in zip(edge[::2], edge[1::2], strict=True)]
     return out
 
 
+def repeated_in_two(one: tuple, two: tuple, rule: Rule, least: int, most: int) -> list[list[tuple[int, int]]]:
+    """The same for two contexts."""
+    (c, a, lo, hi, doc), (c2, a2, lo2, hi2, doc2) = one, two
+    w = rule.width
+    if doc == doc2:
+        return [[], []]
+    right = common_prefix(c[(a - lo) * w :], c2[(a2 - lo2) * w :]) // w
+    low = max(least, rule.length - right, a - hi, a2 - hi2)
+    high = min(most, a - lo, a2 - lo2)
+    if low > high:
+        return [[], []]
+    high = min(high, common_prefix(c[: (a - lo) * w][::-1], c2[: (a2 - lo2) * w][::-1]) // w)
+    return [[(a - high, a - low)], [(a2 - high, a2 - low)]] if low <= high else [[], []]
+
+
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs [from, to) of units covered by windows that start in the given ranges."""
     out: list[list[int]] = []
@@ -257,27 +279,33 @@ def suffix_repeats(docs: DataFrame, rules: list[Rule], most_contexts: int = MOST
        units that each window of the part has: these are longer, and so on until few are equal
        or all of the window is in the key.
     """
-    carry = carry or []
+    spark, carry = docs.sparkSession, carry or []
     rows = keyed(docs, carry)
     across = F.element_at(F.array(*[F.lit(r.across) for r in rules]), F.col("rule") + 1)
-    anchors = staged(find_anchors(rows, rules), "anchors")
-    cores = anchors.groupBy("rule", "core").agg(F.count(F.lit(1)).alias("n"), differ("kid", "kh").alias("docs"))
-    cores = staged(cores.filter((F.col("n") > 1) & (~across | F.col("docs"))).drop("docs"), "cores")
-    twice = staged(join_counted(anchors, cores, ["rule", "core"], "n", ["kid", "lo"], "c").filter("c is not null").drop("c"), "core_rows")
-    one = F.min(F.struct("kid", "kh", "anchor", "lo", "hi")).alias("one")
-    contexts = twice.groupBy("rule", "core", "ctx").agg(F.count(F.lit(1)).alias("copies"), differ("kid", "kh").alias("docs"), one)
-    contexts = staged(contexts.withColumn("settled", (F.col("copies") > 1) & (~across | F.col("docs"))).drop("docs"), "contexts")
-    many = staged(contexts.groupBy("rule", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "many")
-    copied = staged(contexts.filter("copies > 1").select("rule", "core", "ctx", "copies", "settled"), "copied")
-
-    note = lambda whole, settled, at="": F.struct("rule", whole.alias("whole"), settled.alias("settled"), f"{at}anchor", f"{at}lo", f"{at}hi").alias("x")
-    again = join_counted(twice, copied, ["rule", "core", "ctx"], "copies", ["kid", "lo"], "c").filter("c is not null")
-    again = again.select("kid", "kh", note(F.col("c.settled"), F.lit(False)))
-    single = join_counted(contexts.filter("copies = 1 or settled"), many, ["rule", "core"], "n", ["ctx"], "c").filter("c is not null")
-    single = single.select("one.kid", "one.kh", note(F.lit(False), F.col("settled"), "one."))
-    notes = again.unionByName(single).groupBy("kid", "kh").agg(F.collect_list("x").alias("notes"))
-    first = staged(first_pass(rows.join(notes, ["kid", "kh"], "left"), rules, with_text, rows.schema["rest"].dataType.simpleString()), "first_pass")
 
+    def rows_of_cores() -> DataFrame:
+        anchors = staged(find_anchors(rows, rules), "anchors")
+        cores = anchors.groupBy("rule", "core").agg(F.count(F.lit(1)).alias("n"), differ("kid", "kh").alias("docs"))
+        cores = staged(cores.filter((F.col("n") > 1) & (~across | F.col("docs"))).drop("docs"), "cores")
+        return join_counted(anchors, cores, ["rule", "core"], "n", ["kid", "lo"], "c").filter("c is not null").drop("c")
+
+    def first_rows() -> DataFrame:
+        twice = distilled(spark, "core_rows", rows_of_cores)
+        one = F.min(F.struct("kid", "kh", "anchor", "lo", "hi")).alias("one")
+        contexts = twice.groupBy("rule", "core", "ctx").agg(F.count(F.lit(1)).alias("copies"), differ("kid", "kh").alias("docs"), one)
+        contexts = staged(contexts.withColumn("settled", (F.col("copies") > 1) & (~across | F.col("docs"))).drop("docs"), "contexts")
+        many = staged(contexts.groupBy("rule", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "many")
+        copied = staged(contexts.filter("copies > 1").select("rule", "core", "ctx", "copies", "settled"), "copied")
+
+        note = lambda whole, settled, at="": F.struct("rule", whole.alias("whole"), settled.alias("settled"), f"{at}anchor", f"{at}lo", f"{at}hi").alias("x")
+        again = join_counted(twice, copied, ["rule", "core", "ctx"], "copies", ["kid", "lo"], "c").filter("c is not null")
+        again = again.select("kid", "kh", note(F.col("c.settled"), F.lit(False)))
+        single = join_counted(contexts.filter("copies = 1 or settled"), many, ["rule", "core"], "n", ["ctx"], "c").filter("c is not null")
+        single = single.select("one.kid", "one.kh", note(F.lit(False), F.col("settled"), "one."))
+        notes = again.unionByName(single).groupBy("kid", "kh").agg(F.collect_list("x").alias("notes"))
+        return first_pass(rows.join(notes, ["kid", "kh"], "left"), rules, with_text, rows.schema["rest"].dataType.simpleString())
+
+    first = distilled(spark, "first_pass", first_rows)
     waiting = first.filter("text is not null")
     found = compared(cut_contexts(waiting, rules), rules, most_contexts)
     found = found.groupBy("kid", "kh").agg(F.collect_list(F.struct("rule", "lo", "hi")).alias("more"))
@@ -377,7 +405,8 @@ def sorted_windows(pieces: DataFrame, rules: list[Rule]) -> DataFrame:
         rule, _, least, most = key
         # a settled context stands for several documents, so it is like no other's
         contexts = [(units, anchor, lo, hi, ("settled", i) if settled else (kid, kh) if rules[rule].across else i) for i, (kid, kh, settled, anchor, lo, hi, units) in enumerate(group)]
-        for (kid, kh, settled, *_), found in zip(group, repeated_windows(contexts, rules[rule], least, most), strict=True):
+        ranges = repeated_in_two(*contexts, rules[rule], least, most) if len(group) == 2 else repeated_windows(contexts, rules[rule], least, most)
+        for (kid, kh, settled, *_), found in zip(group, ranges, strict=True):
             if not settled:
                 out += [(rule, kid, kh, a, b) for a, b in found]
 
