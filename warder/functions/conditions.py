@@ -51,10 +51,10 @@ def names(expr: Column) -> Column:
 
 def truth_key(expr: Column, branch: Column, most: int = 5) -> Column:
     """Identity of a condition and branch: sorted booleans and truth table, complemented in the
-    false branch, so that the true branch of x is the false branch of ``!x``. Null for more
-    than ``most`` booleans."""
+    false branch, so that the true branch of x is the false branch of ``!x``. A condition of
+    more than ``most`` booleans is known by its text and branch."""
     found = names(expr)
-    options = F.lit(None).cast("string")
+    options = F.concat(F.lit("text:"), render(expr), F.lit(":"), branch.cast("string"))
     for n in range(most + 1):
         table = []
         for values in product([False, True], repeat=n):

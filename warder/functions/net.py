@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,22 +31,43 @@ def ipv6(text: Column) -> Column:
     return F.when(fine, F.array_join(F.transform(whole, lambda g: F.lpad(F.lower(g), 4, "0")), ""))
 
 
+#: Distinct subnet masks that a lookup takes.
+MASKS = 1_000
+
+
 def subnet_lookup(addresses: DataFrame, column: str, subnets: DataFrame) -> DataFrame:
     """For numeric addresses the subnet (addr, mask as longs) that holds them, the one with the
-    longest mask first. ``subnets`` holds label statements: its distinct masks are read by the
-    driver, and each address is joined by equality once for each mask."""
-    masks = sorted(r["mask"] for r in subnets.select("mask").distinct().collect())
+    longest mask first. The distinct masks (at most MASKS) are read by the driver, and each
+    address is joined by equality once for each mask."""
+    masks = sorted(r["mask"] for r in subnets.select("mask").distinct().limit(MASKS + 1).collect())
+    if len(masks) > MASKS:
+        raise ValueError(f"more than {MASKS} masks")
     keyed = addresses.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]).cast("array<long>")))
     keyed = keyed.withColumn("net", F.col(column).bitwiseAND(F.col("mask")))
     table = subnets.withColumn("net", F.col("addr").bitwiseAND(F.col("mask"))).drop("addr")
-    hit = keyed.join(F.broadcast(table), ["mask", "net"])
+    hit = keyed.join(table, ["mask", "net"])
     values = F.struct(F.col("mask").alias("m"), *[c for c in table.columns if c not in ("mask", "net")])
     best = hit.groupBy(*addresses.columns).agg(F.max(values).alias("s"))
     return best.select(*addresses.columns, F.col("s.m").alias("mask"), *[F.col(f"s.{c}") for c in table.columns if c not in ("mask", "net")])
 
 
+#: Port numbers there are: the bound of what a table of port statements is spread over.
+PORTS = 65_536
+
+
+def port_table(portcon: DataFrame) -> DataFrame:
+    """Port statements (low, high, type, ...) with a row for each of their ports."""
+    ports = F.sequence(F.greatest("low", F.lit(0)), F.least("high", F.lit(PORTS - 1)))
+    return portcon.filter(F.col("low") <= F.col("high")).withColumn("port_no", F.explode(ports))
+
+
+def port_matches(rows: DataFrame, column: str, portcon: DataFrame) -> DataFrame:
+    """All statements of each port, by an equality join on the port number."""
+    return rows.join(port_table(portcon), F.col(column) == F.col("port_no")).drop("port_no")
+
+
 def port_lookup(rows: DataFrame, column: str, portcon: DataFrame) -> DataFrame:
     """The narrowest port statement (low, high, type) of each port."""
-    hit = rows.join(F.broadcast(portcon.select("low", "high", "type")), F.col(column).between(F.col("low"), F.col("high")))
-    order = Window.partitionBy(*rows.columns).orderBy(F.col("high") - F.col("low"), "low", "type")
-    return hit.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    best = F.min(F.struct((F.col("high") - F.col("low")).alias("width"), "low", "high", "type")).alias("s")
+    narrow = port_table(portcon.select("low", "high", "type")).groupBy("port_no").agg(best)
+    return rows.join(narrow, F.col(column) == F.col("port_no")).select(*rows.columns, "s.low", "s.high", "s.type")

@@ -275,27 +275,55 @@ def inc_dom_trans(t, o):
     return lacks.unionByName(found(stuck, "transition", item, "role", "no role and user for both domains"))
 
 
-#: Permissions by what they are on; each profile needs all of one side (fixed values).
+#: Permissions by what they are on, the domain itself or a labelled type, and class; each
+#: profile needs all of one side (fixed values).
 NET_PROFILES = {
-    "tcp": {"sock_file": ["read", "write", "getattr"], "tcp_socket": ["read", "write", "create"], "netif": ["tcp_send", "tcp_recv"], "node": ["tcp_send", "tcp_recv"], "port": ["send_msg", "recv_msg"], "association": ["sendto", "recvfrom"]},
-    "udp_send": {"sock_file": ["write", "getattr"], "udp_socket": ["write", "create"], "netif": ["udp_send"], "node": ["udp_send"], "port": ["send_msg"], "association": ["sendto"]},
-    "udp_recv": {"sock_file": ["read", "getattr"], "udp_socket": ["read", "create"], "netif": ["udp_recv"], "node": ["udp_recv"], "port": ["recv_msg"], "association": ["recvfrom"]},
+    "tcp": {
+        ("self", "sock_file"): ["read", "write", "getattr"],
+        ("self", "tcp_socket"): ["read", "write", "create"],
+        ("netif", "netif"): ["tcp_send", "tcp_recv"],
+        ("node", "node"): ["tcp_send", "tcp_recv"],
+        ("port", "tcp_socket"): ["send_msg", "recv_msg"],
+        ("assoc", "association"): ["sendto", "recvfrom"],
+    },
+    "udp_send": {
+        ("self", "sock_file"): ["write", "getattr"],
+        ("self", "udp_socket"): ["write", "create"],
+        ("netif", "netif"): ["udp_send"],
+        ("node", "node"): ["udp_send"],
+        ("port", "udp_socket"): ["send_msg"],
+        ("assoc", "association"): ["sendto"],
+    },
+    "udp_recv": {
+        ("self", "sock_file"): ["read", "getattr"],
+        ("self", "udp_socket"): ["read", "create"],
+        ("netif", "netif"): ["udp_recv"],
+        ("node", "node"): ["udp_recv"],
+        ("port", "udp_socket"): ["recv_msg"],
+        ("assoc", "association"): ["recvfrom"],
+    },
 }
 #: What is specific to a profile and so asks for the rest of it (fixed values).
 NET_SPECIFIC = {"tcp": ["tcp_socket", "tcp_send", "tcp_recv"], "udp_send": ["udp_send"], "udp_recv": ["udp_recv"]}
 
 
-@check("inc_net_access", "medium", ["rules", "types", "type_attr"])
+@check("inc_net_access", "medium", ["rules", "types", "type_attr", "isids", "netifcon", "nodecon", "portcon"])
 def inc_net_access(t, o):
-    """Network domains with some of a profile's specific permissions but not all it needs."""
-    spark = t["rules"].sparkSession
-    need = spark.createDataFrame([(p, c, x) for p, classes in NET_PROFILES.items() for c, perms in classes.items() for x in perms], "profile string, class string, perm string")
-    allow = expand_type(t["rules"].filter("kind = 'allow'"), "source", t["type_attr"])
-    has = allow.select("policy_id", "source", F.when(F.col("class") == "tcp_socket", "tcp_socket").when(F.col("class") == "udp_socket", "udp_socket").otherwise(F.col("class")).alias("class"), F.explode("perms").alias("perm")).distinct()
+    """Network domains with some of a profile's specific permissions but not all it needs, each
+    on the domain itself or on a type of interfaces, nodes, ports or associations."""
+    need = ", ".join(f"('{p}', '{place}', '{c}', '{x}')" for p, parts in NET_PROFILES.items() for (place, c), perms in parts.items() for x in perms)
+    need = F.broadcast(t["rules"].sparkSession.sql(f"SELECT * FROM VALUES {need} AS v (profile, place, class, perm)"))
+    wide = expand_type(expand_type(t["rules"].filter("kind = 'allow'"), "target", t["type_attr"]), "source", t["type_attr"])
+    wide = wide.select("policy_id", "source", "target", "class", F.explode("perms").alias("perm")).join(need.select("class", "perm").distinct(), ["class", "perm"])
+    kinds = {"netif": find_netif_types, "node": find_node_types, "port": find_port_types, "assoc": find_assoc_types}
+    places = together([f(t, o).select("policy_id", F.col("item").alias("target"), F.lit(place).alias("place")) for place, f in kinds.items()]).distinct()
+    own = wide.filter("source = target").withColumn("place", F.lit("self"))
+    key = ["policy_id", "source", "place", "class", "perm"]
+    has = own.select(*key).unionByName(wide.join(places, ["policy_id", "target"]).select(*key)).join(need.select("place", "class", "perm").distinct(), ["place", "class", "perm"]).distinct()
     asks = reduce(lambda a, b: a | b, [(F.col("profile") == p) & (F.col("class").isin(s) | F.col("perm").isin(s)) for p, s in NET_SPECIFIC.items()])
-    domains = has.join(F.broadcast(need), ["class", "perm"]).filter(asks).select("policy_id", "source", "profile").distinct()
-    lacks = domains.join(F.broadcast(need), "profile").join(has, ["policy_id", "source", "class", "perm"], "left_anti")
-    return found(lacks, "type", "source", "missing", F.concat_ws(" ", "class", "perm"), F.col("profile"))
+    domains = has.join(need, ["place", "class", "perm"]).filter(asks).select("policy_id", "source", "profile").distinct()
+    lacks = domains.join(need, "profile").join(has, key, "left_anti")
+    return found(lacks, "type", "source", "missing", F.concat_ws(" ", "place", "class", "perm"), F.col("profile"))
 
 
 @check("imp_range_trans", "medium", ["rules", "type_attr", "range_trans", "role_type", "user_role", "users"])

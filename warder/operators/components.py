@@ -170,9 +170,14 @@ def symbols_in_namespace(tables: dict[str, tuple[DataFrame, str]], prefix: str)
 
 
 def classes_of_perm(class_perm: DataFrame, perm: str) -> DataFrame:
+    """Classes that have a permission; give ``class_perms`` for inherited ones."""
     return class_perm.filter(F.col("perm") == perm).select("policy_id", "class").distinct()
 
 
+def commons_of_perm(common_perm: DataFrame, perm: str) -> DataFrame:
+    return common_perm.filter(F.col("perm") == perm).select("policy_id", "common").distinct()
+
+
 def context_compare(target: Column, search: Column, relation: str = "exact", fields: tuple[str, ...] = ("user", "role", "type")) -> Column:
     """Partial contexts: only what both have is compared; the range by its relation."""
     tests = [F.coalesce(target[f] == search[f], F.lit(True)) for f in fields]
@@ -202,3 +207,41 @@ def policy_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """(policy_id, component, n): rows of each table of a policy; aggregated per table, then unioned."""
     parts = [t.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n")).select("policy_id", F.lit(name).alias("component"), "n") for name, t in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def render_context(user: Column, role: Column, type_: Column, range_: Column | None = None) -> Column:
+    """``user:role:type[:range]``; a part that is missing is ``*``."""
+    parts = [F.coalesce(c, F.lit("*")) for c in (user, role, type_)]
+    return F.concat_ws(":", *parts, *([mls.render_range(range_)] if range_ is not None else []))
+
+
+def render_portcon(rows: DataFrame) -> DataFrame:
+    """Port statement; one port is written once. ``context`` is text."""
+    ports = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")))
+    return rows.withColumn("text", F.concat_ws(" ", F.lit("portcon"), "proto", ports, "context"))
+
+
+def render_netifcon(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.concat_ws(" ", F.lit("netifcon"), "name", "if_context", "msg_context"))
+
+
+def render_nodecon(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.concat_ws(" ", F.lit("nodecon"), "addr", "mask", "context"))
+
+
+#: Class of a labelled path as a statement writes it (fixed values).
+PATH_CLASSES = {"file": "--", "dir": "-d", "lnk_file": "-l", "chr_file": "-c", "blk_file": "-b", "sock_file": "-s", "fifo_file": "-p"}
+
+
+def render_genfscon(rows: DataFrame) -> DataFrame:
+    kind = reduce(lambda c, kv: c.when(F.col("class") == kv[0], kv[1]), list(PATH_CLASSES.items())[1:], F.when(F.col("class") == "file", "--"))
+    return rows.withColumn("text", F.concat_ws(" ", F.lit("genfscon"), "fs", "path", kind, "context"))
+
+
+def render_fs_use(rows: DataFrame) -> DataFrame:
+    """``behavior fs context;``, and nothing but the name for file systems without labels."""
+    return rows.withColumn("text", F.concat(F.concat_ws(" ", "behavior", "fs", "context"), F.lit(";")))
+
+
+def render_isid(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.concat_ws(" ", F.lit("sid"), "name", "context"))

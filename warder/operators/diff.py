@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warder.functions.conditions import truth_key
+from warder.functions.predicates import expand_type
 from warder.functions.state import written
 from warder.operators.rules import expand_rules
 
@@ -70,13 +71,12 @@ def mapped(df: DataFrame, side: str, column: str, ids: DataFrame) -> DataFrame:
 def deep_diff(one: DataFrame, two: DataFrame, identity: list[str], content: str, component: str, by_type: list[str] | None = None) -> DataFrame:
     """Full outer join on the identity; content is an array.
 
-    Keys whose content hash is equal on both sides are dropped before their arrays are
-    compared. form: added, removed, modified; with ``by_type``, an added or removed rule whose
+    Keys whose sorted content is equal on both sides are dropped. form: added, removed, modified; with ``by_type``, an added or removed rule whose
     type exists on one side only is add_by_type or remove_by_type.
     """
     key = ["orig_id", "mod_id", *identity]
-    wrap = lambda df, n: df.select(*key, F.array_sort(F.array_distinct(content)).alias(n), F.xxhash64(F.array_sort(F.array_distinct(content))).alias(f"{n}_hash"))
-    joined = wrap(one, "old").join(wrap(two, "new"), key, "full").filter(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
+    wrap = lambda df, n: df.select(*key, F.array_sort(F.array_distinct(content)).alias(n))
+    joined = wrap(one, "old").join(wrap(two, "new"), key, "full").filter(~F.col("old").eqNullSafe(F.col("new")))
     none = F.array().cast("array<string>")
     form = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
     if by_type:
@@ -137,8 +137,17 @@ def diff_roles(role_type: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFr
     return diff_groups(role_type, pairs, "role", "type", "role", ids, map_member=True)
 
 
-def diff_users(user_role: DataFrame, pairs: DataFrame) -> DataFrame:
-    return diff_groups(user_role, pairs, "user_name", "role", "user")
+def diff_users(user_role: DataFrame, pairs: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Users by their roles and, with ``users`` (policy_id, user_name, default_level, range), by
+    default level and range too, as members ``level ...`` and ``range ...``; with it, users
+    without roles are seen."""
+    if users is None:
+        return diff_groups(user_role, pairs, "user_name", "role", "user")
+    default, levels = F.col("default_level"), range_content(F.col("range"))
+    text = F.concat(F.lit("level "), default["rank"].cast("string"), F.lit(":"), F.array_join(F.array_sort(default["cats"]), " "))
+    mls_parts = F.concat(F.array_compact(F.array(text)), F.transform(F.coalesce(levels, F.array().cast("array<string>")), lambda x: F.concat(F.lit("range "), F.translate(x, ",", " "))))
+    members = users.select("policy_id", "user_name", F.explode(mls_parts).alias("role")).unionByName(user_role.select("policy_id", "user_name", "role"))
+    return diff_groups(members, pairs, "user_name", "role", "user", keys=users.select("policy_id", "user_name"))
 
 
 def diff_bools(bools: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,7 +166,10 @@ def diff_role_allow(rules: DataFrame, pairs: DataFrame) -> DataFrame:
     return diff_groups(rules, pairs, "source", "target", "role_allow")
 
 
-def diff_role_trans(rules: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
+def diff_role_trans(rules: DataFrame, pairs: DataFrame, ids: DataFrame, type_attr: DataFrame | None = None) -> DataFrame:
+    """Role transitions by source role and target type; attributes count as their types."""
+    if type_attr is not None:
+        rules = expand_type(rules, "target_type", type_attr).distinct()
     rows = [mapped(r, side, "target_type", ids).withColumn("content", F.array("default_role")) for side, r in zip(("orig", "mod"), sides(rules, pairs), strict=True)]
     return deep_diff(*rows, ["source", "target_type"], "content", "role_trans", ["target_type"])
 
@@ -176,8 +188,9 @@ def diff_range_trans(rules: DataFrame, pairs: DataFrame, ids: DataFrame) -> Data
 
 def cond_keys(rules: DataFrame, conds: DataFrame | None, most: int = 5) -> DataFrame:
     """Replace cond_id and branch by the identity of the condition ('' for none)."""
-    if conds is None:
-        return rules.withColumn("cond", F.lit(""))
+    if conds is None:  # identifiers are all there is to tell conditions apart
+        own = F.concat(F.lit("id:"), F.col("cond_id").cast("string"), F.lit(":"), F.col("branch").cast("string"))
+        return rules.withColumn("cond", F.coalesce(own, F.lit("")))
     out = rules.join(conds.select("policy_id", "cond_id", "expr"), ["policy_id", "cond_id"], "left")
     return out.withColumn("cond", F.coalesce(F.when(F.col("cond_id").isNotNull(), truth_key(F.col("expr"), F.col("branch"), most)), F.lit(""))).drop("expr")
 

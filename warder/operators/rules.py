@@ -166,14 +166,12 @@ def written_types(syn: DataFrame, side: str, types: DataFrame) -> DataFrame:
     return (plain if minus is None else plain.join(minus, ["policy_id", "syn_id", "type"], "left_anti")).distinct()
 
 
-def find_written_avrules(syn: DataFrame, search: RuleSearch, types: DataFrame, type_attr: DataFrame) -> DataFrame:
-    """Rules as written that contribute what is asked for."""
+def _written(syn: DataFrame, search: RuleSearch, types: DataFrame, type_attr: DataFrame) -> DataFrame:
     out = syn
+    if search.kinds:
+        out = out.filter(F.col("kind").isin(search.kinds))
     if search.classes:
         out = out.filter(F.arrays_overlap("classes", F.array(*[F.lit(c) for c in search.classes])))
-    if search.perms:
-        wanted = F.array(*[F.lit(p) for p in search.perms])
-        out = out.filter(F.size(F.array_except(wanted, "perms")) == 0 if search.all_perms else F.arrays_overlap("perms", wanted))
     for side, name, indirect in (("sources", search.source, search.source_indirect), ("targets", search.target, search.target_indirect)):
         if name:
             found = candidates(types, type_attr, name, regex=search.regex, indirect=indirect, written=True)
@@ -182,6 +180,21 @@ def find_written_avrules(syn: DataFrame, search: RuleSearch, types: DataFrame, t
     return out
 
 
+def find_written_avrules(syn: DataFrame, search: RuleSearch, types: DataFrame, type_attr: DataFrame) -> DataFrame:
+    """Access rules as written that contribute what is asked for."""
+    if search.perms:
+        wanted = F.array(*[F.lit(p) for p in search.perms])
+        syn = syn.filter(F.size(F.array_except(wanted, "perms")) == 0 if search.all_perms else F.arrays_overlap("perms", wanted))
+    return _written(syn, search, types, type_attr)
+
+
+def find_written_terules(syn: DataFrame, search: RuleSearch, types: DataFrame, type_attr: DataFrame) -> DataFrame:
+    """Type rules as written, by what they name and their default type."""
+    if search.default:
+        syn = semi(syn, _set(types, type_attr, search.default, search.regex, False, None), "default_type")
+    return _written(syn, search, types, type_attr)
+
+
 def expanded_to_written(rules: DataFrame, syn: DataFrame) -> DataFrame:
     """Written rules (syn_id, lineno) of each expanded rule, by rule_id."""
     return rules.join(syn.select("policy_id", "rule_id", "syn_id", "lineno"), ["policy_id", "rule_id"])
@@ -216,5 +229,17 @@ def render_range_trans(rules: DataFrame) -> DataFrame:
     return rules.withColumn("text", F.concat(F.format_string("range_transition %s %s : %s ", "source", "target", "class"), mls.render_range(F.col("range")), F.lit(";")))
 
 
+def render_conditional(rules: DataFrame, conds: DataFrame) -> DataFrame:
+    """(policy_id, cond_id, text): each condition with the statements of both branches, sorted.
+    ``rules`` have their text and branch; a branch without rules is left out."""
+    branch = lambda b: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("branch") == b, F.col("text")))), lambda t: F.concat(F.lit("  "), t)), "\n")
+    both = rules.filter("cond_id is not null").groupBy("policy_id", "cond_id").agg(branch(True).alias("yes"), branch(False).alias("no"))
+    head = F.concat(F.lit("if ("), conditions.render(F.col("expr")), F.lit(") {\n"))
+    body = lambda c: F.when(F.col(c) == "", "").otherwise(F.concat(F.col(c), F.lit("\n")))
+    other = F.when(F.col("no") == "", "").otherwise(F.concat(F.lit(" else {\n"), body("no"), F.lit("}")))
+    joined = conds.join(both, ["policy_id", "cond_id"])
+    return joined.select("policy_id", "cond_id", F.concat(head, body("yes"), F.lit("}"), other).alias("text"))
+
+
 def sort_rules(rules: DataFrame) -> DataFrame:
     return rules.orderBy("text")

@@ -78,6 +78,15 @@ def domain_transitions(edges: dict[str, DataFrame], domains: DataFrame, forward:
     return rows.filter(match_name(F.col("end" if forward else "start"), pattern, True)) if pattern else rows
 
 
+def transitions_between(edges: dict[str, DataFrame], pairs: DataFrame, needs_change: bool = True) -> DataFrame:
+    """Valid transitions from a to b and from b to a for pairs (policy_id, a, b), each with
+    ``forward``. The pairs filter the edges before any join."""
+    ways = pairs.select("policy_id", F.col("a").alias("start"), F.col("b").alias("end"), F.lit(True).alias("forward"))
+    ways = ways.unionByName(pairs.select("policy_id", F.col("b").alias("start"), F.col("a").alias("end"), F.lit(False).alias("forward"))).distinct()
+    found = domain_transitions(edges, ways.select("policy_id", F.col("start").alias("type")), True, "valid", needs_change)
+    return found.join(ways, ["policy_id", "start", "end"])
+
+
 def orphan_type_transitions(edges: dict[str, DataFrame], needs_change: bool = True) -> DataFrame:
     """type_transition rules that no transition uses, as invalid results with what there is."""
     change = _known(edges["type_transition"], "type_transition", ["start", "ep", "end"])

@@ -26,7 +26,6 @@ def tables(r: Relations) -> dict[str, DataFrame]:
     users = every(r, r.user_role.select("user_name").distinct().unionByName(r.spark.createDataFrame([("idle_u",)], "user_name string")))
     users = users.withColumn("range", mls.level_range(mls.level(F.lit("s"), F.lit(0), F.array(F.lit("c0"))), mls.level(F.lit("s"), F.lit(4), F.array(F.lit("c0")))))
     ranges = r.range_trans.withColumn("range", mls.level_range(level("low_rank"), level("high_rank")))
-    sids = r.spark.createDataFrame([(p, n, f"p{i}") for p in "FOP" for i, n in enumerate(("unlabeled", "netif", "node", "port"))], "policy_id string, name string, type string")
     return {
         "types": r.policy_types().unionByName(extra),
         "type_attr": r.policy_type_attr(),
@@ -39,13 +38,21 @@ def tables(r: Relations) -> dict[str, DataFrame]:
         "role_allow": r.role_allow.filter("source <> 'AFRICA_r' AND target <> 'AFRICA_r'"),
         "role_trans": r.role_trans,
         "range_trans": ranges,
-        "isids": sids,
+        "isids": r.isids,
         "portcon": every(r, r.portcon),
-        "nodecon": sids.filter("name = 'node'").select("policy_id", F.lit("p50").alias("type")),
-        "netifcon": sids.filter("name = 'netif'").select("policy_id", F.lit("p60").alias("if_type"), F.lit("p61").alias("msg_type")),
+        "nodecon": r.nodecon,
+        "netifcon": r.netifcon,
     }
 
 
+def net_rules(r: Relations) -> DataFrame:
+    """Rules told as network rules; those on a directory type that ends in 1 are on the domain itself."""
+    is_dir = F.col("class") == "dir"
+    perms = F.transform("perms", lambda p: F.when(p == "append", "tcp_send").otherwise(p))
+    target = F.when(is_dir & F.col("target").endswith("1"), F.col("source")).otherwise(F.col("target"))
+    return r.grouped_rules().withColumns({"perms": perms, "target": target, "class": F.when(is_dir, "tcp_socket").otherwise("netif")})
+
+
 def domain_tables(r: Relations) -> dict[str, DataFrame]:
     rules, change = domain_rules(r)
     return tables(r) | {"rules": rules, "terules": change}
@@ -74,6 +81,10 @@ def each(sql: str) -> str:
 
 DOMAINS = """SELECT policy_id, type AS item FROM (VALUES ('F'), ('O'), ('P')) AS ids(policy_id), (SELECT type FROM type_attr WHERE attr = 'n5' UNION SELECT type FROM role_type) UNION SELECT DISTINCT policy_id, source FROM avrule_perm UNION SELECT policy_id, default_type FROM terules"""
 FILES = """SELECT policy_id, type AS item FROM (VALUES ('F'), ('O'), ('P')) AS ids(policy_id), (SELECT type FROM type_attr WHERE attr = 'Brand_11')"""
+SID = "SELECT policy_id, type AS item FROM isids WHERE name = '{}'"
+NETIFS = SID.format("netif") + " UNION SELECT policy_id, if_type FROM netifcon UNION SELECT policy_id, msg_type FROM netifcon"
+NODES = SID.format("node") + " UNION SELECT policy_id, type FROM nodecon"
+PORTS = SID.format("port") + " UNION SELECT policy_id, type FROM (VALUES ('F'), ('O'), ('P')) AS ids(policy_id), portcon"
 AUDIT = "SELECT policy_id, source, coalesce(t.type, target) AS target, class, perm, bool_or(kind = 'allow') AS a, bool_or(kind = 'auditallow') AS u, bool_or(kind = 'dontaudit') AS d FROM avrule_perm LEFT JOIN type_attr AS t ON target = t.attr GROUP BY ALL"
 STEPS = """steps AS (SELECT t.policy_id, t.source AS start, e.target AS ep, t.target AS "end", x.source IS NOT NULL AS runs FROM dom_edge AS t LEFT JOIN dom_edge AS e ON e.policy_id = t.policy_id AND e.edge = 'entrypoint' AND e.source = t.target
  LEFT JOIN dom_edge AS x ON x.policy_id = t.policy_id AND x.edge = 'execute' AND x.source = t.source AND x.target = e.target WHERE t.edge = 'transition'
@@ -117,10 +128,10 @@ QUERIES = {
     "check_find_domains": (items("find_domains"), DOMAINS),
     "check_find_file_types": (items("find_file_types"), FILES),
     "check_find_net_domains": (items("find_net_domains"), "SELECT DISTINCT policy_id, source AS item FROM avrule_perm WHERE kind = 'allow' AND class = 'dir'"),
-    "check_find_assoc_types": (items("find_assoc_types"), each("SELECT 'p0' AS item FROM region LIMIT 1")),
-    "check_find_netif_types": (items("find_netif_types"), each("SELECT unnest(['p1', 'p60', 'p61']) AS item")),
-    "check_find_node_types": (items("find_node_types"), each("SELECT unnest(['p2', 'p50']) AS item")),
-    "check_find_port_types": (items("find_port_types"), each("SELECT 'p3' AS item UNION SELECT type FROM portcon")),
+    "check_find_assoc_types": (items("find_assoc_types"), SID.format("unlabeled")),
+    "check_find_netif_types": (items("find_netif_types"), NETIFS),
+    "check_find_node_types": (items("find_node_types"), NODES),
+    "check_find_port_types": (items("find_port_types"), PORTS),
     "check_domain_and_file": (items("domain_and_file"), f"SELECT * FROM ({DOMAINS}) INTERSECT SELECT * FROM ({FILES})"),
     "check_domains_wo_roles": (items("domains_wo_roles"), f"SELECT * FROM ({DOMAINS}) WHERE item NOT IN (SELECT type FROM role_type)"),
     "check_attribs_wo_types": (items("attribs_wo_types"), each("SELECT 'lonely_attr' AS item")),
@@ -136,14 +147,20 @@ QUERIES = {
         "SELECT policy_id, source AS item, CASE WHEN m THEN 'lacks dir mounton' ELSE 'lacks filesystem mount' END AS proof_text, target AS element FROM (SELECT policy_id, source, coalesce(t.type, target) AS target, bool_or(class = 'file' AND perm = 'read') AS m, bool_or(class = 'dir' AND perm = 'write') AS n FROM avrule_perm LEFT JOIN type_attr AS t ON target = t.attr WHERE kind = 'allow' GROUP BY ALL) WHERE m <> n",
     ),
     "check_inc_net_access": (
-        lambda r: checks.run_checks(tables(r) | {"rules": r.grouped_rules().withColumns({"perms": F.transform("perms", lambda p: F.when(p == "append", "tcp_send").otherwise(p)), "class": F.when(F.col("class") == "file", "netif").otherwise("tcp_socket")})}, ["inc_net_access"], OPTIONS).select("policy_id", "item", "proof_text", "element"),
-        """, need AS (SELECT * FROM (VALUES ('sock_file', 'read'), ('sock_file', 'write'), ('sock_file', 'getattr'), ('tcp_socket', 'read'), ('tcp_socket', 'write'), ('tcp_socket', 'create'), ('netif', 'tcp_send'), ('netif', 'tcp_recv'), ('node', 'tcp_send'), ('node', 'tcp_recv'), ('port', 'send_msg'), ('port', 'recv_msg'), ('association', 'sendto'), ('association', 'recvfrom')) AS v(c, p)),
- has AS (SELECT DISTINCT policy_id, source, CASE class WHEN 'file' THEN 'netif' ELSE 'tcp_socket' END AS c, CASE perm WHEN 'append' THEN 'tcp_send' ELSE perm END AS p FROM avrule_perm WHERE kind = 'allow')
- SELECT d.policy_id, d.source AS item, n.c || ' ' || n.p AS proof_text, 'tcp' AS element FROM (SELECT DISTINCT policy_id, source FROM has WHERE (c = 'tcp_socket' AND p IN ('read', 'write')) OR (c = 'netif' AND p = 'tcp_send')) AS d, need AS n WHERE NOT EXISTS (SELECT 1 FROM has AS h WHERE h.policy_id = d.policy_id AND h.source = d.source AND h.c = n.c AND h.p = n.p)""",
+        lambda r: checks.run_checks(tables(r) | {"rules": net_rules(r)}, ["inc_net_access"], OPTIONS).select("policy_id", "item", "proof_text", "element"),
+        f""", need AS (SELECT * FROM (VALUES ('self', 'sock_file', 'read'), ('self', 'sock_file', 'write'), ('self', 'sock_file', 'getattr'), ('self', 'tcp_socket', 'read'), ('self', 'tcp_socket', 'write'), ('self', 'tcp_socket', 'create'), ('netif', 'netif', 'tcp_send'), ('netif', 'netif', 'tcp_recv'), ('node', 'node', 'tcp_send'), ('node', 'node', 'tcp_recv'), ('port', 'tcp_socket', 'send_msg'), ('port', 'tcp_socket', 'recv_msg'), ('assoc', 'association', 'sendto'), ('assoc', 'association', 'recvfrom')) AS v(place, c, p)),
+ places AS (SELECT 'netif' AS place, * FROM ({NETIFS}) UNION ALL SELECT 'node', * FROM ({NODES}) UNION ALL SELECT 'port', * FROM ({PORTS}) UNION ALL SELECT 'assoc', * FROM ({SID.format("unlabeled")})),
+ wide AS (SELECT DISTINCT x.policy_id, x.source, coalesce(t.type, x.target) AS target, c, p FROM (SELECT policy_id, source, CASE WHEN class = 'dir' AND target LIKE '%1' THEN source ELSE target END AS target, CASE class WHEN 'file' THEN 'netif' ELSE 'tcp_socket' END AS c, CASE perm WHEN 'append' THEN 'tcp_send' ELSE perm END AS p FROM avrule_perm WHERE kind = 'allow') AS x LEFT JOIN type_attr AS t ON x.target = t.attr),
+ has AS (SELECT DISTINCT w.policy_id, w.source, n.place, n.c, n.p FROM (SELECT policy_id, source, 'self' AS place, c, p FROM wide WHERE source = target UNION SELECT w.policy_id, w.source, k.place, w.c, w.p FROM wide AS w JOIN places AS k ON k.policy_id = w.policy_id AND k.item = w.target) AS w JOIN need AS n ON n.place = w.place AND n.c = w.c AND n.p = w.p)
+ SELECT d.policy_id, d.source AS item, n.place || ' ' || n.c || ' ' || n.p AS proof_text, 'tcp' AS element FROM (SELECT DISTINCT policy_id, source FROM has WHERE c = 'tcp_socket' OR p IN ('tcp_send', 'tcp_recv')) AS d, need AS n WHERE NOT EXISTS (SELECT 1 FROM has AS h WHERE h.policy_id = d.policy_id AND h.source = d.source AND h.place = n.place AND h.c = n.c AND h.p = n.p)""",
     ),
     "check_inc_dom_trans": (
-        lambda r: checks.run_checks(domain_tables(r), ["inc_dom_trans"], OPTIONS).filter("proof_type = 'role'").select("policy_id", "item"),
-        f", {STEPS}, {WAYS} SELECT policy_id, start || ' ' || ep || ' ' || \"end\" AS item FROM ways WHERE runs AND NOT good",
+        lambda r: checks.run_checks(domain_tables(r), ["inc_dom_trans"], OPTIONS).select("policy_id", "item", "proof_type", "proof_text"),
+        f""", {STEPS}, {WAYS}, parts AS (SELECT DISTINCT s.policy_id, s.start, s.ep, s."end", EXISTS (SELECT 1 FROM dom_edge AS d WHERE d.policy_id = s.policy_id AND d.edge = 'transition' AND d.source = s.start AND d.target = s."end") AS tr,
+ EXISTS (SELECT 1 FROM dom_edge AS d WHERE d.policy_id = s.policy_id AND d.edge = 'entrypoint' AND d.source = s."end" AND d.target = s.ep) AS en, EXISTS (SELECT 1 FROM dom_edge AS d WHERE d.policy_id = s.policy_id AND d.edge = 'execute' AND d.source = s.start AND d.target = s.ep) AS ex,
+ EXISTS (SELECT 1 FROM terules AS c WHERE c.policy_id = s.policy_id AND c.source = s.start AND c.target = s.ep AND c.default_type = s."end") AS ty FROM steps AS s)
+ SELECT policy_id, start || ' ' || coalesce(ep, '?') || ' ' || "end" AS item, 'missing' AS proof_type, unnest(list_concat(CASE WHEN tr THEN [] ELSE ['transition'] END, CASE WHEN en THEN [] ELSE ['entrypoint'] END, CASE WHEN ex THEN [] ELSE ['execute'] END, ['setexec'], CASE WHEN ty THEN [] ELSE ['type_transition'] END)) AS proof_text FROM parts WHERE NOT (tr AND en AND ex)
+ UNION ALL SELECT policy_id, start || ' ' || ep || ' ' || "end", 'role', 'no role and user for both domains' FROM ways WHERE runs AND NOT good""",
     ),
     "check_imp_range_trans": (
         proofs("imp_range_trans"),
@@ -155,7 +172,7 @@ QUERIES = {
         proofs("unreachable_doms", domain_tables),
         f""", {STEPS}, {WAYS}, best AS (SELECT policy_id, "end" AS type, max(CASE WHEN good THEN 3 WHEN runs THEN 2 ELSE 1 END) AS best FROM ways GROUP BY ALL),
  doms AS (SELECT policy_id, type FROM {IDS}, (SELECT type FROM type_attr WHERE attr = 'n5' UNION SELECT type FROM role_type) UNION SELECT policy_id, source FROM dom_edge UNION SELECT policy_id, default_type FROM terules)
- SELECT d.policy_id, d.type AS item, CASE coalesce(b.best, 0) WHEN 0 THEN 'no transition' WHEN 1 THEN 'no valid transition' ELSE 'no role and user' END AS proof_text, '' AS element FROM doms AS d LEFT JOIN best AS b ON b.policy_id = d.policy_id AND b.type = d.type WHERE coalesce(b.best, 0) < 3 AND d.type NOT IN ('p0', 'p1', 'p2', 'p3')""",
+ SELECT d.policy_id, d.type AS item, CASE coalesce(b.best, 0) WHEN 0 THEN 'no transition' WHEN 1 THEN 'no valid transition' ELSE 'no role and user' END AS proof_text, '' AS element FROM doms AS d LEFT JOIN best AS b ON b.policy_id = d.policy_id AND b.type = d.type WHERE coalesce(b.best, 0) < 3 AND NOT EXISTS (SELECT 1 FROM isids AS i WHERE i.policy_id = d.policy_id AND i.type = d.type)""",
     ),
     "check_report": (lambda r: checks.check_report(checks.run_checks(tables(r), ["roles_wo_users", "users_wo_roles", "find_net_domains", "attribs_wo_types"], OPTIONS), "low").select("policy_id", "check", "severity", "items"), f"SELECT policy_id, name AS \"check\", 'low' AS severity, n AS items FROM {IDS}, (SELECT 'attribs_wo_types' AS name, 1 AS n UNION ALL SELECT 'users_wo_roles', 1 UNION ALL SELECT 'roles_wo_users', count(*) FROM (SELECT role FROM role_type UNION SELECT 'empty_r') WHERE role NOT IN (SELECT role FROM user_role))"),
     "labels_query": (lambda r: labels.query_labels(r.file_labels, LabelSearch(type="^p[0-4]", path="^/de", regex=True, range="s0-s1:c0.c3", relation="sub")).select("host", "path", "inode", "type"), "SELECT host, path, inode, type FROM file_labels WHERE regexp_matches(type, '^p[0-4]') AND regexp_matches(path, '^/de') AND rng = 's0-s1:c0.c3'"),

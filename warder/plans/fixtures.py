@@ -72,6 +72,57 @@ SELECT concat('h', CAST(page_id % 7 AS STRING)) AS host, regexp_extract(url, '^h
 FROM {pages}""",
     "portcon": r"""
 SELECT DISTINCT 'tcp' AS proto, p_size * 10 AS low, p_size * 10 + 9 AS high, concat('port_', CAST(p_size AS STRING)) AS type FROM {part}""",
+    "shipped_class": r"""
+SELECT DISTINCT o_orderstatus AS policy_id, concat('line', CAST(l_linenumber AS STRING)) AS class,
+  CASE WHEN l_linenumber IN (1, 2) THEN 'air_common' WHEN l_linenumber IN (3, 4) THEN 'land_common' END AS common
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "shipped_perm": r"""
+SELECT DISTINCT o_orderstatus AS policy_id, concat('line', CAST(l_linenumber AS STRING)) AS class, concat('perm', CAST(l_suppkey % 7 AS STRING)) AS perm
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity <= 10""",
+    "common_perm": r"""
+SELECT DISTINCT o_orderstatus AS policy_id, CASE WHEN l_linenumber IN (1, 2) THEN 'air_common' ELSE 'land_common' END AS common,
+  concat(CASE WHEN l_linenumber IN (1, 2) THEN 'fly' ELSE 'roll' END, CAST(l_suppkey % 5 AS STRING)) AS perm
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linenumber IN (1, 2, 3, 4)""",
+    "level_cat": r"""
+SELECT DISTINCT concat('s', CAST(p_size % 6 AS STRING)) AS sens, concat('c', CAST(p_partkey % 7 + p_size % 6 AS STRING)) AS cat FROM {part} WHERE p_size % 6 < 5""",
+    "level_alias": r"""
+SELECT DISTINCT concat('s', CAST(p_size % 6 AS STRING)) AS sens, concat('level', CAST(p_size % 6 AS STRING)) AS alias FROM {part}""",
+    "constraint_perm": r"""
+SELECT DISTINCT o_orderstatus AS policy_id, n_nationkey AS constraint_id, concat('class', CAST(n_regionkey AS STRING)) AS class,
+  concat('perm', CAST(o_custkey % 4 + n_nationkey % 3 AS STRING)) AS perm,
+  CASE n_nationkey % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'role' ELSE 'type' END AS sym,
+  CASE n_nationkey % 4 WHEN 0 THEN 'eq' WHEN 1 THEN 'neq' WHEN 2 THEN 'dom' ELSE 'incomp' END AS op, lower(replace(n_name, ' ', '_')) AS name
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
+    "isids": r"""
+SELECT o_orderstatus AS policy_id, CASE n_regionkey WHEN 0 THEN 'unlabeled' WHEN 1 THEN 'netif' WHEN 2 THEN 'node' WHEN 3 THEN 'port' ELSE 'kernel' END AS name,
+  concat('p', CAST(min(o_custkey % 200) AS STRING)) AS type
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+GROUP BY o_orderstatus, CASE n_regionkey WHEN 0 THEN 'unlabeled' WHEN 1 THEN 'netif' WHEN 2 THEN 'node' WHEN 3 THEN 'port' ELSE 'kernel' END""",
+    "netifcon": r"""
+SELECT o_orderstatus AS policy_id, concat('eth', CAST(o_custkey % 6 AS STRING)) AS name, concat('p', CAST(min(o_custkey % 200) AS STRING)) AS if_type,
+  concat('p', CAST(max(o_custkey % 200) AS STRING)) AS msg_type
+FROM {orders} GROUP BY o_orderstatus, concat('eth', CAST(o_custkey % 6 AS STRING))""",
+    "nodecon": r"""
+SELECT DISTINCT o_orderstatus AS policy_id, CASE WHEN o_custkey % 2 = 0 THEN 'ipv4' ELSE 'ipv6' END AS proto, concat('10.0.', CAST(o_custkey % 16 AS STRING), '.0') AS addr,
+  '255.255.255.0' AS mask, concat('p', CAST(o_custkey % 16 + 40 AS STRING)) AS type
+FROM {orders} WHERE o_totalprice > 200000""",
+    "genfscon": r"""
+SELECT DISTINCT concat('fs', CAST(page_id % 5 AS STRING)) AS fs, regexp_extract(url, '^https?://[^/]+(/[^/?#]*)', 1) AS path,
+  CASE page_id % 3 WHEN 0 THEN 'dir' ELSE 'file' END AS class, concat('p', CAST(page_id % 10 AS STRING)) AS type FROM {pages}""",
+    "fs_use": r"""
+SELECT lower(replace(n_name, ' ', '_')) AS fs, CASE n_regionkey % 3 WHEN 0 THEN 'fs_use_xattr' WHEN 1 THEN 'fs_use_trans' ELSE 'fs_use_task' END AS behavior,
+  concat('p', CAST(n_nationkey AS STRING)) AS type FROM {nation}""",
+    "bounds": r"""
+SELECT DISTINCT CASE n_regionkey % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'role' ELSE 'type' END AS kind, concat('s', CAST(s_suppkey % 50 AS STRING)) AS parent,
+  concat('s', CAST((s_suppkey * 7 + 1) % 50 AS STRING)) AS child FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
+    "default_object": r"""
+SELECT concat('size', CAST(p_size % 20 AS STRING)) AS class, CASE WHEN min(p_size) % 2 = 0 THEN 'source' END AS default_user, CASE WHEN max(p_partkey) % 3 = 0 THEN 'target' END AS default_role,
+  CASE WHEN min(p_partkey) % 2 = 0 THEN 'source' END AS default_type, CASE WHEN count(*) % 2 = 0 THEN 'low' END AS default_range FROM {part} GROUP BY concat('size', CAST(p_size % 20 AS STRING))""",
+    "polcap": r"""
+SELECT DISTINCT o_orderstatus AS policy_id, lower(replace(substring(o_orderpriority, 3), ' ', '_')) AS name FROM {orders} WHERE o_totalprice > 100000""",
+    "spaced_name": r"""
+SELECT DISTINCT 'type' AS kind, replace(p_brand, '#', '.') AS name FROM {part} UNION SELECT DISTINCT 'role' AS kind, concat('Brand.', lower(c_mktsegment)) AS name FROM {customer}
+UNION SELECT DISTINCT 'user' AS kind, lower(c_mktsegment) AS name FROM {customer}""",
     "perm_map": r"""
 SELECT c.class, p.perm, p.direction, p.weight FROM (VALUES ('file'), ('dir')) AS c(class) CROSS JOIN (VALUES
   ('read', 'r', 10), ('getattr', 'r', 7), ('execute', 'r', 5), ('write', 'w', 10), ('append', 'w', 9),

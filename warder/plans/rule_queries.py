@@ -101,5 +101,5 @@ QUERIES = {
     "rules_rendered": (lambda r: ru.render_avrule(r.grouped_rules().filter("kind = 'neverallow'")).select("policy_id", "text"), f"SELECT policy_id, kind || ' ' || source || ' ' || target || ' : ' || class || ' ' || CASE WHEN count(*) = 1 THEN any_value(perm) ELSE '{{ ' || string_agg(perm, ' ' ORDER BY perm) || ' }}' END || ';' AS text FROM avrule_perm WHERE kind = 'neverallow' GROUP BY {RULE}"),
     "written_rules": (written, f"SELECT policy_id, kind, source, target, class, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS lines FROM (SELECT DISTINCT {RULE}, ascii(perm) % 17 AS n FROM avrule_perm) GROUP BY {RULE}"),
     "mls_compare": (mls_pairs, "SELECT low_rank, high_rank, CASE WHEN low_rank = high_rank AND a = b THEN 'eq' WHEN low_rank >= high_rank AND a >= b THEN 'dom' WHEN low_rank <= high_rank AND a <= b THEN 'domby' ELSE 'incomp' END AS relation FROM (SELECT DISTINCT low_rank, high_rank, low_rank AS a, high_rank % 3 AS b FROM range_trans)"),
-    "port_range_join": (lambda r: r.audit.join(F.broadcast(r.portcon), F.col("port").between(F.col("low"), F.col("high"))).select("msg_id", "port", "type"), "SELECT msg_id, port, type FROM audit JOIN portcon ON port BETWEEN low AND high"),
+    "port_range_join": (lambda r: net.port_matches(r.audit, "port", r.portcon).select("msg_id", "port", "type"), "SELECT msg_id, port, type FROM audit JOIN portcon ON port BETWEEN low AND high"),
 }
