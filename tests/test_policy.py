@@ -162,7 +162,7 @@ def test_labels(spark, tmp_path):
     assert sorted(r["inode"] for r in labels.query_label_index(index, S(type="t1", dev="d0")).collect()) == [1, 3]
     assert labels.index_rows(index).count() == 3 and labels.label_index_info(index).first()["mls"]
     specs = [(1, "/.*", None, "u:r:t9:s0"), (2, "/en(/.*)?", "--", "u:r:t1:s0"), (3, "/x", None, "<<none>>")]
-    got = {r["inode"]: (r["line_no"], r["mismatch"]) for r in labels.expected_labels(inv, specs).collect()}
+    got = {r["inode"]: (r["line_no"], r["mismatch"]) for r in labels.expected_labels(inv, spark.createDataFrame(specs, "line_no int, path_regex string, kind string, context string")).collect()}
     assert got == {1: (2, False), 2: (1, True), 3: (3, False)}
     plan = labels.plan_relabel(inv, S(type="t2"), type_="t5").first()
     assert (plan["old"], plan["new"]) == ("u:r:t2:s0-s2:c0.c2", "u:r:t5:s0-s2:c0.c2")

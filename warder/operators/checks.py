@@ -51,10 +51,11 @@ def check(name: str, severity: str, needs: list[str]):
     return keep
 
 
-def found(df: DataFrame, item_type: str, item: str | Column, proof_type: str, proof: str | Column, element: str | Column = "") -> DataFrame:
+def found(df: DataFrame, item_type: str | Column, item: str | Column, proof_type: str, proof: str | Column, element: str | Column = "") -> DataFrame:
     """Findings without check and severity."""
     text = lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
-    return df.select("policy_id", F.lit(item_type).alias("item_type"), (F.col(item) if isinstance(item, str) else item).alias("item"), F.lit(proof_type).alias("proof_type"), text(proof).alias("proof_text"), text(element).alias("element")).distinct()
+    kind = F.lit(item_type) if isinstance(item_type, str) else item_type
+    return df.select("policy_id", kind.alias("item_type"), (F.col(item) if isinstance(item, str) else item).alias("item"), F.lit(proof_type).alias("proof_type"), text(proof).alias("proof_text"), text(element).alias("element")).distinct()
 
 
 def together(parts: list[DataFrame]) -> DataFrame:
@@ -227,13 +228,10 @@ def spurious_audit(t, o):
     key = ["policy_id", "source", "target", "class", "perm"]
     perm = wide.select("kind", "policy_id", "source", "target", "class", F.explode("perms").alias("perm"))
     has = perm.groupBy(*key).agg(F.bool_or(F.col("kind") == "allow").alias("allow"), F.bool_or(F.col("kind") == "auditallow").alias("audit"), F.bool_or(F.col("kind") == "dontaudit").alias("dont"))
-    item = F.concat_ws(" ", "source", "target", "class")
-    return together(
-        [
-            found(has.filter("dont and allow"), "dontaudit", item, "permission", "allowed but not to be audited", F.col("perm")),
-            found(has.filter("audit and not allow"), "auditallow", item, "permission", "audited but not allowed", F.col("perm")),
-        ]
-    )
+    what = lambda kind, why: F.struct(F.lit(kind).alias("kind"), F.lit(why).alias("why"))
+    wrong = F.array_compact(F.array(F.when(F.col("dont") & F.col("allow"), what("dontaudit", "allowed but not to be audited")), F.when(F.col("audit") & ~F.col("allow"), what("auditallow", "audited but not allowed"))))
+    rows = has.select("*", F.explode(wrong).alias("x"))
+    return found(rows, F.col("x.kind"), F.concat_ws(" ", "source", "target", "class"), "permission", F.col("x.why"), F.col("perm"))
 
 
 @check("inc_mount", "medium", ["rules", "type_attr"])

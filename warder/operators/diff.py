@@ -196,7 +196,8 @@ def cond_keys(rules: DataFrame, conds: DataFrame | None, most: int = 5) -> DataF
 
 
 def diff_rules(rules: DataFrame, type_attr: DataFrame, pairs: DataFrame, ids: DataFrame, content: str, component: str, kind: str, conds: DataFrame | None = None) -> DataFrame:
-    wide = cond_keys(expand_rules(rules.filter(F.col("kind") == kind), type_attr, content), conds)
+    # both sides of all pairs read these rows
+    wide = written(cond_keys(expand_rules(rules.filter(F.col("kind") == kind), type_attr, content), conds), "wide_rules")
     out = []
     for side, rows in zip(("orig", "mod"), sides(wide, pairs), strict=True):
         rows = mapped(mapped(rows, side, "source", ids), side, "target", ids)
@@ -205,7 +206,7 @@ def diff_rules(rules: DataFrame, type_attr: DataFrame, pairs: DataFrame, ids: Da
             rows = rows.select(*key, F.explode("perms").alias("p"))
         else:
             rows = mapped(rows, side, content, ids).select(*key, F.col(content).alias("p"))
-        out.append(rows.distinct().groupBy(*key).agg(F.collect_list("p").alias("content")))
+        out.append(rows.groupBy(*key).agg(F.collect_set("p").alias("content")))
     return deep_diff(*out, ["source", "target", "class", "cond"], "content", component, ["source", "target"])
 
 

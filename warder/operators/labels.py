@@ -178,16 +178,24 @@ def literal_prefix(pattern: str) -> str:
     return m.group(1) if m else ""
 
 
-def expected_labels(labels: DataFrame, specs: list[tuple[int, str, str | None, str]]) -> DataFrame:
+#: Label specs that an inventory is held against: the bound of what is read by the driver
+#: (to translate their patterns) and broadcast.
+MOST_SPECS = 100_000
+
+
+def expected_labels(labels: DataFrame, specs: DataFrame) -> DataFrame:
     """For every file the spec that holds and whether its label differs.
 
-    Specs (line_no, path_regex, kind, context) are definitions given to the driver. They are
+    Specs (line_no, path_regex, kind, context) are at most MOST_SPECS definitions. They are
     bucketed by their literal first component: a file meets those of its own component and those
     without one, never all. Of the specs that match the last in order holds. ``<<none>>`` asks for
     no label. Files no spec matches have no expectation.
     """
     spark = labels.sparkSession
-    rows = [(n, f"^(?:{extended_regex(p)})$", KINDS.get(k), c, literal_prefix(p)) for n, p, k, c in specs]
+    given = specs.select("line_no", "path_regex", "kind", "context").limit(MOST_SPECS + 1).collect()
+    if len(given) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} label specs")
+    rows = [(n, f"^(?:{extended_regex(p)})$", KINDS.get(k), c, literal_prefix(p)) for n, p, k, c in given]
     table = F.broadcast(spark.createDataFrame(rows, "line_no int, spec string, spec_class string, spec_context string, prefix string"))
     first = F.split("path", "/")
     keyed = labels.withColumn("prefix", F.explode(F.array_distinct(F.array(F.coalesce(F.get(first, F.lit(1)), F.lit("")), F.lit("")))))

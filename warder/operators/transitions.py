@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warder.functions.predicates import candidates, expand_type, match_name
+from warder.functions.state import written
 
 PARTS = ["transition", "entrypoint", "execute", "setexec", "type_transition"]
 
 
 def edge_tables(rules: DataFrame, terules: DataFrame, type_attr: DataFrame) -> dict[str, DataFrame]:
     """The five edges, expanded: transition (start, end), entrypoint (end, ep), execute (start,
-    ep), setexec (start), type_transition (start, ep, end), each with its rule_ids."""
-    allow = rules.filter("kind = 'allow' AND enabled AND class IN ('process', 'file')")
-    wide = expand_type(expand_type(allow, "target", type_attr), "source", type_attr)
+    ep), setexec (start), type_transition (start, ep, end), each with its rule_ids. Rules are
+    cut to those of edges before they are expanded, and expanded once."""
+    allow = rules.filter("kind = 'allow' AND enabled AND (class = 'process' AND arrays_overlap(perms, array('transition', 'setexec')) OR class = 'file' AND arrays_overlap(perms, array('entrypoint', 'execute')))")
+    allow = allow.select("policy_id", "rule_id", "source", "target", "class", "perms")
+    wide = written(expand_type(expand_type(allow, "target", type_attr), "source", type_attr), "edge_rules")
 
     def having(perm: str, class_: str, names: tuple[str, ...]) -> DataFrame:
         hit = wide.filter((F.col("class") == class_) & F.array_contains("perms", perm))

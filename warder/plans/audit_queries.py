@@ -81,7 +81,7 @@ QUERIES = {
     "audit_windowed_counts": (lambda r: r.audit.groupBy(F.date_trunc("hour", "ts").alias("hour"), "tclass").agg(*counts()), "SELECT date_trunc('hour', ts) AS hour, tclass, count(*) AS total, count(*) FILTER (decision = 'denied') AS denied, count(*) FILTER (decision = 'granted') AS granted, count(*) FILTER (msg_type = 'BOOL') AS bool_changes, count(*) FILTER (msg_type = 'LOAD') AS policy_loads FROM audit GROUP BY 1, 2"),
     "audit_continuation": (audit_continuation, "SELECT msg_id, msg_type, CASE msg_type WHEN 'BOOL' THEN 'allow_x' END AS bool_name, CASE msg_type WHEN 'BOOL' THEN msg_id % 2 = 0 END AS state, CASE msg_type WHEN 'LOAD' THEN 5 END AS users, CASE msg_type WHEN 'LOAD' THEN 4 END AS rules FROM audit WHERE msg_type IN ('BOOL', 'LOAD')"),
     "audit_explain": (
-        lambda r: explain_messages(r.audit.filter("msg_type = 'AVC'"), r.grouped_rules().filter("policy_id = 'O'"), r.policy_type_attr().filter("policy_id = 'O'")).select("msg_id", "kind", "rule_target", "perms"),
-        "SELECT a.msg_id, r.kind, r.target AS rule_target, string_agg(r.perm, ',' ORDER BY r.perm) AS perms FROM audit AS a JOIN (SELECT v.kind, v.source, v.target, v.class, v.perm, coalesce(t.type, v.target) AS concrete FROM avrule_perm AS v LEFT JOIN type_attr AS t ON v.target = t.attr WHERE v.policy_id = 'O') AS r ON a.stype = r.source AND a.ttype = r.concrete AND a.tclass = r.class WHERE a.msg_type = 'AVC' GROUP BY a.msg_id, r.kind, r.target",
+        lambda r: explain_messages(r.audit.filter("msg_type = 'AVC'"), r.grouped_rules(), r.policy_type_attr()).select("msg_id", "policy_id", "kind", "rule_target", "perms"),
+        "SELECT a.msg_id, r.policy_id, r.kind, r.target AS rule_target, string_agg(r.perm, ',' ORDER BY r.perm) AS perms FROM audit AS a JOIN (SELECT v.policy_id, v.kind, v.source, v.target, v.class, v.perm, coalesce(t.type, v.target) AS concrete FROM avrule_perm AS v LEFT JOIN type_attr AS t ON v.target = t.attr) AS r ON a.stype = r.source AND a.ttype = r.concrete AND a.tclass = r.class WHERE a.msg_type = 'AVC' GROUP BY a.msg_id, r.policy_id, r.kind, r.target",
     ),
 }

@@ -95,10 +95,6 @@ WAYS = """ways AS (SELECT s.*, s.runs AND (EXISTS (SELECT 1 FROM role_type AS a
    JOIN role_type AS a ON a.role = c.source AND a.type = s.start JOIN role_type AS b ON b.role = c.default_role AND b.type = s."end" WHERE c.policy_id = s.policy_id AND c.target_type = s.ep AND w.source <> 'AFRICA_r' AND w.target <> 'AFRICA_r')) AS good FROM steps AS s)"""
 
 
-def specs(r: Relations) -> list[tuple]:
-    return [tuple(x) for x in r.label_specs.orderBy("line_no").collect()]
-
-
 def index_query(r: Relations) -> DataFrame:
     index = labels.build_label_index(r.file_labels)
     return labels.query_label_index(index, LabelSearch(type="^p1", path="/[a-m]", regex=True, dev="dev1")).select("host", "path", "inode", "type")
@@ -114,7 +110,7 @@ def index_sizes(r: Relations) -> DataFrame:
 
 
 def expected(r: Relations) -> DataFrame:
-    return labels.expected_labels(r.file_labels, specs(r)).select("host", "path", "inode", "line_no", "expected", "mismatch")
+    return labels.expected_labels(r.file_labels, r.label_specs).select("host", "path", "inode", "line_no", "expected", "mismatch")
 
 
 def spec_match(r: Relations) -> DataFrame:

@@ -77,14 +77,14 @@ def subnets(r: Relations) -> DataFrame:
 QUERIES = {
     "subnet_lookup": (subnets, "SELECT msg_id, mask, type FROM (SELECT a.msg_id, s.mask, s.type, row_number() OVER (PARTITION BY a.msg_id ORDER BY s.mask DESC) AS n FROM (SELECT msg_id, 167772160 + CAST(substr(host, 2, 1) AS BIGINT) * 65536 + port AS ip FROM audit WHERE port IS NOT NULL) AS a JOIN (SELECT (167772160 + low) & mask AS net, mask, min(type) AS type FROM (SELECT low, type, CASE WHEN low % 20 = 0 THEN 4278255600 ELSE 4278255360 END AS mask FROM portcon) GROUP BY 1, 2) AS s ON (a.ip & s.mask) = s.net) WHERE n = 1"),
     "types_by_name": (lambda r: c.find_types(r.policy_types(), "^s[12]", True).select("policy_id", "type"), "SELECT policy_id, type FROM types, (VALUES ('F'), ('O'), ('P')) AS v(policy_id) WHERE NOT is_attr AND regexp_matches(type, '^s[12]')"),
-    "types_indirect": (lambda r: ru.candidates(r.policy_types(), r.policy_type_attr(), "Brand_1", regex=True, indirect=True).filter("policy_id = 'F'").select("type"), "SELECT type FROM types WHERE is_attr AND contains(type, 'Brand_1') UNION SELECT type FROM type_attr WHERE contains(attr, 'Brand_1')"),
-    "types_of_attr": (lambda r: c.listing(r.policy_type_attr().filter("policy_id = 'O'"), "attr", "type").select("attr", F.array_join("type", ",").alias("types")), "SELECT attr, string_agg(type, ',' ORDER BY type) AS types FROM type_attr GROUP BY attr"),
-    "attrs_of_type": (lambda r: c.listing(r.policy_type_attr().filter("policy_id = 'O'"), "type", "attr").select("type", F.array_join("attr", ",").alias("attrs")), "SELECT type, string_agg(attr, ',' ORDER BY attr) AS attrs FROM type_attr GROUP BY type"),
+    "types_indirect": (lambda r: ru.candidates(r.policy_types(), r.policy_type_attr(), "Brand_1", regex=True, indirect=True).select("policy_id", "type"), "SELECT policy_id, type FROM (VALUES ('F'), ('O'), ('P')) AS v(policy_id), (SELECT type FROM types WHERE is_attr AND contains(type, 'Brand_1') UNION SELECT type FROM type_attr WHERE contains(attr, 'Brand_1'))"),
+    "types_of_attr": (lambda r: c.listing(r.policy_type_attr(), "attr", "type").select("policy_id", "attr", F.array_join("type", ",").alias("types")), "SELECT policy_id, attr, string_agg(type, ',' ORDER BY type) AS types FROM (VALUES ('F'), ('O'), ('P')) AS v(policy_id), type_attr GROUP BY policy_id, attr"),
+    "attrs_of_type": (lambda r: c.listing(r.policy_type_attr(), "type", "attr").select("policy_id", "type", F.array_join("attr", ",").alias("attrs")), "SELECT policy_id, type, string_agg(attr, ',' ORDER BY attr) AS attrs FROM (VALUES ('F'), ('O'), ('P')) AS v(policy_id), type_attr GROUP BY policy_id, type"),
     "roles_by_type": (lambda r: c.find_roles(r.role_type.select(F.lit("F").alias("policy_id"), "role").distinct(), r.role_type.withColumn("policy_id", F.lit("F")), type_="s1").select("role"), "SELECT DISTINCT role FROM role_type WHERE type = 's1'"),
     "users_by_role": (lambda r: c.find_users(r.user_role.select(F.lit("F").alias("policy_id"), "user_name").distinct(), r.user_role.withColumn("policy_id", F.lit("F")), role="ASIA_r").select("user_name"), "SELECT DISTINCT user_name FROM user_role WHERE role = 'ASIA_r'"),
     "class_perms": (lambda r: c.listing(r.avrule_perm.select("policy_id", "class", "perm").distinct(), "class", "perm").select("policy_id", "class", F.array_join("perm", ",").alias("perms")), "SELECT policy_id, class, string_agg(DISTINCT perm, ',' ORDER BY perm) AS perms FROM avrule_perm GROUP BY ALL"),
     "policy_stats": (lambda r: c.policy_stats({"rules": r.grouped_rules(), "type_transitions": r.terules, "range_transitions": r.range_trans, "role_allow": r.role_allow, "role_transitions": r.role_trans}), f"SELECT policy_id, 'rules' AS component, count(*) AS n FROM (SELECT DISTINCT {RULE} FROM avrule_perm) GROUP BY 1 UNION ALL SELECT policy_id, 'type_transitions', count(*) FROM terules GROUP BY 1 UNION ALL SELECT policy_id, 'range_transitions', count(*) FROM range_trans GROUP BY 1 UNION ALL SELECT policy_id, 'role_allow', count(*) FROM role_allow GROUP BY 1 UNION ALL SELECT policy_id, 'role_transitions', count(*) FROM role_trans GROUP BY 1"),
-    "context_validate": (lambda r: c.context_validate(r.user_role.crossJoin(F.broadcast(r.role_type.filter("type in ('s1', 's2', 's3')").select("type").distinct())).withColumn("policy_id", F.lit("F")), r.user_role.withColumn("policy_id", F.lit("F")), r.role_type.withColumn("policy_id", F.lit("F"))).select("user_name", "role", "type", "valid"), "SELECT u.user_name, u.role, t.type, EXISTS (SELECT 1 FROM role_type AS x WHERE x.role = u.role AND x.type = t.type) AS valid FROM user_role AS u CROSS JOIN (SELECT DISTINCT type FROM role_type WHERE type IN ('s1', 's2', 's3')) AS t"),
+    "context_validate": (lambda r: c.context_validate(r.user_role.crossJoin(F.broadcast(r.role_type.select("type").distinct())).withColumn("policy_id", F.lit("F")), r.user_role.withColumn("policy_id", F.lit("F")), r.role_type.withColumn("policy_id", F.lit("F"))).select("user_name", "role", "type", "valid"), "SELECT u.user_name, u.role, t.type, EXISTS (SELECT 1 FROM role_type AS x WHERE x.role = u.role AND x.type = t.type) AS valid FROM user_role AS u CROSS JOIN (SELECT DISTINCT type FROM role_type) AS t"),
     "av_search": (lambda r: av(r, RuleSearch(["allow", "auditallow"], source="s7", target="Brand_12", target_indirect=True, classes=["file"], perms=["read", "write"])), f"SELECT {RULE}, {ALL} FROM avrule_perm WHERE kind IN ('allow', 'auditallow') AND source = 's7' AND (target = 'Brand_12' OR target IN (SELECT type FROM type_attr WHERE attr = 'Brand_12')) AND class = 'file' GROUP BY {RULE} HAVING bool_or(perm IN ('read', 'write'))"),
     "av_search_allperms": (lambda r: av(r, RuleSearch(["allow"], source="^s1", perms=["read", "getattr"], all_perms=True, regex=True)), f"SELECT {RULE}, {ALL} FROM avrule_perm WHERE kind = 'allow' AND regexp_matches(source, '^s1') GROUP BY {RULE} HAVING bool_or(perm = 'read') AND bool_or(perm = 'getattr')"),
     "av_source_any": (lambda r: av(r, RuleSearch(source="p11", source_as_any=True, source_indirect=True)), f"SELECT {RULE}, {ALL} FROM avrule_perm WHERE source IN (SELECT 'p11' UNION SELECT attr FROM type_attr WHERE type = 'p11') OR target IN (SELECT 'p11' UNION SELECT attr FROM type_attr WHERE type = 'p11') GROUP BY {RULE}"),
@@ -97,8 +97,8 @@ QUERIES = {
     "range_trans_intersect": (lambda r: find_ranges(r, 2, 3, "intersect"), "SELECT policy_id, source, target, low_rank, high_rank FROM range_trans WHERE low_rank <= 3 AND high_rank >= 2"),
     "cond_eval": (lambda r: ru.eval_conditionals(conds(r), r.bools).select("policy_id", "cond_id", "truth"), "SELECT c.policy_id, c.cond_id, CASE c.op WHEN '&&' THEN coalesce(a.state, false) AND NOT coalesce(b.state, false) WHEN '||' THEN coalesce(a.state, false) OR NOT coalesce(b.state, false) ELSE coalesce(a.state, false) <> (NOT coalesce(b.state, false)) END AS truth FROM conds AS c LEFT JOIN bools AS a ON c.policy_id = a.policy_id AND c.bool_a = a.bool LEFT JOIN bools AS b ON c.policy_id = b.policy_id AND c.bool_b = b.bool"),
     "cond_rules_enabled": (conditional_rules, "SELECT r.policy_id, coalesce(t.truth = (r.class = 'file'), false) AS enabled, count(*) AS n FROM (SELECT DISTINCT policy_id, kind, source, target, class, (ascii(right(source, 1)) + length(target)) % 12 AS cond_id FROM avrule_perm) AS r LEFT JOIN (SELECT c.policy_id, c.cond_id, CASE c.op WHEN '&&' THEN x AND NOT y WHEN '||' THEN x OR NOT y ELSE x <> (NOT y) END AS truth FROM (SELECT c.*, c.bool_a <> 'b2' AND coalesce(a.state, false) AS x, c.bool_b <> 'b2' AND coalesce(b.state, false) AS y FROM conds AS c LEFT JOIN bools AS a ON c.policy_id = a.policy_id AND c.bool_a = a.bool LEFT JOIN bools AS b ON c.policy_id = b.policy_id AND c.bool_b = b.bool) AS c) AS t ON r.policy_id = t.policy_id AND r.cond_id = t.cond_id GROUP BY 1, 2"),
-    "rules_expand": (lambda r: flat(ru.expand_rules(r.grouped_rules().filter("kind = 'allow'"), r.policy_type_attr())), f"SELECT policy_id, kind, source, target, class, string_agg(perm, ',' ORDER BY perm) AS perms FROM (SELECT DISTINCT v.policy_id, v.kind, v.source, coalesce(t.type, v.target) AS target, v.class, v.perm FROM avrule_perm AS v LEFT JOIN type_attr AS t ON v.target = t.attr WHERE kind = 'allow') GROUP BY {RULE}"),
-    "rules_rendered": (lambda r: ru.render_avrule(r.grouped_rules().filter("kind = 'neverallow'")).select("policy_id", "text"), f"SELECT policy_id, kind || ' ' || source || ' ' || target || ' : ' || class || ' ' || CASE WHEN count(*) = 1 THEN any_value(perm) ELSE '{{ ' || string_agg(perm, ' ' ORDER BY perm) || ' }}' END || ';' AS text FROM avrule_perm WHERE kind = 'neverallow' GROUP BY {RULE}"),
+    "rules_expand": (lambda r: flat(ru.expand_rules(r.grouped_rules(), r.policy_type_attr())), f"SELECT policy_id, kind, source, target, class, string_agg(perm, ',' ORDER BY perm) AS perms FROM (SELECT DISTINCT v.policy_id, v.kind, v.source, coalesce(t.type, v.target) AS target, v.class, v.perm FROM avrule_perm AS v LEFT JOIN type_attr AS t ON v.target = t.attr) GROUP BY {RULE}"),
+    "rules_rendered": (lambda r: ru.render_avrule(r.grouped_rules()).select("policy_id", "text"), f"SELECT policy_id, kind || ' ' || source || ' ' || target || ' : ' || class || ' ' || CASE WHEN count(*) = 1 THEN any_value(perm) ELSE '{{ ' || string_agg(perm, ' ' ORDER BY perm) || ' }}' END || ';' AS text FROM avrule_perm GROUP BY {RULE}"),
     "written_rules": (written, f"SELECT policy_id, kind, source, target, class, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS lines FROM (SELECT DISTINCT {RULE}, ascii(perm) % 17 AS n FROM avrule_perm) GROUP BY {RULE}"),
     "mls_compare": (mls_pairs, "SELECT low_rank, high_rank, CASE WHEN low_rank = high_rank AND a = b THEN 'eq' WHEN low_rank >= high_rank AND a >= b THEN 'dom' WHEN low_rank <= high_rank AND a <= b THEN 'domby' ELSE 'incomp' END AS relation FROM (SELECT DISTINCT low_rank, high_rank, low_rank AS a, high_rank % 3 AS b FROM range_trans)"),
     "port_range_join": (lambda r: net.port_matches(r.audit, "port", r.portcon).select("msg_id", "port", "type"), "SELECT msg_id, port, type FROM audit JOIN portcon ON port BETWEEN low AND high"),
