@@ -58,10 +58,32 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         delete(spark, _OPEN.pop())
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for a block."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Arrow batches of texts are held several times over by a Python worker.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    with settings(df.sparkSession, SMALL_BATCHES):
+        df.write.parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the scratch folder and read it back: lineage ends there."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,7 +92,7 @@ def distilled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) ->
     path = scratch(spark, name)
     with temporary(spark):
         df = build()
-        df.write.parquet(path)
+        write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

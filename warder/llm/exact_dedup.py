@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warder.llm.common import documents, join_counted, scratch, staged
+from warder.llm.common import documents, join_counted, scratch, settings, staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
 STATE = {
@@ -34,18 +33,6 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
-@contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def entries(docs: DataFrame, digest=sha256) -> DataFrame:
     """What the stream carries of a document: digest, identifier, and where its text is."""
     norm = normalised(F.col("text"))
