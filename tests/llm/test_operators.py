@@ -454,6 +454,30 @@ def test_quality(spark, none):
     assert kept.columns == docs.columns and 100 < kept.count() < docs.count()
 
 
+def test_quality_gradient():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(3)
+    w, better, worse = rng.normal(size=30), rng.integers(0, 30, (50, 4)), rng.integers(0, 30, (50, 4))
+    loss = lambda v: np.log1p(np.exp(-(v[better].sum(1) - v[worse].sum(1)))).mean()
+    got = quality.pair_gradient(w, better, worse)
+    for i in range(30):
+        step = np.zeros(30)
+        step[i] = 1e-6
+        assert abs((loss(w + step) - loss(w - step)) / 2e-6 - got[i]) < 1e-6
+
+
+def test_quality_threshold():
+    """As many fitted documents are kept as have label 1, those with the greatest strengths."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.7).astype(int)
+    x = rng.normal(size=(400, len(quality.FEATURES))) + 0.5 * y[:, None]
+    ranking = quality.fit_ranking(x, y)
+    strength, score = ranking.strength(x), ranking.score(x)
+    assert (score >= 0.5).sum() == y.sum()
+    assert strength[score >= 0.5].min() >= strength[score < 0.5].max()
+    assert strength[y == 1].mean() > strength[y == 0].mean()
+
+
 PAGES = [(1, "http://a/", "x" * 100), (2, "http://b/\r\n", "x" * 100), (3, None, "x" * 99), (4, "u", "x" * 99), (5, "u", None), (6, "u", ""), (7, "ü", "é" * 50), (8, "u", "\r\n\r\n" + prose(1, 5000)), (9, "u", "\r\n\r\n" + prose(1, 5000))]
 
 

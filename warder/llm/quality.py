@@ -127,6 +127,14 @@ class Ranking:
         return cls(np.array(d["edges"]), np.array(d["weights"]), d["threshold"], d["slope"])
 
 
+def pair_gradient(w: np.ndarray, better: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """Gradient of the mean logistic loss of preference pairs; the rows of ``better`` and
+    ``worse`` name the weights that add up to a document's strength."""
+    miss = 1 / (1 + np.exp(np.clip(w[better].sum(1) - w[worse].sum(1), -60, 60)))
+    each = np.repeat(miss, better.shape[1])
+    return (np.bincount(worse.ravel(), each, len(w)) - np.bincount(better.ravel(), each, len(w))) / len(better)
+
+
 def fit_ranking(x: np.ndarray, y: np.ndarray) -> Ranking:
     """Learn strengths from preference pairs: each pair has a document of label 1 and one of
     label 0, and the logistic loss is on the difference of their binned features.
@@ -153,9 +161,7 @@ def fit_ranking(x: np.ndarray, y: np.ndarray) -> Ranking:
     w, mean, square = np.zeros(n_features * BINS), np.zeros(n_features * BINS), np.zeros(n_features * BINS)
     for step in range(1, STEPS + 1):
         a, b = rng.choice(good, PAIRS_PER_STEP), rng.choice(bad, PAIRS_PER_STEP)
-        miss = 1 / (1 + np.exp(np.clip(w[flat[a]].sum(1) - w[flat[b]].sum(1), -60, 60)))
-        up = np.bincount(flat[b].ravel(), np.repeat(miss, n_features), len(w)) - np.bincount(flat[a].ravel(), np.repeat(miss, n_features), len(w))
-        g = up / PAIRS_PER_STEP + 1e-4 * w
+        g = pair_gradient(w, flat[a], flat[b]) + 1e-4 * w
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         w -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     ranking = Ranking(edges, w.reshape(n_features, BINS), 0.0, 1.0)
