@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warder.llm.common import documents, join_counted, scratch, settings, staged
+from warder.llm.common import documents, free_name, join_counted, scratch, settings, staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
 STATE = {
@@ -145,6 +145,11 @@ def dedup_stream(spark: SparkSession, path: str, digest=sha256, files_per_trigge
     return dedup_entries(docs, at, digest, files_per_trigger)
 
 
+def locator(docs: DataFrame) -> tuple[str, str]:
+    """Names of the locator's columns, file and row, beside those of the documents."""
+    return free_name(docs, "__file"), free_name(docs, "__row")
+
+
 def dedup_table(docs: DataFrame, digest=sha256, files_per_trigger: int = 1000) -> tuple[DataFrame, DataFrame]:
     """The same for documents that are a DataFrame: (documents with locators file and row, decisions).
 
@@ -157,7 +162,8 @@ def dedup_table(docs: DataFrame, digest=sha256, files_per_trigger: int = 1000) -
         docs = staged(docs, "documents")
     at = scratch(spark, "entries")
     entries(docs, digest).write.parquet(at)
-    located = docs.select("*", F.col("_metadata")["file_path"].alias("__file"), F.col("_metadata")["row_index"].alias("__row"))
+    file, row = locator(docs)
+    located = docs.select("*", F.col("_metadata")["file_path"].alias(file), F.col("_metadata")["row_index"].alias(row))
     return located, dedup_entries(docs, at, digest, files_per_trigger)
 
 
@@ -171,8 +177,9 @@ def dedup_entries(docs: DataFrame, path: str, digest, files_per_trigger: int) ->
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns."""
     located, decisions = dedup_table(docs)
-    dropped = decisions.filter("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return located.join(dropped, ["__file", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    file, row = locator(docs)
+    dropped = decisions.filter("not kept").select(F.col("file").alias(file), F.col("row").alias(row))
+    return located.join(dropped, [file, row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warder.llm.common import documents
+from warder.llm.common import documents, free_name
 
 #: Bound of the labelled rows that the ranking is fitted on.
 FIT_ROWS = 20_000
@@ -225,7 +225,7 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents with a score of at least 0.5, with their columns."""
-    name = "__quality_score"
+    name = free_name(docs, "__quality_score")
     return score_documents(docs, learn(docs, labels, fit_rows), name).filter(F.col(name) >= 0.5).drop(name)
 
 

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warder.llm.common import documents, join_counted, rank_in_groups, staged
+from warder.llm.common import documents, free_name, join_counted, rank_in_groups, staged
 
 BITS = 5
 
@@ -148,12 +148,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
         docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
     except AnalysisException:
         docs = staged(docs, "documents")
-    at = [F.col("_metadata")["file_path"].alias("__file"), F.col("_metadata")["row_index"].alias("__row")]
-    order = shard_documents(docs.select("doc_id", "text", "source", "lang", *at), shards, carry=["__file", "__row"]).select("__file", "__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    joined = docs.select("*", *at).join(order, ["__file", "__row"])
-    cut = joined.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    file, row, shard, slot = (free_name(docs, n) for n in ("__file", "__row", "__shard", "__slot"))
+    at = [F.col("_metadata")["file_path"].alias(file), F.col("_metadata")["row_index"].alias(row)]
+    placed = shard_documents(docs.select("doc_id", "text", "source", "lang", *at), shards, carry=[file, row])
+    joined = docs.select("*", *at).join(placed.select(file, row, F.col("shard").alias(shard), F.col("slot").alias(slot)), [file, row])
+    cut = joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
-    cut.select(*rest, F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    cut.select(*rest, F.col(shard).alias("shard")).write.partitionBy("shard").parquet(path)
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
