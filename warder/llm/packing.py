@@ -21,7 +21,7 @@ from warder.llm.pieces import slices
 
 SEQUENCE = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 CACHE_WORD_CHARS = 64
 MARK = "7"
 #: Latin letters that are letters after the tokenizer's normaliser too (the dotted capital I
