@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, near_dedup, packing, pieces, quality, sharding, suffix_dedup, tool_calls, warc, winnowing
+from warder.llm import exact_dedup, importance, near_dedup, packing, pieces, quality, sharding, suffix_dedup, tool_calls, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tool_call_linking": tool_calls.op8_tool_call_linking,
         "op9_pairwise_quality": quality.op9_pairwise_quality,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
+        "op11_importance_resampling": importance.op11_importance_resampling,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_stream_dedup": exact_dedup.OP6_SQL,
         "op8_tool_call_linking": tool_calls.OP8_SQL,
         "op10_warc_round_trip": warc.OP10_SQL,
+        "op11_importance_resampling": importance.OP11_SQL,
     }
