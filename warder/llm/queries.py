@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, importance, near_dedup, packing, pieces, quality, sharding, suffix_dedup, tool_calls, warc, winnowing
+from warder.llm import exact_dedup, importance, near_dedup, packing, pieces, quality, sharding, suffix_dedup, tool_calls, trie, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pairwise_quality": quality.op9_pairwise_quality,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
         "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_prefix_trie": trie.op12_prefix_trie,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_tool_call_linking": tool_calls.OP8_SQL,
         "op10_warc_round_trip": warc.OP10_SQL,
         "op11_importance_resampling": importance.OP11_SQL,
+        "op12_prefix_trie": trie.OP12_SQL,
     }
