@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.llm import exact_dedup, importance, near_dedup, packing, pieces, quality, sharding, suffix_dedup, tool_calls, trie, warc, winnowing
+from warder.llm import exact_dedup, importance, language, near_dedup, packing, pieces, quality, sharding, suffix_dedup, tool_calls, trie, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc_round_trip": warc.op10_warc_round_trip,
         "op11_importance_resampling": importance.op11_importance_resampling,
         "op12_prefix_trie": trie.op12_prefix_trie,
+        "op13_language_id": language.op13_language_id,
     }
 
 
