@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from warder.functions.state import written
+from warder.sources.text_lines import RANGE_BYTES, read_lines
 
 #: Keys of an access message and the column and type that each goes to (fixed values).
 KEYS = {
@@ -49,14 +50,17 @@ LOAD_COUNTS = ["classes", "rules", "users", "roles", "types", "bools"]
 NO_YEAR = 1972
 
 
-def read_audit_text(spark: SparkSession, path: str | list[str], stream: bool = False) -> DataFrame:
-    """Log lines as (file, value). Parse them with ``parse_lines``; lines that span several
-    records need ``join_continuations`` first."""
-    if stream:
-        lines = spark.readStream.text(path)
-    else:
-        lines = spark.read.text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+def read_audit_text(spark: SparkSession, path: str | list[str], stream: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Log lines as (file, offset, value), offset being the byte where a line begins. Lines that
+    span several records need ``join_continuations`` (``read_audit`` has it) before
+    ``parse_lines``."""
+    return read_lines(spark, path, stream, range_bytes)
+
+
+def read_audit(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Messages of text logs, with file and offset of their first line. Files are read and
+    folded in byte ranges; a message that is cut by one comes out whole."""
+    return parse_lines(join_continuations(read_audit_text(spark, path, range_bytes=range_bytes), "offset", range_bytes))
 
 
 def union_logs(logs: list[DataFrame]) -> DataFrame:
@@ -88,15 +92,13 @@ def context(text: Column) -> Column:
 
 def pairs(tail: Column) -> Column:
     """The key=value pairs of a message; the first of a key counts; quotes go."""
-    keys, values = F.regexp_extract_all(tail, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(tail, F.lit(PAIR), F.lit(2))
-    both = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    first = F.filter(both, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"], F.regexp_replace(x["v"], '^"|"$', ""))))
+    found = F.transform(F.regexp_extract_all(tail, F.lit(PAIR), F.lit(0)), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.btrim(x.substr(F.instr(x, "=") + 1, F.length(x)), F.lit('"')).alias("v")))
+    return F.map_from_entries(F.aggregate(found, F.lit([]).cast("array<struct<k:string,v:string>>"), lambda kept, x: F.when(F.exists(kept, lambda y: y["k"] == x["k"]), kept).otherwise(F.array_append(kept, x))))
 
 
-def header(value: Column) -> dict[str, Column]:
-    """Host, date and serial. Each pattern is matched once, and the match is split."""
-    syslog, stamp = F.split(F.regexp_extract(value, SYSLOG, 0), r"[\s:]+"), F.split(F.regexp_extract(value, STAMP, 0), r"[(.:)]")
+def header(head: Column, stamp: Column) -> dict[str, Column]:
+    """Host, date and serial, of what SYSLOG and STAMP match."""
+    syslog, stamp = F.split(head, r"[\s:]+"), F.split(stamp, r"[(.:)]")
     part = lambda parts, i: F.get(parts, F.lit(i))
     months = F.array(*[F.lit(m) for m in MONTHS])
     month = F.array_position(months, part(syslog, 0))
@@ -106,7 +108,7 @@ def header(value: Column) -> dict[str, Column]:
     stamped = F.timestamp_micros(seconds * 1_000_000 + fraction)
     return {
         # a host may hold colons, so it is cut from the end of the head
-        "host": F.nullif(F.regexp_replace(F.regexp_extract(value, SYSLOG, 0), r"^\w+\s+\d+ [\d:]+ | $", ""), F.lit("")),
+        "host": F.nullif(F.regexp_replace(head, r"^\w+\s+\d+ [\d:]+ | $", ""), F.lit("")),
         "ts": F.coalesce(stamped, dated),
         "has_year": stamped.isNotNull(),
         "serial": part(stamp, 3).cast("bigint"),
@@ -117,26 +119,35 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed messages of the lines that are any; columns of ``lines`` other than value stay.
 
     ``warnings`` names what is wrong with a recognised line; a line with warnings is malformed
-    but keeps what could be read. Built-in expressions only, one pass: the columns are made
-    once behind a generator, so that filters on them are not worked out from the text again.
+    but keeps what could be read. Built-in expressions only, one pass: what the patterns match
+    (head, stamp, pairs of keys and values) is made once behind a generator, so that filters do
+    not work it out again; all columns are derived from that, and those not read are not made.
     Filter on the text before, where a part of it is enough.
     """
     v = F.col("value")
     rows = lines.withColumn("msg_type", classify_line(v)).filter("msg_type is not null")
-    rows = rows.withColumns(header(v))
     avc = F.col("msg_type") == "AVC"
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != "value"]
+    matched = {
+        "raw": v,
+        "__head": F.regexp_extract(v, SYSLOG, 0),
+        "__stamp": F.regexp_extract(v, STAMP, 0),
+        "__pairs": F.when(avc, pairs(F.regexp_extract(v, r"\bfor\s+(.*)$", 1))),
+    }
+    once = F.struct(*kept, *[c.alias(name) for name, c in matched.items()])
+    rows = rows.select(F.explode(F.array(once)).alias("m")).select("m.*")
+    v = F.col("raw")
+    rows = rows.withColumns(header(F.col("__head"), F.col("__stamp")))
     rows = rows.withColumns(
         {
             "decision": F.when(avc & v.rlike(r"avc:\s+denied"), "denied").when(avc & v.rlike(r"avc:\s+granted"), "granted"),
             "manager": F.when(avc, F.coalesce(F.nullif(F.regexp_extract(v, r"\b(kernel|\w+): .*avc:", 1), F.lit("")), F.lit("kernel"))),
             "perms": F.when(avc & v.rlike(r"\{[^}]*\}"), F.filter(F.split(F.regexp_extract(v, r"\{\s*([^}]*?)\s*\}", 1), r"\s+"), lambda p: p != "")),
-            "pairs": F.when(avc, pairs(F.regexp_extract(v, r"\bfor\s+(.*)$", 1))),
-            "raw": v,
         }
     )
     typed = {}
     for column, kind in COLUMNS.items():
-        texts = [F.try_element_at("pairs", F.lit(k)) for k, (c, _) in KEYS.items() if c == column]
+        texts = [F.try_element_at("__pairs", F.lit(k)) for k, (c, _) in KEYS.items() if c == column]
         typed[column] = F.coalesce(*texts).try_cast(kind)
     rows = rows.withColumns(typed).withColumns({"sctx": context(F.col("scontext")), "tctx": context(F.col("tcontext"))})
     for side, ctx in (("s", "sctx"), ("t", "tctx")):
@@ -145,9 +156,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     change = lambda x: F.struct(F.split(x, ":")[0].alias("bool"), (F.get(F.split(x, ":"), F.lit(1)) == "1").alias("value"))
     counts = F.struct(*[F.regexp_extract(v, rf"(\d+) {c}\b", 1).try_cast("int").alias(c) for c in LOAD_COUNTS])
     rows = rows.withColumns({"changes": F.when(F.col("msg_type") == "BOOL", F.transform(boolean, change)), "load": F.when(F.col("msg_type") == "LOAD", counts)})
-    unknown = F.filter(F.map_keys("pairs"), lambda k: ~k.isin(list(KEYS)))
+    unknown = F.filter(F.map_keys("__pairs"), lambda k: ~k.isin(list(KEYS)))
     numeric = [k for k, (_, kind) in KEYS.items() if kind != "string"]
-    bad_number = [F.try_element_at("pairs", F.lit(k)).isNotNull() & F.col(KEYS[k][0]).isNull() for k in numeric]
+    bad_number = [F.try_element_at("__pairs", F.lit(k)).isNotNull() & F.col(KEYS[k][0]).isNull() for k in numeric]
     sids = F.col("ssid").isNotNull() | F.col("tsid").isNotNull()
     contexts = F.col("scontext").isNotNull() | F.col("tcontext").isNotNull()
     checks = [
@@ -167,8 +178,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             "avc_data": F.when(avc, avc_data()),
         }
     )
-    rows = rows.drop("value", "pairs", "sctx", "tctx")
-    return rows.select(F.explode(F.array(F.struct(*[F.col(c) for c in rows.columns]))).alias("m")).select("m.*")
+    return rows.drop("__head", "__stamp", "__pairs", "sctx", "tctx")
 
 
 def avc_data() -> Column:

@@ -25,9 +25,17 @@ PENDING = "line_no long, value string, open boolean, load boolean"
 MESSAGE = "file string, line_no long, value string"
 
 
-def tail_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Streaming messages of a folder of log files; start it with ``trigger(processingTime=POLL)``."""
-    return parse_lines(read_audit_text(spark, path, stream=True))
+def tail_audit(spark: SparkSession, path: str | list[str], timeout_ms: int | None = None) -> DataFrame:
+    """Streaming messages of growing log files; start it with ``trigger(processingTime=POLL)``.
+
+    A message that goes on over several lines comes out whole, also when its lines arrive in
+    different batches; with ``timeout_ms`` an unfinished one comes out after so long. Sets the
+    session's state store (STORE), which folding needs.
+    """
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    lines = read_audit_text(spark, path, stream=True).withColumnRenamed("offset", "line_no")
+    return parse_lines(join_continuations_stream(lines, timeout_ms).withColumnRenamed("line_no", "offset"))
 
 
 def incremental_view(messages: DataFrame, view: View) -> DataFrame:
