@@ -1,3 +1,6 @@
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +85,7 @@ def test_flows(spark, t):
     assert {(r["end"]): (r["length"], r["path"]) for r in out.collect()} == {"t1": (1, ["t3", "t1"]), "t2": (1, ["t3", "t2"])}
     assert {r["end"]: r["length"] for r in into.collect()} == {"t3": 1, "t2": 8}
     assert flow.direct_flows(edges, start("t1"), "both").count() == 2
-    best = flow.flow_alternatives(edges, spark.createDataFrame([("A", "t3", "t1")], "policy_id string, start string, end string"), 2, 3).first()
+    best = flow.flow_alternatives(edges, spark.createDataFrame([("A", "t3", "t1")], "policy_id string, start string, end string"), 2).first()
     assert best["length"] == 1
 
 
@@ -198,3 +201,51 @@ def test_flows_reach_far_ends(spark, monkeypatch):
     monkeypatch.setattr(flow, "MOST_ROUNDS", 4)
     with pytest.raises(RuntimeError):
         flow.transitive_flows(edges, start)
+
+
+def simple_paths(edges, start, end):
+    """All loop-free ways from a type to the first arrival at another, with their lengths."""
+    out, stack = [], [(0, [(start, side)]) for side in ("subject", "object")]
+    while stack:
+        length, path = stack.pop()
+        for (a, b), w in edges.items():
+            if a == path[-1] and b not in path:
+                if b[0] == end:
+                    out.append((length + w, [*path, b]))
+                else:
+                    stack.append((length + w, [*path, b]))
+    return out
+
+
+def test_k_shortest_flows(spark):
+    rng = random.Random(1)
+    nodes = [(f"n{i}", side) for i in range(6) for side in ("subject", "object")]
+    edges = {}
+    for _ in range(26):
+        a, b = rng.choice(nodes), rng.choice(nodes)
+        if a[0] != b[0]:
+            edges[a, b] = rng.randint(1, 10)
+    edges |= {(("n0", "object"), ("m1", "subject")): 1, (("m1", "subject"), ("m2", "object")): 10, (("m2", "object"), ("n5", "subject")): 10}
+    table = spark.createDataFrame([("A", *a, *b, w, [0]) for (a, b), w in edges.items()], "policy_id string, src string, src_side string, dst string, dst_side string, length int, rule_ids array<long>")
+    asked = [("n0", "n5"), ("n1", "n3"), ("n4", "n2"), ("n2", "n2"), ("n5", "m1")]
+    pairs = spark.createDataFrame([("A", *p) for p in asked], "policy_id string, start string, end string")
+    got = collections.defaultdict(list)
+    for r in flow.flow_alternatives(table, pairs, 4).collect():
+        got[r["start"], r["end"]].append((r["rank"], r["length"], r["path"]))
+    for pair in asked:
+        want = simple_paths(edges, *pair) if pair[0] != pair[1] else []
+        found = sorted(got[pair])
+        assert [x[0] for x in found] == list(range(1, len(found) + 1))
+        assert [x[1] for x in found] == sorted(w for w, _ in want)[:4]
+        assert all((length, path) in [(w, [v[0] for v in p]) for w, p in want] for _, length, path in found)
+    starts = spark.createDataFrame([("A", f"n{i}") for i in range(6)], "policy_id string, type string")
+    flows = {(r["start"], r["end"]): r for r in flow.transitive_flows(table, starts).collect()}
+    for start in (f"n{i}" for i in range(6)):
+        for end in {v[0] for v in nodes} | {"m1", "m2"}:
+            want = simple_paths(edges, start, end) if start != end else []
+            if not want:
+                assert (start, end) not in flows
+                continue
+            r = flows[start, end]
+            assert r["length"] == min(want)[0] and r["hops"] == len(r["path"]) - 1
+            assert (r["length"], r["path"]) in [(w, [v[0] for v in p]) for w, p in want]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,8 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this application, at the end of a job: results that have
     not been written by then can no longer be read."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, scratch_root(spark))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,3 +39,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Rounds:
+    """A table that is replaced round by round; each is deleted when the next has been written.
+
+    ``put`` takes aggregates to find out on the way; ``seen`` has what they came to, without a
+    job of its own. They should not mind rows that are counted twice, as when a task is repeated.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path, self.seen = spark, name, None, {}
+
+    def put(self, df: DataFrame, **find: Column) -> DataFrame:
+        before, self.path = self.path, scratch_path(self.spark, self.name)
+        if find:
+            found = Observation()
+            df.observe(found, *[c.alias(name) for name, c in find.items()]).write.parquet(self.path)
+            self.seen = found.get
+        else:
+            df.write.parquet(self.path)
+        if before:
+            delete(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(self.path)

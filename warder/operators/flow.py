@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warder.functions.predicates import candidates, expand_type, match_name
-from warder.functions.state import written
+from warder.functions.state import Rounds, written
 
 
 def flow_edges(
@@ -67,60 +69,183 @@ def direct_flows(edges: DataFrame, starts: DataFrame, direction: str = "either",
 
 #: Rounds after which a search that still improves is given up with an error.
 MOST_ROUNDS = 1000
+#: Width of a bucket of lengths: that of the longest edge.
+WIDTH = 10
+KEY = ["policy_id", "search", "v"]
+
+
+def steps(edges: DataFrame, direction: str = "out") -> DataFrame:
+    """Edges (policy_id, a, b, w) between nodes (node, side), turned round for ``in``."""
+    at = lambda end: F.struct(F.col(end).alias("node"), F.col(f"{end}_side").alias("side"))
+    a, b = ("dst", "src") if direction == "in" else ("src", "dst")
+    return edges.select("policy_id", at(a).alias("a"), at(b).alias("b"), F.col("length").alias("w"))
+
+
+def both_sides(column: str) -> Column:
+    return F.explode(F.array(*[F.struct(F.col(column).alias("node"), F.lit(s).alias("side")) for s in ("subject", "object")])).alias("v")
+
+
+def shortest(step: DataFrame, sources: DataFrame, gone: DataFrame | None = None, cut: DataFrame | None = None, goals: DataFrame | None = None) -> DataFrame:
+    """(policy_id, search, v, dist, up): shortest lengths from the sources (policy_id, search, v)
+    of each search, with the node before on such a way (the smallest; null at a source).
+
+    All searches advance together through buckets of lengths: the nodes of a bucket are relaxed
+    until none improves and are then settled for good, written once and never joined again.
+    Only open nodes are rewritten from round to round. Searches avoid the nodes ``gone``
+    (policy_id, search, v) and the edges ``cut`` (policy_id, search, a, b), and end with the bucket
+    in which one of their ``goals`` (policy_id, search, v) is settled.
+    """
+    open_rows, none = Rounds(step.sparkSession, "open"), step.schema["a"].dataType
+    rows = open_rows.put(sources.select(*KEY, F.lit(0).alias("dist"), F.lit(None).cast(none).alias("up"), F.lit(True).alias("fresh")), low=F.min("dist"))
+    settled: list[DataFrame] = []
+    left, low = MOST_ROUNDS, open_rows.seen["low"]
+    while low is not None:
+        limit = (low // WIDTH + 1) * WIDTH
+        near = F.col("dist") < limit
+        while True:
+            moved = rows.filter(F.col("fresh") & near).withColumnRenamed("v", "a").join(step, ["policy_id", "a"])
+            if cut is not None:
+                moved = moved.join(cut, ["policy_id", "search", "a", "b"], "left_anti")
+            moved = moved.select("policy_id", "search", F.col("b").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), F.col("a").alias("up"))
+            for known in (gone, *settled):
+                moved = moved if known is None else moved.join(known.select(*KEY), KEY, "left_anti")
+            held = rows.select(*KEY, "dist", "up", (F.col("fresh") & ~near).alias("fresh"), F.col("dist").alias("was"))
+            both = held.unionByName(moved.withColumns({"fresh": F.lit(False), "was": F.lit(None).cast("int")}))
+            best = both.groupBy(*KEY).agg(F.min(F.struct("dist", "up")).alias("m"), F.min("was").alias("was"), F.bool_or("fresh").alias("fresh"))
+            better = F.col("was").isNull() | (F.col("m.dist") < F.col("was"))
+            best = best.select(*KEY, "m.dist", "m.up", (better | F.col("fresh")).alias("fresh"))
+            rows = open_rows.put(best, more=F.count(F.when(F.col("fresh") & near, 1)), low=F.min(F.when(~near, F.col("dist"))))
+            if not open_rows.seen["more"]:
+                break
+            left -= 1
+            if not left:
+                raise RuntimeError(f"flows did not settle in {MOST_ROUNDS} rounds")
+        low = open_rows.seen["low"]
+        settled.append(written(rows.filter(near).drop("fresh"), "settled"))
+        rows = rows.filter(~near)
+        if goals is not None:
+            rows = rows.join(settled[-1].join(goals, KEY, "left_semi").select("policy_id", "search").distinct(), ["policy_id", "search"], "left_anti")
+    return reduce(DataFrame.unionByName, settled) if settled else rows.drop("fresh")
+
+
+def within_hops(step: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
+    """The same for ways of at most so many steps; v and up also tell the step, as a node may be
+    reached by a longer way of fewer steps."""
+    at = lambda c, n: F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.side").alias("side"), F.lit(n).alias("hop"))
+    layer = sources.select("policy_id", "search", "v", F.lit(0).alias("dist"), F.lit(None).cast(step.schema["a"].dataType).alias("up"))
+    layers, best = [layer.select("policy_id", "search", at("v", 0).alias("v"), "dist", F.lit(None).cast(layer.select(at("v", 0).alias("v")).schema["v"].dataType).alias("up"))], layer
+    for hop in range(1, hops + 1):
+        moved = layer.withColumnRenamed("v", "a").drop("up").join(step, ["policy_id", "a"]).select("policy_id", "search", F.col("b").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), F.col("a").alias("up"))
+        moved = moved.groupBy(*KEY).agg(F.min(F.struct("dist", "up")).alias("m")).select(*KEY, "m.dist", "m.up")
+        layer = written(moved.join(best.select(*KEY, F.col("dist").alias("known")), KEY, "left").filter("known is null or dist < known").drop("known"), "layer")
+        best = written(best.unionByName(layer).groupBy(*KEY).agg(F.min("dist").alias("dist")), "best").withColumn("up", F.lit(None).cast(step.schema["a"].dataType))
+        layers.append(layer.select("policy_id", "search", at("v", hop).alias("v"), "dist", at("up", hop - 1).alias("up")))
+    return reduce(DataFrame.unionByName, layers)
+
+
+def trace(tree: DataFrame, ends: DataFrame) -> DataFrame:
+    """(policy_id, search, v, path): the nodes from a source to each of the ends (policy_id,
+    search, v), followed up the tree by pointer doubling: round n adds the nodes that are 2**n to
+    2**(n+1) - 1 steps up, and doubles the jumps."""
+    spark = tree.sparkSession
+    jumps, found = Rounds(spark, "jumps"), Rounds(spark, "ways")
+    n = F.count(F.lit(1))
+    jump = jumps.put(tree.filter("up is not null").select(*KEY, "up"), n=n)
+    way = found.put(ends.select(*KEY, F.col("v").alias("at"), F.lit(0).alias("back")))
+    size = 1
+    while jumps.seen["n"]:
+        over = jump.select("policy_id", "search", F.col("v").alias("at"), "up")
+        more = way.join(over, ["policy_id", "search", "at"]).select(*KEY, F.col("up").alias("at"), (F.col("back") + size).alias("back"))
+        way = found.put(way.unionByName(more))
+        twice = jump.withColumnRenamed("up", "at").join(over, ["policy_id", "search", "at"]).select(*KEY, "up")
+        jump, size = jumps.put(twice, n=n), size * 2
+    place = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("back"), "at")))
+    return way.groupBy(*KEY).agg(F.transform(place, lambda x: x["at"]).alias("path"))
 
 
 def transitive_flows(edges: DataFrame, starts: DataFrame, direction: str = "out", max_hops: int | None = None, end_pattern: str | None = None) -> DataFrame:
     """Shortest flows from (or into) each start: (policy_id, start, end, end_side, length, hops, path).
 
-    Bulk relaxation: all policies and starts advance together, keyed by (policy_id, start,
-    node); each round joins only the nodes that improved with the edges and keeps minima. The
-    state of a round is written to the checkpoint folder; the loop ends when nothing
-    improved, and raises after MOST_ROUNDS rounds without that. ``max_hops`` asks for flows of
-    at most so many steps instead. Among equal lengths the path with the smaller text
-    wins. Paths alternate between subjects and objects; types may return on the other side.
+    One path is given for each end; among equal lengths the smaller predecessor and side win.
+    ``max_hops`` asks for flows of at most so many steps. Paths alternate between subjects and
+    objects; types may return on the other side. See ``shortest`` and ``trace``: no state of a
+    round has paths in it.
     """
-    step = edges.select("policy_id", F.col("src").alias("a"), F.col("src_side").alias("a_side"), F.col("dst").alias("b"), F.col("dst_side").alias("b_side"), F.col("length").alias("w"))
-    if direction == "in":
-        step = edges.select("policy_id", F.col("dst").alias("a"), F.col("dst_side").alias("a_side"), F.col("src").alias("b"), F.col("src_side").alias("b_side"), F.col("length").alias("w"))
-    step = written(step, "edges")
-    start = starts.select("policy_id", F.col("type").alias("start")).distinct()
-    sides = F.explode(F.array(F.lit("subject"), F.lit("object")))
-    state = start.select("policy_id", "start", F.col("start").alias("node"), sides.alias("side"), F.lit(0).alias("dist"), F.lit(0).alias("hops"), F.array("start").alias("path"), F.lit(True).alias("fresh"))
-    state = written(state, "flow")
-    key = ["policy_id", "start", "node", "side"]
-    for _ in range(MOST_ROUNDS if max_hops is None else max_hops):
-        moved = state.filter("fresh").join(step, (state.policy_id == step.policy_id) & (state.node == step.a) & (state.side == step.a_side))
-        moved = moved.select(state.policy_id, "start", F.col("b").alias("node"), F.col("b_side").alias("side"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("b")).alias("path"), F.lit(True).alias("fresh"))
-        both = state.withColumn("fresh", F.lit(False)).unionByName(moved)
-        best = both.groupBy(*key).agg(F.min(F.struct("dist", "path", "hops", "fresh")).alias("m"))
-        state = written(best.select(*key, "m.dist", "m.hops", "m.path", "m.fresh"), "flow")
-        if state.filter("fresh").isEmpty():
-            break
-    else:
-        if max_hops is None:
-            raise RuntimeError(f"flows did not settle in {MOST_ROUNDS} rounds")
-    found = state.filter("hops > 0 AND node <> start")
-    found = found.groupBy("policy_id", "start", F.col("node").alias("end")).agg(F.min(F.struct("dist", "path", "hops", "side")).alias("m"))
-    found = found.select("policy_id", "start", "end", F.col("m.side").alias("end_side"), F.col("m.dist").alias("length"), "m.hops", "m.path")
-    return found.filter(match_name(F.col("end"), end_pattern, True)) if end_pattern else found
-
-
-def flow_alternatives(edges: DataFrame, pairs: DataFrame, k: int = 3, max_hops: int = 4) -> DataFrame:
-    """Up to k shortest loop-free flows for each pair (policy_id, start, end), by bounded path
-    extension that keeps the k best per (start, end, node)."""
-    step = written(edges.select("policy_id", F.col("src").alias("a"), F.col("src_side").alias("a_side"), F.col("dst").alias("b"), F.col("dst_side").alias("b_side"), F.col("length").alias("w")), "edges")
-    front = pairs.select("policy_id", "start", "end", F.col("start").alias("node"), F.explode(F.array(F.lit("subject"), F.lit("object"))).alias("side"), F.lit(0).alias("length"), F.array("start").alias("path"))
-    done = None
-    for hop in range(max_hops):
-        moved = front.join(step, (front.policy_id == step.policy_id) & (front.node == step.a) & (front.side == step.a_side)).filter(~F.array_contains("path", F.col("b")))
-        moved = moved.select(front.policy_id, "start", "end", F.col("b").alias("node"), F.col("b_side").alias("side"), (F.col("length") + F.col("w")).alias("length"), F.concat("path", F.array("b")).alias("path"))
-        order = Window.partitionBy("policy_id", "start", "end", "node", "side").orderBy("length", "path")
-        moved = written(moved.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n"), "paths")
-        hit = moved.filter("node = end").select("policy_id", "start", "end", "length", "path")
-        done = hit if done is None else done.unionByName(hit)
-        front = moved.filter("node <> end")
-    order = Window.partitionBy("policy_id", "start", "end").orderBy("length", "path")
-    return done.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    step = written(steps(edges, direction), "edges")
+    sources = starts.select("policy_id", F.col("type").alias("search")).distinct().select("policy_id", "search", both_sides("search"))
+    tree = shortest(step, sources) if max_hops is None else within_hops(step, sources, max_hops)
+    ends = tree.filter(F.col("v.node") != F.col("search"))
+    if end_pattern:
+        ends = ends.filter(match_name(F.col("v.node"), end_pattern, True))
+    ends = ends.groupBy("policy_id", "search", F.col("v.node").alias("end")).agg(F.min(F.struct("dist", "v")).alias("m"))
+    ends = written(ends.select("policy_id", "search", "end", F.col("m.v").alias("v"), F.col("m.dist").alias("length")), "ends")
+    found = ends.join(trace(tree, ends), KEY)
+    names = F.transform("path", lambda x: x["node"]).alias("path")
+    return found.select("policy_id", F.col("search").alias("start"), "end", F.col("v.side").alias("end_side"), "length", (F.size("path") - 1).alias("hops"), names)
+
+
+def spurs(fresh: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The searches that the newly accepted paths ask for: (searches, nodes gone, edges cut).
+
+    A path (policy_id, start, end, path, from_) is left at each of its nodes from the one on
+    where it left its own parent: the nodes before are gone, and so are the next steps of all
+    accepted paths that begin alike.
+    """
+    pair = ["policy_id", "start", "end"]
+    each = fresh.select(*pair, "path", F.explode(F.sequence(F.col("from_"), F.size("path") - 2)).alias("i"))
+    each = each.withColumn("root", F.slice("path", F.lit(1), F.col("i") + 1))
+    each = each.withColumn("search", F.xxhash64("start", "end", "root")).drop("path")
+    gone = each.select("policy_id", "search", F.explode(F.slice("root", F.lit(1), F.col("i"))).alias("v"))
+    alike = each.join(accepted.select(*pair, "path"), pair).filter((F.size("path") > F.col("i") + 1) & (F.slice("path", F.lit(1), F.col("i") + 1) == F.col("root")))
+    cut = alike.select("policy_id", "search", F.element_at("root", -1).alias("a"), F.get("path", F.col("i") + 1).alias("b")).distinct()
+    return each, gone, cut
+
+
+def flow_alternatives(edges: DataFrame, pairs: DataFrame, k: int = 3) -> DataFrame:
+    """The k shortest loop-free flows of each pair (policy_id, start, end), with rank from 1:
+    (policy_id, start, end, length, path, rank); all of them if there are fewer.
+
+    Deviation paths (Yen, with Lawler's rule) for all pairs at once: each accepted path is left
+    at each of its nodes, the best ways from there are found by one run of ``shortest`` for all
+    pairs, and the least candidate of each pair is accepted next. A flow is loop-free when it
+    visits no type twice on one side; it may be of any number of steps. Which of several paths
+    of one length comes first is decided by the path. A flow is over when it first reaches its
+    end; a pair with itself has no flows.
+    """
+    step = written(steps(edges), "edges")
+    pair = ["policy_id", "start", "end"]
+    asked = written(pairs.select(*pair).distinct().filter(F.col("start") != F.col("end")), "pairs")
+    # one search from each side of a start
+    first = asked.select(*pair, both_sides("start")).withColumn("search", F.xxhash64("start", "end", "v.side"))
+    accepted, pool = None, None
+    node = step.schema["a"].dataType.simpleString()
+    for rank in range(1, k + 1):
+        if accepted is None:
+            goals = first.select("policy_id", "search", both_sides("end"))
+            where = first.select(*pair, "search", F.lit(0).alias("i"), F.array().cast(f"array<{node}>").alias("root")).distinct()
+            tree = shortest(step, first.select(*KEY), goals=goals)
+        else:
+            searches, gone, cut = (written(x, "spurs") for x in spurs(accepted.filter(F.col("rank") == rank - 1), accepted))
+            goals = searches.select("policy_id", "search", both_sides("end"))
+            where = searches.select(*pair, "search", "i", F.slice("root", F.lit(1), F.col("i")).alias("root"))
+            tree = shortest(step, searches.select("policy_id", "search", F.element_at("root", -1).alias("v")), gone, cut, goals)
+        hits = tree.join(goals, KEY, "left_semi").groupBy("policy_id", "search").agg(F.min(F.struct("dist", "v")).alias("m"))
+        hits = written(hits.select("policy_id", "search", F.col("m.v").alias("v")), "hits")
+        ways = trace(tree, hits).join(where, ["policy_id", "search"])
+        found = ways.select(*pair, F.concat("root", "path").alias("path"), F.col("i").alias("from_"))
+        found = priced(found, step)
+        pool = written(found if pool is None else pool.unionByName(found), "candidates")
+        open_ = pool if accepted is None else pool.join(accepted.select(*pair, "path"), [*pair, "path"], "left_anti")
+        best = open_.groupBy(*pair).agg(F.min(F.struct("length", "path", "from_")).alias("m")).select(*pair, "m.length", "m.path", "m.from_", F.lit(rank).alias("rank"))
+        accepted = written(best if accepted is None else accepted.unionByName(best), "accepted")
+    return accepted.select(*pair, "length", F.transform("path", lambda x: x["node"]).alias("path"), "rank")
+
+
+def priced(found: DataFrame, step: DataFrame) -> DataFrame:
+    """Paths with their length, the sum of their edges."""
+    key = ["policy_id", "start", "end", "path", "from_"]
+    each = found.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("path") - 1))).select(*key, F.element_at("path", F.col("i")).alias("a"), F.element_at("path", F.col("i") + 1).alias("b"))
+    return each.join(step, ["policy_id", "a", "b"]).groupBy(*key).agg(F.sum("w").alias("length"))
 
 
 def flow_starts(types: DataFrame, type_attr: DataFrame, name: str, regex: bool = False) -> DataFrame:

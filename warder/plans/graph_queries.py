@@ -48,6 +48,28 @@ def domain_edges(r: Relations) -> dict[str, DataFrame]:
     return transitions.edge_tables(*domain_rules(r), r.policy_type_attr())
 
 
+ASKED = [("s3", "s4"), ("p7", "s4"), ("s3", "p9")]
+
+
+def asked_flows(r: Relations) -> DataFrame:
+    policies = r.avrule_perm.select("policy_id").distinct()
+    return policies.select("policy_id", F.inline(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ASKED])))
+
+
+#: All simple paths that are no longer than the third best of at most three steps, hence the three best of all.
+ALTERNATIVES = f""", {EDGES}, asked(start, "end") AS (VALUES {", ".join(map(str, ASKED))}),
+ few AS (SELECT policy_id, start, "end", a.length FROM edge AS a JOIN asked ON src = start AND dst = "end"
+  UNION ALL SELECT a.policy_id, start, "end", a.length + b.length FROM asked JOIN edge AS a ON a.src = start JOIN edge AS b ON b.policy_id = a.policy_id AND b.src = a.dst AND b.src_side = a.dst_side AND b.dst = "end" WHERE a.dst <> "end"
+  UNION ALL SELECT a.policy_id, start, "end", a.length + b.length + c.length FROM asked JOIN edge AS a ON a.src = start JOIN edge AS b ON b.policy_id = a.policy_id AND b.src = a.dst AND b.src_side = a.dst_side
+   JOIN edge AS c ON c.policy_id = b.policy_id AND c.src = b.dst AND c.src_side = b.dst_side AND c.dst = "end" WHERE a.dst <> "end" AND b.dst <> "end" AND b.dst <> start),
+ bound AS (SELECT policy_id, start, "end", max(length) AS most FROM (SELECT *, row_number() OVER (PARTITION BY policy_id, start, "end" ORDER BY length) AS n FROM few) WHERE n <= 3 GROUP BY ALL),
+ walk(policy_id, start, "end", node, side, path, length, most) AS (
+  SELECT policy_id, start, "end", start, side, [start || '/' || side], 0, most FROM bound, (VALUES ('subject'), ('object')) AS v(side)
+  UNION ALL SELECT w.policy_id, w.start, w."end", e.dst, e.dst_side, list_append(path, e.dst || '/' || e.dst_side), w.length + e.length, most FROM walk AS w
+   JOIN edge AS e ON e.policy_id = w.policy_id AND e.src = w.node AND e.src_side = w.side WHERE w.node <> w."end" AND w.length + e.length <= most AND NOT list_contains(path, e.dst || '/' || e.dst_side))
+ SELECT policy_id, start, "end", length, row_number() OVER (PARTITION BY policy_id, start, "end" ORDER BY length) AS rank FROM walk WHERE node = "end" QUALIFY rank <= 3"""
+
+
 def triples(found: DataFrame) -> DataFrame:
     return found.select("policy_id", "start", "ep", "end")
 
@@ -94,7 +116,7 @@ QUERIES = {
  LEFT JOIN recurring.walk AS r ON r.policy_id = w.policy_id AND r.start = w.start AND r.node = e.dst AND r.side = e.dst_side WHERE r.dist IS NULL OR w.dist + e.length < r.dist GROUP BY ALL)
  SELECT policy_id, start, node AS "end", min(dist) AS length FROM walk WHERE node <> start GROUP BY ALL""",
     ),
-    "flow_alternatives": (lambda r: flow.flow_alternatives(edges(r), r.spark.createDataFrame([(p, "s3", "s4") for p in "FOP"], "policy_id string, start string, end string"), 3, 2).select("policy_id", "start", "end", "length", "rank"), f", {EDGES} SELECT policy_id, start, \"end\", length, rank FROM (SELECT a.policy_id, 's3' AS start, 's4' AS \"end\", a.length + b.length AS length, row_number() OVER (PARTITION BY a.policy_id ORDER BY a.length + b.length, a.dst) AS rank FROM edge AS a JOIN edge AS b ON a.policy_id = b.policy_id AND a.dst = b.src AND a.dst_side = b.src_side WHERE a.src = 's3' AND b.dst = 's4') WHERE rank <= 3"),
+    "flow_alternatives": (lambda r: flow.flow_alternatives(edges(r), asked_flows(r), 3).select("policy_id", "start", "end", "length", "rank"), ALTERNATIVES),
     "domtrans_forward": (lambda r: triples(transitions.domain_transitions(domain_edges(r), domains(r), True, "valid", False)), f", {WHOLE} SELECT policy_id, start, ep, \"end\" FROM whole WHERE runs"),
     "domtrans_reverse": (lambda r: triples(transitions.domain_transitions(domain_edges(r), domains(r), False, "valid", False)), f", {WHOLE} SELECT policy_id, start, ep, \"end\" FROM whole WHERE runs"),
     "domtrans_invalid": (
