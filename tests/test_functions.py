@@ -1,4 +1,7 @@
+import collections
 import fnmatch
+import itertools
+import random
 import re
 
 import pytest
@@ -93,7 +96,50 @@ def test_condition_identity_over_negation(spark):
     key = lambda e, b: spark.range(1).select(conditions.truth_key(e, F.lit(b)).alias("x")).first()["x"]
     assert key(expr("x"), True) == key(expr("x", "!"), False) != key(expr("x"), False)
     assert key(expr("a", "b", "&&"), True) == key(expr("b", "a", "&&"), True)
-    # beyond five booleans the text and the branch tell conditions apart
-    long = expr("a", "b", "&&", "c", "&&", "d", "&&", "e", "&&", "f", "&&")
-    other = expr("a", "b", "&&", "c", "&&", "d", "&&", "e", "&&", "f", "||")
-    assert len({key(long, True), key(long, False), key(other, True), None}) == 4
+    # any number of booleans, in any form
+    for n in (6, 12):
+        names = [chr(ord("a") + i) for i in range(n)]
+        long = [names[0], *[x for name in names[1:] for x in (name, "&&")]]
+        turned = [*[x for name in names for x in (name, "!")], *["||"] * (n - 1)]
+        mixed = [*names, *["^"] * (n - 1)]
+        assert key(expr(*long), True) == key(expr(*turned), False) != key(expr(*long), False)
+        assert key(expr(*mixed), True) == key(expr(*reversed(names), *["!="] * (n - 1)), True) != key(expr(*mixed, "!"), True)
+        assert key(expr(*mixed, "!"), False) == key(expr(*mixed), True)
+    assert key(expr("a", "a", "!", "||"), True) != key(expr("b", "b", "!", "||"), True)
+
+
+def test_condition_identity_is_truth():
+    rng = random.Random(4)
+    names = "abcdefg"
+
+    def some(depth):
+        if not depth or rng.random() < 0.2:
+            return [("bool", rng.choice(names))]
+        if rng.random() < 0.3:
+            return [*some(depth - 1), ("!", None)]
+        return [*some(depth - 1), *some(depth - 1), (rng.choice(["&&", "||", "^", "==", "!="]), None)]
+
+    def truth(e):
+        def value(states):
+            stack = []
+            for op, name in e:
+                if op == "bool":
+                    stack.append(states[name])
+                elif op == "!":
+                    stack.append(not stack.pop())
+                else:
+                    b, a = stack.pop(), stack.pop()
+                    stack.append({"&&": a and b, "||": a or b, "^": a != b, "!=": a != b, "==": a == b}[op])
+            return stack[-1]
+
+        return tuple(value(dict(zip(names, v, strict=True))) for v in itertools.product([False, True], repeat=len(names)))
+
+    by_key, by_truth = collections.defaultdict(set), collections.defaultdict(set)
+    for _ in range(400):
+        e = some(4)
+        used = tuple(sorted({n for op, n in e if op == "bool"}))
+        for k, t in zip(conditions.identities(e), (truth(e), tuple(not v for v in truth(e))), strict=True):
+            by_key[k].add((used, t))
+            by_truth[used, t].add(k)
+    assert all(len(v) == 1 for v in (*by_key.values(), *by_truth.values()))
+

@@ -141,6 +141,13 @@ def test_remap_by_alias(spark):
     assert ("gone", "new") in {(r["orig_type"], r["mod_type"]) for r in diff.type_remap_infer(types, pairs, user).collect()}
 
 
+def test_remap_needs_equal_aliases(spark):
+    rows = [("A", "a", ["p"]), ("A", "b", ["q", "r"]), ("A", "c", ["u", "v"]), ("B", "x", ["p", "q"]), ("B", "y", ["r"]), ("B", "z", ["v", "u"]), ("A", "d", []), ("B", "w", [])]
+    types = spark.createDataFrame([(p, n, False, al) for p, n, al in rows], "policy_id string, type string, is_attr boolean, aliases array<string>")
+    remap = diff.type_remap_infer(types, spark.createDataFrame([("A", "B")], "orig_id string, mod_id string"))
+    assert [(r["orig_type"], r["mod_type"]) for r in remap.collect()] == [("c", "z")]
+
+
 def test_checks(spark, t):
     roles = spark.createDataFrame([("A", "r1"), ("A", "r2"), ("A", "object_r")], "policy_id string, role string")
     user_role = spark.createDataFrame([("A", "u1", "r1")], "policy_id string, user_name string, role string")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import product
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def evaluate(expr: Column, states: Column) -> Column:
@@ -49,16 +49,93 @@ def names(expr: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(expr, lambda x: x["op"] == "bool"), lambda x: x["name"])))
 
 
-def truth_key(expr: Column, branch: Column, most: int = 5) -> Column:
-    """Identity of a condition and branch: sorted booleans and truth table, complemented in the
-    false branch, so that the true branch of x is the false branch of ``!x``. A condition of
-    more than ``most`` booleans is known by its text and branch."""
-    found = names(expr)
-    options = F.concat(F.lit("text:"), render(expr), F.lit(":"), branch.cast("string"))
-    for n in range(most + 1):
-        table = []
-        for values in product([False, True], repeat=n):
-            states = F.map_from_arrays(found, F.array(*[F.lit(v) for v in values]) if n else F.array().cast("array<boolean>"))
-            table.append(F.when(evaluate(expr, states) == branch, "1").otherwise("0"))
-        options = F.when(F.size(found) == n, F.concat(F.array_join(found, ","), F.lit(":"), *table)).otherwise(options)
-    return options
+class Diagram:
+    """Reduced ordered decision diagram of a truth function: nodes (boolean, if false, if true),
+    no two alike and none with equal ends, so that equal functions are the same node."""
+
+    def __init__(self, order: list[str]):
+        self.level = {name: i for i, name in enumerate(order)}
+        self.nodes: list[tuple[int, int, int]] = [(len(order), 0, 0), (len(order), 1, 1)]  # false, true
+        self.known: dict[tuple[int, int, int], int] = {}
+        self.done: dict[tuple, int] = {}
+
+    def node(self, level: int, low: int, high: int) -> int:
+        if low == high:
+            return low
+        if (level, low, high) not in self.known:
+            self.known[level, low, high] = len(self.nodes)
+            self.nodes.append((level, low, high))
+        return self.known[level, low, high]
+
+    def variable(self, name: str) -> int:
+        return self.node(self.level[name], 0, 1)
+
+    def apply(self, table: tuple[int, int, int, int], a: int, b: int) -> int:
+        """The function with truth ``table`` (for 00, 01, 10, 11) of two functions."""
+        if a < 2 and b < 2:
+            return table[2 * a + b]
+        if (table, a, b) not in self.done:
+            (i, a0, a1), (j, b0, b1) = self.nodes[a], self.nodes[b]
+            ends = [self.apply(table, x if i <= j else a, y if j <= i else b) for x, y in ((a0, b0), (a1, b1))]
+            self.done[table, a, b] = self.node(min(i, j), *ends)
+        return self.done[table, a, b]
+
+    def text(self, root: int) -> str:
+        """The nodes below root in the order in which a walk meets them."""
+        number: dict[int, int] = {0: 0, 1: 1}
+        out, stack = [], [root]
+        while stack:
+            n = stack.pop()
+            if n not in number:
+                number[n] = len(number)
+                stack += [self.nodes[n][2], self.nodes[n][1]]
+        for n in list(number)[2:]:
+            level, low, high = self.nodes[n]
+            out.append(f"{level}?{number[high]}:{number[low]}")
+        return " ".join(out) or str(root)
+
+
+TABLES = {"&&": (0, 0, 0, 1), "||": (0, 1, 1, 1), "^": (0, 1, 1, 0), "!=": (0, 1, 1, 0), "==": (1, 0, 0, 1)}
+
+
+def identities(expr: list[tuple[str, str | None]]) -> tuple[str, str]:
+    """Identities of the true and the false branch of a postfix expression."""
+    found = sorted({name for op, name in expr if op == "bool"})
+    diagram, stack = Diagram(found), []
+    for op, name in expr:
+        if op == "bool":
+            stack.append(diagram.variable(name))
+        elif op == "!":
+            stack.append(diagram.apply(TABLES["^"], stack.pop(), 1))
+        else:
+            b, a = stack.pop(), stack.pop()
+            stack.append(diagram.apply(TABLES[op], a, b))
+    no = diagram.apply(TABLES["^"], stack[-1], 1)
+    names = ",".join(found)
+    return f"{names};{diagram.text(stack[-1])}", f"{names};{diagram.text(no)}"
+
+
+@F.pandas_udf(StructType([StructField("yes", StringType()), StructField("no", StringType())]))
+def _keys(expr: pd.Series) -> pd.DataFrame:
+    known: dict[tuple, tuple[str, str]] = {}
+    out = []
+    for e in expr:
+        key = tuple((x["op"], x["name"]) for x in e) if e is not None else None
+        if key is not None and key not in known:
+            known[key] = identities(list(key))
+        out.append(known.get(key, (None, None)))
+    return pd.DataFrame(out, columns=["yes", "no"])
+
+
+def truth_keys(expr: Column) -> Column:
+    """Struct (yes, no): what the true and the false branch of a condition are known by: its
+    sorted booleans and the reduced decision diagram of its truth, so that the true branch of x
+    is the false branch of ``!x``, whatever the form and the number of booleans. A null
+    condition has none. Diagrams are short for conditions as people write them; at worst they
+    grow as 2 to the number of booleans."""
+    return _keys(expr)
+
+
+def truth_key(expr: Column, branch: Column) -> Column:
+    keys = truth_keys(expr)
+    return F.when(branch, keys["yes"]).otherwise(keys["no"])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warder.functions.conditions import truth_key
+from warder.functions.conditions import truth_keys
 from warder.functions.predicates import expand_type
 from warder.functions.state import written
 from warder.operators.rules import expand_rules
@@ -25,9 +25,20 @@ def type_remap_infer(types: DataFrame, pairs: DataFrame, user: DataFrame | None
     """(orig_id, mod_id, orig_type, mod_type): which types of the snapshots are the same.
 
     The user's entries come first; then four passes: same name, name with alias, alias with
-    name, alias with alias. Each pass only sees what is not mapped yet, and a type is used once
-    (ties by name). What a pass has mapped is a small table, written so that the next need not work it out again.
+    name, and the same aliases (both have some, and all are equal). Each pass only sees what is not
+    mapped yet, and a type is used once (ties by name). What a pass has mapped is a small table, written so that the next need not work it out again.
     """
+
+    def link(df: DataFrame, side: str, kind: str, whole: bool) -> DataFrame:
+        aliases = F.array_sort(F.array_distinct(f"{side}_aliases"))
+        if kind == "name":
+            by = F.col(f"{side}_type")
+        elif whole:  # the text tells lists apart, as lengths stand before names
+            by = F.when(F.size(aliases) > 0, F.array_join(F.transform(aliases, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), " "))
+        else:
+            by = F.explode(aliases)
+        return df.select(*key, f"{side}_type", by.alias("link"))
+
     real = types.filter("not is_attr").select("policy_id", "type", "aliases")
     a, b = sides(real, pairs)
     a = written(a.select("orig_id", "mod_id", F.col("type").alias("orig_type"), F.col("aliases").alias("orig_aliases")), "orig_types")
@@ -37,8 +48,7 @@ def type_remap_infer(types: DataFrame, pairs: DataFrame, user: DataFrame | None
     for left, right in (("name", "name"), ("name", "alias"), ("alias", "name"), ("alias", "alias")):
         free_a = a if mapped is None else a.join(mapped.select(*key, "orig_type"), [*key, "orig_type"], "left_anti")
         free_b = b if mapped is None else b.join(mapped.select(*key, "mod_type"), [*key, "mod_type"], "left_anti")
-        x = free_a.select(*key, "orig_type", (F.col("orig_type") if left == "name" else F.explode("orig_aliases")).alias("link"))
-        y = free_b.select(*key, "mod_type", (F.col("mod_type") if right == "name" else F.explode("mod_aliases")).alias("link"))
+        x, y = (link(df, side, kind, left == right) for df, side, kind in ((free_a, "orig", left), (free_b, "mod", right)))
         hit = x.join(y, [*key, "link"]).select(*key, "orig_type", "mod_type").distinct()
         if (left, right) != ("name", "name"):
             once = lambda c: F.row_number().over(Window.partitionBy(*key, c).orderBy("orig_type", "mod_type"))
@@ -186,13 +196,14 @@ def diff_range_trans(rules: DataFrame, pairs: DataFrame, ids: DataFrame) -> Data
     return deep_diff(*rows, ["source", "target", "class"], "content", "range_trans", ["source", "target"])
 
 
-def cond_keys(rules: DataFrame, conds: DataFrame | None, most: int = 5) -> DataFrame:
+def cond_keys(rules: DataFrame, conds: DataFrame | None) -> DataFrame:
     """Replace cond_id and branch by the identity of the condition ('' for none)."""
     if conds is None:  # identifiers are all there is to tell conditions apart
         own = F.concat(F.lit("id:"), F.col("cond_id").cast("string"), F.lit(":"), F.col("branch").cast("string"))
         return rules.withColumn("cond", F.coalesce(own, F.lit("")))
-    out = rules.join(conds.select("policy_id", "cond_id", "expr"), ["policy_id", "cond_id"], "left")
-    return out.withColumn("cond", F.coalesce(F.when(F.col("cond_id").isNotNull(), truth_key(F.col("expr"), F.col("branch"), most)), F.lit(""))).drop("expr")
+    keys = written(conds.select("policy_id", "cond_id", truth_keys(F.col("expr")).alias("keys")), "conditions")
+    out = rules.join(keys, ["policy_id", "cond_id"], "left")
+    return out.withColumn("cond", F.coalesce(F.when(F.col("branch"), F.col("keys.yes")).otherwise(F.col("keys.no")), F.lit(""))).drop("keys")
 
 
 def diff_rules(rules: DataFrame, type_attr: DataFrame, pairs: DataFrame, ids: DataFrame, content: str, component: str, kind: str, conds: DataFrame | None = None) -> DataFrame:

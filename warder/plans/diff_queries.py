@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from warder.functions import mls
 from warder.operators import diff
 from warder.plans.fixtures import Relations
+from warder.plans.rule_queries import conds
 
 #: The modified snapshot has another name for some types, told as aliases, and lacks some.
 RENAMED, GONE = "type IN ('p10', 'p20', 's10')", "type IN ('p33', 's33')"
@@ -48,9 +49,9 @@ def ids(r: Relations) -> DataFrame:
     return diff.type_map(types(r), pairs(r), diff.type_remap_infer(types(r), pairs(r)))
 
 
-def flat(found: DataFrame) -> DataFrame:
+def flat(found: DataFrame, *more: str) -> DataFrame:
     join = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
-    return found.select("component", "key", "form", join("added"), join("removed"), join("unmodified"))
+    return found.select(*more, "component", "key", "form", join("added"), join("removed"), join("unmodified"))
 
 
 def role_type(r: Relations) -> DataFrame:
@@ -86,6 +87,45 @@ def stats(r: Relations) -> DataFrame:
     return diff.diff_stats(found).drop("orig_id", "mod_id")
 
 
+def all_pairs(r: Relations) -> DataFrame:
+    """All ordered pairs of the snapshots that have rules."""
+    p = r.avrule_perm.select("policy_id").distinct()
+    return p.select(F.col("policy_id").alias("orig_id")).crossJoin(p.select(F.col("policy_id").alias("mod_id"))).filter("orig_id <> mod_id")
+
+
+def long_conds(r: Relations) -> DataFrame:
+    """Conditions of up to seven booleans: each with the two that follow. One snapshot writes half
+    of them in another order and negated, and changes two."""
+    c = conds(r).withColumn("cond_id", F.col("cond_id").cast("long"))
+    after = lambda n: c.select("policy_id", F.pmod(F.col("cond_id") + 12 - n, F.lit(12)).alias("cond_id"), F.col("expr").alias(f"expr{n}"))
+    three = c.join(after(1), ["policy_id", "cond_id"]).join(after(2), ["policy_id", "cond_id"])
+    op = lambda *ops: F.array(*[F.struct(F.lit(o).alias("op"), F.lit(None).cast("string").alias("name")) for o in ops])
+    other = F.when(in_mod() & (F.col("cond_id") % 2 == 0), F.concat("expr2", "expr1", "expr", op("^", "||", "!"))).when(in_mod() & (F.col("cond_id") % 3 == 0), F.concat("expr", "expr1", op("^"), "expr2", op("&&")))
+    return three.select("policy_id", "cond_id", other.otherwise(F.concat("expr", "expr1", op("^"), "expr2", op("||"))).alias("expr"))
+
+
+def conditional(r: Relations) -> DataFrame:
+    """Differences of conditional rules between all snapshots, by the meaning of conditions."""
+    key = F.pmod(F.ascii(F.substring("source", -1, 1)) + F.length("target"), F.lit(12)).cast("long")
+    rows = r.grouped_rules().withColumn("cond_id", key).withColumn("branch", (F.col("class") == "file") != (in_mod() & (F.col("cond_id") % 2 == 0)))
+    of = all_pairs(r)
+    names = diff.type_map(r.policy_types(), of, diff.type_remap_infer(r.policy_types(), of))
+    found = diff.diff_avrules(rows, r.policy_type_attr(), of, names, "auditallow", long_conds(r))
+    return flat(found.withColumn("key", F.substring_index("key", " ", 3)), "orig_id", "mod_id")
+
+
+def renamed_types(r: Relations) -> DataFrame:
+    """Types whose names and aliases change between snapshot F and the others, in six ways."""
+    first, t = F.col("policy_id") == "F", F.col("type")
+    n = F.regexp_extract("type", "([0-9]+)", 1).cast("int") % 6
+    end = lambda x: F.concat(t, F.lit(x))
+    name = F.when(first, F.when(n == 2, end("_old")).when(n > 2, end("_a"))).otherwise(F.when(n == 1, end("_new")).when(n > 2, end("_b")))
+    both = F.array(end("_x"), end("_y"))
+    known = F.when(first, F.when(n == 2, F.array(t)).when(n.isin(3, 4), both)).otherwise(F.when(n == 1, F.array(t)).when(n == 3, F.reverse(both)).when(n == 4, F.array(end("_x"))))
+    plain = r.policy_types().filter("not is_attr")
+    return plain.select("policy_id", F.coalesce(name, t).alias("type"), "is_attr", F.coalesce(known, F.array().cast("array<string>")).alias("aliases"))
+
+
 def same(col: str) -> str:
     """The shared name of a type of F or O, in SQL."""
     return f"CASE WHEN {col} IN ('p33', 's33') THEN '-' || {col} ELSE {col} END"
@@ -127,7 +167,27 @@ RANGE_SQL = compare(RANGE.format(s=same("source"), t=same("target"), p="F"), RAN
 ALLOW_SQL = compare("SELECT source, target AS v FROM role_allow WHERE policy_id = 'F'", "SELECT source, target AS v FROM role_allow WHERE policy_id = 'O'", "source", "role_allow")
 USER_SQL = compare("SELECT user_name, role AS v FROM user_role", "SELECT user_name, role AS v FROM user_role WHERE role <> 'ASIA_r'", "user_name", "user")
 
+BIT = "(m >> CAST(right({}, 1) AS INT)) & 1 = 1"
+ONE = f"CASE {{c}}.op WHEN '&&' THEN {BIT.format('{c}.bool_a')} AND NOT {BIT.format('{c}.bool_b')} WHEN '||' THEN {BIT.format('{c}.bool_a')} OR NOT {BIT.format('{c}.bool_b')} ELSE ({BIT.format('{c}.bool_a')}) <> (NOT ({BIT.format('{c}.bool_b')})) END"
+CONDITIONAL_SQL = f""", truth AS (
+  SELECT a.policy_id, a.cond_id, m, list_sort(list_distinct([a.bool_a, a.bool_b, b.bool_a, b.bool_b, c.bool_a, c.bool_b])) AS names,
+   CASE WHEN a.policy_id = 'O' AND a.cond_id IN (3, 9) THEN (({ONE.format(c='a')}) <> ({ONE.format(c='b')})) AND ({ONE.format(c='c')}) ELSE (({ONE.format(c='a')}) <> ({ONE.format(c='b')})) OR ({ONE.format(c='c')}) END AS v
+  FROM conds AS a JOIN conds AS b ON a.policy_id = b.policy_id AND b.cond_id = (a.cond_id + 1) % 12 JOIN conds AS c ON a.policy_id = c.policy_id AND c.cond_id = (a.cond_id + 2) % 12, range(128) AS r(m)),
+ ident AS (SELECT policy_id, cond_id, branch, CAST(names AS VARCHAR) || string_agg(CASE WHEN v = branch THEN '1' ELSE '0' END, '' ORDER BY m) AS id FROM truth, (VALUES (true), (false)) AS b(branch) GROUP BY policy_id, cond_id, branch, names),
+ side AS (SELECT DISTINCT a.policy_id, a.source || ' ' || coalesce(t.type, a.target) || ' ' || a.class AS key, coalesce(i.id, '') AS id, a.perm AS v
+  FROM avrule_perm AS a LEFT JOIN type_attr AS t ON a.target = t.attr LEFT JOIN ident AS i ON i.policy_id = a.policy_id AND i.cond_id = (ascii(right(a.source, 1)) + length(a.target)) % 12 AND i.branch = (a.class = 'file') WHERE a.kind = 'auditallow'),
+ both_ AS (SELECT p.orig_id, p.mod_id, key, id, v, bool_or(s.policy_id = p.orig_id) AS o, bool_or(s.policy_id = p.mod_id) AS m
+  FROM (SELECT a.policy_id AS orig_id, b.policy_id AS mod_id FROM (SELECT DISTINCT policy_id FROM avrule_perm) AS a, (SELECT DISTINCT policy_id FROM avrule_perm) AS b WHERE a.policy_id <> b.policy_id) AS p
+  JOIN side AS s ON s.policy_id IN (p.orig_id, p.mod_id) GROUP BY ALL)
+ SELECT orig_id, mod_id, 'auditallow' AS component, key, CASE WHEN NOT bool_or(o) THEN 'added' WHEN NOT bool_or(m) THEN 'removed' ELSE 'modified' END AS form,
+  coalesce(string_agg(v, ',' ORDER BY v) FILTER (NOT o), '') AS added, coalesce(string_agg(v, ',' ORDER BY v) FILTER (NOT m), '') AS removed, coalesce(string_agg(v, ',' ORDER BY v) FILTER (o AND m), '') AS unmodified
+ FROM both_ GROUP BY orig_id, mod_id, key, id HAVING bool_or(NOT o) OR bool_or(NOT m)"""
+REMAP_SQL = """SELECT mod_id, CASE WHEN k = 2 THEN type || '_old' WHEN k = 3 THEN type || '_a' ELSE type END AS orig_type, CASE WHEN k = 1 THEN type || '_new' WHEN k = 3 THEN type || '_b' ELSE type END AS mod_type
+ FROM (SELECT DISTINCT type, CAST(regexp_extract(type, '([0-9]+)', 1) AS INT) % 6 AS k FROM types WHERE NOT is_attr), (VALUES ('O'), ('P')) AS v(mod_id) WHERE k < 4"""
+
 QUERIES = {
+    "diff_conditional": (conditional, CONDITIONAL_SQL),
+    "type_remap_passes": (lambda r: diff.type_remap_infer(renamed_types(r), all_pairs(r).filter("orig_id = 'F'")).select("mod_id", "orig_type", "mod_type"), REMAP_SQL),
     "type_remap": (
         lambda r: diff.type_remap_infer(types(r), pairs(r)).select("orig_type", "mod_type"),
         f"SELECT DISTINCT type AS orig_type, CASE WHEN {RENAMED} THEN type || '_new' ELSE type END AS mod_type FROM types WHERE NOT is_attr AND NOT ({GONE})",
