@@ -1,3 +1,6 @@
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +40,21 @@ def test_lookups(spark):
     assert {r["ip"]: r["type"] for r in net.subnet_lookup(ips, "n", nets).collect()} == {"10.1.2.3": "near", "10.9.9.9": "wide"}
     ports = spark.createDataFrame([(1, 100, "many"), (80, 80, "one")], "low int, high int, type string")
     assert {r["p"]: r["type"] for r in net.port_lookup(spark.createDataFrame([(80,), (81,), (200,)], "p int"), "p", ports).collect()} == {80: "one", 81: "many"}
+
+
+@pytest.mark.parametrize("text", ["::", "::1", "1::", "fe80::1:0:0:2", "1:0:0:2::", "0:0:1::", "1:2:3:4:5:6:7:8", "1:0:3:4:5:6:7:8", "2001:db8::ff00:42:8329", "0:1:0:1:0:1:0:1", "ffff::8000:0:0:1"])
+def test_ipv6_text(spark, text):
+    digits = net.ipv6(F.lit(text))
+    r = spark.range(1).select(net.ipv6_text(digits).alias("t"), net.ipv6_digits(net.ipv6_number(digits)).alias("d"), digits.alias("x")).first()
+    assert r["t"] == str(ipaddress.IPv6Address(text)) and r["d"] == r["x"] == ipaddress.IPv6Address(text).exploded.replace(":", "")
+
+
+def test_ipv6_subnets(spark):
+    rng = random.Random(2)
+    nets = {ipaddress.ip_network((rng.getrandbits(4) << 124 | rng.getrandbits(6) << 60, n), strict=False) for n in (0, 2, 4, 66, 68, 128) for _ in range(6)}
+    number = lambda c: net.ipv6_number(net.ipv6(F.col(c)))
+    table = spark.createDataFrame([(str(n.network_address), str(n.netmask), str(n)) for n in nets], "a string, m string, type string").select(number("a").alias("addr"), number("m").alias("mask"), "type")
+    ips = [ipaddress.IPv6Address(rng.getrandbits(4) << 124 | rng.getrandbits(6) << 60) for _ in range(200)]
+    rows = spark.createDataFrame([(str(i),) for i in set(ips)], "ip string").withColumn("n", number("ip"))
+    want = {str(ip): str(max((n for n in nets if ip in n), key=lambda n: n.prefixlen)) for ip in ips if any(ip in n for n in nets)}
+    assert {r["ip"]: r["type"] for r in net.ipv6_subnet_lookup(rows, "n", table).collect()} == want

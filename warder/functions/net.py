@@ -31,6 +31,51 @@ def ipv6(text: Column) -> Column:
     return F.when(fine, F.array_join(F.transform(whole, lambda g: F.lpad(F.lower(g), 4, "0")), ""))
 
 
+def ipv6_text(digits: Column) -> Column:
+    """Shortest text of 32 hexadecimal digits: groups without leading zeros, ``::`` for the first of
+    the longest runs of two or more zero groups."""
+    groups = [F.regexp_replace(F.substring(digits, 4 * i + 1, 4), "^0{1,3}", "") for i in range(8)]
+    plain = F.concat_ws(":", *groups)
+    ends = F.concat(F.lit(":"), plain, F.lit(":"))
+    out = plain
+    for n in range(2, 9):
+        run = ":" + "0:" * n
+        at = F.instr(ends, run)
+        tail = F.rtrim(F.substring(ends, at + len(run), F.lit(40)), F.lit(":"))
+        out = F.when(at > 0, F.concat(F.substring(ends, F.lit(2), at - 2), F.lit("::"), tail)).otherwise(out)
+    return out
+
+
+def ipv6_number(digits: Column) -> Column:
+    """32 hexadecimal digits as two signed longs (hi, lo)."""
+    half = lambda at: F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
+    return F.when(digits.isNotNull(), F.struct(half(1).alias("hi"), half(17).alias("lo")))
+
+
+def ipv6_digits(number: Column) -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(number[h])), 16, "0") for h in ("hi", "lo")])
+
+
+def ipv6_subnet_lookup(addresses: DataFrame, column: str, subnets: DataFrame) -> DataFrame:
+    """For IPv6 addresses (hi, lo) the subnet (addr and mask alike) that holds them, the one with
+    the longest mask first; adds mask and the other columns of ``subnets``.
+
+    The distinct masks (at most MASKS, read by the driver; prefixes are at most 129) are tried each
+    by one equality join on the masked address.
+    """
+    masks = sorted((tuple(r["mask"]) for r in subnets.select("mask").distinct().limit(MASKS + 1).collect()), key=lambda m: sum((x % 2**64).bit_count() for x in m))
+    if len(masks) > MASKS:
+        raise ValueError(f"more than {MASKS} masks")
+    tried = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(hi).cast("long").alias("hi"), F.lit(lo).cast("long").alias("lo")) for n, (hi, lo) in enumerate(masks)])
+    net = lambda a: F.struct(*[F.col(f"{a}.{h}").bitwiseAND(F.col(f"m.{h}")).alias(h) for h in ("hi", "lo")])
+    keyed = addresses.withColumn("m", F.explode(tried) if masks else F.explode(F.array().cast("array<struct<n:int,hi:bigint,lo:bigint>>"))).withColumn("net", net(column))
+    table = subnets.withColumn("m", F.col("mask")).withColumn("net", net("addr")).drop("addr", "m")
+    hit = keyed.withColumn("mask", F.struct("m.hi", "m.lo")).join(table, ["mask", "net"])
+    more = [c for c in table.columns if c not in ("mask", "net")]
+    best = hit.groupBy(*addresses.columns).agg(F.max(F.struct("m.n", "mask", "net", *more)).alias("s"))
+    return best.select(*addresses.columns, "s.mask", "s.net", *[F.col(f"s.{c}") for c in more])
+
+
 #: Distinct subnet masks that a lookup takes.
 MASKS = 1_000
 

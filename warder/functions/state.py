@@ -67,3 +67,8 @@ class Rounds:
         if before:
             delete(self.spark, before)
         return self.spark.read.schema(df.schema).parquet(self.path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -106,6 +106,11 @@ FROM {orders} GROUP BY o_orderstatus, concat('eth', CAST(o_custkey % 6 AS STRING
 SELECT DISTINCT o_orderstatus AS policy_id, CASE WHEN o_custkey % 2 = 0 THEN 'ipv4' ELSE 'ipv6' END AS proto, concat('10.0.', CAST(o_custkey % 16 AS STRING), '.0') AS addr,
   '255.255.255.0' AS mask, concat('p', CAST(o_custkey % 16 + 40 AS STRING)) AS type
 FROM {orders} WHERE o_totalprice > 200000""",
+    "nodecon6": r"""
+SELECT DISTINCT o_custkey % 20 AS g2, o_custkey % 7 AS g3, CASE o_custkey % 3 WHEN 0 THEN 32 WHEN 1 THEN 48 ELSE 36 END AS width,
+  concat('fd00:', CAST(o_custkey % 20 AS STRING), ':', CAST(o_custkey % 7 AS STRING), '::') AS addr,
+  CASE o_custkey % 3 WHEN 0 THEN 'ffff:ffff::' WHEN 1 THEN 'ffff:ffff:ffff::' ELSE 'ffff:ffff:f000::' END AS mask, concat('p', CAST(o_custkey % 16 + 40 AS STRING)) AS type
+FROM {orders} WHERE o_totalprice > 300000""",
     "genfscon": r"""
 SELECT DISTINCT concat('fs', CAST(page_id % 5 AS STRING)) AS fs, regexp_extract(url, '^https?://[^/]+(/[^/?#]*)', 1) AS path,
   CASE page_id % 3 WHEN 0 THEN 'dir' ELSE 'file' END AS class, concat('p', CAST(page_id % 10 AS STRING)) AS type FROM {pages}""",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warder.plans import audit_queries, check_queries, component_queries, diff_queries, graph_queries, rule_queries, stream_queries
+from warder.plans import audit_queries, check_queries, component_queries, diff_queries, graph_queries, rule_queries, source_queries, stream_queries
 from warder.plans.fixtures import Relations, oracle
 
-GROUPS = [audit_queries.QUERIES, rule_queries.QUERIES, component_queries.QUERIES, graph_queries.QUERIES, diff_queries.QUERIES, check_queries.QUERIES]
+GROUPS = [audit_queries.QUERIES, rule_queries.QUERIES, component_queries.QUERIES, graph_queries.QUERIES, diff_queries.QUERIES, check_queries.QUERIES, source_queries.QUERIES]
 
 
 def registered() -> dict:
