@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +257,25 @@ def test_k_shortest_flows(spark):
             r = flows[start, end]
             assert r["length"] == min(want)[0] and r["hops"] == len(r["path"]) - 1
             assert (r["length"], r["path"]) in [(w, [v[0] for v in p]) for w, p in want]
+
+
+def test_literal_stems():
+    cases = {
+        "/usr/lib/x(/.*)?": "/usr/lib/x", "/usr/.*": "/usr", "/usr/lib.*": "/usr", "/usr/lib(64)?/x": "/usr", "/usr(/.*)?": "/usr", "/usr(/a)?b": "", "/usr/?x": "", "/a/b|/c": "",
+        "/etc/a\\.conf": "/etc/a.conf", "/etc/a.conf": "/etc", "/.*": "", "(/usr)?/x": "", "/a/[bc]/d": "/a", "/a(/x|/y)?": "/a", "/a/b{2}": "/a", "/": "", "/a(/b)?(/c)?": "", "/a(/[)]x)?": "/a",
+    }
+    assert {p: labels.literal_stem(p) for p in cases} == cases
+    rng, pool = random.Random(6), ["/usr", "/a", "(/.*)?", "/?", "b", "(/b|/c)", ".*", "[ab]", "/b+", "(x)?", "\\.d"]
+    paths = ["".join(rng.choice(["/usr", "/a", "/b", "b", "x", "/c", ".d", "/x"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    for _ in range(400):
+        pattern = "".join(rng.choice(pool) for _ in range(rng.randint(1, 4)))
+        stem = labels.literal_stem(pattern)
+        assert all((p + "/").startswith(stem + "/") for p in paths if stem and re.fullmatch(pattern, p)), (pattern, stem)
+
+
+def test_spec_candidates_are_bounded_by_depth(spark):
+    specs = [(0, "/.*", None, "u:r:t:s0")] + [(n, f"/usr/d{n % 100}/e{n}(/.*)?", None, "u:r:t:s0") for n in range(1, 10_000)] + [(10_000, "/usr/.*", None, "u:r:t:s0")]
+    files = [(f"/usr/d{i % 100}/e{i}/f", i) for i in range(1, 200)]
+    table = spark.createDataFrame(files, "path string, inode long")
+    found = labels.spec_candidates(table, spark.createDataFrame(specs, "line_no int, path_regex string, kind string, context string"))
+    assert found.groupBy("inode").count().agg(F.max("count")).first()[0] == 3 and found.count() == 3 * len(files)

@@ -172,10 +172,40 @@ def spec_class() -> Column:
     return out
 
 
-def literal_prefix(pattern: str) -> str:
-    """The first path component of a regex, if it is literal; else ''."""
-    m = re.match(r"^/([A-Za-z0-9_\-]+)(?=/|\(/|$)", pattern)
-    return m.group(1) if m else ""
+#: A path component of letters that stand for themselves.
+COMPONENT = re.compile(r"/((?:[A-Za-z0-9_\-~,:@%=]|\\[^A-Za-z0-9])+)")
+
+
+def closes_at_end(pattern: str) -> bool:
+    """Whether a pattern that begins with ``(`` is one group with at most a quantifier after it."""
+    depth, in_set = 0, False
+    for i, c in enumerate(pattern):
+        if i and pattern[i - 1] == "\\" and (i < 2 or pattern[i - 2] != "\\"):
+            continue
+        if in_set:
+            in_set = c != "]"
+        elif c == "[":
+            in_set = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return re.fullmatch(r"[?*+]?", pattern[i + 1 :]) is not None
+    return False
+
+
+def literal_stem(pattern: str) -> str:
+    """The longest run of whole path components that every path matching the (anchored) pattern
+    begins with; '' if there is none."""
+    parts, at = [], 0
+    if "|" in re.sub(r"\([^()]*\)", "", pattern):  # a choice of whole paths
+        return ""
+    while m := COMPONENT.match(pattern, at):
+        rest = pattern[m.end() :]
+        if rest and not re.match(r"/(?![?*{])", rest) and not (rest.startswith("(/") and closes_at_end(rest)):
+            break
+        parts.append(re.sub(r"\\(.)", r"\1", m.group(1)))
+        at = m.end()
+    return "".join(f"/{p}" for p in parts)
 
 
 #: Label specs that an inventory is held against: the bound of what is read by the driver
@@ -183,23 +213,33 @@ def literal_prefix(pattern: str) -> str:
 MOST_SPECS = 100_000
 
 
-def expected_labels(labels: DataFrame, specs: DataFrame) -> DataFrame:
-    """For every file the spec that holds and whether its label differs.
+def spec_candidates(labels: DataFrame, specs: DataFrame) -> DataFrame:
+    """The files with every spec (line_no, spec, spec_class, spec_context) that may match them.
 
-    Specs (line_no, path_regex, kind, context) are at most MOST_SPECS definitions. They are
-    bucketed by their literal first component: a file meets those of its own component and those
-    without one, never all. Of the specs that match the last in order holds. ``<<none>>`` asks for
-    no label. Files no spec matches have no expectation.
+    Specs (line_no, path_regex, kind, context), at most MOST_SPECS definitions, hang in a trie
+    of literal stems of any depth. A file looks up the stems on its own way down the tree of
+    paths, one equality join for all of them, so it meets the specs of its folders only,
+    however many others there are below the same first folder.
     """
     spark = labels.sparkSession
     given = specs.select("line_no", "path_regex", "kind", "context").limit(MOST_SPECS + 1).collect()
     if len(given) > MOST_SPECS:
         raise ValueError(f"more than {MOST_SPECS} label specs")
-    rows = [(n, f"^(?:{extended_regex(p)})$", KINDS.get(k), c, literal_prefix(p)) for n, p, k, c in given]
-    table = F.broadcast(spark.createDataFrame(rows, "line_no int, spec string, spec_class string, spec_context string, prefix string"))
-    first = F.split("path", "/")
-    keyed = labels.withColumn("prefix", F.explode(F.array_distinct(F.array(F.coalesce(F.get(first, F.lit(1)), F.lit("")), F.lit("")))))
-    hit = keyed.join(table, "prefix").filter(F.expr("path RLIKE spec") & (F.col("spec_class").isNull() | (F.col("spec_class") == F.col("obj_class"))))
+    rows = [(n, f"^(?:{extended_regex(p)})$", KINDS.get(k), c, literal_stem(p)) for n, p, k, c in given]
+    table = F.broadcast(spark.createDataFrame(rows, "line_no int, spec string, spec_class string, spec_context string, stem string"))
+    deepest = max((stem.count("/") for *_, stem in rows), default=0)
+    parts = F.split("path", "/")
+    down = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(deepest + 1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return labels.withColumn("stem", F.explode(F.array_distinct(down))).join(table, "stem").drop("stem")
+
+
+def expected_labels(labels: DataFrame, specs: DataFrame) -> DataFrame:
+    """For every file the spec that holds and whether its label differs.
+
+    Candidates come from ``spec_candidates``. Of the specs that match the last in order holds.
+    ``<<none>>`` asks for no label. Files no spec matches have no expectation.
+    """
+    hit = spec_candidates(labels, specs).filter(F.expr("path RLIKE spec") & (F.col("spec_class").isNull() | (F.col("spec_class") == F.col("obj_class"))))
     best = hit.groupBy("host", "path", "inode", "dev", "user_name", "role", "type", "rng", "obj_class").agg(F.max(F.struct("line_no", "spec_context")).alias("s"))
     actual = F.concat_ws(":", "user_name", "role", "type", F.split("rng", "-")[0])
     return best.select("host", "path", "inode", F.col("s.line_no").alias("line_no"), F.col("s.spec_context").alias("expected"), actual.alias("actual"), ((F.col("s.spec_context") != "<<none>>") & (F.col("s.spec_context") != actual)).alias("mismatch"))

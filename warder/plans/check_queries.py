@@ -58,6 +58,13 @@ def domain_tables(r: Relations) -> dict[str, DataFrame]:
     return tables(r) | {"rules": rules, "terules": change}
 
 
+def mixed_tables(r: Relations) -> dict[str, DataFrame]:
+    """Some object types have the attribute of domains too, and some domains are in no role."""
+    found = tables(r)
+    both = every(r, r.type_attr.filter("type LIKE 'p%7'").select("type").distinct().withColumn("attr", F.lit("n5")))
+    return found | {"type_attr": found["type_attr"].unionByName(both.select(*found["type_attr"].columns)).distinct(), "role_type": found["role_type"].filter("type NOT LIKE '%3'")}
+
+
 def items(name: str, of=tables):
     def run(r: Relations) -> DataFrame:
         return checks.run_checks(of(r), [name], OPTIONS).select("policy_id", "item").distinct()
@@ -80,6 +87,8 @@ def each(sql: str) -> str:
 
 
 DOMAINS = """SELECT policy_id, type AS item FROM (VALUES ('F'), ('O'), ('P')) AS ids(policy_id), (SELECT type FROM type_attr WHERE attr = 'n5' UNION SELECT type FROM role_type) UNION SELECT DISTINCT policy_id, source FROM avrule_perm UNION SELECT policy_id, default_type FROM terules"""
+#: With the changes of mixed_tables.
+MIXED = DOMAINS.replace("FROM role_type", "FROM role_type WHERE type NOT LIKE '%3'").replace("WHERE attr = 'n5'", "WHERE attr = 'n5' OR type LIKE 'p%7'")
 FILES = """SELECT policy_id, type AS item FROM (VALUES ('F'), ('O'), ('P')) AS ids(policy_id), (SELECT type FROM type_attr WHERE attr = 'Brand_11')"""
 SID = "SELECT policy_id, type AS item FROM isids WHERE name = '{}'"
 NETIFS = SID.format("netif") + " UNION SELECT policy_id, if_type FROM netifcon UNION SELECT policy_id, msg_type FROM netifcon"
@@ -128,8 +137,8 @@ QUERIES = {
     "check_find_netif_types": (items("find_netif_types"), NETIFS),
     "check_find_node_types": (items("find_node_types"), NODES),
     "check_find_port_types": (items("find_port_types"), PORTS),
-    "check_domain_and_file": (items("domain_and_file"), f"SELECT * FROM ({DOMAINS}) INTERSECT SELECT * FROM ({FILES})"),
-    "check_domains_wo_roles": (items("domains_wo_roles"), f"SELECT * FROM ({DOMAINS}) WHERE item NOT IN (SELECT type FROM role_type)"),
+    "check_domain_and_file": (items("domain_and_file", mixed_tables), f"SELECT * FROM ({MIXED}) INTERSECT SELECT * FROM ({FILES})"),
+    "check_domains_wo_roles": (items("domains_wo_roles", mixed_tables), f"SELECT * FROM ({MIXED}) WHERE item NOT IN (SELECT type FROM role_type WHERE type NOT LIKE '%3')"),
     "check_attribs_wo_types": (items("attribs_wo_types"), each("SELECT 'lonely_attr' AS item")),
     "check_attribs_wo_rules": (items("attribs_wo_rules"), f"SELECT policy_id, item FROM {IDS}, (SELECT type AS item FROM types WHERE is_attr UNION SELECT 'lonely_attr') WHERE NOT EXISTS (SELECT 1 FROM avrule_perm AS a WHERE a.policy_id = ids.policy_id AND (a.target = item OR a.source = item))"),
     "check_types_wo_allow": (items("types_wo_allow"), f"SELECT policy_id, item FROM {IDS}, (SELECT type AS item FROM types WHERE NOT is_attr UNION SELECT 'lonely_type') WHERE NOT EXISTS (SELECT 1 FROM avrule_perm AS a LEFT JOIN type_attr AS t ON a.target = t.attr WHERE a.kind = 'allow' AND a.policy_id = ids.policy_id AND (a.source = item OR coalesce(t.type, a.target) = item))"),

@@ -97,8 +97,8 @@ COND_KEY = "(ascii(right(source, 1)) + length(target)) % 12"
 
 #: Criteria that one pass applies, each as a strict filter of its own.
 CRITERIA = {
-    "perm": "writ*", "exe": "/usr/bin/s1*", "comm": "prog s2*", "path": "/srv/p1?", "inode": 77, "pid": 55, "ipaddr": "10.0.0.*", "saddr": "10.0.1.*", "daddr": "10.0.2.*",
-    "laddr": "10.0.3.*", "faddr": "10.0.4.*", "lport": 11, "fport": 12, "sport": 13, "dport": 14, "port": 40, "netif": "eth1", "key": 3, "cap": 5, "src_user": ["user_1"], "tgt_role": ["role_2"],
+    "perm": "writ*", "exe": "/usr/bin/s1*", "comm": "prog s2*", "path": "/srv/p1?", "inode": 77, "pid": 55, "ipaddr": "10.0.0.7", "saddr": "10.0.1.1*", "daddr": "10.0.2.?",
+    "laddr": "10.0.3.*5", "faddr": "10.0.4.[2-4]", "lport": 11, "fport": 12, "sport": 13, "dport": 14, "port": 40, "netif": "eth1", "key": 3, "cap": 5, "src_user": ["user_1"], "tgt_role": ["role_2"],
 }
 
 
@@ -110,14 +110,15 @@ def rich_messages(r: Relations) -> DataFrame:
     numbers = {n: (k % m).cast("int") for n, m in (("pid", 1000), ("lport", 101), ("fport", 103), ("sport", 107), ("dport", 109), ("key", 9), ("cap", 30))}
     rows = r.audit_messages().filter("msg_type = 'AVC'")
     rows = rows.withColumns({"exe": F.concat(F.lit("/usr/bin/"), F.col("stype")), "path": F.concat(F.lit("/srv/"), F.col("ttype")), "inode": k % 500, "netif": text("eth", 4), "suser": text("user_", 5), "trole": text("role_", 6)})
-    return rows.withColumns(address | numbers)
+    # every third message is of reading only
+    return rows.withColumns(address | numbers).withColumn("perms", F.when(k % 3 == 0, F.array(F.lit("read"))).otherwise(F.col("perms")))
 
 
 CRITERIA_SQL = " UNION ALL ".join(
     f"SELECT msg_id, '{name}' AS filter FROM audit WHERE msg_type = 'AVC' AND {test}"
     for name, test in {
-        "perm": "true", "exe": "stype LIKE 's1%'", "comm": "stype LIKE 's2%'", "path": "ttype LIKE 'p1_'", "inode": "msg_id % 500 = 77", "pid": "msg_id % 1000 = 55", "ipaddr": "true", "saddr": "true", "daddr": "true",
-        "laddr": "true", "faddr": "true", "lport": "msg_id % 101 = 11", "fport": "msg_id % 103 = 12", "sport": "msg_id % 107 = 13", "dport": "msg_id % 109 = 14", "port": "port = 40", "netif": "msg_id % 4 = 1",
+        "perm": "msg_id % 3 <> 0", "exe": "stype LIKE 's1%'", "comm": "stype LIKE 's2%'", "path": "ttype LIKE 'p1_'", "inode": "msg_id % 500 = 77", "pid": "msg_id % 1000 = 55", "ipaddr": "msg_id % 50 = 7", "saddr": "CAST(msg_id % 51 AS VARCHAR) LIKE '1%'", "daddr": "msg_id % 52 < 10",
+        "laddr": "CAST(msg_id % 53 AS VARCHAR) LIKE '%5'", "faddr": "msg_id % 54 IN (2, 3, 4)", "lport": "msg_id % 101 = 11", "fport": "msg_id % 103 = 12", "sport": "msg_id % 107 = 13", "dport": "msg_id % 109 = 14", "port": "port = 40", "netif": "msg_id % 4 = 1",
         "key": "msg_id % 9 = 3", "cap": "msg_id % 30 = 5", "src_user": "msg_id % 5 = 1", "tgt_role": "msg_id % 6 = 2",
     }.items()
 )
@@ -266,6 +267,6 @@ QUERIES = {
     "domtrans_between": (transition_pairs, f""", {WHOLE}, asked AS (SELECT policy_id, source AS a, target AS b FROM dom_edge WHERE edge = 'transition' AND source <> target)
  SELECT w.policy_id, w.start, w.ep, w."end", true AS forward FROM whole AS w JOIN asked ON asked.policy_id = w.policy_id AND a = w.start AND b = w."end" WHERE runs UNION ALL SELECT w.policy_id, w.start, w.ep, w."end", false FROM whole AS w JOIN asked ON asked.policy_id = w.policy_id AND b = w.start AND a = w."end" WHERE runs"""),
     "range_levels": (legal_levels, "SELECT low_rank, high_rank, 's' || k AS sens, coalesce((SELECT string_agg(cat, ',' ORDER BY cat) FROM level_cat WHERE sens = 's' || k AND cat IN ('c0', 'c1', 'c2', 'c3', 'c4', 'c5')), '') AS cats FROM (SELECT low_rank, high_rank, unnest(range(low_rank, high_rank + 1)) AS k FROM (SELECT DISTINCT low_rank, high_rank FROM range_trans WHERE high_rank < 5))"),
-    "labels_by_range": (lambda r: labels.query_labels(r.file_labels, LabelSearch(range="s0", relation="sub")).select("inode", "rng"), "SELECT inode, rng FROM file_labels"),
+    "labels_by_range": (lambda r: labels.query_labels(r.file_labels, LabelSearch(range="s0-s1:c0.c3", relation="exact")).select("inode", "rng"), "SELECT inode, rng FROM file_labels WHERE rng <> 's0'"),
     "labels_of_policy": (lambda r: labels.associate_policy(r.file_labels, r.audit.select("host").distinct().withColumn("policy_id", F.when(F.substring("host", 2, 1).cast("int") % 2 == 0, "F").otherwise("O"))).groupBy("policy_id", "type").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN h.host IS NOT NULL THEN CASE WHEN CAST(substr(f.host, 2, 1) AS INT) % 2 = 0 THEN 'F' ELSE 'O' END END AS policy_id, type, count(*) AS n FROM file_labels AS f LEFT JOIN (SELECT DISTINCT host FROM audit) AS h ON f.host = h.host GROUP BY 1, 2"),
 }

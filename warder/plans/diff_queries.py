@@ -82,8 +82,14 @@ def te(r: Relations) -> DataFrame:
     return diff.diff_terules(rename(t, "source", "target", "default_type"), type_attr(r), pairs(r), ids(r))
 
 
+def role_allow(r: Relations) -> DataFrame:
+    """The modified snapshot lacks some rules and has others."""
+    more = r.role_allow.filter(in_mod()).select("policy_id", "source").distinct().withColumn("target", F.lit("guest_r"))
+    return r.role_allow.filter(~(in_mod() & (F.col("source") == "ASIA_r") & (F.col("target") == "EUROPE_r"))).unionByName(more.filter("source <> 'AFRICA_r'"))
+
+
 def stats(r: Relations) -> DataFrame:
-    found = reduce(lambda a, b: a.unionByName(b), [av(r, "auditallow"), diff.diff_role_allow(r.role_allow, pairs(r)), diff.diff_users(user_role(r), pairs(r))])
+    found = reduce(lambda a, b: a.unionByName(b), [av(r, "auditallow"), diff.diff_role_allow(role_allow(r), pairs(r)), diff.diff_users(user_role(r), pairs(r))])
     return diff.diff_stats(found).drop("orig_id", "mod_id")
 
 
@@ -164,7 +170,7 @@ TE_SQL = compare(
 )
 RANGE = "SELECT {s} AS source, {t} AS target, class, unnest(list_append(list_transform(range(low_rank, high_rank + 1), lambda k: k || ':c0'), 'least:c0')) AS v FROM range_trans WHERE policy_id = '{p}'"
 RANGE_SQL = compare(RANGE.format(s=same("source"), t=same("target"), p="F"), RANGE.format(s="source", t="target", p="O"), "source || ' ' || target || ' ' || class", "range_trans", "key LIKE '-%' OR key LIKE '% -%'")
-ALLOW_SQL = compare("SELECT source, target AS v FROM role_allow WHERE policy_id = 'F'", "SELECT source, target AS v FROM role_allow WHERE policy_id = 'O'", "source", "role_allow")
+ALLOW_SQL = compare("SELECT source, target AS v FROM role_allow WHERE policy_id = 'F'", "SELECT source, target AS v FROM role_allow WHERE policy_id = 'O' AND NOT (source = 'ASIA_r' AND target = 'EUROPE_r') UNION SELECT source, 'guest_r' FROM role_allow WHERE policy_id = 'O' AND source <> 'AFRICA_r'", "source", "role_allow")
 USER_SQL = compare("SELECT user_name, role AS v FROM user_role", "SELECT user_name, role AS v FROM user_role WHERE role <> 'ASIA_r'", "user_name", "user")
 
 BIT = "(m >> CAST(right({}, 1) AS INT)) & 1 = 1"
@@ -203,7 +209,7 @@ QUERIES = {
     "diff_dontaudit": (lambda r: flat(av(r, "dontaudit")), av_sql("dontaudit")),
     "diff_neverallow": (lambda r: flat(av(r, "neverallow")), av_sql("neverallow")),
     "diff_te": (lambda r: flat(te(r)), TE_SQL),
-    "diff_role_allow": (lambda r: flat(diff.diff_role_allow(r.role_allow, pairs(r))), ALLOW_SQL),
+    "diff_role_allow": (lambda r: flat(diff.diff_role_allow(role_allow(r), pairs(r))), ALLOW_SQL),
     "diff_role_trans": (lambda r: flat(diff.diff_role_trans(rename(r.role_trans.filter("policy_id <> 'P'"), "target_type"), pairs(r), ids(r))), compare(f"SELECT source, {same('target_type')} AS target, default_role AS v FROM role_trans WHERE policy_id = 'F'", "SELECT source, target_type AS target, default_role AS v FROM role_trans WHERE policy_id = 'O'", "source || ' ' || target", "role_trans", "key LIKE '% -%'")),
     "diff_range_trans": (lambda r: flat(diff.diff_range_trans(rename(ranges(r).filter("policy_id <> 'P'"), "source", "target"), pairs(r), ids(r))), RANGE_SQL),
     "diff_stats": (stats, "SELECT component, count(*) FILTER (form = 'added') AS added, count(*) FILTER (form = 'removed') AS removed, count(*) FILTER (form = 'modified') AS modified, count(*) FILTER (form = 'add_by_type') AS add_by_type, count(*) FILTER (form = 'remove_by_type') AS remove_by_type FROM (" + " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (av_sql("auditallow"), ALLOW_SQL, USER_SQL)) + ") GROUP BY component"),

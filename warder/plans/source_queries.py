@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from warder.functions import net
 from warder.functions.state import scratch_path
+from warder.operators import labels
 from warder.plans.fixtures import Relations
 from warder.sources.snapshots import read_policy_tables, write_policy_tables
 
@@ -31,8 +32,27 @@ def nodes6(r: Relations) -> DataFrame:
     return found.select("msg_id", "type", net.ipv6_text(net.ipv6_digits(F.col("net"))).alias("network"))
 
 
+def folder_specs(r: Relations) -> DataFrame:
+    """A spec for each folder and for each file whose path is plain, the deeper ones later."""
+    plain = r.file_labels.filter(F.col("path").rlike("^(/[A-Za-z0-9_-]+)+$")).select("path").distinct()
+    whole = plain.select("path", F.lit("").alias("end"))
+    folders = plain.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).filter("path <> ''").distinct().select("path", F.lit("(/.*)?").alias("end"))
+    rows = whole.unionByName(folders).select(F.concat("path", "end").alias("path_regex"), F.length("path").alias("n"), F.lit(None).cast("string").alias("kind"))
+    context = F.concat(F.lit("system_u:object_r:p"), (F.col("n") % 7).cast("string"), F.lit(":s0"))
+    return rows.select((F.col("n") * 10 + F.when(F.col("path_regex").endswith(")?"), 0).otherwise(1)).cast("int").alias("line_no"), "path_regex", "kind", context.alias("context"))
+
+
+def folders(r: Relations) -> DataFrame:
+    return labels.expected_labels(r.file_labels, folder_specs(r)).select("host", "path", "inode", "line_no", "expected", "mismatch")
+
+
+FOLDERS = """, plain AS (SELECT DISTINCT path FROM file_labels WHERE regexp_full_match(path, '(/[A-Za-z0-9_-]+)+')),
+ spec AS (SELECT path, 1 AS k FROM plain UNION SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1), 0 FROM plain),
+ m AS (SELECT f.*, length(s.path) * 10 + k AS line_no, 'system_u:object_r:p' || (length(s.path) % 7) || ':s0' AS expected FROM file_labels AS f JOIN spec AS s ON s.path <> '' AND (f.path = s.path OR k = 0 AND starts_with(f.path, s.path || '/')))
+ SELECT host, path, inode, line_no, expected, expected <> 'system_u:object_r:' || type || ':s0' AS mismatch FROM (SELECT *, row_number() OVER (PARTITION BY inode, path, host ORDER BY line_no DESC) AS n FROM m) WHERE n = 1"""
 NET6 = "'fd00:' || CASE WHEN g2 = 0 AND g3 = 0 THEN ':' WHEN g3 = 0 THEN g2 || '::' ELSE g2 || ':' || g3 || '::' END"
 QUERIES = {
+    "labels_folder_specs": (folders, FOLDERS),
     "snapshot_tables": (snapshot, "SELECT a.policy_id, a.kind, a.source, a.target, t.type, a.class, string_agg(a.perm, ',' ORDER BY a.perm) AS perms FROM avrule_perm AS a JOIN type_attr AS t ON a.target = t.attr WHERE a.policy_id = 'O' GROUP BY ALL"),
     "ipv6_subnet_lookup": (
         nodes6,
