@@ -2,6 +2,7 @@
 
 import pytest
 
+from warder.operators import snapshot_diff
 from warder.sources.snapshots import SnapshotError, read_policy_tables, write_policy_tables
 
 
@@ -35,3 +36,47 @@ def test_bad_columns_are_named(spark, tmp_path):
     with pytest.raises(KeyError):
         write_policy_tables({"nothing": bad}, str(tmp_path))
     assert read_policy_tables(spark, str(tmp_path / "empty")) == {}
+
+
+def scanned_rows(df):
+    """Rows that the file scans of an executed plan gave."""
+    total, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            stack.append(node.plan())
+            continue
+        if name == "FileSourceScanExec" and "/rows" in node.toString():
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_stored_diff_reads_what_changed(spark, tmp_path):
+    root, n = str(tmp_path / "s"), 5000
+    rules = [("A", f"s{i}", f"t{i % 50}", ["read", "write"]) for i in range(n)]
+    make = lambda rows: spark.createDataFrame(rows, "policy_id string, source string, target string, perms array<string>")
+    snapshot_diff.store_snapshots(make(rules), root, ["source", "target"], "perms")
+    same = [("B", *r[1:3], list(reversed(r[3]))) for r in rules]
+    snapshot_diff.store_snapshots(make(same), root, ["source", "target"], "perms")
+    changed = [("C", *r[1:]) for r in rules if r[1] != "s7"]
+    changed[20] = (*changed[20][:3], ["read"])
+    snapshot_diff.store_snapshots(make([*changed, ("C", "new", "t", ["x"])]), root, ["source", "target"], "perms")
+    of = lambda *p: spark.createDataFrame(p, "orig_id string, mod_id string")
+    diff = lambda pairs: snapshot_diff.diff_stored(spark, root, pairs, ["source", "target"], "perms", "allow")
+    none = diff(of(("A", "B"), ("B", "A")))
+    assert none.collect() == [] and scanned_rows(none) == 0
+    some = diff(of(("A", "C"), ("C", "B")))
+    got = {(r["orig_id"], r["key"]): (r["form"], r["added"], r["removed"]) for r in some.collect()}
+    key = " ".join(changed[20][1:3])
+    assert got == {
+        ("A", "s7 t7"): ("removed", [], ["read", "write"]), ("A", key): ("modified", [], ["write"]), ("A", "new t"): ("added", ["x"], []),
+        ("C", "s7 t7"): ("added", ["read", "write"], []), ("C", key): ("modified", ["write"], []), ("C", "new t"): ("removed", [], ["x"]),
+    }
+    # three changes are in at most three of 64 buckets of each snapshot
+    assert 0 < scanned_rows(some) < 3 * n * 4 * 3 / 64

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from warder.functions import net
 from warder.functions.state import scratch_path
-from warder.operators import labels
+from warder.operators import labels, snapshot_diff
+from warder.plans.diff_queries import all_pairs, flat
 from warder.plans.fixtures import Relations
 from warder.sources.snapshots import read_policy_tables, write_policy_tables
 
@@ -50,8 +51,29 @@ FOLDERS = """, plain AS (SELECT DISTINCT path FROM file_labels WHERE regexp_full
  spec AS (SELECT path, 1 AS k FROM plain UNION SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1), 0 FROM plain),
  m AS (SELECT f.*, length(s.path) * 10 + k AS line_no, 'system_u:object_r:p' || (length(s.path) % 7) || ':s0' AS expected FROM file_labels AS f JOIN spec AS s ON s.path <> '' AND (f.path = s.path OR k = 0 AND starts_with(f.path, s.path || '/')))
  SELECT host, path, inode, line_no, expected, expected <> 'system_u:object_r:' || type || ':s0' AS mismatch FROM (SELECT *, row_number() OVER (PARTITION BY inode, path, host ORDER BY line_no DESC) AS n FROM m) WHERE n = 1"""
+def stored_diff(r: Relations) -> DataFrame:
+    """Differences between all pairs of three stored snapshots, of which two differ a little from
+    the first: one in the rules of a domain, the other in those of a file type."""
+    root, rules = scratch_path(r.spark, "stored"), r.grouped_rules().filter("policy_id = 'F' AND kind = 'allow'")
+    less = F.filter("perms", lambda p: p != "read")
+    second = rules.filter("NOT (source = 's7' AND class = 'dir')").unionByName(rules.filter("source = 's7' AND class = 'dir'").withColumn("perms", less).filter(F.size("perms") > 0)).withColumn("policy_id", F.lit("O"))
+    third = rules.filter("target <> 'p33'").withColumn("policy_id", F.lit("P"))
+    snapshot_diff.store_snapshots(rules.unionByName(second).unionByName(third), root, ["source", "target", "class"], "perms")
+    return flat(snapshot_diff.diff_stored(r.spark, root, all_pairs(r), ["source", "target", "class"], "perms", "allow"), "orig_id", "mod_id")
+
+
+STORED = """, side AS (
+  SELECT 'F' AS policy_id, source || ' ' || target || ' ' || class AS key, perm AS v FROM avrule_perm WHERE policy_id = 'F' AND kind = 'allow'
+  UNION ALL SELECT 'O', source || ' ' || target || ' ' || class, perm FROM avrule_perm WHERE policy_id = 'F' AND kind = 'allow' AND NOT (source = 's7' AND class = 'dir' AND perm = 'read')
+  UNION ALL SELECT 'P', source || ' ' || target || ' ' || class, perm FROM avrule_perm WHERE policy_id = 'F' AND kind = 'allow' AND target <> 'p33'),
+ both_ AS (SELECT a.p AS orig_id, b.p AS mod_id, key, v, bool_or(s.policy_id = a.p) AS o, bool_or(s.policy_id = b.p) AS m
+  FROM (VALUES ('F'), ('O'), ('P')) AS a(p), (VALUES ('F'), ('O'), ('P')) AS b(p), side AS s WHERE a.p <> b.p AND s.policy_id IN (a.p, b.p) GROUP BY ALL)
+ SELECT orig_id, mod_id, 'allow' AS component, key, CASE WHEN NOT bool_or(o) THEN 'added' WHEN NOT bool_or(m) THEN 'removed' ELSE 'modified' END AS form,
+  coalesce(string_agg(v, ',' ORDER BY v) FILTER (NOT o), '') AS added, coalesce(string_agg(v, ',' ORDER BY v) FILTER (NOT m), '') AS removed, coalesce(string_agg(v, ',' ORDER BY v) FILTER (o AND m), '') AS unmodified
+ FROM both_ GROUP BY orig_id, mod_id, key HAVING bool_or(NOT o) OR bool_or(NOT m)"""
 NET6 = "'fd00:' || CASE WHEN g2 = 0 AND g3 = 0 THEN ':' WHEN g3 = 0 THEN g2 || '::' ELSE g2 || ':' || g3 || '::' END"
 QUERIES = {
+    "diff_stored": (stored_diff, STORED),
     "labels_folder_specs": (folders, FOLDERS),
     "snapshot_tables": (snapshot, "SELECT a.policy_id, a.kind, a.source, a.target, t.type, a.class, string_agg(a.perm, ',' ORDER BY a.perm) AS perms FROM avrule_perm AS a JOIN type_attr AS t ON a.target = t.attr WHERE a.policy_id = 'O' GROUP BY ALL"),
     "ipv6_subnet_lookup": (
