@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import heapq
+import io
 import random
 import re
 import zlib
@@ -498,7 +499,6 @@ def test_warc(spark, monkeypatch):
 
 
 def test_warc_faults():
-    import io
 
     record = warc.record_bytes(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, "response")
     pack = lambda b: zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -527,6 +527,32 @@ def test_warc_foreign_archive(spark, tmp_path):
     assert [(r["record_type"], r["page_id"], r["payload_digest"], r["verified"], bytes(r["payload"])) for r in rows] == [("warcinfo", None, None, None, b"")]
 
 
+def test_warc_record_ids(spark, tmp_path):
+    """Rows with equal or no page_ids are records of their own; a revisit names its response."""
+    body = "x" * 200
+    pages = spark.createDataFrame([(1, "a", body), (1, "a", body), (None, "b", body), (None, "b", "short"), (2, "c", body)], "page_id long, url string, html string")
+    records = warc.read_warc(warc.write_warc(warc.plan_records(pages), str(tmp_path))).collect()
+    assert len({r["record_id"] for r in records}) == 5
+    assert sorted((r["url"], r["record_type"], r["refers_to"]) for r in records) == [("a", "response", None), ("a", "response", None), ("b", "response", None), ("b", "revisit", 1), ("c", "revisit", 1)]
+    heads = [h for p in tmp_path.glob("*.gz") for _, h, _, _ in warc.read_archive(io.BytesIO(p.read_bytes())) if h["warc-type"] == "revisit"]
+    assert [h["warc-refers-to-target-uri"] for h in heads] == ["a", "a"]
+
+
+def test_warc_bounded_framing():
+    """A member that grows beyond its stated length is given up after a chunk."""
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = z.compress(warc.record_bytes(1, "u", b"", hashlib.sha256(b"").hexdigest(), None, "response")) + z.compress(b"0" * (200 << 20)) + z.flush()
+    member = warc.Member(io.BytesIO(bomb), b"")
+    with pytest.raises(warc.WarcError):
+        member.record()
+    assert len(member.data) <= 2 * warc.CHUNK
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    endless = warc.Member(io.BytesIO(z.compress(b"WARC/1.1\r\n" + b"a: b\r\n" * (20 << 20)) + z.flush()), b"")
+    with pytest.raises(warc.WarcError):
+        endless.record()
+    assert len(endless.data) <= warc.HEAD_BYTES + 2 * warc.CHUNK
+
+
 def test_warc_null_ids(spark):
     body = "x" * 200
     pages = spark.createDataFrame([(1, "a", body), (None, "b", body), (2, "c", body), (None, "d", body + "!"), (None, "e", body + "!")], "page_id long, url string, html string")

@@ -36,13 +36,15 @@ def clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, kind: str) -> bytes:
-    """One record, uncompressed. A revisit carries the HTTP head only."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, kind: str, place: str = "", refers_uri: str | None = None) -> bytes:
+    """One record, uncompressed. Its identifier comes from its ``place``, which no other record
+    has. A revisit carries the HTTP head only, and names the response by its URI, page and
+    payload digest."""
     block = HTTP_HEAD + payload if kind == "response" else HTTP_HEAD
     head = [
         VERSION,
         b"WARC-Type: " + kind.encode(),
-        b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")).encode(),
+        b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, place)).encode(),
         b"WARC-Date: 1970-01-01T00:00:00Z",
         b"WARC-Target-URI: " + clean(url or "").encode(),
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
@@ -55,7 +57,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     if kind == "revisit":
         head += [
             b"WARC-Profile: " + REVISIT_PROFILE.encode(),
-            b"WARC-Refers-To: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{refers_to}")).encode(),
+            b"WARC-Refers-To-Target-URI: " + clean(refers_uri or "").encode(),
             b"X-Refers-To-Page: " + str(refers_to).encode(),
         ]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -65,27 +67,61 @@ class WarcError(ValueError):
     """A record that breaks the format or fails its digest."""
 
 
-def members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, one after another, decompressed chunk by chunk."""
+#: Bytes that the head of a record has at most.
+HEAD_BYTES = 1 << 20
+
+
+class Member:
+    """A gzip member of a stream, inflated piece by piece."""
+
+    def __init__(self, stream, rest: bytes):
+        self.stream, self.rest, self.unzip, self.data = stream, rest, zlib.decompressobj(31), bytearray()
+
+    def more(self) -> bool:
+        """Inflate up to CHUNK bytes more; whether the member had not ended."""
+        if self.unzip.eof:
+            return False
+        held = self.unzip.unconsumed_tail or self.rest or self.stream.read(CHUNK)
+        if not held:
+            raise WarcError("archive ends within a record")
+        self.data += self.unzip.decompress(held, CHUNK)
+        self.rest = self.unzip.unused_data
+        return True
+
+    def head_end(self) -> int:
+        while (at := self.data.find(b"\r\n\r\n")) < 0:
+            if len(self.data) > HEAD_BYTES or not self.more():
+                raise WarcError("no WARC head")
+        return at
+
+    def record(self) -> tuple[dict[str, str], bytes]:
+        """Headers and block. The block is framed by the content length while it is inflated: no
+        more of a member is held than its head says, whatever it would grow to."""
+        at = self.head_end()
+        head = parse_head(bytes(self.data[:at]))
+        end = at + 4 + int(head["content-length"])
+        while len(self.data) < end + 4 and self.more():
+            pass
+        while len(self.data) <= end + 4 and self.more():
+            pass
+        if self.data[end:] != b"\r\n\r\n" or len(self.data) != end + 4:
+            raise WarcError("content length does not frame the block")
+        return head, bytes(memoryview(self.data)[at + 4 : end])
+
+
+def members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a stream, one gzip member each, one after another."""
     rest = b""
-    while True:
-        rest = rest or stream.read(CHUNK)
-        if not rest:
-            return
-        unzip, parts = zlib.decompressobj(31), []
-        while not unzip.eof:
-            if not rest and not (rest := stream.read(CHUNK)):
-                raise WarcError("archive ends within a record")
-            parts.append(unzip.decompress(rest))
-            rest = unzip.unused_data if unzip.eof else b""
-        yield b"".join(parts)
-
-
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and block, framed by the content length."""
-    at = data.find(b"\r\n\r\n")
-    lines = data[:at].split(b"\r\n") if at >= 0 else []
-    if not lines or not lines[0].startswith(b"WARC/"):
+    while rest := rest or stream.read(CHUNK):
+        member = Member(stream, rest)
+        yield member.record()
+        rest = member.rest
+
+
+def parse_head(data: bytes) -> dict[str, str]:
+    """Headers by lower-case name."""
+    lines = data.split(b"\r\n")
+    if not lines[0].startswith(b"WARC/"):
         raise WarcError("no WARC head")
     head = {}
     for line in lines[1:]:
@@ -95,11 +131,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         head[name.decode().strip().lower()] = value.decode("utf-8").strip()
     if not {"warc-type", "warc-record-id"} <= head.keys() or not head.get("content-length", "").isdigit():
         raise WarcError("head lacks a type, an identifier or a length")
-    size = int(head["content-length"])
-    block = data[at + 4 : at + 4 + size]
-    if len(block) != size or data[at + 4 + size :] != b"\r\n\r\n":
-        raise WarcError("content length does not frame the block")
-    return head, block
+    return head
 
 
 def digest_fits(stated: str, data: bytes) -> bool | None:
@@ -120,8 +152,7 @@ def read_archive(stream) -> Iterator[tuple[int, dict[str, str], bytes, bool | No
     The payload is what follows the HTTP head, or the whole block of records that hold no HTTP
     message. The payload digest of a revisit is that of another record and not checked.
     """
-    for position, data in enumerate(members(stream)):
-        head, block = parse_record(data)
+    for position, (head, block) in enumerate(members(stream)):
         http = head.get("content-type", "").replace(" ", "").lower().startswith("application/http")
         payload = block.partition(b"\r\n\r\n")[2] if http else block
         stated = [("warc-block-digest", block)] + [("warc-payload-digest", payload)] * (head["warc-type"] != "revisit")
@@ -130,7 +161,8 @@ def read_archive(stream) -> Iterator[tuple[int, dict[str, str], bytes, bool | No
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Write records (page_id, url, html, record_type, refers_to, payload_digest) as archives.
+    """Write records (page_id, url, html, record_type, refers_to, refers_uri, payload_digest) as
+    archives. A record is identified by its archive and its place there.
 
     Each task writes archives of about ARCHIVE_BYTES under names of its own; the returned
     manifest is a table, so only archives of tasks that ended well are named in it and a
@@ -153,7 +185,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 payload = (row["html"] or "").encode("utf-8")
                 zipper = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                data = zipper.compress(record_bytes(row["page_id"], row["url"], payload, row["payload_digest"], row["refers_to"], row["record_type"])) + zipper.flush()
+                data = zipper.compress(record_bytes(row["page_id"], row["url"], payload, row["payload_digest"], row["refers_to"], row["record_type"], f"{folder}/{name}#{count}", row["refers_uri"])) + zipper.flush()
                 out.write(data)
                 count, size = count + 1, size + len(data)
                 if size >= ARCHIVE_BYTES:
@@ -162,7 +194,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield closed()
 
-    columns = ["page_id", "url", "html", "record_type", "refers_to", "payload_digest"]
+    columns = ["page_id", "url", "html", "record_type", "refers_to", "refers_uri", "payload_digest"]
     return staged(records.select(*columns).mapInArrow(run, MANIFEST), "manifest")
 
 
@@ -210,14 +242,14 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("size"))
-    groups = base.filter(F.col("size") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    groups = base.filter(F.col("size") >= least).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = staged(groups.filter("copies > 1"), "payload_groups")
-    first = F.col("g.first_id")
+    first = F.col("g.first.page_id")
     revisit = first.isNotNull() & ~first.eqNullSafe(F.col("page_id"))
     return (
         join_counted(base, groups, ["payload_digest"], "copies", ["page_id", "url"], "g")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, first))
+        .withColumns({"refers_to": F.when(revisit, first), "refers_uri": F.when(revisit, F.col("g.first.url"))})
         .drop("size", "g")
     )
 
