@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from warder.functions import mls
 from warder.functions.predicates import expand_type
+from warder.functions.state import written
 from warder.operators import transitions as tr
 
 SEVERITIES = ["none", "low", "medium", "high"]
@@ -313,11 +314,14 @@ def inc_net_access(t, o):
     need = F.broadcast(t["rules"].sparkSession.sql(f"SELECT * FROM VALUES {need} AS v (profile, place, class, perm)"))
     wide = expand_type(expand_type(t["rules"].filter("kind = 'allow'"), "target", t["type_attr"]), "source", t["type_attr"])
     wide = wide.select("policy_id", "source", "target", "class", F.explode("perms").alias("perm")).join(need.select("class", "perm").distinct(), ["class", "perm"])
+    wide = written(wide, "net_rules")  # read on the domain itself and for each kind of place
     kinds = {"netif": find_netif_types, "node": find_node_types, "port": find_port_types, "assoc": find_assoc_types}
     places = together([f(t, o).select("policy_id", F.col("item").alias("target"), F.lit(place).alias("place")) for place, f in kinds.items()]).distinct()
     own = wide.filter("source = target").withColumn("place", F.lit("self"))
     key = ["policy_id", "source", "place", "class", "perm"]
+    places = written(places, "net_places")
     has = own.select(*key).unionByName(wide.join(places, ["policy_id", "target"]).select(*key)).join(need.select("place", "class", "perm").distinct(), ["place", "class", "perm"]).distinct()
+    has = written(has, "net_rights")
     asks = reduce(lambda a, b: a | b, [(F.col("profile") == p) & (F.col("class").isin(s) | F.col("perm").isin(s)) for p, s in NET_SPECIFIC.items()])
     domains = has.join(need, ["place", "class", "perm"]).filter(asks).select("policy_id", "source", "profile").distinct()
     lacks = domains.join(need, "profile").join(has, key, "left_anti")
@@ -343,12 +347,17 @@ def imp_range_trans(t, o):
 
 @check("unreachable_doms", "medium", ["types", "type_attr", "rules", "terules", "role_type", "user_role", "role_allow", "role_trans"])
 def unreachable_doms(t, o):
-    """Domains without an incoming transition that roles and users can take, with the best reason."""
+    """Domains without an incoming transition that roles and users can take, with the best reason.
+
+    Transitions, roles and domains are read several times, so each is worked out once and written.
+    """
+    domains = written(items(find_domains(t, o)), "domains")
     edges = tr.edge_tables(t["rules"], t["terules"], t["type_attr"])
-    rows = role_paths(t, tr.transitions(edges, o["needs_change"]))
+    rows = written(tr.transitions(edges, o["needs_change"]), "transitions")
+    roles = {name: written(t[name], name) for name in ("role_type", "user_role")}
+    rows = written(role_paths(t | roles, rows).select("policy_id", "end", "valid", "common", "changed"), "role_paths")
     rank = F.when(F.col("valid") & (F.col("common").isNotNull() | F.col("changed").isNotNull()), 3).when(F.col("valid"), 2).otherwise(1)
     best = rows.groupBy("policy_id", F.col("end").alias("type")).agg(F.max(rank).alias("best"))
-    domains = items(find_domains(t, o))
     if o["exempt_domains"]:
         domains = domains.filter(~F.col("type").isin(o["exempt_domains"]))
     if "isids" in t:
