@@ -245,7 +245,7 @@ def test_near_dedup(spark, none):
     texts = [*TEXTS, edited(TEXTS[13], 1, 900)] + [edited(BASE, s, 4) for s in range(20, 30)] + [edited(prose(30, 150), s, 3) for s in range(40, 44)]
     docs = table(spark, texts, repeat=False)
     words = near_dedup.WordHashes()
-    want = classes_of([words(t or "") for t in texts], lambda a, b: a.tobytes() == b.tobytes() or near_dedup.similarity(near_dedup.places(a.tolist()), len(a), b, 0.8) is not None)
+    want = classes_of([words(t or "") for t in texts], lambda a, b: a.tobytes() == b.tobytes() or near_dedup.similarity(near_dedup.Text(a), b, 0.8) is not None)
     for groups in (500, 3):
         got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, group_rows=groups).collect()}
         assert got == dict(enumerate(want))
@@ -260,6 +260,7 @@ def test_edit_distance():
     for _ in range(500):
         a = [rng.randint(0, 4) for _ in range(rng.randint(0, 20))]
         b = [x for x in a if rng.random() > 0.1] + [1] * rng.randint(0, 2)
+        a, b = (a, b) if rng.random() < 0.5 else (b, a)
         row = list(range(len(b) + 1))
         for i, x in enumerate(a):
             new = [i + 1]
@@ -268,6 +269,10 @@ def test_edit_distance():
             row = new
         most = rng.randint(0, 8)
         assert near_dedup.edit_distance(near_dedup.places(a), len(a), b, most) == (row[-1] if row[-1] <= most else None)
+        longer, least = max(len(a), len(b)), rng.random()
+        fits = not longer or row[-1] <= int((1 - least) * longer + 1e-9)
+        found = near_dedup.similarity(near_dedup.Text(np.array(a, np.uint64)), np.array(b, np.uint64), least)
+        assert found == ((1 - row[-1] / longer if longer else 1.0) if fits else None)
 
 
 def test_stream_path():
