@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from warder.operators import checks, components, diff, explain, flow, labels, relabel, rules, transitions
+from warder.functions import mls
+from warder.operators import checks, components, diff, dominance, explain, flow, labels, relabel, rules, transitions
 from warder.operators.rules import RuleSearch
 
 RULE = "policy_id string, rule_id long, kind string, source string, target string, class string, perms array<string>, cond_id long, branch boolean, enabled boolean"
@@ -279,3 +280,17 @@ def test_spec_candidates_are_bounded_by_depth(spark):
     table = spark.createDataFrame(files, "path string, inode long")
     found = labels.spec_candidates(table, spark.createDataFrame(specs, "line_no int, path_regex string, kind string, context string"))
     assert found.groupBy("inode").count().agg(F.max("count")).first()[0] == 3 and found.count() == 3 * len(files)
+
+
+def test_covered_ranges(spark):
+    rng = random.Random(11)
+    names = [f"c{i}" for i in range(140)]
+    level = lambda: ("s", rng.randrange(4), rng.choice([None, rng.sample(names, rng.choice([0, 1, 2])), names[: rng.choice([70, 140])]]))
+    some = lambda n: [("A", rng.choice("xyz"), i, (level(), rng.choice([None, level()]))) for i in range(n)]
+    kind = "struct<sens:string,rank:int,cats:array<string>>"
+    schema = f"policy_id string, source string, id int, range struct<low:{kind},high:{kind}>"
+    rows, ranges = spark.createDataFrame(some(150), schema), spark.createDataFrame(some(60), schema)
+    got = sorted(r["id"] for r in dominance.covered(rows, ranges.drop("id"), ["policy_id", "source"]).collect())
+    pairs = rows.join(ranges.select("policy_id", "source", F.col("range").alias("may")), ["policy_id", "source"]).filter(mls.range_contains(F.col("may"), F.col("range")))
+    assert got == sorted(r["id"] for r in pairs.select("id").distinct().collect()) and 0 < len(got) < 150
+    assert dominance.covered(rows.limit(0), ranges, ["policy_id", "source"]).count() == 0

@@ -14,10 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warder.functions import mls
 from warder.functions.predicates import expand_type
 from warder.functions.state import written
 from warder.operators import transitions as tr
+from warder.operators.dominance import covered
 
 SEVERITIES = ["none", "low", "medium", "high"]
 COLUMNS = ["policy_id", "check", "severity", "item_type", "item", "proof_type", "proof_text", "element"]
@@ -338,8 +338,8 @@ def imp_range_trans(t, o):
     has_role = roles.select("policy_id", "source").distinct().withColumn("has_role", F.lit(True))
     who = roles.join(t["user_role"], ["policy_id", "role"]).join(t["users"].select("policy_id", "user_name", F.col("range").alias("may")), ["policy_id", "user_name"]).select("policy_id", "source", "may").distinct()
     key = ["policy_id", "source", "target", "class"]
-    covered = wide.join(who, ["policy_id", "source"]).filter(mls.range_contains(F.col("may"), F.col("range"))).select(*key).distinct().withColumn("covered", F.lit(True))
-    rows = wide.join(run, ["policy_id", "source", "target"], "left").join(has_role, ["policy_id", "source"], "left").join(covered, key, "left")
+    fits = covered(wide.select(*key, "range"), who.withColumnRenamed("may", "range"), ["policy_id", "source"]).select(*key).distinct().withColumn("covered", F.lit(True))
+    rows = wide.join(run, ["policy_id", "source", "target"], "left").join(has_role, ["policy_id", "source"], "left").join(fits, key, "left")
     why = F.array_compact(F.array(F.when(F.col("runs").isNull(), "execute"), F.when(F.col("has_role").isNull(), "role"), F.when(F.col("has_role").isNotNull() & F.col("covered").isNull(), "user")))
     bad = rows.select(*key, F.explode(why).alias("why"))
     return found(bad, "range_transition", F.concat_ws(" ", "source", "target", "class"), "missing", F.col("why"))
