@@ -69,5 +69,5 @@ def test_stages_take_hard_tables(spark, tmp_path):
 
 def test_registered():
     names = queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(oracle_sql()) <= set(names)
