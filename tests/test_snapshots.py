@@ -1,6 +1,7 @@
 """Snapshots on disk."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from warder.operators import snapshot_diff
 from warder.sources.snapshots import SnapshotError, read_policy_tables, write_policy_tables
@@ -80,3 +81,14 @@ def test_stored_diff_reads_what_changed(spark, tmp_path):
     }
     # three changes are in at most three of 64 buckets of each snapshot
     assert 0 < scanned_rows(some) < 3 * n * 4 * 3 / 64
+
+
+def test_digests_are_of_the_rows_that_are_stored(spark, tmp_path):
+    # a plan that gives other rows each time it runs is run once
+    root = str(tmp_path / "s")
+    rules = spark.range(200).select(F.lit("A").alias("policy_id"), F.col("id").cast("string").alias("source"), F.array(F.uuid()).alias("perms"))
+    snapshot_diff.store_snapshots(rules, root, ["source"], "perms", buckets=4)
+    sums = [snapshot_diff.digest(["source"], "perms", n).alias(f"d{n}") for n in (0, 1)]
+    stored = spark.read.parquet(f"{root}/rows").groupBy("slice").agg(F.count(F.lit(1)).alias("n"), *sums)
+    want = {tuple(r) for r in spark.read.parquet(f"{root}/digests").select("slice", "n", "d0", "d1").collect()}
+    assert {tuple(r) for r in stored.collect()} == want and len(want) == 4

@@ -22,10 +22,11 @@ def store_snapshots(rows: DataFrame, root: str, identity: list[str], content: st
     a digest of each bucket of each policy. Policies that are there are replaced, others stay.
 
     Below ``rows`` there is a folder for each policy and bucket; ``digests`` has one small row for
-    each: the count of its rows and 128 bits over their identity and content.
+    each: the count of its rows and 128 bits over their identity and content. The rows are staged
+    first, so that their plan runs once and a digest is of the rows that are stored.
     """
     bucket = F.pmod(F.xxhash64(*identity), F.lit(buckets)).cast("int")
-    dealt = rows.select("policy_id", *identity, content).withColumn("slice", F.concat_ws(".", "policy_id", bucket.cast("string")))
+    dealt = written(rows.select("policy_id", *identity, content).withColumn("slice", F.concat_ws(".", "policy_id", bucket.cast("string"))), "dealt")
     place = {"partitionOverwriteMode": "dynamic"}
     dealt.repartition("slice").write.partitionBy("policy_id", "slice").options(**place).mode("overwrite").parquet(f"{root}/rows")
     sums = dealt.groupBy("policy_id", "slice").agg(F.count(F.lit(1)).alias("n"), digest(identity, content, 0).alias("d0"), digest(identity, content, 1).alias("d1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warder.functions import net
-from warder.functions.state import scratch_path
+from warder.functions.state import scratch_path, written
 from warder.operators import labels, snapshot_diff
 from warder.plans.diff_queries import all_pairs, flat
 from warder.plans.fixtures import Relations
@@ -54,7 +54,7 @@ FOLDERS = """, plain AS (SELECT DISTINCT path FROM file_labels WHERE regexp_full
 def stored_diff(r: Relations) -> DataFrame:
     """Differences between all pairs of three stored snapshots, of which two differ a little from
     the first: one in the rules of a domain, the other in those of a file type."""
-    root, rules = scratch_path(r.spark, "stored"), r.grouped_rules().filter("policy_id = 'F' AND kind = 'allow'")
+    root, rules = scratch_path(r.spark, "stored"), written(r.grouped_rules().filter("policy_id = 'F' AND kind = 'allow'"), "rules")
     less = F.filter("perms", lambda p: p != "read")
     second = rules.filter("NOT (source = 's7' AND class = 'dir')").unionByName(rules.filter("source = 's7' AND class = 'dir'").withColumn("perms", less).filter(F.size("perms") > 0)).withColumn("policy_id", F.lit("O"))
     third = rules.filter("target <> 'p33'").withColumn("policy_id", F.lit("P"))
