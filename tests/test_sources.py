@@ -58,3 +58,19 @@ def test_ipv6_subnets(spark):
     rows = spark.createDataFrame([(str(i),) for i in set(ips)], "ip string").withColumn("n", number("ip"))
     want = {str(ip): str(max((n for n in nets if ip in n), key=lambda n: n.prefixlen)) for ip in ips if any(ip in n for n in nets)}
     assert {r["ip"]: r["type"] for r in net.ipv6_subnet_lookup(rows, "n", table).collect()} == want
+
+
+def test_lookups_do_not_group_the_rows(spark):
+    nets = spark.createDataFrame([("fd00:1::", "ffff:ffff::", "a"), ("fd00:1::1", "ffff:ffff::", "b"), ("fd00:1:2::", "ffff:ffff:ffff::", "c")], "a string, m string, type string")
+    number = lambda c: net.ipv6_number(net.ipv6(F.col(c)))
+    table = nets.select(number("a").alias("addr"), number("m").alias("mask"), "type")
+    rows = spark.createDataFrame([(1, "fd00:1::9"), (1, "fd00:1::9"), (2, "fd00:1:2::9"), (3, "fd01::"), (4, None)], "id int, ip string").withColumn("n", number("ip"))
+    found = net.ipv6_subnet_lookup(rows, "n", table)
+    assert sorted((r["id"], r["type"]) for r in found.collect()) == [(1, "b"), (1, "b"), (2, "c")]
+    small = spark.createDataFrame([(10, 14, "x"), (9, 12, "y")], "addr long, mask long, type string")
+    four = net.subnet_lookup(spark.createDataFrame([(1, 10), (1, 10), (2, 9), (3, 1)], "id int, n long"), "n", small)
+    assert sorted((r["id"], r["type"]) for r in four.collect()) == [(1, "x"), (1, "x"), (2, "y")]
+    assert four.columns == ["id", "n", "mask", "type"]
+    # a largest row with text in it sorts all it aggregates, in the tasks that read the addresses
+    for df in (found, four):
+        assert "SortAggregate" not in df._jdf.queryExecution().toString()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warder.functions.state import written
+
 
 def ipv4(text: Column) -> Column:
     """Dotted address as a long; null if it is none."""
@@ -67,13 +71,31 @@ def ipv6_subnet_lookup(addresses: DataFrame, column: str, subnets: DataFrame) ->
     if len(masks) > MASKS:
         raise ValueError(f"more than {MASKS} masks")
     tried = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(hi).cast("long").alias("hi"), F.lit(lo).cast("long").alias("lo")) for n, (hi, lo) in enumerate(masks)])
-    net = lambda a: F.struct(*[F.col(f"{a}.{h}").bitwiseAND(F.col(f"m.{h}")).alias(h) for h in ("hi", "lo")])
-    keyed = addresses.withColumn("m", F.explode(tried) if masks else F.explode(F.array().cast("array<struct<n:int,hi:bigint,lo:bigint>>"))).withColumn("net", net(column))
-    table = subnets.withColumn("m", F.col("mask")).withColumn("net", net("addr")).drop("addr", "m")
-    hit = keyed.withColumn("mask", F.struct("m.hi", "m.lo")).join(table, ["mask", "net"])
+    tried = tried if masks else F.array().cast("array<struct<n:int,hi:bigint,lo:bigint>>")
+    net = lambda a, m: F.struct(*[a[h].bitwiseAND(m[h]).alias(h) for h in ("hi", "lo")])
+    table = subnets.withColumn("net", net(F.col("addr"), F.col("mask"))).drop("addr")
+    return longest(addresses, column, table, tried, lambda m: F.struct(m["hi"].alias("hi"), m["lo"].alias("lo")), net)
+
+
+def longest(addresses: DataFrame, column: str, table: DataFrame, tried: Column, mask: Callable[[Column], Column], net: Callable[[Column, Column], Column]) -> DataFrame:
+    """Addresses with the row of ``table`` (mask, net, ...) of the last of the ``tried`` masks
+    (n, ...) under which there is one; of several rows the largest.
+
+    Each different address is looked up once, and only the number of its best mask is aggregated:
+    rows are not grouped by address, which would sort them, repeated for each mask, in the tasks
+    that read them. Then they meet what was found for their address.
+    """
     more = [c for c in table.columns if c not in ("mask", "net")]
-    best = hit.groupBy(*addresses.columns).agg(F.max(F.struct("m.n", "mask", "net", *more)).alias("s"))
-    return best.select(*addresses.columns, "s.mask", "s.net", *[F.col(f"s.{c}") for c in more])
+    # staged, as both are read twice, and null tests of the joins would be worked out for every row below
+    addresses = written(addresses, "addresses")
+    table = written(table.groupBy("mask", "net").agg(F.max(F.struct(F.lit(0).alias("__"), *more)).alias("s")), "subnets")
+    keyed = addresses.select(F.col(column).alias("ip")).filter("ip is not null").distinct().withColumn("m", F.explode(tried))
+    keyed = keyed.select("ip", F.col("m.n").alias("n"), mask(F.col("m")).alias("mask"), net(F.col("ip"), mask(F.col("m"))).alias("net"))
+    best = keyed.join(table.select("mask", "net"), ["mask", "net"]).groupBy("ip").agg(F.max("n").alias("n"))
+    best = best.withColumn("mask", mask(F.element_at(tried, F.col("n") + 1))).withColumn("net", net(F.col("ip"), F.col("mask")))
+    found = best.join(table, ["mask", "net"]).select(F.col("ip").alias("__ip"), F.col("mask").alias("__mask"), F.col("net").alias("__net"), "s")
+    hit = addresses.join(found, F.col(column) == F.col("__ip"))
+    return hit.select(*addresses.columns, F.col("__mask").alias("mask"), F.col("__net").alias("net"), *[F.col(f"s.{c}").alias(c) for c in more])
 
 
 #: Distinct subnet masks that a lookup takes.
@@ -87,13 +109,11 @@ def subnet_lookup(addresses: DataFrame, column: str, subnets: DataFrame) -> Data
     masks = sorted(r["mask"] for r in subnets.select("mask").distinct().limit(MASKS + 1).collect())
     if len(masks) > MASKS:
         raise ValueError(f"more than {MASKS} masks")
-    keyed = addresses.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]).cast("array<long>")))
-    keyed = keyed.withColumn("net", F.col(column).bitwiseAND(F.col("mask")))
-    table = subnets.withColumn("net", F.col("addr").bitwiseAND(F.col("mask"))).drop("addr")
-    hit = keyed.join(table, ["mask", "net"])
-    values = F.struct(F.col("mask").alias("m"), *[c for c in table.columns if c not in ("mask", "net")])
-    best = hit.groupBy(*addresses.columns).agg(F.max(values).alias("s"))
-    return best.select(*addresses.columns, F.col("s.m").alias("mask"), *[F.col(f"s.{c}") for c in table.columns if c not in ("mask", "net")])
+    tried = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).cast("long").alias("mask")) for n, m in enumerate(masks)])
+    tried = tried if masks else F.array().cast("array<struct<n:int,mask:bigint>>")
+    net = lambda a, m: a.bitwiseAND(m)
+    table = subnets.withColumn("mask", F.col("mask").cast("long")).withColumn("net", net(F.col("addr"), F.col("mask"))).drop("addr")
+    return longest(addresses, column, table, tried, lambda m: m["mask"], net).drop("net")
 
 
 #: Port numbers there are: the bound of what a table of port statements is spread over.
