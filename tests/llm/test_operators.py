@@ -602,3 +602,15 @@ def test_near_dedup_links_within_families(spark):
     rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(table(spark, texts, repeat=False)).collect()}
     met = [rows[i]["class_id"] == i - i % 6 for i in range(len(texts)) if i % 6]
     assert sum(met) >= 0.97 * len(met)
+
+
+def test_near_dedup_counts_every_link(spark):
+    # all texts of a family are like each other, also those that follow one leader, over several parts of a bucket
+    rng, texts = random.Random(5), []
+    for k in range(40):
+        words = [f"g{i}" for i in range(120)]
+        for i in rng.sample(range(120), 3):
+            words[i] = f"x{k}_{i}"
+        texts.append(" ".join(words))
+    rows = near_dedup.near_duplicates(table(spark, texts, repeat=False), group_rows=12).collect()
+    assert {r["links"] for r in rows} == {39} and len({r["class_id"] for r in rows}) == 1

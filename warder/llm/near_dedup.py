@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,16 +25,13 @@ BANDS = FIRST_BANDS + SECOND_BANDS
 #: for short texts, of pairs of words. Texts that differ in every fifth word share 22 of 64 and at
 #: least 26 of 80 on the average, those that share a tenth of their text about 6 of 64.
 LEAST_SHARED, SHORT_SHARED = 12, 13
-#: Sketch bytes of the second shingles at which a row leaves a bucket to a leader it has these in
-#: common with, and does not lead itself; else all texts with one passage would be paired.
-LOOSE_SHARED = 7
-#: Orders in which rows of a bucket may lead.
-ORDERS = 6
 #: Texts of at most so many words have all their short runs as keys. Those of fewer than
 #: LEAST_WORDS are like equal ones only, as one edit is more than a fifth of the longer text.
 SHORT, LEAST_WORDS = 64, 4
-#: Sketches that one group of a bucket compares.
+#: Rows of one part of a bucket; two parts are compared at a time.
 GROUP_ROWS = 500
+#: Pairs that are sent out at once.
+PAIR_ROWS = 50_000
 #: Members that are aligned with one copy of their leader.
 SALT_ROWS = 256
 CACHE_WORDS = 300_000
@@ -158,64 +157,60 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("kid", "text").mapInArrow(run, SKETCH)
 
 
-def leaders_and_pairs(nodes: np.ndarray, sketch: np.ndarray, least: int, loose: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Cluster a bounded group by sketch. Each row is paired with all leaders before it that it
-    shares ``least`` bytes with; if it shares ``loose`` with none, it becomes a leader."""
-    leaders: list[int] = []
-    pairs: list[tuple[int, int]] = []
-    for i in range(len(nodes)):
-        shared = (sketch[leaders] == sketch[i]).sum(axis=1) if leaders else np.zeros(0, int)
-        pairs += [(int(nodes[i]), int(nodes[leaders[k]])) for k in np.flatnonzero(shared >= least)]
-        if not len(shared) or shared.max() < loose:
-            leaders.append(i)
-    return leaders, pairs
-
-
-GROUP = "node long, leader long, bucket long, short boolean, sketch binary"
-
+def close_pairs(nodes: np.ndarray, own: np.ndarray, sketch: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """All pairs (later, earlier row) of two parts, or within one, that share ``least`` bytes."""
+    two = own.min() != own.max()
+    for i in range(1, len(nodes)):
+        near = (sketch[:i] == sketch[i]).sum(axis=1) >= least
+        if two:
+            near &= own[:i] != own[i]
+        near = np.flatnonzero(near)
+        if len(near):
+            yield np.stack([np.full(len(near), nodes[i]), nodes[near]])
 
-def cluster(rows: DataFrame, least: int, keep_leaders: bool) -> DataFrame:
-    """Cluster rows (bucket, part, short, node, sketch) by (bucket, part): pairs, and leaders on
-    request. Buckets have one of ORDERS orders, so that texts which meet in several buckets are
-    paired with different leaders and with each other."""
-    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.xxhash64(F.pmod("bucket", F.lit(ORDERS)), "node"), "node")
 
-    def flush(key, nodes, sketch, out):
-        bucket, _, short = key
-        leaders, pairs = leaders_and_pairs(np.array(nodes, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(nodes), -1), *((SHORT_SHARED, SHORT_SHARED) if short else (least, LOOSE_SHARED)))
-        out += [(*p, None, None, None) for p in pairs]
-        if keep_leaders:
-            out += [(nodes[i], None, bucket, short, sketch[i]) for i in leaders]
+def paired(rows: DataFrame, least: int) -> DataFrame:
+    """Pairs (node, leader), the greater node first, of rows (bucket, part, own, short, node,
+    sketch) with equal bucket and part."""
+    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
 
-    def batch_of(out):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["node", "leader", "bucket", "short", "sketch"])
+    def batch_of(pairs):
+        node, leader = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(leader, pa.int64())], names=["node", "leader"])
 
-    def run(batches):
-        key, nodes, sketch = None, [], []
+    def groups(batches):
+        key, held = None, []
         for batch in batches:
-            out: list[tuple] = []
-            for node, bits, *of in zip(*(batch.column(c).to_pylist() for c in ("node", "sketch", "bucket", "part", "short")), strict=True):
+            for node, own, bits, *of in zip(*(batch.column(c).to_pylist() for c in ("node", "own", "sketch", "bucket", "part", "short")), strict=True):
                 if of != key:
-                    if nodes:
-                        flush(key, nodes, sketch, out)
-                    key, nodes, sketch = of, [], []
-                nodes.append(node)
-                sketch.append(bits)
-            yield batch_of(out)
-        if nodes:
-            flush(key, nodes, sketch, out := [])
-            yield batch_of(out)
+                    if len(held) > 1:
+                        yield key, held
+                    key, held = of, []
+                held.append((node, own, bits))
+        if len(held) > 1:
+            yield key, held
+
+    def run(batches):
+        out, n = [], 0
+        for (_, _, short), held in groups(batches):
+            nodes, own, sketch = zip(*held, strict=True)
+            bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(nodes), -1)
+            for pairs in close_pairs(np.array(nodes, np.int64), np.array(own), bits, SHORT_SHARED if short else least):
+                out.append(pairs)
+                n += pairs.shape[1]
+                if n >= PAIR_ROWS:
+                    yield batch_of(out)
+                    out, n = [], 0
+        yield batch_of(out)
 
-    return dealt.select("bucket", "part", "short", "node", "sketch").mapInArrow(run, GROUP)
+    return dealt.select("bucket", "part", "own", "short", "node", "sketch").mapInArrow(run, "node long, leader long")
 
 
 def candidates(reps: DataFrame, least: int, group_rows: int) -> DataFrame:
-    """Pairs (node, leader) of different texts that share a key and ``least`` sketch bytes.
+    """All pairs (node, leader) of different texts that share a key and ``least`` sketch bytes.
 
-    A bucket is dealt out in parts of about ``group_rows``. Leaders of a bucket with several
-    parts meet in a second step: again in parts, each with each, so a row is repeated once for
-    every ``group_rows`` leaders of its bucket and nothing is left out.
+    A bucket is dealt out in parts of about ``group_rows``, which meet each with each, so a row is
+    repeated once for every ``group_rows`` of its bucket and no pair is left out.
     """
     bands = reps.select("node", F.lit(False).alias("short"), F.explode("bands").alias("bucket"))
     runs = reps.select("node", F.lit(True).alias("short"), F.explode("runs").alias("bucket"))
@@ -224,16 +219,9 @@ def candidates(reps: DataFrame, least: int, group_rows: int) -> DataFrame:
     shared = join_counted(rows, sizes, ["bucket"], "n", ["node"], "c").filter("c is not null").select("node", "short", "bucket", F.col("c.n").alias("n"))
     both = F.array(F.struct(F.lit(False).alias("short"), "sketch"), F.struct(F.lit(True).alias("short"), F.col("short").alias("sketch")))
     shared = shared.join(reps.select("node", F.inline(both)), ["node", "short"])
-    parts = lambda n: F.ceil(F.col(n) / group_rows).cast("int")
-    dealt = shared.withColumn("part", F.pmod(F.xxhash64("node"), parts("n")).cast("int"))
-    first = staged(cluster(dealt, least, True), "clusters")
-    several = sizes.filter(F.col("n") > group_rows).select("bucket")
-    again = staged(first.filter("leader is null").select("bucket", "short", "node", "sketch").join(several, "bucket", "left_semi"), "leaders")
-    count = staged(again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "leader_counts")
-    grid = join_counted(again, count, ["bucket"], "n", ["node"], "c").withColumn("g", parts("c.n")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("g")).cast("int"))
-    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, F.col("own")) * F.col("g") + F.greatest(o, F.col("own"))))
-    second = cluster(grid.select("bucket", "short", "node", "sketch", cell.alias("part")), least, False)
-    return first.filter("leader is not null").select("node", "leader").unionByName(second.filter("leader is not null").select("node", "leader")).distinct()
+    grid = shared.withColumn("g", F.ceil(F.col("n") / group_rows)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")))
+    cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.least(o, F.col("own")) * F.col("g") + F.greatest(o, F.col("own"))))
+    return paired(grid.select("bucket", "short", "node", "own", "sketch", cell.alias("part")), least).distinct()
 
 
 #: Places of a text that one bit field covers, so that fields are linear in its length.
