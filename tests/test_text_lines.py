@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from warder.sources import text_lines
-from warder.sources.audit_log import parse_lines, read_audit, read_audit_text
+from warder.sources.audit_log import fold_ranges, join_continuations, parse_lines, read_audit, read_audit_text
 from warder.streaming.audit_stream import tail_audit
 
 BOOL = "Mar  4 10:11:13 h1 kernel: security: committed booleans: { allow_x:1,"
@@ -86,3 +86,23 @@ def test_parse_keeps_first_pair_and_columns(spark):
     got = parse_lines(rows).first()
     assert (got["id"], got["pid"], got["name"], got["comm"], got["stype"]) == (1, 77, "x=y z", "cp", "s1")
     assert not [c for c in got.asDict() if c.startswith("__")]
+
+
+@pytest.mark.parametrize("size", [40, 150, 1 << 20])
+def test_folding_where_it_is_read(spark, tmp_path, size):
+    # ranges begin and end within messages of several lines, loads, noise and lines of no daemon
+    rng = random.Random(size)
+    pool = [BOOL, BOOL, f"{BOOL} }}", "b:0,", "c:1 }", "noise", *LOADS, LOADS[1], AVC, "", "security: 3 rules", "avc: x"]
+    for i in range(3):
+        (tmp_path / f"f{i}").write_text("".join(rng.choice(pool) + "\n" for _ in range(60)))
+    lines = read_audit_text(spark, str(tmp_path), range_bytes=size)
+    rows = lambda df: sorted(map(tuple, df.select("file", "offset", "value").collect()))
+    assert rows(fold_ranges(lines)) == rows(join_continuations(lines, "offset", size))
+
+
+def test_small_ranges_share_tasks():
+    # 7 GB in ranges of 100 KB: some hundred tasks, which hold all ranges once
+    found = text_lines.tasks({"a": (0, 7_000_000_000), "b": (5, 950_005)}, 100_000)
+    assert len(found) < 2 * text_lines.TASKS
+    assert [(r.start, r.end) for r in found if r.file == "b"] == [(5, 950_005)]
+    assert sum(r.end - r.start for r in found) == 7_000_950_000 and max(r.end - r.start for r in found) <= text_lines.RANGE_BYTES

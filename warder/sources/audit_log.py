@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +64,7 @@ def read_audit_text(spark: SparkSession, path: str | list[str], stream: bool = F
 def read_audit(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Messages of text logs, with file and offset of their first line. Files are read and
     folded in byte ranges; a message that is cut by one comes out whole."""
-    return parse_lines(join_continuations(read_audit_text(spark, path, range_bytes=range_bytes), "offset", range_bytes))
+    return parse_lines(fold_ranges(read_audit_text(spark, path, range_bytes=range_bytes), "offset"))
 
 
 def union_logs(logs: list[DataFrame]) -> DataFrame:
@@ -233,6 +237,143 @@ def join_continuations(lines: DataFrame, order: str = "line_no", fold_lines: int
     return rows.groupBy("file", "message").agg(F.min(order).alias(order), F.array_join(F.transform(parts_of, lambda p: p["value"]), " ").alias("value")).drop("message")
 
 
+class LineKinds:
+    """What folding looks at in a batch of lines, as ``classify_line`` and ``join_continuations`` see it."""
+
+    NONE, BOOL, LOAD, AVC = range(4)
+
+    def __init__(self, values: pa.Array):
+        has = lambda text: pc.match_substring(values, text).to_numpy(zero_copy_only=False)
+        bools, loads, avc = has("committed booleans"), has("security:"), has("avc:")
+        self.kind, self.users, self.counts = np.zeros(len(values), np.int8), np.zeros(len(values), bool), np.zeros(len(values), bool)
+        marked = np.flatnonzero(bools | loads | avc)
+        some = values.take(pa.array(marked))
+        at = lambda pattern: pc.match_substring_regex(some, pattern).to_numpy(zero_copy_only=False)
+        daemon = at("kernel") | at(rf"\btype=\w+ msg=audit\(|{STAMP}")
+        users, counted = at(r"\d+ users"), at(r"\d+ (classes|rules)")
+        load = loads[marked] & (users | counted | at(r"\d+ types"))
+        kinds = np.select([bools[marked] & daemon, load & daemon, avc[marked] & daemon], [self.BOOL, self.LOAD, self.AVC], self.NONE)
+        self.kind[marked], self.users[marked], self.counts[marked] = kinds, users, counted
+        unended = ~has("}")
+        # an unmarked line is open too, so that several may go on with one message
+        self.open = unended & (bools & (self.kind == self.BOOL) | (self.kind == self.NONE))
+
+
+def fold_ranges(lines: DataFrame, order: str = "offset") -> DataFrame:
+    """``join_continuations`` for lines that stand in partitions in order, each a piece of a file.
+
+    Messages that begin and end within a partition are folded where it is read. Only the first and
+    last messages of a partition, and one row on its last lines, are shuffled: a partition is told
+    the last line and the last marked one before it, and its first and last messages meet there.
+    """
+    known = "first boolean, kind byte, users boolean, counts boolean, open boolean, last_kind byte"
+    schema = f"file string, {order} long, value string, part long, whole boolean, {known}"
+
+    def run(batches):
+        fold = Fold(order)
+        for batch in batches:
+            yield from fold.put(batch)
+        yield from fold.end()
+
+    pieces = written(lines.select("file", order, "value").mapInArrow(run, schema), "pieces")
+    tails = pieces.filter("value is null").select("file", "part", F.struct("kind", "open", "users").alias("tail"), "last_kind")
+    parts = Window.partitionBy("file").orderBy("part")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    tails = tails.select("file", "part", F.lag("tail").over(parts).alias("tail"), F.last("last_kind", ignorenulls=True).over(earlier).alias("mark"))
+    border = pieces.filter("not whole and value is not null").join(tails, ["file", "part"])
+    # before: the tail for the first line of a partition; the other unknown ones follow an open unmarked line
+    goes_on = (F.col("kind") == LineKinds.NONE) & (F.col("mark") == LineKinds.BOOL) & ((F.col(order) != F.col("part")) | F.col("tail.open"))
+    second_load = (F.col("kind") == LineKinds.LOAD) & (F.col("tail.kind") == LineKinds.LOAD) & F.col("counts") & F.col("tail.users")
+    border = border.withColumn("first", F.coalesce("first", ~F.coalesce(goes_on | second_load, F.lit(False))))
+    number = F.sum(F.col("first").cast("long")).over(Window.partitionBy("file").orderBy(order))
+    texts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "value")))
+    joined = border.withColumn("message", number).groupBy("file", "message").agg(F.min(order).alias(order), F.array_join(F.transform(texts, lambda p: p["value"]), " ").alias("value"))
+    return pieces.filter("whole").select("file", order, "value").unionByName(joined.select("file", order, "value"))
+
+
+class Fold:
+    """Folds the lines of one partition, batch by batch; files follow each other in it."""
+
+    COLUMNS = {"file": pa.string(), "at": pa.int64(), "value": pa.string(), "part": pa.int64(), "whole": pa.bool_(), "first": pa.bool_(), "kind": pa.int8(), "users": pa.bool_(), "counts": pa.bool_(), "open": pa.bool_(), "last_kind": pa.int8()}
+
+    def __init__(self, order: str):
+        self.file, self.order = None, order
+
+    def begin(self, file: str, at: int) -> None:
+        # kind, open and users of the line before; the last marked kind; whether no message is known to have
+        # begun; rows of the one that goes on
+        self.file, self.part, self.before, self.mark, self.head, self.held = file, at, None, LineKinds.NONE, True, []
+
+    def put(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        files = batch.column(0)
+        start = 0
+        while start < len(files):
+            file, n = files[start].as_py(), len(files) - start
+            if files[len(files) - 1].as_py() != file:
+                n = int(np.flatnonzero(pc.not_equal(files.slice(start), pa.scalar(file)).to_numpy(zero_copy_only=False))[0])
+            if file != self.file:
+                yield from self.end()
+                self.begin(file, batch.column(1)[start].as_py())
+            yield from self.lines(batch.column(1).slice(start, n), batch.column(2).slice(start, n))
+            start += n
+
+    def lines(self, order: pa.Array, values: pa.Array) -> Iterator[pa.RecordBatch]:
+        k, n = LineKinds(values), len(values)
+        before = self.before or (LineKinds.NONE, False, False)
+        shifted = lambda a, first: np.concatenate([[first], a[:-1]])
+        kind, opened, users = shifted(k.kind, before[0]), shifted(k.open, before[1]), shifted(k.users, before[2])
+        places = np.maximum.accumulate(np.where(k.kind != LineKinds.NONE, np.arange(n), -1))
+        marks = np.where(places < 0, self.mark, k.kind[places])
+        none = k.kind == LineKinds.NONE
+        first = ~(none & (marks == LineKinds.BOOL) & opened | (k.kind == LineKinds.LOAD) & (kind == LineKinds.LOAD) & k.counts & users)
+        # not known: unmarked lines before the first mark that follow an open one, and the first line
+        unknown = none & (marks == LineKinds.NONE) & opened
+        if self.before is None:
+            unknown[0] = none[0] or k.kind[0] == LineKinds.LOAD and k.counts[0]
+        # messages are whole from where a line is known to be a first one, after or at the first mark
+        begins = np.flatnonzero(first & ~unknown & (marks != LineKinds.NONE))
+        rest = lambda a, b: [(order[i].as_py(), values[i].as_py(), None if unknown[i] else bool(first[i]), int(k.kind[i]), bool(k.users[i]), bool(k.counts[i]), bool(k.open[i])) for i in range(a, b)]
+        goes_on = rest(0, int(begins[0]) if len(begins) else n)
+        if self.head:
+            yield from self.border(goes_on)
+        else:
+            self.held += goes_on
+        if len(begins):
+            yield from self.flush()
+            ends = np.append(begins[1:], n)
+            single = pa.array(begins[:-1][ends[:-1] - begins[:-1] == 1])
+            yield self.batch(len(single), at=order.take(single), value=values.take(single), whole=True)
+            several = np.flatnonzero(ends[:-1] - begins[:-1] > 1)
+            text = [" ".join(values.slice(begins[i], ends[i] - begins[i]).to_pylist()) for i in several]
+            yield self.batch(len(several), at=[order[int(begins[i])].as_py() for i in several], value=text, whole=True)
+            self.head, self.held = False, rest(int(begins[-1]), n)
+        self.before = (int(k.kind[-1]), bool(k.open[-1]), bool(k.users[-1]))
+        self.mark = int(marks[-1])
+
+    def batch(self, n: int, **columns) -> pa.RecordBatch:
+        columns = {"file": self.file, "part": self.part} | columns
+        full = lambda c, kind: pa.array([columns.get(c)] * n, kind) if not isinstance(columns.get(c), (list, pa.Array)) else pa.array(columns[c], kind) if isinstance(columns[c], list) else columns[c]
+        return pa.RecordBatch.from_arrays([full(c, kind) for c, kind in self.COLUMNS.items()], names=[self.order if c == "at" else c for c in self.COLUMNS])
+
+    def border(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Lines of a partition's first or last message, each as a row."""
+        if rows:
+            at, value, first, kind, users, counts, opened = map(list, zip(*rows, strict=True))
+            yield self.batch(len(rows), at=at, value=value, whole=False, first=first, kind=kind, users=users, counts=counts, open=opened)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """The message that was held, whole."""
+        if self.held:
+            yield self.batch(1, at=[self.held[0][0]], value=[" ".join(h[1] for h in self.held)], whole=True)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.file is None:
+            return
+        yield from self.border(self.held)
+        kind, opened, users = self.before
+        yield self.batch(1, at=[self.part], value=[None], whole=False, kind=[kind], users=[users], open=[opened], last_kind=[self.mark or None])
+
+
 def render_messages(messages: DataFrame, name: str = "text") -> DataFrame:
     """Add the canonical text of each message; ``parse_lines`` gives the message back."""
     stamp = F.expr("format_string('audit(%d.%06d:%d)', unix_micros(ts) div 1000000, pmod(unix_micros(ts), 1000000L), coalesce(serial, 0L))")

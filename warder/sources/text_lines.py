@@ -14,6 +14,8 @@ FORMAT = "log_lines"
 SCHEMA = "file string, offset long, value string"
 #: Bytes of a file that one task reads, and that are held at once.
 RANGE_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
+#: Tasks from which adjacent small ranges share one, up to RANGE_BYTES of text, and are read one by one.
+TASKS = 200
 
 
 class ByteRange(InputPartition):
@@ -88,7 +90,7 @@ def last_line_end(file: str, start: int, size: int, chunk: int = CHUNK_BYTES) ->
 
 def batches(part: ByteRange) -> Iterator[pa.RecordBatch]:
     offsets, values, held = [], [], 0
-    make = lambda: pa.RecordBatch.from_arrays([pa.array([part.file] * len(values)), pa.array(offsets, pa.int64()), pa.array(values, pa.string())], names=["file", "offset", "value"])
+    make = lambda: pa.RecordBatch.from_arrays([pa.array([part.file] * len(values), pa.string()), pa.array(offsets, pa.int64()), pa.array(values, pa.string())], names=["file", "offset", "value"])
     for offset, line in lines(part.file, part.start, part.end):
         offsets.append(offset)
         values.append(line.decode("utf-8", "replace"))
@@ -103,15 +105,28 @@ def cut(file: str, start: int, end: int, size: int) -> list[ByteRange]:
     return [ByteRange(file, at, min(at + size, end)) for at in range(start, end, size)]
 
 
+def tasks(files: dict[str, tuple[int, int]], size: int) -> list[ByteRange]:
+    """What each task reads of files, given by their (start, end): ranges of ``size`` bytes, several
+    adjacent ones where there are many."""
+    ranges = sum(-(-(end - start) // size) for start, end in files.values())
+    span = size * max(1, min(-(-ranges // TASKS), RANGE_BYTES // size))
+    return [r for file, (start, end) in files.items() for r in cut(file, start, end, span)]
+
+
+def task_batches(part: ByteRange, size: int) -> Iterator[pa.RecordBatch]:
+    for r in cut(part.file, part.start, part.end, size):
+        yield from batches(r)
+
+
 class LineReader(DataSourceReader):
     def __init__(self, paths: list[str], size: int):
         self.paths, self.size = paths, size
 
     def partitions(self) -> list[ByteRange]:
-        return [r for file, n in log_files(self.paths).items() for r in cut(file, 0, n, self.size)] or [ByteRange("", 0, 0)]
+        return tasks({file: (0, n) for file, n in log_files(self.paths).items()}, self.size) or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return batches(partition) if partition.file else iter(())
+        return task_batches(partition, self.size) if partition.file else iter(())
 
 
 class LineStreamReader(DataSourceStreamReader):
@@ -132,10 +147,10 @@ class LineStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         from_ = {file: start.get(file, 0) if start.get(file, 0) <= to else 0 for file, to in end.items()}
-        return [r for file, to in end.items() for r in cut(file, from_[file], to, self.size)]
+        return tasks({file: (from_[file], to) for file, to in end.items()}, self.size)
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return batches(partition)
+        return task_batches(partition, self.size)
 
     def commit(self, end: dict) -> None:
         pass
@@ -143,7 +158,7 @@ class LineStreamReader(DataSourceStreamReader):
 
 class LineSource(DataSource):
     """Format ``log_lines``: (file, offset, value). Options: ``path``, or ``paths`` with one path a
-    line; ``rangeBytes``, what one task reads of a file."""
+    line; ``rangeBytes``, what is read of a file at once."""
 
     @classmethod
     def name(cls) -> str:
