@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from warder.sources import text_lines
 from warder.sources.audit_log import fold_ranges, join_continuations, parse_lines, read_audit, read_audit_text
+from warder.streaming import audit_stream
 from warder.streaming.audit_stream import tail_audit
 
 BOOL = "Mar  4 10:11:13 h1 kernel: security: committed booleans: { allow_x:1,"
@@ -106,3 +107,45 @@ def test_small_ranges_share_tasks():
     assert len(found) < 2 * text_lines.TASKS
     assert [(r.start, r.end) for r in found if r.file == "b"] == [(5, 950_005)]
     assert sum(r.end - r.start for r in found) == 7_000_950_000 and max(r.end - r.start for r in found) <= text_lines.RANGE_BYTES
+
+
+def test_stream_folds_where_lines_are_read():
+    # cut anywhere, whole messages and the lines that meet in the state give what the state gives for all lines
+    import pandas as pd
+    import pyarrow as pa
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get, clear = lambda self: self.held, lambda self: self.update(None)
+
+        def update(self, held):
+            self.held = held
+
+    def state(parts):
+        of, out = audit_stream.Continuations(), []
+        of.pending = Value()
+        for rows in parts:
+            for done in of.handleInputRows(("f",), iter([pd.DataFrame(rows, columns=["line_no", "value"])]), None):
+                out += list(zip(done["line_no"], done["value"]))
+        return out, of.pending.held
+
+    rng = random.Random(3)
+    pool = [BOOL, BOOL, f"{BOOL} }}", "b:0,", "c:1 }", "noise", *LOADS, LOADS[1], AVC, "", "security: 3 rules", f"{BOOL} security: 3 classes"]
+    for _ in range(400):
+        lines = [(i, rng.choice(pool)) for i in range(30)]
+        cuts = sorted(rng.sample(range(1, 30), 4))
+        parts = [lines[a:b] for a, b in zip([0, *cuts], [*cuts, 30])]
+        table = lambda rows: pa.RecordBatch.from_pylist([{"file": "f", "line_no": n, "value": v} for n, v in rows])
+        folded = [[r for b in audit_stream.fold_lines(iter([table(p[:2]), table(p[2:])] if len(p) > 2 else [table(p)])) for r in b.to_pylist()] for p in parts]
+        edges = [[(r["line_no"], r["value"]) for r in p if r["slot"] < 0] for p in folded]
+        whole = [(r["line_no"], r["value"]) for p in folded for r in p if r["slot"] >= 0]
+        want, pending = state(parts)
+        got, left = state(edges)
+        assert sorted(got + whole) == sorted(want) and left == pending
+        one, _ = state([[x for p in edges for x in p]])
+        assert sorted(one + whole) == sorted(want)
+    # of a long range hardly a line goes to the state
+    long = [(i, v) for i, v in enumerate([AVC, BOOL, "c:1 }", *LOADS] * 2000)]
+    rows = [r for b in audit_stream.fold_lines(iter([table(long)])) for r in b.to_pylist()]
+    assert sum(r["slot"] < 0 for r in rows) == 1 and sum(r["slot"] >= 0 for r in rows) == 6000
