@@ -614,3 +614,30 @@ def test_near_dedup_counts_every_link(spark):
         texts.append(" ".join(words))
     rows = near_dedup.near_duplicates(table(spark, texts, repeat=False), group_rows=12).collect()
     assert {r["links"] for r in rows} == {39} and len({r["class_id"] for r in rows}) == 1
+
+
+@pytest.mark.parametrize("group_rows", [500, 20])
+def test_near_dedup_classes_without_all_links(spark, monkeypatch, group_rows):
+    # classes are those of all links, also of copies that are alike only by way of others; the alignments
+    # of a family grow with its texts, not with their pairs
+    rng, texts = random.Random(11), []
+    for length, copies, edits in ((120, 100, 4), (200, 12, 36), (30, 12, 5)):
+        base = [f"c{length}_{rng.randrange(5000)}" for _ in range(length)]
+        for k in range(copies):
+            words = list(base)
+            for i in rng.sample(range(length), edits):
+                words[i] = f"y{length}_{k}_{i}"
+            texts.append(" ".join(words))
+    docs, aligned, verified = table(spark, texts, repeat=False), [], near_dedup.verified
+
+    def counted(rows, pairs, least):
+        aligned.append(pairs.select("node", "leader").collect())
+        return verified(rows, pairs, least)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    classes = lambda **how: {r["doc_id"]: (r["class_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, group_rows=group_rows, **how).collect()}
+    want, every = classes(), sum(map(len, aligned))
+    aligned.clear()
+    assert classes(count_links=False) == want
+    pairs = [tuple(p) for step in aligned for p in step]
+    assert len(set(pairs)) == len(pairs) and every > 4500 and len(pairs) < 10 * len(texts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warder.llm.common import documents, free_name, join_counted, staged
+from warder.llm.common import distilled, documents, free_name, join_counted, staged
 from warder.llm.pieces import lists
 from warder.llm.rolling import finish, gram_hashes
 
@@ -34,6 +34,8 @@ GROUP_ROWS = 500
 PAIR_ROWS = 50_000
 #: Members that are aligned with one copy of their leader.
 SALT_ROWS = 256
+#: Places of a bag of words.
+BAG = 128
 CACHE_WORDS = 300_000
 FACTORS = finish(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -123,7 +125,13 @@ def short_keys(words: np.ndarray) -> np.ndarray:
     return np.concatenate([finish(np.unique(gram_hashes(words, q)) + np.uint64(q)) for q in sizes])
 
 
-SKETCH = "kid long, d1 long, d2 long, bands array<long>, runs array<long>, sketch binary, short binary"
+def bag_of(words: np.ndarray) -> np.ndarray:
+    """How many words of a text fall to each of BAG places, at most 255. An edit changes two of
+    these counts by one at most, so texts that are alike differ by at most twice their edits."""
+    return np.minimum(np.bincount((finish(words) >> np.uint64(32)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8)
+
+
+SKETCH = "kid long, d1 long, d2 long, bands array<long>, runs array<long>, sketch binary, short binary, words int, bag binary"
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -133,7 +141,7 @@ def sketches(rows: DataFrame) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(8)]
             for text in batch.column(1).to_pylist():
                 words = hashes(text)
                 digest = xxhash.xxh3_128_digest(words.tobytes())
@@ -147,32 +155,72 @@ def sketches(rows: DataFrame) -> DataFrame:
                     short_keys(words).view(np.int64) if short else none,
                     least.tobytes(),
                     order_sketch(labelled_shingles(words, SHORT_SHINGLE))[1].tobytes() if short else b"",
+                    len(words),
+                    bag_of(words).tobytes(),
                 )
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            one, two, bands, runs, sketch, short_sketch = out
-            columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists(bands, pa.int64()), lists(runs, pa.int64()), pa.array(sketch, pa.binary()), pa.array(short_sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["kid", "d1", "d2", "bands", "runs", "sketch", "short"])
+            one, two, bands, runs, sketch, short_sketch, sizes, bags_ = out
+            columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists(bands, pa.int64()), lists(runs, pa.int64()), pa.array(sketch, pa.binary()), pa.array(short_sketch, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bags_, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["kid", "d1", "d2", "bands", "runs", "sketch", "short", "words", "bag"])
 
     return rows.select("kid", "text").mapInArrow(run, SKETCH)
 
 
-def close_pairs(nodes: np.ndarray, own: np.ndarray, sketch: np.ndarray, least: int) -> Iterator[np.ndarray]:
-    """All pairs (later, earlier row) of two parts, or within one, that share ``least`` bytes."""
-    two = own.min() != own.max()
-    for i in range(1, len(nodes)):
-        near = (sketch[:i] == sketch[i]).sum(axis=1) >= least
+class Group:
+    """Rows of a part of a bucket: nodes, classes, parts, sketches, words and bags."""
+
+    def __init__(self, held: list[tuple], least_shared: int, least: float):
+        nodes, comp, own, sketch, words, bag = zip(*held, strict=True)
+        self.nodes, self.comp, self.own, self.words = np.array(nodes, np.int64), np.array(comp, np.int64), np.array(own), np.array(words)
+        self.sketch, self.bag = (np.frombuffer(b"".join(x), np.uint8).reshape(len(nodes), -1) for x in (sketch, bag))
+        self.least_shared, self.least = least_shared, least
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sketch bytes that row i shares with others, -1 for those that it need not be aligned with:
+        fewer than least_shared are the same, or the bags differ by more than the edits allowed."""
+        found = (self.sketch[others] == self.sketch[i]).sum(axis=1)
+        found[found < self.least_shared] = -1
+        near = np.flatnonzero(found >= 0)
+        if len(near):
+            apart = np.abs(self.bag[others[near]].astype(np.int16) - self.bag[i]).sum(axis=1, dtype=np.int64)
+            most = ((1 - self.least) * np.maximum(self.words[others[near]], self.words[i]) + 1e-9).astype(np.int64)
+            found[near[apart > 2 * most]] = -1
+        return found
+
+
+def close_pairs(g: Group) -> Iterator[np.ndarray]:
+    """All pairs (later, earlier row) of two parts, or within one, that may be alike and are not of
+    one class."""
+    two = g.own.min() != g.own.max()
+    for i in range(1, len(g.nodes)):
+        other = g.comp[:i] != g.comp[i]
         if two:
-            near &= own[:i] != own[i]
-        near = np.flatnonzero(near)
+            other &= g.own[:i] != g.own[i]
+        other = np.flatnonzero(other)
+        near = other[g.shared(i, other) >= 0]
         if len(near):
-            yield np.stack([np.full(len(near), nodes[i]), nodes[near]])
+            yield np.stack([np.full(len(near), g.nodes[i]), g.nodes[near]])
+
+
+def leading_pairs(g: Group) -> Iterator[np.ndarray]:
+    """A pair of each row and the leader before it that it shares most bytes with; a row that may
+    be like none leads."""
+    leaders = np.zeros(1, np.int64)
+    for i in range(1, len(g.nodes)):
+        shared = g.shared(i, leaders)
+        most = int(shared.argmax())
+        if shared[most] < 0:
+            leaders = np.append(leaders, i)
+        else:
+            yield np.array([[g.nodes[i]], [g.nodes[leaders[most]]]])
 
 
-def paired(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs (node, leader), the greater node first, of rows (bucket, part, own, short, node,
-    sketch) with equal bucket and part."""
-    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, choose: Callable[[Group], Iterator[np.ndarray]]) -> DataFrame:
+    """Different pairs (node, leader), the greater node first, that ``choose`` takes of the rows
+    (bucket, part, own, short, node, comp) with equal bucket and part."""
+    both = F.array(F.struct(F.lit(False).alias("short"), "sketch"), F.struct(F.lit(True).alias("short"), F.col("short").alias("sketch")))
+    dealt = rows.join(reps.select("node", "words", "bag", F.inline(both)), ["node", "short"]).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
 
     def batch_of(pairs):
         node, leader = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
@@ -181,21 +229,20 @@ def paired(rows: DataFrame, least: int) -> DataFrame:
     def groups(batches):
         key, held = None, []
         for batch in batches:
-            for node, own, bits, *of in zip(*(batch.column(c).to_pylist() for c in ("node", "own", "sketch", "bucket", "part", "short")), strict=True):
+            for *row, bucket, part, short in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "own", "sketch", "words", "bag", "bucket", "part", "short")), strict=True):
+                of = bucket, part, short
                 if of != key:
                     if len(held) > 1:
                         yield key, held
                     key, held = of, []
-                held.append((node, own, bits))
+                held.append(row)
         if len(held) > 1:
             yield key, held
 
     def run(batches):
         out, n = [], 0
         for (_, _, short), held in groups(batches):
-            nodes, own, sketch = zip(*held, strict=True)
-            bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(nodes), -1)
-            for pairs in close_pairs(np.array(nodes, np.int64), np.array(own), bits, SHORT_SHARED if short else least):
+            for pairs in choose(Group(held, SHORT_SHARED if short else least_shared, least)):
                 out.append(pairs)
                 n += pairs.shape[1]
                 if n >= PAIR_ROWS:
@@ -203,25 +250,82 @@ def paired(rows: DataFrame, least: int) -> DataFrame:
                     out, n = [], 0
         yield batch_of(out)
 
-    return dealt.select("bucket", "part", "own", "short", "node", "sketch").mapInArrow(run, "node long, leader long")
+    return dealt.select("bucket", "part", "own", "short", "node", "comp", "sketch", "words", "bag").mapInArrow(run, "node long, leader long").distinct()
 
 
-def candidates(reps: DataFrame, least: int, group_rows: int) -> DataFrame:
-    """All pairs (node, leader) of different texts that share a key and ``least`` sketch bytes.
-
-    A bucket is dealt out in parts of about ``group_rows``, which meet each with each, so a row is
-    repeated once for every ``group_rows`` of its bucket and no pair is left out.
-    """
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """(node, comp, short, bucket, n) of the keys that several texts have: n texts. Each text is a
+    class (comp) of its own."""
     bands = reps.select("node", F.lit(False).alias("short"), F.explode("bands").alias("bucket"))
     runs = reps.select("node", F.lit(True).alias("short"), F.explode("runs").alias("bucket"))
     rows = staged(bands.unionByName(runs), "buckets")
     sizes = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket_sizes")
-    shared = join_counted(rows, sizes, ["bucket"], "n", ["node"], "c").filter("c is not null").select("node", "short", "bucket", F.col("c.n").alias("n"))
-    both = F.array(F.struct(F.lit(False).alias("short"), "sketch"), F.struct(F.lit(True).alias("short"), F.col("short").alias("sketch")))
-    shared = shared.join(reps.select("node", F.inline(both)), ["node", "short"])
-    grid = shared.withColumn("g", F.ceil(F.col("n") / group_rows)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")))
+    shared = join_counted(rows, sizes, ["bucket"], "n", ["node"], "c").filter("c is not null")
+    return shared.select("node", F.col("node").alias("comp"), "short", "bucket", F.col("c.n").alias("n"))
+
+
+def in_parts(keys: DataFrame, group_rows: int) -> DataFrame:
+    """Each bucket dealt out in parts of about ``group_rows``, a row in one of them."""
+    return keys.withColumns({"own": F.lit(0), "part": F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group_rows))})
+
+
+def each_with_each(keys: DataFrame, group_rows: int) -> DataFrame:
+    """Each bucket dealt out in parts of about ``group_rows``, which meet each with each, so a row is
+    repeated once for every ``group_rows`` of its bucket and no pair is left out."""
+    grid = keys.withColumn("g", F.ceil(F.col("n") / group_rows)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")))
     cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.least(o, F.col("own")) * F.col("g") + F.greatest(o, F.col("own"))))
-    return paired(grid.select("bucket", "short", "node", "own", "sketch", cell.alias("part")), least).distinct()
+    return grid.select("bucket", "short", "node", "comp", "own", cell.alias("part"))
+
+
+def candidates(reps: DataFrame, least_shared: int, least: float, group_rows: int) -> DataFrame:
+    """All pairs (node, leader) of different texts that share a key and ``least_shared`` sketch
+    bytes, and whose bags do not rule out a similarity of ``least``."""
+    return paired(each_with_each(shared_keys(reps), group_rows), reps, least_shared, least, close_pairs)
+
+
+def open_keys(keys: DataFrame, comps: DataFrame) -> DataFrame:
+    """The keys of buckets with texts of several classes, by classes (node, comp) that are known now."""
+    now = staged(keys.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "keys")
+    several = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket", "n")
+    found = join_counted(now.drop("n"), staged(several, "open_sizes"), ["bucket"], "n", ["node"], "c").filter("c is not null")
+    return found.select("node", "comp", "short", "bucket", F.col("c.n").alias("n"))
+
+
+def class_heads(keys: DataFrame) -> DataFrame:
+    """The smallest text of each class in each bucket."""
+    heads = staged(keys.groupBy("bucket", "short", "comp").agg(F.min("node").alias("node")), "heads")
+    sizes = staged(heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "head_sizes")
+    return join_counted(heads, sizes, ["bucket"], "n", ["node"], "c").select("node", "comp", "short", "bucket", F.col("c.n").alias("n"))
+
+
+def tied(rows: DataFrame, reps: DataFrame, again: DataFrame, least: float, least_shared: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Links (node, leader, similarity), and the classes (node, comp) that they and edges ``again`` make:
+    the same as those of all links between ``candidates``.
+
+    Rows of a bucket are aligned with leaders first, then the smallest texts of the classes that
+    are left in a bucket with each other, and at last all texts of different classes. A pair is
+    left out only if it is of one class already, so a family costs about as many alignments as it
+    has texts.
+    """
+    spark, edges, done, links = rows.sparkSession, again, None, None
+    keys = distilled(spark, "shared", lambda: shared_keys(reps))
+    for step in (leading_pairs, class_heads, close_pairs):
+        if step is leading_pairs:
+            pairs = paired(in_parts(keys, group_rows), reps, least_shared, least, leading_pairs)
+        else:
+            keys = distilled(spark, "open", lambda before=keys: open_keys(before, comps))
+            if keys.isEmpty():
+                break
+            pairs = paired(in_parts(class_heads(keys), group_rows) if step is class_heads else each_with_each(keys, group_rows), reps, least_shared, least, close_pairs)
+            pairs = pairs.join(done, ["node", "leader"], "left_anti")
+        pairs = staged(pairs, "pairs")
+        found = distilled(spark, "links", lambda pairs=pairs: verified(rows, pairs, least))
+        done, links = (pairs, found) if done is None else (done.unionByName(pairs), links.unionByName(found))
+        if step is leading_pairs or not found.isEmpty():
+            edges = edges.unionByName(found.select(F.col("node").alias("u"), F.col("leader").alias("v")))
+            comps = distilled(spark, "comps", lambda edges=edges: components(edges))
+            edges = comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+    return links, comps
 
 
 #: Places of a text that one bit field covers, so that fields are linear in its length.
@@ -405,7 +509,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_shared: int = LEAST_SHARED, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_shared: int = LEAST_SHARED, group_rows: int = GROUP_ROWS, count_links: bool = True) -> DataFrame:
     """(doc_id, class_id, kept, links, match_id, similarity) for every row of documents.
 
     Words are the runs between blanks. Rows are linked when their whole texts align with at
@@ -417,6 +521,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_shared: in
     ``similarity`` name the most alike of them (smallest doc_id among equals; null if none), so
     that a class can be audited link by link.
 
+    Counting links aligns all pairs of a family. Without ``count_links`` classes are the same, but
+    pairs that are of one class already are not aligned (see ``tied``): there is no column
+    ``links``, and ``match_id`` is the most alike of the texts that a row's text was aligned with.
+
     doc_id is the identity of a document: rows that repeat it are in one class. Rows without
     doc_id are named by a hash of their text. An empty table gives no rows; other columns are
     not read.
@@ -424,14 +532,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_shared: in
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("kid"), text.alias("text"))
     sketched = staged(sketches(rows), "sketches")
-    best = F.min(F.struct("kid", "bands", "runs", "sketch", "short")).alias("best")
-    nodes = staged(sketched.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), best).select("d1", "d2", "copies", F.col("best.kid").alias("node"), "best.bands", "best.runs", "best.sketch", "best.short"), "nodes")
-    pairs = staged(candidates(nodes, least_shared, group_rows), "pairs")
-    links = staged(verified(rows, pairs, least), "links")
+    best = F.min(F.struct("kid", "bands", "runs", "sketch", "short", "words", "bag")).alias("best")
+    nodes = staged(sketched.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), best).select("d1", "d2", "copies", F.col("best.kid").alias("node"), "best.bands", "best.runs", "best.sketch", "best.short", "best.words", "best.bag"), "nodes")
     # rows with one doc_id and several texts are several nodes of one document
     same = sketched.groupBy("kid").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a <> b").select("kid")
     again = sketched.join(same, "kid").select("kid", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select(F.col("kid").alias("u"), F.col("node").alias("v"))
-    comps = components(links.select(F.col("node").alias("u"), F.col("leader").alias("v")).unionByName(again))
+    if count_links:
+        links = staged(verified(rows, staged(candidates(nodes, least_shared, least, group_rows), "pairs"), least), "links")
+        comps = components(links.select(F.col("node").alias("u"), F.col("leader").alias("v")).unionByName(again))
+    else:
+        links, comps = tied(rows, nodes, again, least, least_shared, group_rows)
     ends = links.unionByName(links.select(F.col("leader").alias("node"), F.col("node").alias("leader"), "similarity"))
     most_alike = F.max(F.struct("similarity", (-F.col("leader")).alias("other"))).alias("best")
     ends = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"), most_alike)
@@ -440,17 +550,18 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_shared: in
     classes = classes.select("d1", "d2", "copies", *found)
     classes = staged(classes, "classes")
     placed = join_counted(sketched.select("kid", "d1", "d2"), classes, ["d1", "d2"], "copies", ["kid"], "c")
-    return placed.select(F.col("kid").alias("doc_id"), F.col("c.class_id").alias("class_id"), (F.col("kid") == F.col("c.class_id")).alias("kept"), "c.links", "c.match_id", "c.similarity")
+    shown = ["c.links"] * count_links + ["c.match_id", "c.similarity"]
+    return placed.select(F.col("kid").alias("doc_id"), F.col("c.class_id").alias("class_id"), (F.col("kid") == F.col("c.class_id")).alias("kept"), *shown)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with its columns. Rows
     that repeat that doc_id are the same document and stay too."""
     kid = free_name(docs, "__kid")
-    dropped = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(kid)).distinct()
+    dropped = near_duplicates(docs, count_links=False).filter("not kept").select(F.col("doc_id").alias(kid)).distinct()
     named = docs.withColumn(kid, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
     return named.join(dropped, kid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), count_links=False)
