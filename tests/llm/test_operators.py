@@ -641,3 +641,33 @@ def test_near_dedup_classes_without_all_links(spark, monkeypatch, group_rows):
     assert classes(count_links=False) == want
     pairs = [tuple(p) for step in aligned for p in step]
     assert len(set(pairs)) == len(pairs) and every > 4500 and len(pairs) < 10 * len(texts)
+
+
+def test_near_dedup_repeated_words_are_not_aligned_each_with_each(spark, monkeypatch):
+    # two words, again and again, make up three quarters of all texts, so that these share most of their
+    # sketches; few are alike, some only by way of others in another class
+    rng, texts = random.Random(5), []
+    for k in range(80):
+        own = [f"w{rng.randrange(4000)}" for _ in range(90)] if k % 8 else ["w1"] * 90
+        texts.append(" ".join([*own, *["is", "onhe."] * (130 + rng.randrange(6))]))
+    for k in (3, 11):
+        words = texts[k].split()
+        words[5:70:3] = [f"n{k}_{i}" for i in range(22)]
+        texts.append(" ".join(words))
+    docs, aligned, verified = table(spark, texts, repeat=False), [], near_dedup.verified
+
+    def counted(rows, pairs, least):
+        aligned.append(pairs.count())
+        return verified(rows, pairs, least)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, count_links=False, group_rows=30).collect()}
+    assert sum(aligned[1:]) < len(texts)  # after the pairs with leaders
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        lead = near_dedup.Text(near_dedup.WordHashes()(texts[i]))
+        for j in range(i):
+            if want[i] != want[j] and near_dedup.similarity(lead, near_dedup.WordHashes()(texts[j]), 0.8) is not None:
+                want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
+    ids = sorted(found)
+    assert [found[x] for x in ids] == [ids[c] for c in want] and 20 < len(set(want)) < len(texts) - 5

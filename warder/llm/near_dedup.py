@@ -34,8 +34,8 @@ GROUP_ROWS = 500
 PAIR_ROWS = 50_000
 #: Members that are aligned with one copy of their leader.
 SALT_ROWS = 256
-#: Places of a bag of words.
-BAG = 128
+#: Places of a bag of words, and of the wide one, of which counts up to WIDE_MOST are kept.
+BAG, WIDE_BAG, WIDE_MOST = 128, 2048, 15
 CACHE_WORDS = 300_000
 FACTORS = finish(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -128,7 +128,30 @@ def short_keys(words: np.ndarray) -> np.ndarray:
 def bag_of(words: np.ndarray) -> np.ndarray:
     """How many words of a text fall to each of BAG places, at most 255. An edit changes two of
     these counts by one at most, so texts that are alike differ by at most twice their edits."""
-    return np.minimum(np.bincount((finish(words) >> np.uint64(32)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8)
+    return counted(words, BAG, 255)
+
+
+def counted(words: np.ndarray, places: int, most: int) -> np.ndarray:
+    return np.minimum(np.bincount((finish(words) >> np.uint64(32)).astype(np.int64) % places, minlength=places), most).astype(np.uint8)
+
+
+def wide_bag_of(words: np.ndarray) -> np.ndarray:
+    """A bag of WIDE_BAG places, two counts a byte."""
+    counts = counted(words, WIDE_BAG, WIDE_MOST)
+    return counts[::2] | counts[1::2] << 4
+
+
+def wide_bags(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, wide): the wide bags of the texts of the nodes of keys."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            wide = [wide_bag_of(hashes(text)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["node", "wide"])
+
+    asked = staged(keys.select(F.col("node").alias("kid")).distinct(), "open_nodes")
+    return rows.select("kid", "text").join(asked, "kid", "left_semi").mapInArrow(run, "node long, wide binary").distinct()
 
 
 SKETCH = "kid long, d1 long, d2 long, bands array<long>, runs array<long>, sketch binary, short binary, words int, bag binary"
@@ -168,36 +191,69 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 class Group:
-    """Rows of a part of a bucket: nodes, classes, parts, sketches, words and bags."""
+    """Rows of a part of a bucket: nodes, classes, parts, sketches, words and bags, and, where they
+    are given, wide bags and the open buckets of each row."""
 
-    def __init__(self, held: list[tuple], least_shared: int, least: float):
-        nodes, comp, own, sketch, words, bag = zip(*held, strict=True)
-        self.nodes, self.comp, self.own, self.words = np.array(nodes, np.int64), np.array(comp, np.int64), np.array(own), np.array(words)
+    def __init__(self, held: list[tuple], least_shared: int, least: float, bucket: int = 0):
+        nodes, comp, own, sketch, words, bag, *more = zip(*held, strict=True)
+        self.nodes, self.comp, self.own, self.words = np.array(nodes, np.int64), np.array(comp, np.int64), np.array(own), np.array(words, np.int64)
         self.sketch, self.bag = (np.frombuffer(b"".join(x), np.uint8).reshape(len(nodes), -1) for x in (sketch, bag))
         self.least_shared, self.least = least_shared, least
+        self.wide = self.before = None
+        if more and more[0][0] is not None:
+            wide, met = more
+            self.wide = np.frombuffer(b"".join(wide), np.uint8).reshape(len(nodes), -1)
+            self.before = self.buckets_before(met, bucket)
+
+    @staticmethod
+    def buckets_before(met: tuple[list[int], ...], bucket: int) -> np.ndarray | None:
+        """Bits of the buckets before this one that several rows have."""
+        row, keys = np.repeat(np.arange(len(met)), [len(x) for x in met]), np.concatenate([np.array(x, np.int64) for x in met])
+        earlier = keys < bucket
+        values, place, n = np.unique(keys[earlier], return_inverse=True, return_counts=True)
+        several = n > 1
+        if not several.any():
+            return None
+        at, row, kept = (np.cumsum(several) - 1)[place], row[earlier], several[place]
+        bits = np.zeros((len(met), int(several.sum())), bool)
+        bits[row[kept], at[kept]] = True
+        return np.packbits(bits, axis=1)
+
+    def first_met(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The others that row i meets in no bucket before this one."""
+        return others if self.before is None else others[~(self.before[others] & self.before[i]).any(axis=1)]
 
     def shared(self, i: int, others: np.ndarray) -> np.ndarray:
         """Sketch bytes that row i shares with others, -1 for those that it need not be aligned with:
-        fewer than least_shared are the same, or the bags differ by more than the edits allowed."""
+        fewer than least_shared are the same, or the bags differ by more than the edits allowed. An
+        edit that changes the count of words changes a bag by one."""
         found = (self.sketch[others] == self.sketch[i]).sum(axis=1)
         found[found < self.least_shared] = -1
         near = np.flatnonzero(found >= 0)
-        if len(near):
-            apart = np.abs(self.bag[others[near]].astype(np.int16) - self.bag[i]).sum(axis=1, dtype=np.int64)
-            most = ((1 - self.least) * np.maximum(self.words[others[near]], self.words[i]) + 1e-9).astype(np.int64)
-            found[near[apart > 2 * most]] = -1
+        for bag in (self.bag, self.wide):
+            if bag is None or not len(near):
+                break
+            if bag is self.bag:
+                apart = np.abs(bag[others[near]].astype(np.int16) - bag[i]).sum(axis=1, dtype=np.int64)
+            else:
+                apart = sum(np.abs((bag[others[near]] >> at & 15).astype(np.int8) - (bag[i] >> at & 15).astype(np.int8)).sum(axis=1, dtype=np.int64) for at in (0, 4))
+            words = self.words[others[near]]
+            most = ((1 - self.least) * np.maximum(words, self.words[i]) + 1e-9).astype(np.int64)
+            far = apart + np.abs(words - self.words[i]) > 2 * most
+            found[near[far]] = -1
+            near = near[~far]
         return found
 
 
 def close_pairs(g: Group) -> Iterator[np.ndarray]:
     """All pairs (later, earlier row) of two parts, or within one, that may be alike and are not of
-    one class."""
+    one class. With open buckets known, a pair is given in the first bucket alone where both rows are."""
     two = g.own.min() != g.own.max()
     for i in range(1, len(g.nodes)):
         other = g.comp[:i] != g.comp[i]
         if two:
             other &= g.own[:i] != g.own[i]
-        other = np.flatnonzero(other)
+        other = g.first_met(i, np.flatnonzero(other))
         near = other[g.shared(i, other) >= 0]
         if len(near):
             yield np.stack([np.full(len(near), g.nodes[i]), g.nodes[near]])
@@ -216,11 +272,18 @@ def leading_pairs(g: Group) -> Iterator[np.ndarray]:
             yield np.array([[g.nodes[i]], [g.nodes[leaders[most]]]])
 
 
-def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, choose: Callable[[Group], Iterator[np.ndarray]]) -> DataFrame:
+def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, choose: Callable[[Group], Iterator[np.ndarray]], wide: DataFrame | None = None) -> DataFrame:
     """Different pairs (node, leader), the greater node first, that ``choose`` takes of the rows
-    (bucket, part, own, short, node, comp) with equal bucket and part."""
+    (bucket, part, own, short, node, comp) with equal bucket and part. With the ``wide`` bags of the
+    rows, these and each row's buckets are at hand."""
     both = F.array(F.struct(F.lit(False).alias("short"), "sketch"), F.struct(F.lit(True).alias("short"), F.col("short").alias("sketch")))
-    dealt = rows.join(reps.select("node", "words", "bag", F.inline(both)), ["node", "short"]).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+    dealt = rows.join(reps.select("node", "words", "bag", F.inline(both)), ["node", "short"])
+    if wide is None:
+        dealt = dealt.withColumns({"wide": F.lit(None).cast("binary"), "met": F.lit(None).cast("array<long>")})
+    else:
+        met = staged(rows.groupBy("node", "short").agg(F.collect_set("bucket").alias("met")), "met")
+        dealt = dealt.join(wide, "node").join(met, ["node", "short"])
+    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
 
     def batch_of(pairs):
         node, leader = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
@@ -229,7 +292,7 @@ def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, ch
     def groups(batches):
         key, held = None, []
         for batch in batches:
-            for *row, bucket, part, short in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "own", "sketch", "words", "bag", "bucket", "part", "short")), strict=True):
+            for *row, bucket, part, short in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "own", "sketch", "words", "bag", "wide", "met", "bucket", "part", "short")), strict=True):
                 of = bucket, part, short
                 if of != key:
                     if len(held) > 1:
@@ -241,8 +304,8 @@ def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, ch
 
     def run(batches):
         out, n = [], 0
-        for (_, _, short), held in groups(batches):
-            for pairs in choose(Group(held, SHORT_SHARED if short else least_shared, least)):
+        for (bucket, _, short), held in groups(batches):
+            for pairs in choose(Group(held, SHORT_SHARED if short else least_shared, least, bucket)):
                 out.append(pairs)
                 n += pairs.shape[1]
                 if n >= PAIR_ROWS:
@@ -250,7 +313,7 @@ def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, ch
                     out, n = [], 0
         yield batch_of(out)
 
-    return dealt.select("bucket", "part", "own", "short", "node", "comp", "sketch", "words", "bag").mapInArrow(run, "node long, leader long").distinct()
+    return dealt.select("bucket", "part", "own", "short", "node", "comp", "sketch", "words", "bag", "wide", "met").mapInArrow(run, "node long, leader long").distinct()
 
 
 def shared_keys(reps: DataFrame) -> DataFrame:
@@ -305,9 +368,10 @@ def tied(rows: DataFrame, reps: DataFrame, again: DataFrame, least: float, least
     Rows of a bucket are aligned with leaders first, then the smallest texts of the classes that
     are left in a bucket with each other, and at last all texts of different classes. A pair is
     left out only if it is of one class already, so a family costs about as many alignments as it
-    has texts.
+    has texts. Texts of different classes that agree by sketch are told apart by wide bags, each pair
+    in one bucket only.
     """
-    spark, edges, done, links = rows.sparkSession, again, None, None
+    spark, edges, done, links, wide = rows.sparkSession, again, None, None, None
     keys = distilled(spark, "shared", lambda: shared_keys(reps))
     for step in (leading_pairs, class_heads, close_pairs):
         if step is leading_pairs:
@@ -316,7 +380,9 @@ def tied(rows: DataFrame, reps: DataFrame, again: DataFrame, least: float, least
             keys = distilled(spark, "open", lambda before=keys: open_keys(before, comps))
             if keys.isEmpty():
                 break
-            pairs = paired(in_parts(class_heads(keys), group_rows) if step is class_heads else each_with_each(keys, group_rows), reps, least_shared, least, close_pairs)
+            if wide is None:
+                wide = distilled(spark, "wide", lambda: wide_bags(rows, keys))  # noqa: B023: run at once
+            pairs = paired(in_parts(class_heads(keys), group_rows) if step is class_heads else each_with_each(keys, group_rows), reps, least_shared, least, close_pairs, wide)
             pairs = pairs.join(done, ["node", "leader"], "left_anti")
         pairs = staged(pairs, "pairs")
         found = distilled(spark, "links", lambda pairs=pairs: verified(rows, pairs, least))
