@@ -30,12 +30,14 @@ LEAST_SHARED, SHORT_SHARED = 12, 13
 SHORT, LEAST_WORDS = 64, 4
 #: Rows of one part of a bucket; two parts are compared at a time.
 GROUP_ROWS = 500
+#: So many times larger are parts that meet each with each, as all of their rows are sent to all others.
+WHOLE_PARTS = 4
 #: Pairs that are sent out at once.
 PAIR_ROWS = 50_000
 #: Members that are aligned with one copy of their leader.
 SALT_ROWS = 256
 #: Places of a bag of words, and of the wide one, of which counts up to WIDE_MOST are kept.
-BAG, WIDE_BAG, WIDE_MOST = 128, 2048, 15
+BAG, WIDE_BAG, WIDE_MOST = 128, 1024, 15
 CACHE_WORDS = 300_000
 FACTORS = finish(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -214,25 +216,27 @@ class Group:
         several = n > 1
         if not several.any():
             return None
-        at, row, kept = (np.cumsum(several) - 1)[place], row[earlier], several[place]
-        bits = np.zeros((len(met), int(several.sum())), bool)
-        bits[row[kept], at[kept]] = True
-        return np.packbits(bits, axis=1)
-
-    def first_met(self, i: int, others: np.ndarray) -> np.ndarray:
-        """The others that row i meets in no bucket before this one."""
-        return others if self.before is None else others[~(self.before[others] & self.before[i]).any(axis=1)]
+        kept = several[place]
+        at, row = (np.cumsum(several) - 1)[place][kept], row[earlier][kept]
+        bits = np.zeros((len(met), int(several.sum()) // 8 + 1), np.uint8)
+        np.bitwise_or.at(bits, (row, at // 8), (1 << at % 8).astype(np.uint8))
+        return bits
 
     def shared(self, i: int, others: np.ndarray) -> np.ndarray:
         """Sketch bytes that row i shares with others, -1 for those that it need not be aligned with:
-        fewer than least_shared are the same, or the bags differ by more than the edits allowed. An
-        edit that changes the count of words changes a bag by one."""
+        fewer than least_shared are the same, the bags differ by more than the edits allowed, or both
+        rows are in a bucket before this one. An edit that changes the count of words changes a bag
+        by one."""
         found = (self.sketch[others] == self.sketch[i]).sum(axis=1)
         found[found < self.least_shared] = -1
         near = np.flatnonzero(found >= 0)
         for bag in (self.bag, self.wide):
             if bag is None or not len(near):
                 break
+            if bag is self.wide and self.before is not None:
+                met = (self.before[others[near]] & self.before[i]).any(axis=1)
+                found[near[met]] = -1
+                near = near[~met]
             if bag is self.bag:
                 apart = np.abs(bag[others[near]].astype(np.int16) - bag[i]).sum(axis=1, dtype=np.int64)
             else:
@@ -253,7 +257,7 @@ def close_pairs(g: Group) -> Iterator[np.ndarray]:
         other = g.comp[:i] != g.comp[i]
         if two:
             other &= g.own[:i] != g.own[i]
-        other = g.first_met(i, np.flatnonzero(other))
+        other = np.flatnonzero(other)
         near = other[g.shared(i, other) >= 0]
         if len(near):
             yield np.stack([np.full(len(near), g.nodes[i]), g.nodes[near]])
@@ -277,13 +281,13 @@ def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, ch
     (bucket, part, own, short, node, comp) with equal bucket and part. With the ``wide`` bags of the
     rows, these and each row's buckets are at hand."""
     both = F.array(F.struct(F.lit(False).alias("short"), "sketch"), F.struct(F.lit(True).alias("short"), F.col("short").alias("sketch")))
-    dealt = rows.join(reps.select("node", "words", "bag", F.inline(both)), ["node", "short"])
+    known = reps.select("node", "words", "bag", F.inline(both))
     if wide is None:
-        dealt = dealt.withColumns({"wide": F.lit(None).cast("binary"), "met": F.lit(None).cast("array<long>")})
-    else:
-        met = staged(rows.groupBy("node", "short").agg(F.collect_set("bucket").alias("met")), "met")
-        dealt = dealt.join(wide, "node").join(met, ["node", "short"])
-    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+        known = known.withColumns({"wide": F.lit(None).cast("binary"), "met": F.lit(None).cast("array<long>")})
+    else:  # made one table first, so that bags are sent to buckets once
+        met = rows.groupBy("node", "short").agg(F.collect_set("bucket").alias("met"))
+        known = staged(known.join(wide, "node").join(met, ["node", "short"]), "known")
+    dealt = rows.join(known, ["node", "short"]).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
 
     def batch_of(pairs):
         node, leader = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
@@ -382,7 +386,7 @@ def tied(rows: DataFrame, reps: DataFrame, again: DataFrame, least: float, least
                 break
             if wide is None:
                 wide = distilled(spark, "wide", lambda: wide_bags(rows, keys))  # noqa: B023: run at once
-            pairs = paired(in_parts(class_heads(keys), group_rows) if step is class_heads else each_with_each(keys, group_rows), reps, least_shared, least, close_pairs, wide)
+            pairs = paired(in_parts(class_heads(keys), group_rows) if step is class_heads else each_with_each(keys, group_rows * WHOLE_PARTS), reps, least_shared, least, close_pairs, wide)
             pairs = pairs.join(done, ["node", "leader"], "left_anti")
         pairs = staged(pairs, "pairs")
         found = distilled(spark, "links", lambda pairs=pairs: verified(rows, pairs, least))
