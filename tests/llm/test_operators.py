@@ -671,3 +671,9 @@ def test_near_dedup_repeated_words_are_not_aligned_each_with_each(spark, monkeyp
                 want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
     ids = sorted(found)
     assert [found[x] for x in ids] == [ids[c] for c in want] and 20 < len(set(want)) < len(texts) - 5
+
+
+def test_passages_again_and_again_are_one_range_of_starts():
+    # the runs of a text that repeats two words follow on each other
+    starts = [(0, k, k + 8) for k in range(0, 900, 9)] + [(1, 4, 6), (1, 8, 9), (0, 905, 910)]
+    assert suffix_dedup.joined_starts(random.Random(1).sample(starts, len(starts))) == [(0, 0, 899), (0, 905, 910), (1, 4, 6), (1, 8, 9)]

@@ -45,7 +45,7 @@ PASSAGES = Rule("words", 50, 8, across=True)
 #: Contexts with one key that a task compares; with more, their keys are made longer.
 MOST_CONTEXTS = 2_000
 #: Cells (contexts by window offsets) that are compared at a time.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Window starts of one document handled at a time.
 SEGMENT = 1 << 22
 CACHE_WORDS = 300_000
@@ -227,6 +227,17 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def joined_starts(starts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ranges (rule, first, last window start), those that follow on each other as one."""
+    out: list[tuple[int, int, int]] = []
+    for rule, lo, hi in sorted(starts):
+        if out and out[-1][0] == rule and lo <= out[-1][2] + 1:
+            out[-1] = (rule, out[-1][1], max(out[-1][2], hi))
+        else:
+            out.append((rule, lo, hi))
+    return out
+
+
 FOUND = "array<struct<spans:array<struct<start:bigint,end:bigint>>,kept:string,kept_sha256:string>>"
 FOUND_ARROW = pa.list_(pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string()), ("kept_sha256", pa.string())]))
 STARTS = pa.list_(pa.struct([("rule", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
@@ -307,8 +318,12 @@ def suffix_repeats(docs: DataFrame, rules: list[Rule], most_contexts: int = MOST
 
     first = distilled(spark, "first_pass", first_rows)
     waiting = first.filter("text is not null")
-    found = compared(cut_contexts(waiting, rules), rules, most_contexts)
-    found = found.groupBy("kid", "kh").agg(F.collect_list(F.struct("rule", "lo", "hi")).alias("more"))
+
+    def windows() -> DataFrame:
+        found = compared(cut_contexts(waiting, rules), rules, most_contexts)
+        return found.groupBy("kid", "kh").agg(F.collect_list(F.struct("rule", "lo", "hi")).alias("more"))
+
+    found = distilled(spark, "windows", windows)
     last = last_pass(waiting.join(found, ["kid", "kh"], "left"), rules, with_text)
     return first.filter("text is null").select(*last.columns).unionByName(last)
 
@@ -323,7 +338,7 @@ def first_pass(joined: DataFrame, rules: list[Rule], with_text: bool, rest: str)
         for batch in batches:
             found, texts, starts, waits, sizes = [], [], [], [], []
             for body, notes in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("notes").to_pylist(), strict=True):
-                whole = [(x["rule"], x["lo"], x["hi"]) for x in notes or () if x["whole"]]
+                whole = joined_starts([(x["rule"], x["lo"], x["hi"]) for x in notes or () if x["whole"]])
                 open_ = [x for x in notes or () if not x["whole"]]
                 sizes.append(len(body))
                 found.append(None if open_ else cut(body, whole, rules, with_text))
