@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from warder.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup
-from warder.llm.common import documents, scratch, temporary
+from warder.llm.common import documents, scratch, temporary, write_table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         with temporary(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+            write_table(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs

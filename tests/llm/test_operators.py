@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -677,3 +678,25 @@ def test_passages_again_and_again_are_one_range_of_starts():
     # the runs of a text that repeats two words follow on each other
     starts = [(0, k, k + 8) for k in range(0, 900, 9)] + [(1, 4, 6), (1, 8, 9), (0, 905, 910)]
     assert suffix_dedup.joined_starts(random.Random(1).sample(starts, len(starts))) == [(0, 0, 899), (0, 905, 910), (1, 4, 6), (1, 8, 9)]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    from warder.llm import rolling
+
+    long = "x" * (rolling.WORD_BYTES + 5)
+    words = ["a", "b", "ab", "ba", "é", long, "a", *(f"w{i}" for i in range(30_000)), long, "ab", long + "x"]
+    got = rolling.word_hashes(" ".join(words).encode()).tolist()
+    alone = {w: rolling.word_hashes(w.encode()).tolist() for w in words}
+    assert [[h] for h in got] == [alone[w] for w in words]
+    assert len({h for (h,) in alone.values()}) == len(set(words))
+    assert rolling.word_hashes(b"").tolist() == []
+
+
+def test_suffix_repeats_joins_the_notes_of_a_text():
+    rng = np.random.default_rng(5)
+    kind = pa.list_(pa.struct([("rule", pa.int32()), ("whole", pa.bool_()), ("settled", pa.bool_()), ("anchor", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    note = lambda r, lo, n: {"rule": int(r), "whole": bool(n % 3), "settled": False, "anchor": int(lo), "lo": int(lo), "hi": int(lo + n)}
+    texts = [[note(*x) for x in zip(rng.integers(0, 2, k), rng.integers(0, 300, k), rng.integers(0, 9, k), strict=True)] for k in (1, 5, 40, 80)]
+    for notes, given in zip([None, [], *texts], pa.array([None, [], *texts], kind), strict=True):
+        want = suffix_dedup.joined_starts([(x["rule"], x["lo"], x["hi"]) for x in notes or () if x["whole"]])
+        assert suffix_dedup.told_notes(given) == (want, [x for x in notes or () if not x["whole"]])

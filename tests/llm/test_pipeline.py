@@ -71,3 +71,13 @@ def test_registered():
     names = queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(oracle_sql()) <= set(names)
+
+
+def test_stages_send_small_batches_to_python(spark, monkeypatch, tmp_path):
+    """A Python worker holds the texts of a batch several times over."""
+    import pyarrow as pa
+
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("rows", lambda spark, docs, sf_dir: spark.range(0, 9_000, 1, 1).mapInArrow(rows, "n long"))])
+    assert max(r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) <= 2_000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
@@ -61,3 +62,34 @@ def window_minima(hashes: np.ndarray, w: int) -> np.ndarray:
             low = np.minimum(low[: len(low) - (w - size)], low[w - size :])
         out.append((LOW - (low & LOW)).astype(np.int64) + start)
     return np.concatenate(out)
+
+
+#: Bytes that are hashed at a time; a longer word is hashed on its own.
+WORD_BYTES = 1 << 16
+STEP = 0x9E6C_63D0_876A_68EB
+LETTERS = finish(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E37_79B9_7F4A_7C15))
+#: Powers of STEP and of its inverse, modulo 2**64.
+POWERS, BACK = (np.cumprod(np.append(np.uint64(1), np.full(WORD_BYTES, x, np.uint64)), dtype=np.uint64) for x in (STEP, pow(STEP, -1, 2**64)))
+
+
+def word_hashes(body: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, which single spaces separate.
+
+    A word's letters are summed with growing powers: sums over all of the text, from which
+    those before the word are taken away."""
+    out, at = [], 0
+    while at < len(body):
+        end = len(body) if len(body) - at <= WORD_BYTES else body.rfind(b" ", at, at + WORD_BYTES + 1)
+        if end >= 0:
+            letters = np.frombuffer(body, np.uint8, end - at, at)
+            total = np.zeros(len(letters) + 1, np.uint64)
+            np.cumsum(LETTERS[letters] * POWERS[: len(letters)], out=total[1:])
+            ends = np.append(np.flatnonzero(letters == 32), len(letters))
+            starts = np.append(0, ends[:-1] + 1)
+            out.append(finish((total[ends] - total[starts]) * BACK[starts]))
+        else:
+            end = body.find(b" ", at)
+            end = end if end >= 0 else len(body)
+            out.append(np.array([xxhash.xxh3_64_intdigest(body[at:end])], np.uint64))
+        at = end + 1
+    return out[0] if len(out) == 1 else np.concatenate([*out, np.zeros(0, np.uint64)])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warder.llm.common import distilled, documents, join_counted, staged
-from warder.llm.rolling import gram_hashes, window_minima
+from warder.llm.rolling import gram_hashes, window_minima, word_hashes
 
 
 @dataclass(frozen=True)
@@ -48,27 +48,12 @@ MOST_CONTEXTS = 2_000
 CELLS = 1 << 18
 #: Window starts of one document handled at a time.
 SEGMENT = 1 << 22
-CACHE_WORDS = 300_000
 
 ANCHORS = "rule int, kid long, kh long, core long, ctx long, anchor int, lo int, hi int"
 
 
-class WordCodes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
-        return code
-
-    def of(self, body: bytes) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        words = body.split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def codes_of(body: bytes, rule: Rule, words: WordCodes) -> np.ndarray:
-    return np.frombuffer(body, np.uint8) if rule.unit == "bytes" else words.of(body)
+def codes_of(body: bytes, rule: Rule) -> np.ndarray:
+    return np.frombuffer(body, np.uint8) if rule.unit == "bytes" else word_hashes(b" ".join(body.split()))
 
 
 def runs(codes: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,12 +79,11 @@ def find_anchors(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     windows of the run cover."""
 
     def run(batches):
-        words = WordCodes()
         for batch in batches:
             found: list[list[np.ndarray]] = []
             for kid, kh, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 for r, rule in enumerate(rules):
-                    codes = codes_of(body, rule, words)
+                    codes = codes_of(body, rule)
                     if len(codes) < rule.length:
                         continue
                     view, w = memoryview(codes).cast("B"), rule.width
@@ -331,15 +315,34 @@ def suffix_repeats(docs: DataFrame, rules: list[Rule], most_contexts: int = MOST
 NOTE = "struct<rule:int,whole:boolean,settled:boolean,anchor:int,lo:int,hi:int>"
 
 
+def told_notes(notes: pa.ListScalar) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    """The joined ranges of windows that are repeated as a whole, and the notes that wait. A text
+    may have very many notes, so that only those that wait become Python objects."""
+    if not notes.is_valid or not len(notes.values):
+        return [], []
+    values = notes.values
+    whole = values.field("whole").to_numpy(zero_copy_only=False).astype(bool)
+    rule, lo, hi = (values.field(c).to_numpy()[whole].astype(np.int64) for c in ("rule", "lo", "hi"))
+    order = np.lexsort((hi, lo, rule))
+    rule, lo, hi = rule[order], lo[order], hi[order]
+    most = np.zeros(0, np.int64)
+    for r in np.unique(rule):
+        most = np.append(most, np.maximum.accumulate(hi[rule == r]))
+    first = np.flatnonzero((rule[1:] != rule[:-1]) | (lo[1:] > most[:-1] + 1)) + 1 if len(rule) else np.zeros(0, np.int64)
+    first = np.append(0, first) if len(rule) else first
+    last = np.append(first[1:], len(rule)) - 1 if len(rule) else first
+    joined = list(zip(rule[first].tolist(), lo[first].tolist(), most[last].tolist(), strict=True))
+    return joined, values.filter(pa.array(~whole)).to_pylist()
+
+
 def first_pass(joined: DataFrame, rules: list[Rule], with_text: bool, rest: str) -> DataFrame:
     """Finish the documents that wait for no comparison; keep the text of the others."""
 
     def run(batches):
         for batch in batches:
             found, texts, starts, waits, sizes = [], [], [], [], []
-            for body, notes in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("notes").to_pylist(), strict=True):
-                whole = joined_starts([(x["rule"], x["lo"], x["hi"]) for x in notes or () if x["whole"]])
-                open_ = [x for x in notes or () if not x["whole"]]
+            for body, notes in zip(batch.column("text").cast(pa.binary()), batch.column("notes"), strict=True):
+                body, whole, open_ = body.as_py(), *told_notes(notes)
                 sizes.append(len(body))
                 found.append(None if open_ else cut(body, whole, rules, with_text))
                 texts.append(body if open_ else None)
@@ -358,11 +361,10 @@ def cut_contexts(waiting: DataFrame, rules: list[Rule]) -> DataFrame:
     """The contexts that wait for comparison, each with its units."""
 
     def run(batches):
-        words = WordCodes()
         for batch in batches:
             out = []
             for kid, kh, body, waits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                views = {r: memoryview(codes_of(body, rules[r], words)).cast("B") for r in {x["rule"] for x in waits}}
+                views = {r: memoryview(codes_of(body, rules[r])).cast("B") for r in {x["rule"] for x in waits}}
                 for x in waits:
                     rule = rules[x["rule"]]
                     out.append((x["rule"], kid, kh, x["settled"], x["anchor"], x["lo"], x["hi"], bytes(views[x["rule"]][x["lo"] * rule.width : (x["hi"] + rule.length) * rule.width])))
