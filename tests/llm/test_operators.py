@@ -692,6 +692,16 @@ def test_word_hashes_depend_on_the_word_alone():
     assert rolling.word_hashes(b"").tolist() == []
 
 
+def test_near_dedup_gives_one_of_the_buckets_with_the_same_texts(spark):
+    """Near copies share most of their keys; each of these was dealt out and compared before."""
+    rng = np.random.default_rng(4)
+    base = [f"v{i}" for i in rng.integers(0, 5_000, 300)]
+    texts = [" ".join(base), " ".join([*base[:150], "other", *base[151:]]), " ".join(f"u{i}" for i in rng.integers(0, 5_000, 300))]
+    reps = near_dedup.sketches(spark.createDataFrame(list(enumerate(texts)), "kid long, text string")).withColumnRenamed("kid", "node")
+    keys = near_dedup.shared_keys(reps).collect()
+    assert sorted((r["node"], r["comp"], r["short"], r["n"]) for r in keys) == [(0, 0, False, 2), (1, 1, False, 2)]
+
+
 def test_suffix_repeats_joins_the_notes_of_a_text():
     rng = np.random.default_rng(5)
     kind = pa.list_(pa.struct([("rule", pa.int32()), ("whole", pa.bool_()), ("settled", pa.bool_()), ("anchor", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))

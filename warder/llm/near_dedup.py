@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from warder.llm.common import distilled, documents, free_name, join_counted, staged
 from warder.llm.pieces import lists
-from warder.llm.rolling import finish, gram_hashes
+from warder.llm.rolling import finish, gram_hashes, word_hashes
 
 #: Words of a shingle, of one in the second sketch, and of one in the sketches of short texts.
 SHINGLE, SECOND_SHINGLE, SHORT_SHINGLE = 5, 3, 2
@@ -38,7 +38,6 @@ PAIR_ROWS = 50_000
 SALT_ROWS = 256
 #: Places of a bag of words, and of the wide one, of which counts up to WIDE_MOST are kept.
 BAG, WIDE_BAG, WIDE_MOST = 128, 1024, 15
-CACHE_WORDS = 300_000
 FACTORS = finish(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -46,20 +45,8 @@ PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 class WordHashes:
     """64-bit hashes of the words (runs between blanks) of a text."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
     def __call__(self, text: str) -> np.ndarray:
-        known, words = self.known, text.split()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return word_hashes(" ".join(text.split()).encode("utf-8", "replace"))
 
 
 def labelled_shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -68,11 +55,11 @@ def labelled_shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     grams = gram_hashes(words, min(size, len(words)))
+    ordered = np.sort(grams)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return finish(grams)  # as below with number 0: other texts may repeat a run of these
     order = np.argsort(grams, kind="stable")
-    ordered = grams[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    if len(first) == len(grams):
-        return finish(grams)  # as below with number 0: other texts may repeat a run of these
     number = np.empty(len(grams), np.uint64)
     number[order] = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
     return finish(grams + number * PAIR)
@@ -88,17 +75,19 @@ def order_sketch(shingles: np.ndarray, first: int = 0, count: int = BANDS) -> tu
     if not n:
         return bands, bits
     take = min(MINIMA, n)
-    block = max(1, 32_768 // n)
+    block = max(1, 65_536 // n)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]  # 32 bits tell a text's shingles apart, at half the cost
     for at in range(0, count, block):
         factors = FACTORS[first + at : first + min(at + block, count), None]
-        values = (shingles[None, :] ^ (factors >> np.uint64(7))) * factors
+        values = high ^ (factors >> np.uint64(7)).astype(np.uint32)
+        values *= factors.astype(np.uint32)
         rows = np.arange(len(factors))
         found = []
         for i in range(take):
             least = values.argmin(axis=1)
             if not i:
-                bits[at : at + block] = finish(values[rows, least]).astype(np.uint8)
-            values[rows, least] = np.uint64(2**64 - 1)
+                bits[at : at + block] = finish(values[rows, least].astype(np.uint64)).astype(np.uint8)
+            values[rows, least] = np.uint32(2**32 - 1)
             found.append(least)
         total = (rows + first + at).astype(np.uint64) * PAIR + np.uint64(take)
         for least in np.sort(found, axis=0):
@@ -276,16 +265,16 @@ def leading_pairs(g: Group) -> Iterator[np.ndarray]:
             yield np.array([[g.nodes[i]], [g.nodes[leaders[most]]]])
 
 
-def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, choose: Callable[[Group], Iterator[np.ndarray]], wide: DataFrame | None = None) -> DataFrame:
+def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, choose: Callable[[Group], Iterator[np.ndarray]], wide: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Different pairs (node, leader), the greater node first, that ``choose`` takes of the rows
     (bucket, part, own, short, node, comp) with equal bucket and part. With the ``wide`` bags of the
-    rows, these and each row's buckets are at hand."""
+    rows, these and each row's buckets, by ``keys`` that are not yet dealt out, are at hand."""
     both = F.array(F.struct(F.lit(False).alias("short"), "sketch"), F.struct(F.lit(True).alias("short"), F.col("short").alias("sketch")))
     known = reps.select("node", "words", "bag", F.inline(both))
     if wide is None:
         known = known.withColumns({"wide": F.lit(None).cast("binary"), "met": F.lit(None).cast("array<long>")})
     else:  # made one table first, so that bags are sent to buckets once
-        met = rows.groupBy("node", "short").agg(F.collect_set("bucket").alias("met"))
+        met = keys.groupBy("node", "short").agg(F.collect_set("bucket").alias("met"))
         known = staged(known.join(wide, "node").join(met, ["node", "short"]), "known")
     dealt = rows.join(known, ["node", "short"]).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
 
@@ -322,13 +311,19 @@ def paired(rows: DataFrame, reps: DataFrame, least_shared: int, least: float, ch
 
 def shared_keys(reps: DataFrame) -> DataFrame:
     """(node, comp, short, bucket, n) of the keys that several texts have: n texts. Each text is a
-    class (comp) of its own."""
+    class (comp) of its own. Of keys that the same texts have, told by 128 bits, one is given."""
     bands = reps.select("node", F.lit(False).alias("short"), F.explode("bands").alias("bucket"))
     runs = reps.select("node", F.lit(True).alias("short"), F.explode("runs").alias("bucket"))
     rows = staged(bands.unionByName(runs), "buckets")
     sizes = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket_sizes")
     shared = join_counted(rows, sizes, ["bucket"], "n", ["node"], "c").filter("c is not null")
-    return shared.select("node", F.col("node").alias("comp"), "short", "bucket", F.col("c.n").alias("n"))
+    shared = staged(shared.select("node", "short", "bucket"), "shared_buckets")
+    # near copies share most of their keys: of buckets with the same texts one is enough
+    texts = [F.bit_xor(F.xxhash64(*x)).alias(c) for c, x in (("a", ("node", "short")), ("b", ("short", "node")))]
+    sets = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *texts)
+    sets = staged(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "bucket_sets")
+    found = join_counted(shared, sets, ["bucket"], "n", ["node"], "c").filter("c is not null")
+    return found.select("node", F.col("node").alias("comp"), "short", "bucket", F.col("c.n").alias("n"))
 
 
 def in_parts(keys: DataFrame, group_rows: int) -> DataFrame:
@@ -386,7 +381,9 @@ def tied(rows: DataFrame, reps: DataFrame, again: DataFrame, least: float, least
                 break
             if wide is None:
                 wide = distilled(spark, "wide", lambda: wide_bags(rows, keys))  # noqa: B023: run at once
-            pairs = paired(in_parts(class_heads(keys), group_rows) if step is class_heads else each_with_each(keys, group_rows * WHOLE_PARTS), reps, least_shared, least, close_pairs, wide)
+            chosen = staged(class_heads(keys), "chosen") if step is class_heads else keys
+            dealt = in_parts(chosen, group_rows) if step is class_heads else each_with_each(chosen, group_rows * WHOLE_PARTS)
+            pairs = paired(dealt, reps, least_shared, least, close_pairs, wide, chosen)
             pairs = pairs.join(done, ["node", "leader"], "left_anti")
         pairs = staged(pairs, "pairs")
         found = distilled(spark, "links", lambda pairs=pairs: verified(rows, pairs, least))
