@@ -294,3 +294,13 @@ def test_covered_ranges(spark):
     pairs = rows.join(ranges.select("policy_id", "source", F.col("range").alias("may")), ["policy_id", "source"]).filter(mls.range_contains(F.col("may"), F.col("range")))
     assert got == sorted(r["id"] for r in pairs.select("id").distinct().collect()) and 0 < len(got) < 150
     assert dominance.covered(rows.limit(0), ranges, ["policy_id", "source"]).count() == 0
+
+
+def test_explain_joins_a_message_once_a_policy(spark, t):
+    """The rules of a policy that concern one pair of types come in a row; before, each was joined on its own."""
+    msg = spark.createDataFrame([(1, "a", "b", "file")], "msg_id long, stype string, ttype string, tclass string")
+    rules = spark.createDataFrame([("A", i, k, "a", to, "file", ["read"]) for i, (k, to) in enumerate([("allow", "b"), ("allow", "at"), ("dontaudit", "b"), ("allow", "c")])], "policy_id string, rule_id int, kind string, source string, target string, class string, perms array<string>")
+    attr = spark.createDataFrame([("A", "b", "at"), ("A", "c", "at")], "policy_id string, type string, attr string")
+    found = explain.explain_messages(msg, rules, attr)
+    assert sorted((r["kind"], r["rule_target"], r["rule_id"]) for r in found.collect()) == [("allow", "at", 1), ("allow", "b", 0), ("dontaudit", "b", 2)]
+    assert "Generate inline(__rules" in found._jdf.queryExecution().simpleString()
